@@ -89,7 +89,7 @@ def throughput_mbps(n_bytes: Column, latency_seconds: Column) -> Column:
 
 def estimate_minutes(remaining: Column, per_second: Column) -> Column:
     """Whole seconds needed, rounded half up to minutes; NULL when unknown."""
-    seconds = F.floor(remaining / per_second)
+    seconds = F.floor(remaining / F.nullif(per_second.cast("double"), F.lit(0.0)))
     return F.when(
         (per_second > 0) & (remaining > 0), F.floor((seconds + 30) / 60).cast("bigint")
     )

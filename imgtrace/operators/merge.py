@@ -55,12 +55,14 @@ def _blank_to_null(c: Column) -> Column:
     return F.nullif(c, F.lit(""))
 
 
-def upsert_images(old: DataFrame, new: DataFrame, now, arrival: str = "arrival") -> DataFrame:
+def upsert_images(old: DataFrame, new: DataFrame, now, arrival: str = "arrival",
+                  last_id: Column | None = None) -> DataFrame:
     """Catalog upsert on (site, post).
 
     New values win, except that an empty new hash or thumbnail keeps the old
     one; id and creation time survive. New posts get ids after the largest old
-    id, in (post, site) order.
+    id, in (post, site) order. `last_id` names that largest id when `old` holds
+    only the rows being changed.
     """
     at = as_ts(now)
     fresh = latest_per_key(new, IMAGE_KEY, arrival)
@@ -82,7 +84,8 @@ def upsert_images(old: DataFrame, new: DataFrame, now, arrival: str = "arrival")
     rules["created_at"] = lambda o, n, ho, hn: F.when(ho, o).otherwise(at)
     rules["updated_at"] = lambda o, n, ho, hn: F.when(hn, at).otherwise(o)
     merged = merge(old, fresh, IMAGE_KEY, rules)
-    top = F.coalesce(old.select(F.max("image_id")).scalar(), F.lit(0))
+    top = last_id if last_id is not None else old.select(F.max("image_id")).scalar()
+    top = F.coalesce(top, F.lit(0))
     added = row_numbers(
         merged.where(F.col("image_id").isNull()).withColumn("_all", F.lit(0)),
         ["_all"], "source_post_id", ["source_site"], "_rn")

@@ -63,9 +63,9 @@ def row_numbers(df: DataFrame, group: list[str], key: str, ties: list[str], out:
     )
     inside = Window.partitionBy(*group, "_seg").orderBy(key, *ties)
     return (
-        seg.withColumn("_rn", F.row_number().over(inside))
+        seg.withColumn("_row", F.row_number().over(inside))
         .join(offsets, [*group, "_seg"])
-        .withColumn(out, F.col("_rn") + F.col("_off")).drop("_seg", "_rn", "_off")
+        .withColumn(out, F.col("_row") + F.col("_off")).drop("_seg", "_row", "_off")
     )
 
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from imgtrace.functions import hashes as H
 from imgtrace.functions import posts as P
@@ -21,10 +23,8 @@ DEFAULT_CANDIDATES = 25
 MAX_SHIPPED_CANDIDATES = 1_000_000
 
 
-@F.arrow_udf("float")
+@F.arrow_udf(T.FloatType())
 def _cosine(a: pa.Array, b: pa.Array) -> pa.Array:
-    import numpy as np
-
     x = a.flatten().to_numpy(zero_copy_only=False).reshape(len(a), -1).astype(np.float64)
     y = b.flatten().to_numpy(zero_copy_only=False).reshape(len(b), -1).astype(np.float64)
     norms = np.sqrt(np.einsum("ij,ij->i", x, x)) * np.sqrt(np.einsum("ij,ij->i", y, y))
