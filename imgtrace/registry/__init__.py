@@ -1,4 +1,6 @@
 """Every operator as a runnable query over the benchmark tables."""
 
-from imgtrace.registry import joins, reports, scalars, search, sets, sources  # noqa: F401
+from imgtrace.registry import (  # noqa: F401
+    joins, pictures, reports, scalars, search, sets, sources, streams,
+)
 from imgtrace.registry.base import ORACLE, QUERIES  # noqa: F401

@@ -51,6 +51,8 @@ class FeedSink:
     site: str
     scope: str = "default"
     max_indexed: int = 0
+    # Batch ids start over with every new checkpoint; a later run starts above the earlier ones.
+    first_batch: int = 0
     refused: list[int] = field(default_factory=list)
 
     def __post_init__(self):
@@ -73,6 +75,7 @@ class FeedSink:
         df.select(*cols).write.mode("overwrite").parquet(f"{self.path}/{name}/batch={batch}")
 
     def __call__(self, feed: DataFrame, batch: int) -> None:
+        batch += self.first_batch
         posts = feed_source.with_download(
             feed_source.normalize_posts(feed, self.base_url, self.site)).dropDuplicates(["post_id"])
         posts = posts.persist()

@@ -118,8 +118,8 @@ class _Decay(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         saved, millis = tuple(self.sums.get()) if self.sums.exists() else (0, 0)
         reports = pd.concat(list(rows)).sort_values("seq")
-        for n, ms in zip(reports["saved"], reports["millis"]):
-            if n <= 0 or ms < 0:
+        for n, ms in zip(reports["saved"], reports["took_ms"]):
+            if n <= 0 or ms <= 0:
                 continue
             if saved > DECAY_ABOVE:
                 saved, millis = saved // 2, millis // 2
@@ -133,13 +133,13 @@ class _Decay(StatefulProcessor):
 
 
 def throughput_decay(reports: DataFrame, base_size: int) -> DataFrame:
-    """reports(node_id, seq, saved, millis): recent rate per node and the range size it earns.
+    """reports(node_id, seq, saved, took_ms): recent rate per node and the range size it earns.
 
     Once more than 10 000 pictures are summed, both sums are halved before the
     next report, so old speed fades. Reports that saved nothing are ignored.
     """
     use_state_store(reports.sparkSession)
-    sums = reports.select("node_id", "seq", "saved", "millis").groupBy("node_id").transformWithStateInPandas(
+    sums = reports.select("node_id", "seq", "saved", "took_ms").groupBy("node_id").transformWithStateInPandas(
         statefulProcessor=_Decay(),
         outputStructType=T.StructType([
             T.StructField("node_id", T.StringType()), T.StructField("seq", T.LongType()),
