@@ -27,7 +27,9 @@ WIDTH, HEIGHT = 120, 96
 
 
 def pictures(spark, sf) -> DataFrame:
-    return X.pictures_from_vectors(all_vectors(spark, sf), WIDTH, HEIGHT)
+    """Spread the (small) vectors over the cores before they grow into pixels."""
+    v = all_vectors(spark, sf).repartition(spark.sparkContext.defaultParallelism, "image_id")
+    return X.pictures_from_vectors(v, WIDTH, HEIGHT)
 
 
 def _bitmap(pixels: bytes, width: int, height: int) -> bytes:

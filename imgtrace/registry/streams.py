@@ -62,7 +62,7 @@ SELECT id AS post_id, {_STATUS.format("'saved'")} AS status,
   CASE WHEN skip_reason = '' AND score <> 13 THEN substr(md5, 1, 16) ELSE '' END AS phash,
   CASE WHEN skip_reason = '' AND score <> 13 THEN 2 ELSE 0 END::BIGINT AS vectors FROM checked_posts""")
 def catchup(spark, sf):
-    sink = _run(spark, _feed_files(spark, sf, 3), scratch_path(spark, "catalog"))
+    sink = _run(spark, _feed_files(spark, sf, 2), scratch_path(spark, "catalog"))
     images = sink.table("images").select(
         "image_id", F.col("source_post_id").alias("post_id"), "phash")
     n = sink.table("image_vectors").where(F.col("indexed_at").isNotNull()).groupBy("image_id").agg(
@@ -75,7 +75,7 @@ def catchup(spark, sf):
 @query("h2_watermark_tracker", with_("checked_posts") + """
 SELECT 'site0' AS source_site, 'default' AS scope_key, max(id) AS high_watermark_id FROM checked_posts""")
 def watermark(spark, sf):
-    return _run(spark, _feed_files(spark, sf, 2), scratch_path(spark, "catalog")).high_watermark()
+    return _run(spark, _feed_files(spark, sf, 1), scratch_path(spark, "catalog")).high_watermark()
 
 
 @query("h5_idempotent_ingest", with_("checked_posts") + f"""

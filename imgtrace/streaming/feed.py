@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -56,14 +57,17 @@ class FeedSink:
     refused: list[int] = field(default_factory=list)
 
     def __post_init__(self):
-        for name, schema in _LOG_SCHEMAS.items():
-            self.spark.createDataFrame([], schema).write.mode("ignore").parquet(
-                f"{self.path}/{name}/batch=-1")
+        self.active = D.active_models(self.models)
 
     def table(self, name: str, before: int | None = None) -> DataFrame:
-        """All appended rows, or those of earlier batches."""
+        """All appended rows, or those of earlier batches; empty before the first batch."""
         schema = T.StructType([*_LOG_SCHEMAS[name].fields, T.StructField("batch", T.LongType())])
-        df = self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
+        try:
+            df = self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            df = self.spark.createDataFrame([], schema)
         return df if before is None else df.where(F.col("batch") < before)
 
     def current(self, name: str, keys: list[str]) -> DataFrame:
@@ -85,8 +89,7 @@ class FeedSink:
             posts.unpersist()
 
     def _ingest(self, posts: DataFrame, batch: int) -> None:
-        active = D.active_models(self.models)
-        ids = [m["model_id"] for m in active]
+        ids = [m["model_id"] for m in self.active]
         keys = posts.select(F.col("post_id").alias("source_post_id"),
                             F.col("source_site"))
         # Only catalog rows of this batch's posts are looked at.
@@ -95,25 +98,36 @@ class FeedSink:
         have = self.table("image_vectors", batch).join(
             old.select("image_id"), "image_id", "left_semi").select("image_id", "model_id").distinct()
         done = D.fully_indexed(old, have, ids)
-        todo = D.work_delta(posts, done)
-        if not J.quota_allows(self.table("images", batch).select(*M.IMAGE_KEY).distinct(),
-                              todo.count(), self.max_indexed):
-            self.refused.append(batch)
-            return
+        todo = D.work_delta(posts, done).persist()
+        try:
+            if self.max_indexed > 0 and not J.quota_allows(
+                    self.table("images", batch).select(*M.IMAGE_KEY).distinct(), todo.count(),
+                    self.max_indexed):
+                self.refused.append(batch)
+                return
+            self._store(posts, todo, done, old, batch)
+        finally:
+            todo.unpersist()
+
+    def _store(self, posts, todo, done, old, batch: int) -> None:
         marks, made = self.encode(todo)
         faults = D.validate_vectors(
             todo.select(F.col("post_id").alias("item_id")),
-            made.withColumnRenamed("post_id", "item_id"), active)
+            made.withColumnRenamed("post_id", "item_id"), self.active)
         bad = faults.where(F.col("fault").isNotNull() | (F.col("unregistered") > 0)).select(
             F.col("item_id").alias("post_id"))
-        good = todo.join(bad, "post_id", "left_anti").join(marks, "post_id")
-        items = good.select(
+        self._append("statuses", batch, D.post_status(posts, done, bad))
+        # Later steps need only to know which posts passed, so they read that back.
+        passed = self.table("statuses").where(
+            (F.col("batch") == batch) & (F.col("status") == "saved")).select("post_id")
+        items = todo.join(passed, "post_id", "left_semi").join(marks, "post_id").select(
             "source_site", F.col("post_id").alias("source_post_id"), "source_url", "canonical_url",
             F.col("large_url").alias("file_url"), "preview_url", "md5", "phash", "dhash", "width",
             "height", "file_size", "rating", "score", "tags", "artist_tags", "thumb_path",
             F.lit("stream").alias("indexed_by"), F.lit(0).alias("arrival"))
+        changed = old.join(items.select(*M.IMAGE_KEY), M.IMAGE_KEY, "left_semi")
         last_id = self.table("images", batch).select(F.max("image_id")).scalar()
-        self._append("images", batch, M.upsert_images(old, items, self.now, last_id=last_id))
+        self._append("images", batch, M.upsert_images(changed, items, self.now, last_id=last_id))
         written = self.spark.read.schema(S.IMAGES).parquet(f"{self.path}/images/batch={batch}")
         fresh = made.join(written.select("image_id", F.col("source_post_id").alias("post_id")),
                           "post_id")
@@ -123,7 +137,6 @@ class FeedSink:
             "image_id", "model_id", V.encode_sign(F.col("vector")).alias("code")))
         self._append("image_vectors", batch, fresh.select(
             "image_id", "model_id", "vector", at.alias("created_at"), at.alias("indexed_at")))
-        self._append("statuses", batch, D.post_status(posts, done, bad))
         self._append("states", batch, posts.groupBy("source_site").agg(
             F.max("post_id").alias("high_watermark_id")).withColumn("scope_key", F.lit(self.scope)))
 
