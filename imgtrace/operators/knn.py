@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,7 @@ MAX_SHIPPED_QUERIES = 8192
 # Queries per block on the shuffled way; their vectors and best lists fit one task.
 QUERY_BLOCK = 4096
 # Cells of the score matrix worked on at once.
-_TILE = 1 << 20
+_TILE = 1 << 18
 
 METRICS = ("hamming", "cosine", "dot", "euclid")
 
@@ -37,87 +38,123 @@ METRICS = ("hamming", "cosine", "dot", "euclid")
 # --- numpy kernels --------------------------------------------------------
 
 def _sortable(x: np.ndarray) -> np.ndarray:
-    """float32 -> int64 keeping order (and back-convertible)."""
-    bits = (np.nan_to_num(x, nan=np.inf) + np.float32(0)).astype(np.float32).view(np.int32)
+    """Non-NaN keys -> int64 in the same order."""
+    if x.dtype != np.float32:
+        return x.astype(np.int64)
+    bits = (x + np.float32(0)).view(np.int32)
     return np.where(bits < 0, bits ^ np.int32(0x7FFFFFFF), bits).astype(np.int64)
 
 
-def _unsortable(key: np.ndarray) -> np.ndarray:
-    bits = key.astype(np.int32)
-    return np.where(bits < 0, bits ^ np.int32(0x7FFFFFFF), bits).astype(np.int32).view(np.float32)
-
-
 def _prepare(metric: str, m: np.ndarray) -> tuple:
-    if metric == "hamming":
-        return (np.ascontiguousarray(m).view(np.uint64),)
+    if metric == "hamming":  # word-major, so that one word of all rows is contiguous
+        return (np.ascontiguousarray(m.T).view(np.uint64),)
     m = m.astype(np.float64)
     return m, np.sqrt(np.einsum("ij,ij->i", m, m))
 
 
 def _keys(metric: str, q: tuple, g: tuple) -> np.ndarray:
-    """(queries x gallery) sort keys, smaller is nearer."""
+    """(queries x gallery) keys, smaller is nearer: bits, or float32 of the negated score."""
     if metric == "hamming":
-        out = np.zeros((q[0].shape[0], g[0].shape[0]), dtype=np.int64)
-        for w in range(q[0].shape[1]):
-            out += np.bitwise_count(q[0][:, w, None] ^ g[0][None, :, w])
+        shape = (q[0].shape[1], g[0].shape[1])
+        out, differ, ones = (np.zeros(shape, t) for t in (np.uint16, np.uint64, np.uint8))
+        for qw, gw in zip(q[0], g[0]):
+            np.bitwise_xor(qw[:, None], gw[None, :], out=differ)
+            out += np.bitwise_count(differ, out=ones)
         return out
-    dots = q[0] @ g[0].T
-    if metric == "dot":
-        return _sortable(-dots.astype(np.float32))
-    if metric == "euclid":
-        d2 = q[1][:, None] ** 2 + g[1][None, :] ** 2 - 2 * dots
-        return _sortable(np.sqrt(np.maximum(d2, 0)).astype(np.float32))
-    norms = q[1][:, None] * g[1][None, :]
-    with np.errstate(divide="ignore", invalid="ignore"):
-        score = np.where(norms == 0, 0.0, dots / norms)
-    return _sortable(-score.astype(np.float32))
+    with np.errstate(divide="ignore", invalid="ignore", over="ignore"):
+        dots = q[0] @ g[0].T
+        if metric == "dot":
+            key = -dots
+        elif metric == "euclid":
+            key = np.sqrt(np.maximum(q[1][:, None] ** 2 + g[1][None, :] ** 2 - 2 * dots, 0))
+        else:
+            norms = q[1][:, None] * g[1][None, :]
+            key = -np.where(norms == 0, 0.0, dots / norms)
+    key = key.astype(np.float32)
+    if not (np.isfinite(q[1]).all() and np.isfinite(g[1]).all()):
+        key[np.isnan(key)] = np.inf
+    return key
 
 
 def _score(metric: str, key: np.ndarray) -> np.ndarray:
     if metric == "hamming":
         return key.astype(np.int32)
-    x = _unsortable(key)
-    return x if metric == "euclid" else (np.float32(0) - x)
+    return key if metric == "euclid" else np.float32(0) - key
 
 
-def _rows(q: tuple, part: slice) -> tuple:
-    return tuple(a[part] for a in q)
+def _rows(metric: str, q: tuple, part: slice) -> tuple:
+    return (q[0][:, part],) if metric == "hamming" else tuple(a[part] for a in q)
 
 
 class _TopK:
-    """Best k gallery ids per query, nearest first, ties by id."""
+    """Best k gallery ids per query, nearest first, ties by id.
+
+    The first rows fill the lists. After that only pairs at least as near as a
+    query's current worst are kept, in a buffer merged when it has grown.
+    """
 
     def __init__(self, metric: str, k: int, ids: np.ndarray, matrix: np.ndarray, extra=None):
         self.metric, self.k, self.ids = metric, k, ids
         self.q = _prepare(metric, matrix)
         self.width = matrix.shape[1]
-        self.best_key = np.empty((len(ids), 0), dtype=np.int64)
+        kind = np.uint16 if metric == "hamming" else np.float32
+        self.best_key = np.empty((len(ids), 0), dtype=kind)
         self.best_id = np.empty((len(ids), 0), dtype=np.int64)
+        self.buffer, self.buffered = [], 0
 
     def feed(self, gid: np.ndarray, gmat: np.ndarray) -> None:
-        order = np.argsort(gid, kind="stable")
-        gid = gid[order]
-        g = _prepare(self.metric, gmat[order])
         n, b = len(self.ids), len(gid)
         if n == 0 or b == 0:
             return
-        keys, ids = [], []
+        order = np.argsort(gid, kind="stable")
+        gid, g = gid[order], _prepare(self.metric, gmat[order])
         step = max(1, _TILE // b)
-        shift = max(1, int(b - 1).bit_length())
-        mask = (1 << shift) - 1
+        if self.best_key.shape[1] < self.k:
+            self._fill(gid, g, step)
+            return
         for s in range(0, n, step):
-            key = (_keys(self.metric, _rows(self.q, slice(s, s + step)), g) << shift) | np.arange(b)
+            key = _keys(self.metric, _rows(self.metric, self.q, slice(s, s + step)), g)
+            row, col = np.nonzero(key <= self.best_key[s : s + step, -1, None])
+            if len(row):
+                self.buffer.append((row + s, key[row, col], gid[col]))
+                self.buffered += len(row)
+                if self.buffered > max(4 * n * self.k, _TILE):
+                    self._merge()
+
+    def _fill(self, gid: np.ndarray, g: tuple, step: int) -> None:
+        b = len(gid)
+        keys, ids = [], []
+        shift = max(1, int(b - 1).bit_length())
+        for s in range(0, len(self.ids), step):
+            key = _keys(self.metric, _rows(self.metric, self.q, slice(s, s + step)), g)
             if b > self.k:
-                key = np.partition(key, self.k - 1, axis=1)[:, : self.k]
-            keys.append(key >> shift)
-            ids.append(gid[key & mask])
+                tagged = (_sortable(key) << shift) | np.arange(b)
+                col = np.partition(tagged, self.k - 1, axis=1)[:, : self.k] & ((1 << shift) - 1)
+            else:
+                col = np.broadcast_to(np.arange(b), key.shape)
+            keys.append(np.take_along_axis(key, col, axis=1))
+            ids.append(gid[col])
         key = np.concatenate([self.best_key, np.concatenate(keys)], axis=1)
         cid = np.concatenate([self.best_id, np.concatenate(ids)], axis=1)
         pick = np.lexsort((cid, key), axis=1)[:, : self.k]
         self.best_key = np.take_along_axis(key, pick, axis=1)
         self.best_id = np.take_along_axis(cid, pick, axis=1)
 
+    def _merge(self) -> None:
+        if not self.buffer:
+            return
+        n, k = self.best_key.shape
+        row = np.concatenate([np.repeat(np.arange(n), k), *[x[0] for x in self.buffer]])
+        key = np.concatenate([self.best_key.ravel(), *[x[1] for x in self.buffer]])
+        cid = np.concatenate([self.best_id.ravel(), *[x[2] for x in self.buffer]])
+        order = np.lexsort((cid, key, row))
+        starts = np.searchsorted(row[order], np.arange(n))
+        pick = order[starts[:, None] + np.arange(k)]
+        self.best_key, self.best_id = key[pick], cid[pick]
+        self.buffer, self.buffered = [], 0
+
     def rows(self) -> Iterator[pa.RecordBatch]:
+        self._merge()
         per = self.best_id.shape[1]
         if per == 0:
             return
@@ -145,8 +182,8 @@ class _Ahead:
         self.q = _prepare(metric, matrix)
         self.width = matrix.shape[1]
         self.answer, own = extra
-        self.own = own.astype(np.int64) if metric == "hamming" else _sortable(
-            own.astype(np.float32) if metric == "euclid" else -own.astype(np.float32))
+        self.own = own.astype(np.uint16) if metric == "hamming" else (
+            own if metric == "euclid" else -own).astype(np.float32)
         self.better = np.zeros(len(ids), dtype=np.int64)
         self.tied = np.zeros(len(ids), dtype=np.int64)
 
@@ -155,7 +192,7 @@ class _Ahead:
         step = max(1, _TILE // max(1, len(gid)))
         for s in range(0, len(self.ids), step):
             part = slice(s, s + step)
-            key = _keys(self.metric, _rows(self.q, part), g)
+            key = _keys(self.metric, _rows(self.metric, self.q, part), g)
             other = gid[None, :] != self.answer[part, None]
             own = self.own[part, None]
             self.better[part] += ((key < own) & other).sum(axis=1)
@@ -198,9 +235,9 @@ def _feed(state, ids: np.ndarray, lists) -> None:
         state.feed(ids[kept], matrix)
 
 
-def _in_place(make, shipped):
+def _in_place(make, sent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        state = make(*shipped.value)
+        state = make(*sent.value)
         for b in batches:
             _feed(state, _numbers(b.column(0)), b.column(1))
         yield from state.rows()
@@ -244,14 +281,47 @@ def _paired(make):
     return run
 
 
-def _fetch_bounded(df: DataFrame, limit: int) -> pa.Table | None:
-    """The whole frame if it has at most `limit` rows, else None."""
-    t = df.limit(limit + 1).toArrow()
-    return None if t.num_rows > limit else t
+@dataclass(frozen=True)
+class Shipped:
+    """A query set small enough to travel to every task."""
+
+    ids: np.ndarray
+    matrix: np.ndarray
+    extra: tuple[np.ndarray, np.ndarray]
+
+    def __len__(self) -> int:
+        return len(self.ids)
+
+
+def _as_queries(queries: DataFrame, values: str, answer: str | None = None,
+                own: str | None = None) -> DataFrame:
+    return queries.select(
+        F.col("query_id").cast("bigint").alias("id"), F.col(values).alias("values"),
+        (F.col(answer) if answer else F.lit(0)).cast("bigint").alias("answer"),
+        (F.col(own) if own else F.lit(0)).cast("double").alias("own"))
+
+
+def _as_gallery(gallery: DataFrame, values: str) -> DataFrame:
+    return gallery.select(F.col("image_id").cast("bigint").alias("id"),
+                          F.col(values).alias("values"))
+
+
+def ship(queries: DataFrame, values: str, max_rows: int = MAX_SHIPPED_QUERIES,
+         answer: str | None = None, own: str | None = None) -> Shipped | None:
+    """Fetch the queries if there are at most `max_rows`, else None.
+
+    One bounded job; it fetches a row more than allowed, never the whole set.
+    """
+    t = _as_queries(queries, values, answer, own).limit(max_rows + 1).toArrow()
+    if t.num_rows > max_rows:
+        return None
+    matrix, kept = _matrix(t.column("values"), None)
+    return Shipped(_numbers(t.column("id"))[kept], matrix,
+                   (_numbers(t.column("answer"))[kept], _numbers(t.column("own"))[kept]))
 
 
 def _scan(reducer, metric: str, k: int, queries: DataFrame, gallery: DataFrame,
-          max_shipped: int) -> DataFrame:
+          shipped: Shipped | None) -> DataFrame:
     """queries(id, values, answer, own) against gallery(id, values)."""
     spark = queries.sparkSession
     schema = reducer.schema(metric)
@@ -259,12 +329,9 @@ def _scan(reducer, metric: str, k: int, queries: DataFrame, gallery: DataFrame,
     def make(ids, matrix, extra):
         return reducer(metric, k, ids, matrix, extra)
 
-    t = _fetch_bounded(queries, max_shipped)
-    if t is not None:
-        matrix, kept = _matrix(t.column("values"), None)
-        extra = (_numbers(t.column("answer"))[kept], _numbers(t.column("own"))[kept])
-        shipped = spark.sparkContext.broadcast((_numbers(t.column("id"))[kept], matrix, extra))
-        return gallery.mapInArrow(_in_place(make, shipped), schema)
+    if shipped is not None:
+        sent = spark.sparkContext.broadcast((shipped.ids, shipped.matrix, shipped.extra))
+        return gallery.mapInArrow(_in_place(make, sent), schema)
 
     blocks = max(1, math.ceil(queries.count() / QUERY_BLOCK))
     cells = max(1, math.ceil(4 * shuffle_partitions(spark) / blocks))
@@ -287,19 +354,6 @@ def _scan(reducer, metric: str, k: int, queries: DataFrame, gallery: DataFrame,
     )
 
 
-def _as_queries(queries: DataFrame, values: str, answer: str | None = None,
-                own: str | None = None) -> DataFrame:
-    return queries.select(
-        F.col("query_id").cast("bigint").alias("id"), F.col(values).alias("values"),
-        (F.col(answer) if answer else F.lit(0)).cast("bigint").alias("answer"),
-        (F.col(own) if own else F.lit(0)).cast("double").alias("own"))
-
-
-def _as_gallery(gallery: DataFrame, values: str) -> DataFrame:
-    return gallery.select(F.col("image_id").cast("bigint").alias("id"),
-                          F.col(values).alias("values"))
-
-
 # --- operators ------------------------------------------------------------
 
 def topk_per_query(cands: DataFrame, k: int, *order, rank: str = "rank") -> DataFrame:
@@ -309,20 +363,24 @@ def topk_per_query(cands: DataFrame, k: int, *order, rank: str = "rank") -> Data
 
 
 def nearest_codes(queries: DataFrame, codes: DataFrame, k: int, code: str = "code",
-                  max_shipped: int = MAX_SHIPPED_QUERIES) -> DataFrame:
-    """k nearest binary codes of each query by Hamming distance, ties by image id."""
-    partial = _scan(_TopK, "hamming", k, _as_queries(queries, code), _as_gallery(codes, code),
-                    max_shipped)
+                  max_shipped: int = MAX_SHIPPED_QUERIES, shipped: Shipped | None = None) -> DataFrame:
+    """k nearest binary codes of each query by Hamming distance, ties by image id.
+
+    `shipped` saves the fetch when the caller already did it.
+    """
+    shipped = shipped or ship(queries, code, max_shipped)
+    partial = _scan(_TopK, "hamming", k, _as_queries(queries, code), _as_gallery(codes, code), shipped)
     return topk_per_query(partial, k, "distance", "image_id")
 
 
 def nearest_vectors(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "cosine",
-                    vector: str = "vector", max_shipped: int = MAX_SHIPPED_QUERIES) -> DataFrame:
+                    vector: str = "vector", max_shipped: int = MAX_SHIPPED_QUERIES,
+                    shipped: Shipped | None = None) -> DataFrame:
     """k nearest vectors of each query by full-precision score, ties by image id."""
     if metric not in METRICS[1:]:
         raise ValueError(f"unknown metric {metric!r}")
-    partial = _scan(_TopK, metric, k, _as_queries(queries, vector), _as_gallery(vectors, vector),
-                    max_shipped)
+    shipped = shipped or ship(queries, vector, max_shipped)
+    partial = _scan(_TopK, metric, k, _as_queries(queries, vector), _as_gallery(vectors, vector), shipped)
     best = F.asc("score") if metric == "euclid" else F.desc("score")
     return topk_per_query(partial, k, best, "image_id")
 
@@ -334,7 +392,8 @@ def answer_rank(queries: DataFrame, gallery: DataFrame, metric: str, values: str
     `own` names the column with the query's score against its answer. Tasks emit
     two counts per query, never the scores themselves.
     """
+    shipped = ship(queries, values, max_shipped, "answer_id", own)
     counts = _scan(_Ahead, metric, 0, _as_queries(queries, values, "answer_id", own),
-                   _as_gallery(gallery, values), max_shipped)
+                   _as_gallery(gallery, values), shipped)
     return counts.groupBy("query_id").agg(
         (F.sum("better") + F.sum("tied")).cast("bigint").alias("rank"))

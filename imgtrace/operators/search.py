@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from imgtrace.functions import hashes as H
 from imgtrace.functions import posts as P
+from imgtrace.functions import vectors as V
 from imgtrace.operators import knn
 
 # --- fixed values ---------------------------------------------------------
@@ -41,11 +42,9 @@ def effective_candidates(limit: int, candidates: int) -> int:
     return limit * 4 if candidates < limit else candidates
 
 
-def small_enough(queries: DataFrame, rows_per_query: int,
-                 max_rows: int = MAX_SHIPPED_CANDIDATES) -> bool:
-    """True when queries x rows_per_query provably stays within `max_rows`."""
-    cap = max_rows // max(1, rows_per_query)
-    return queries.select("query_id").limit(cap + 1).count() <= cap
+def small_enough(shipped: knn.Shipped | None, rows_per_query: int) -> bool:
+    """True when the candidate rows provably stay within the broadcast limit."""
+    return shipped is not None and len(shipped) * rows_per_query <= MAX_SHIPPED_CANDIDATES
 
 
 def _ship(df: DataFrame, proven: bool) -> DataFrame:
@@ -53,9 +52,11 @@ def _ship(df: DataFrame, proven: bool) -> DataFrame:
 
 
 def coarse_scan(queries: DataFrame, codes: DataFrame, limit: int,
-                max_shipped: int = knn.MAX_SHIPPED_QUERIES) -> DataFrame:
+                max_shipped: int = knn.MAX_SHIPPED_QUERIES,
+                shipped: knn.Shipped | None = None) -> DataFrame:
     """queries(query_id, code) x codes(image_id, code) -> the nearest codes per query."""
-    return knn.nearest_codes(queries, codes, coarse_want(limit), max_shipped=max_shipped)
+    return knn.nearest_codes(queries, codes, coarse_want(limit), max_shipped=max_shipped,
+                             shipped=shipped)
 
 
 def fetch_originals(cands: DataFrame, vectors: DataFrame, model_id: str,
@@ -121,13 +122,13 @@ def search(queries: DataFrame, codes: DataFrame, vectors: DataFrame, images: Dat
            model_id: str, limit: int = DEFAULT_LIMIT, candidates: int = DEFAULT_CANDIDATES,
            max_shipped: int = knn.MAX_SHIPPED_QUERIES) -> DataFrame:
     """queries(query_id, vector, phash[, code]) -> at most `limit` ranked hits per query."""
-    from imgtrace.functions import vectors as V
-
     candidates = effective_candidates(limit, candidates)
-    proven = small_enough(queries, coarse_want(candidates))
     if "code" not in queries.columns:
         queries = queries.withColumn("code", V.encode_sign(F.col("vector")))
-    cands = coarse_scan(queries, codes, candidates, max_shipped).select("query_id", "image_id")
+    shipped = knn.ship(queries, "code", max_shipped)
+    proven = small_enough(shipped, coarse_want(candidates))
+    cands = coarse_scan(queries, codes, candidates, max_shipped, shipped).select(
+        "query_id", "image_id")
     originals = fetch_originals(cands, vectors, model_id, proven)
     scored = rescore(originals, queries, candidates, proven)
     hits = hydrate(scored, images, proven)
@@ -158,8 +159,9 @@ def hash_search(queries: DataFrame, gallery: DataFrame, k: int = 1,
 def two_step_scores(queries: DataFrame, gallery: DataFrame, topk: int,
                     max_shipped: int = knn.MAX_SHIPPED_QUERIES) -> DataFrame:
     """Vector top-k, then the smallest hash distance inside it; score is its negative."""
-    near = knn.nearest_vectors(queries, gallery, topk, max_shipped=max_shipped)
-    proven = small_enough(queries, topk)
+    shipped = knn.ship(queries, "vector", max_shipped)
+    near = knn.nearest_vectors(queries, gallery, topk, max_shipped=max_shipped, shipped=shipped)
+    proven = small_enough(shipped, topk)
     g = gallery.select("image_id", F.col("phash").alias("image_phash"))
     pairs = g.join(_ship(near.select("query_id", "image_id"), proven), "image_id").join(
         _ship(queries.select("query_id", F.col("phash").alias("query_phash")), proven), "query_id")
