@@ -16,11 +16,27 @@ def _seconds(a: Column, b: Column) -> Column:
     return (F.unix_micros(b) - F.unix_micros(a)) / F.lit(1e6)
 
 
+SAMPLE = ("observed_at", *COUNTERS, "cpu_pct", "mem_mb")
+
+
+def edges() -> list[Column]:
+    """Aggregates for the earliest and the latest sample.
+
+    One fixed-width aggregate per field keeps this a hash aggregate; picking
+    whole structs would sort every sample first.
+    """
+    return [fn(c, "observed_at").alias(f"{end}_{c}")
+            for end, fn in (("first", F.min_by), ("last", F.max_by)) for c in SAMPLE]
+
+
+def edge(end: str) -> Column:
+    return F.struct(*[F.col(f"{end}_{c}").alias(c) for c in SAMPLE])
+
+
 def first_last_per_node(metrics: DataFrame) -> DataFrame:
     """Earliest and latest sample of each node: one pass, no self-join, map-side combined."""
-    sample = F.struct("observed_at", *COUNTERS, "cpu_pct", "mem_mb")
-    return metrics.groupBy("node_id").agg(
-        F.min_by(sample, "observed_at").alias("first"), F.max_by(sample, "observed_at").alias("last"))
+    return metrics.groupBy("node_id").agg(*edges()).select(
+        "node_id", edge("first").alias("first"), edge("last").alias("last"))
 
 
 def fleet_summary(metrics: DataFrame, now, window_seconds: int) -> DataFrame:

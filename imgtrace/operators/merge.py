@@ -1,7 +1,9 @@
 """Upserts as pure transforms: old rows + new rows -> merged rows.
 
-Each is one full-outer join on the key. New rows are first reduced to one per
-key with a map-side combined aggregate, so repeated keys cannot pile up.
+New rows are first reduced to one per key with a map-side combined aggregate, so
+repeated keys cannot pile up. For the two big tables (images, vectors) untouched
+old rows then pass straight through: when the batch of new keys is counted to be
+small it is broadcast, and the stored table is never shuffled.
 """
 
 from __future__ import annotations
@@ -13,6 +15,7 @@ from pyspark.sql import functions as F
 
 from imgtrace.operators.ranking import row_numbers
 from imgtrace.operators.setdiff import as_ts
+from imgtrace.session import broadcast_if_small
 
 IMAGE_KEY = ["source_site", "source_post_id"]
 KEEP_IF_NEW_EMPTY = ("phash", "dhash", "thumb_path")
@@ -26,13 +29,14 @@ def latest_per_key(df: DataFrame, keys: list[str], arrival: str) -> DataFrame:
 
 
 def merge(old: DataFrame, new: DataFrame, keys: list[str],
-          rules: dict[str, Callable[[Column, Column, Column, Column], Column]]) -> DataFrame:
-    """Full-outer merge. A rule gets (old value, new value, old exists, new exists)."""
+          rules: dict[str, Callable[[Column, Column, Column, Column], Column]],
+          how: str = "full_outer") -> DataFrame:
+    """Join and reduce by key. A rule gets (old value, new value, old exists, new exists)."""
     def side(df, name):
         return df.select(*keys, F.struct(F.lit(1).alias("_x"), *[
             c for c in df.columns if c not in keys]).alias(name))
 
-    j = side(old, "_o").join(side(new, "_n"), keys, "full_outer")
+    j = side(old, "_o").join(side(new, "_n"), keys, how)
     has_old, has_new = F.col("_o._x").isNotNull(), F.col("_n._x").isNotNull()
     null = F.lit(None)
     cols = []
@@ -43,6 +47,12 @@ def merge(old: DataFrame, new: DataFrame, keys: list[str],
     return j.select(*keys, *cols)
 
 
+def split_touched(old: DataFrame, new: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Old rows whose key is in `new`, and all others."""
+    touched_keys = broadcast_if_small(new.select(*keys))
+    return old.join(touched_keys, keys, "left_semi"), old.join(touched_keys, keys, "left_anti")
+
+
 def take_new(o, n, has_o, has_n):
     return F.when(has_n, n).otherwise(o)
 
@@ -61,8 +71,8 @@ def upsert_images(old: DataFrame, new: DataFrame, now, arrival: str = "arrival",
 
     New values win, except that an empty new hash or thumbnail keeps the old
     one; id and creation time survive. New posts get ids after the largest old
-    id, in (post, site) order. `last_id` names that largest id when `old` holds
-    only the rows being changed.
+    id, in (post, site) order. With `last_id` naming that largest id, `old` is
+    taken to hold only rows that `new` changes, and only changed rows come back.
     """
     at = as_ts(now)
     fresh = latest_per_key(new, IMAGE_KEY, arrival)
@@ -83,30 +93,38 @@ def upsert_images(old: DataFrame, new: DataFrame, now, arrival: str = "arrival",
             rules[c] = take_new
     rules["created_at"] = lambda o, n, ho, hn: F.when(ho, o).otherwise(at)
     rules["updated_at"] = lambda o, n, ho, hn: F.when(hn, at).otherwise(o)
-    merged = merge(old, fresh, IMAGE_KEY, rules)
+    touched, untouched = (old, None) if last_id is not None else split_touched(old, fresh, IMAGE_KEY)
+    # Only what the rules read is taken from the touched rows.
+    slim = touched.select(*IMAGE_KEY, *[c for c in ("image_id", "created_at", *KEEP_IF_NEW_EMPTY)
+                                        if c in touched.columns])
+    merged = merge(slim, fresh, IMAGE_KEY, rules, "right_outer")
     top = last_id if last_id is not None else old.select(F.max("image_id")).scalar()
     top = F.coalesce(top, F.lit(0))
     added = row_numbers(
         merged.where(F.col("image_id").isNull()).withColumn("_all", F.lit(0)),
         ["_all"], "source_post_id", ["source_site"], "_rn")
     added = added.withColumn("image_id", (F.col("_rn") + top).cast("bigint")).drop("_rn", "_all")
-    return merged.where(F.col("image_id").isNotNull()).unionByName(added)
+    out = merged.where(F.col("image_id").isNotNull()).unionByName(added)
+    return out if untouched is None else untouched.select(*merged.columns).unionByName(out)
 
 
 def upsert_vectors(old: DataFrame, new: DataFrame, now, arrival: str = "arrival") -> DataFrame:
     """A written vector is pending again; its first creation time stays."""
-    fresh = latest_per_key(new, ["image_id", "model_id"], arrival)
+    key = ["image_id", "model_id"]
+    fresh = latest_per_key(new, key, arrival)
     none = F.lit(None).cast("timestamp")
-    return merge(old, fresh, ["image_id", "model_id"], {
+    touched, untouched = split_touched(old, fresh, key)
+    merged = merge(touched.select(*key, "created_at"), fresh, key, {
         "vector": take_new,
         "created_at": lambda o, n, ho, hn: F.when(ho, o).otherwise(as_ts(now)),
-        "indexed_at": lambda o, n, ho, hn: F.when(hn, none).otherwise(o),
-    })
+        "indexed_at": lambda o, n, ho, hn: none,
+    }, "right_outer")
+    return untouched.select(*merged.columns).unionByName(merged)
 
 
 def mark_indexed(vectors: DataFrame, ids: DataFrame, model_ids: list[str], now) -> DataFrame:
     """Set indexed_at for the given images under the given models."""
-    hit = ids.select("image_id").distinct().withColumn("_hit", F.lit(True))
+    hit = broadcast_if_small(ids.select("image_id").distinct().withColumn("_hit", F.lit(True)))
     of_model = F.col("model_id").isin(*model_ids) if model_ids else F.lit(False)
     return (
         vectors.join(hit, "image_id", "left")

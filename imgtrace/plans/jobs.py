@@ -30,8 +30,8 @@ def to_codes(vectors: DataFrame) -> DataFrame:
 
 def replace_codes(codes: DataFrame, fresh: DataFrame) -> DataFrame:
     """Codes are keyed by (model, image), so a re-encoded picture leaves no stale code."""
-    return codes.join(fresh.select("image_id", "model_id"), ["image_id", "model_id"],
-                      "left_anti").unionByName(fresh)
+    keys = ["image_id", "model_id"]
+    return M.split_touched(codes, fresh, keys)[1].unionByName(fresh)
 
 
 def rebuild_index(images: DataFrame, vectors: DataFrame, codes: DataFrame, models: DataFrame,
@@ -90,7 +90,9 @@ def ingest_batch(items: DataFrame, item_vectors: DataFrame, images: DataFrame, v
         raise BatchRefused(str(bad[0].asDict()))
     new_images = materialize(M.upsert_images(images, items, now), "images")
     ids = new_images.select("image_id", *M.IMAGE_KEY)
-    fresh = item_vectors.join(ids, M.IMAGE_KEY).select("image_id", "model_id", "vector", "arrival")
+    fresh = materialize(
+        item_vectors.join(ids, M.IMAGE_KEY).select("image_id", "model_id", "vector", "arrival"),
+        "vectors")
     active = [m["model_id"] for m in D.active_models(models)]
     stored = M.upsert_vectors(vectors, fresh, now)
     latest = M.latest_per_key(fresh, ["image_id", "model_id"], "arrival")
@@ -119,7 +121,8 @@ def reembed(images: DataFrame, vectors: DataFrame, codes: DataFrame, model: dict
         F.when(F.col("_file").isNull(), "missing")
         .when(F.coalesce(good, F.lit(False)), "ok").otherwise("failed")
     )
-    outcomes = j.withColumn("outcome", outcome)
+    # Stored once: the encoder must not run again for every table derived from it.
+    outcomes = materialize(j.select("image_id", "vector", outcome.alias("outcome")), "reembed")
     ok = outcomes.where(F.col("outcome") == "ok").select(
         "image_id", F.lit(model["model_id"]).alias("model_id"), "vector", F.lit(0).alias("arrival"))
     stored = M.upsert_vectors(vectors, ok, now)

@@ -20,6 +20,7 @@ from imgtrace.functions import vectors as V
 from imgtrace.operators import merge as M
 from imgtrace.operators import setdiff as D
 from imgtrace.plans import jobs as J
+from imgtrace.session import broadcast_if_small
 from imgtrace.sources import feed as feed_source
 
 _LOG_SCHEMAS = {
@@ -31,7 +32,8 @@ _LOG_SCHEMAS = {
         T.StructField("status", T.StringType())]),
     "states": T.StructType([
         T.StructField("source_site", T.StringType()), T.StructField("scope_key", T.StringType()),
-        T.StructField("high_watermark_id", T.LongType())]),
+        T.StructField("high_watermark_id", T.LongType()),
+        T.StructField("last_image_id", T.LongType())]),
 }
 
 # An encoder step: normalised posts to do -> (post_id, phash, dhash, thumb_path) and
@@ -90,13 +92,17 @@ class FeedSink:
 
     def _ingest(self, posts: DataFrame, batch: int) -> None:
         ids = [m["model_id"] for m in self.active]
-        keys = posts.select(F.col("post_id").alias("source_post_id"),
-                            F.col("source_site"))
-        # Only catalog rows of this batch's posts are looked at.
+        keys = posts.select("source_site", F.col("post_id").alias("source_post_id"))
+        # Catalog rows of this batch's posts only: the id bounds let parquet
+        # statistics skip the row groups of other parts of the feed.
+        low, high = keys.agg(F.min("source_post_id"), F.max("source_post_id")).first()
+        seen = self.table("images", batch).where(F.col("source_post_id").between(low, high)).select(
+            "image_id", *M.IMAGE_KEY, "phash", "dhash", "thumb_path", "created_at", "updated_at", "batch")
         old = M.latest_per_key(
-            self.table("images", batch).join(keys, M.IMAGE_KEY, "left_semi"), M.IMAGE_KEY, "batch")
-        have = self.table("image_vectors", batch).join(
-            old.select("image_id"), "image_id", "left_semi").select("image_id", "model_id").distinct()
+            seen.join(broadcast_if_small(keys), M.IMAGE_KEY, "left_semi"), M.IMAGE_KEY, "batch").persist()
+        low, high = old.agg(F.min("image_id"), F.max("image_id")).first()
+        have = self.table("image_vectors", batch).where(F.col("image_id").between(low, high)).select(
+            "image_id", "model_id").join(old.select("image_id"), "image_id", "left_semi")
         done = D.fully_indexed(old, have, ids)
         todo = D.work_delta(posts, done).persist()
         try:
@@ -108,6 +114,7 @@ class FeedSink:
             self._store(posts, todo, done, old, batch)
         finally:
             todo.unpersist()
+            old.unpersist()
 
     def _store(self, posts, todo, done, old, batch: int) -> None:
         marks, made = self.encode(todo)
@@ -126,7 +133,7 @@ class FeedSink:
             "height", "file_size", "rating", "score", "tags", "artist_tags", "thumb_path",
             F.lit("stream").alias("indexed_by"), F.lit(0).alias("arrival"))
         changed = old.join(items.select(*M.IMAGE_KEY), M.IMAGE_KEY, "left_semi")
-        last_id = self.table("images", batch).select(F.max("image_id")).scalar()
+        last_id = self.table("states", batch).select(F.max("last_image_id")).scalar()
         self._append("images", batch, M.upsert_images(changed, items, self.now, last_id=last_id))
         written = self.spark.read.schema(S.IMAGES).parquet(f"{self.path}/images/batch={batch}")
         fresh = made.join(written.select("image_id", F.col("source_post_id").alias("post_id")),
@@ -137,8 +144,11 @@ class FeedSink:
             "image_id", "model_id", V.encode_sign(F.col("vector")).alias("code")))
         self._append("image_vectors", batch, fresh.select(
             "image_id", "model_id", "vector", at.alias("created_at"), at.alias("indexed_at")))
+        top = F.greatest(written.select(F.max("image_id")).scalar(), last_id)
         self._append("states", batch, posts.groupBy("source_site").agg(
-            F.max("post_id").alias("high_watermark_id")).withColumn("scope_key", F.lit(self.scope)))
+            F.max("post_id").alias("high_watermark_id")).select(
+            "source_site", F.lit(self.scope).alias("scope_key"), "high_watermark_id",
+            top.alias("last_image_id")))
 
     def high_watermark(self) -> DataFrame:
         """Largest post id of any committed batch; refused batches do not count."""

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor
 
 from imgtrace.functions import rules as R
-from imgtrace.operators.fleet import COUNTERS, deltas
+from imgtrace.operators.fleet import deltas, edge, edges
 
 # --- fixed values ---------------------------------------------------------
 BEAT_SECONDS = 30
@@ -35,11 +35,8 @@ def throughput_windows(metrics: DataFrame, window: str = "5 minutes",
     """
     if metrics.isStreaming:
         metrics = metrics.withWatermark("observed_at", lateness)
-    sample = F.struct("observed_at", *COUNTERS, "cpu_pct", "mem_mb")
-    e = metrics.groupBy(F.window("observed_at", window).alias("w"), "node_id").agg(
-        F.min_by(sample, "observed_at").alias("first"), F.max_by(sample, "observed_at").alias("last"))
-    return e.select(F.col("w.start").alias("window_start"), "node_id",
-                    *deltas(F.col("first"), F.col("last")))
+    e = metrics.groupBy(F.window("observed_at", window).alias("w"), "node_id").agg(*edges())
+    return e.select(F.col("w.start").alias("window_start"), "node_id", *deltas(edge("first"), edge("last")))
 
 
 class _Liveness(StatefulProcessor):
