@@ -64,15 +64,12 @@ def reembed_room(models: DataFrame, images: DataFrame, max_indexed: int) -> Data
 
 def size_profile(df: DataFrame, value: str) -> DataFrame:
     """n, mean, upper median, min, max and the total for ten million pictures."""
-    flat = df.where(F.col(value).isNotNull()).withColumn("_all", F.lit(0))
-    plain = flat.groupBy("_all").agg(
+    plain = df.where(F.col(value).isNotNull()).agg(
         F.count("*").alias("n"), F.avg(value).alias("mean"),
         F.min(value).alias("min"), F.max(value).alias("max"))
-    mid = K.ranked_values(flat, ["_all"], value).groupBy("_all").agg(
-        K.at_rank(F.floor(F.col("n") / 2)).alias("median"))
-    return plain.join(mid, "_all").select(
-        "n", "mean", "median", "min", "max",
-        (F.col("mean") * EXTRAPOLATE_TO).alias("bytes_at_10m"))
+    median = K.ranked_values(df, [], value).select(K.at_rank(F.floor(F.col("n") / 2))).scalar()
+    return plain.select("n", "mean", median.alias("median"), "min", "max",
+                        (F.col("mean") * EXTRAPOLATE_TO).alias("bytes_at_10m"))
 
 
 def index_audit(models: DataFrame, vectors: DataFrame, codes: DataFrame) -> DataFrame:

@@ -80,10 +80,14 @@ def ranked_values(df: DataFrame, group: list[str], value: str,
         .groupBy(*group, F.col(value).cast("double").alias("_v"))
         .agg(F.count("*").alias("_c"))
     )
-    bounds = counts.groupBy(*group).agg(
-        F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_c").alias("n"))
+    limits = [F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_c").alias("n")]
+    if group:
+        bounded = counts.join(counts.groupBy(*group).agg(*limits), group)
+    else:
+        one = counts.select(F.struct(*limits)).scalar()
+        bounded = counts.withColumn("_b", one).select("_v", "_c", "_b.*")
     span = F.col("_hi") - F.col("_lo")
-    seg = counts.join(bounds, group).withColumn(
+    seg = bounded.withColumn(
         "_seg",
         F.when(span > 0, F.floor((F.col("_v") - F.col("_lo")) / span * (segments - 1)))
         .otherwise(0).cast("int"),

@@ -134,11 +134,13 @@ def validate_vectors(items: DataFrame, vectors: DataFrame, active: list) -> Data
     aggs = [F.count_if(~F.col("model_id").isin(*ids)).alias("unregistered")]
     for i, m in enumerate(active):
         mine = F.col("model_id") == m["model_id"]
-        aggs.append(F.max(F.when(mine, F.struct("n", "bad"))).alias(f"m{i}"))
+        # Two plain maxima keep this a hash aggregate; (item, model) is unique.
+        aggs += [F.max(F.when(mine, F.col("n"))).alias(f"n{i}"),
+                 F.max(F.when(mine, F.col("bad"))).alias(f"bad{i}")]
     fault, model = F.lit(None).cast("string"), F.lit(None).cast("string")
     for i, m in reversed(list(enumerate(active))):
-        wrong = F.col(f"m{i}").isNull() | (F.col(f"m{i}.n") != m["vector_size"])
-        broken = F.col(f"m{i}.bad").isNotNull()
+        wrong = F.col(f"n{i}").isNull() | (F.col(f"n{i}") != m["vector_size"])
+        broken = F.col(f"bad{i}").isNotNull()
         fault = F.when(wrong, MISMATCH).when(broken, BAD_VECTOR).otherwise(fault)
         model = F.when(wrong | broken, m["model_id"]).otherwise(model)
     return items.join(slim.groupBy("item_id").agg(*aggs), "item_id", "left").select(

@@ -129,6 +129,13 @@ def degraded(spark: SparkSession, sf: str) -> DataFrame:
         "vector", sign_hash(F.col("vector")).alias("phash"))
 
 
+def _scope(c: Column) -> list[Column]:
+    """Site and scope as data of the row, like in a stored table; all rows share one."""
+    zero = (c % 1).cast("string")
+    return [F.concat(F.lit("site"), zero).alias("source_site"),
+            F.regexp_replace(zero, "0", SCOPE).alias("scope_key")]
+
+
 def crawl_ranges(spark: SparkSession, sf: str) -> DataFrame:
     """One work range per order; orders of priority 1 leave a three-id gap above them."""
     o = table(spark, sf, "orders")
@@ -142,7 +149,7 @@ def crawl_ranges(spark: SparkSession, sf: str) -> DataFrame:
     )
     when = F.col("o_orderdate").cast("timestamp")
     return o.select(
-        (key + 1).alias("id"), F.lit(SITE).alias("source_site"), F.lit(SCOPE).alias("scope_key"),
+        (key + 1).alias("id"), *_scope(key),
         F.lit("backfill").alias("direction"),
         (key * 10 + 1).alias("lower_id"),
         (key * 10 + F.when(pr.startswith("1"), 7).otherwise(10)).alias("upper_id"),
@@ -167,8 +174,8 @@ def crawl_post_retries(spark: SparkSession, sf: str) -> DataFrame:
         .when(F.col("o_custkey") % 2 == 0, "dead").otherwise("succeeded")
     )
     return o.select(
-        (F.col("o_orderkey") + 1).alias("id"), F.lit(SITE).alias("source_site"),
-        F.lit(SCOPE).alias("scope_key"), F.col("o_orderkey").alias("source_post_id"),
+        (F.col("o_orderkey") + 1).alias("id"), *_scope(F.col("o_orderkey")),
+        F.col("o_orderkey").alias("source_post_id"),
         status.alias("status"), (F.col("o_custkey") % 7).cast("int").alias("attempts"),
         F.when(status == "running",
                F.concat(F.lit("node"), (F.col("o_custkey") % 12).cast("string"))).alias("node_id"),
@@ -182,8 +189,7 @@ def crawl_states(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "orders").agg(
         (F.max("o_orderkey") * 10 + 10).alias("high_watermark_id"),
         F.floor((F.max("o_orderkey") * 10 + 10) / 4).cast("bigint").alias("backfill_before_id"),
-    ).select(F.lit(SITE).alias("source_site"), F.lit(SCOPE).alias("scope_key"),
-             "high_watermark_id", "backfill_before_id")
+    ).select(*_scope(F.col("high_watermark_id")), "high_watermark_id", "backfill_before_id")
 
 
 def node_metrics(spark: SparkSession, sf: str) -> DataFrame:
