@@ -15,6 +15,7 @@ from imgtrace.operators import evaluate as E
 from imgtrace.operators import pixels as X
 from imgtrace.operators import setdiff
 from imgtrace.plans import evaluation, jobs
+from imgtrace.registry import pixel_sql as Q
 from imgtrace.registry.base import query, r6
 from imgtrace.registry.derived_sql import dot, hamming_hex, with_
 from imgtrace.registry.reports import REPORT_SQL, _SCORED, round5, scores
@@ -80,36 +81,55 @@ def read_images(spark, sf):
         F.coalesce(F.md5("pixels") == F.col("want"), F.lit(False)).alias("same"))
 
 
-@query("i1_prepare_pixels")
+def grey_pictures(spark, sf) -> DataFrame:
+    v = all_vectors(spark, sf).repartition(spark.sparkContext.defaultParallelism, "image_id")
+    return X.pictures_from_vectors(v, Q.WIDTH, Q.HEIGHT, color=False)
+
+
+def _prepared(spark, sf) -> DataFrame:
+    return X.prepare_pixels(grey_pictures(spark, sf))
+
+
+@query("i1_prepare_pixels", with_(**Q.HASHED, p=Q.hex_md5("pic"), h=Q.hex_md5("hashed", Q.GREY_BYTE)) + f"""
+SELECT image_id, {Q.WIDTH} AS width, {Q.HEIGHT} AS height, {Q.WIDTH} AS prep_width, {Q.HASH_WIDTH} AS hash_width,
+  {Q.HASH_HEIGHT} AS hash_height, p.md5 AS prep_md5, h.md5 AS hash_md5 FROM p JOIN h USING (image_id)""")
 def prepare_pixels(spark, sf):
-    return X.prepare_pixels(pictures(spark, sf)).select(
-        "image_id", "width", "height", "prep_width", "prep_height", "hash_width", "hash_height",
-        F.md5("prep_pixels").alias("prep_md5"), F.md5("hash_pixels").alias("hash_md5"))
+    return _prepared(spark, sf).select(
+        "image_id", "width", "height", "prep_width", "hash_width", "hash_height",
+        F.md5(F.hex("prep_pixels")).alias("prep_md5"), F.md5(F.hex("hash_pixels")).alias("hash_md5"))
 
 
-@query("i2_phash")
+@query("i2_phash", with_(**Q.PHASH) + Q.PHASH_SQL)
 def phash(spark, sf):
-    return X.phash(X.prepare_pixels(pictures(spark, sf)))
+    return X.phash(_prepared(spark, sf))
 
 
-@query("i3_dhash")
+@query("i3_dhash", with_(**Q.DHASH) + Q.DHASH_SQL)
 def dhash(spark, sf):
-    return X.dhash(X.prepare_pixels(pictures(spark, sf)))
+    return X.dhash(_prepared(spark, sf))
 
 
 ENCODERS = [X.BlockEncoder("copy64", 64), X.BlockEncoder("sem32", 32)]
 
 
-@query("i4_embed")
+@query("i4_embed", with_(**Q.EMBED) + Q.EMBED_SQL)
 def embed(spark, sf):
-    v = X.embed(X.prepare_pixels(pictures(spark, sf)), ENCODERS)
-    return v.select("image_id", "model_id", F.size("vector").alias("n"),
-                    F.round(V.squared_norm(F.col("vector")), 4).alias("norm2"))
+    v = X.embed(_prepared(spark, sf), ENCODERS)
+    weighted = F.aggregate(
+        F.transform("vector", lambda x, i: x.cast("double") * (i + 1)), F.lit(0.0), lambda a, x: a + x)
+    return v.select("image_id", "model_id", F.size("vector").alias("n"), F.round(weighted, 3).alias("weighted"))
 
 
-@query("i5_degrade")
+@query("i5_degrade", with_(**Q.DEGRADE) + Q.DEGRADE_SQL)
 def degrade(spark, sf):
-    return X.degrade(pictures(spark, sf)).select(
+    kinds = tuple(k for k in X.DEGRADATIONS if k != "jpeg40")
+    return X.degrade(grey_pictures(spark, sf), kinds).select(
+        "image_id", "degradation", "width", "height", F.md5(F.hex("pixels")).alias("pixels_md5"))
+
+
+@query("i5_degrade_jpeg")
+def degrade_jpeg(spark, sf):
+    return X.degrade(pictures(spark, sf), ("jpeg40",)).select(
         "image_id", "degradation", "width", "height", F.md5("pixels").alias("pixels_md5"))
 
 
@@ -275,7 +295,7 @@ JOIN (SELECT s.method, avg(CASE WHEN score <= top THEN 1.0::DOUBLE ELSE 0 END) A
                           FROM scores WHERE kind = 'fake' GROUP BY 1) f ON f.method = s.method
       WHERE s.kind = 'real' GROUP BY s.method) o ON o.method = r.method""")
 def evaluate_threshold(spark, sf):
-    t = evaluation.evaluate_threshold(materialize(scores(spark, sf), "scores"))
+    t = evaluation.evaluate_threshold(scores(spark, sf))
     first = F.element_at("separation", 1)
     t = t.withColumn("cut99", first["cut"]).withColumn("recall99", r6(first["recall"])).withColumn(
         "overlap", r6("overlap")).drop("separation", "recall", "leak")
