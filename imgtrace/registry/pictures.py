@@ -271,19 +271,24 @@ def evaluate_models(spark, sf):
 def evaluate_pictures(spark, sf):
     """The same from pixels: damage, prepare, hash, embed, rank."""
     pics = pictures(spark, sf)
-    damaged = X.degrade(pics)
     kinds = F.array(*[F.lit(k) for k in X.DEGRADATIONS])
-    damaged = damaged.withColumn("answer_id", F.col("image_id")).withColumn(
+    damaged = X.degrade(pics).withColumn(
         "image_id", F.col("image_id") * 8 + F.array_position(kinds, F.col("degradation")) - 1)
-    keys = damaged.select(F.col("image_id").alias("query_id"), "answer_id", "degradation")
     q = materialize(X.prepare_pixels(damaged), "queries")
     g = materialize(X.prepare_pixels(pics), "gallery")
-    as_query = lambda df: df.withColumnRenamed("image_id", "query_id").join(keys, "query_id")
+
+    def as_query(df):
+        number = F.col("query_id")
+        return df.withColumnRenamed("image_id", "query_id").withColumns({
+            "answer_id": F.floor(number / 8),
+            "degradation": F.element_at(kinds, (number % 8 + 1).cast("int"))})
+
     qv, gv = X.embed(q, ENCODERS), X.embed(g, ENCODERS)
     qv, gv = materialize(qv, "query-vectors"), materialize(gv, "gallery-vectors")
     of = lambda df, m: df.where(F.col("model_id") == m)
     methods = {e.model_id: (as_query(of(qv, e.model_id)), of(gv, e.model_id)) for e in ENCODERS}
-    return evaluation.evaluate_models(methods, (as_query(X.phash(q)), X.phash(g)))
+    qh, gh = materialize(X.phash(q), "query-hashes"), materialize(X.phash(g), "gallery-hashes")
+    return evaluation.evaluate_models(methods, (as_query(qh), gh))
 
 
 @query("j6_evaluate_threshold", _SCORED + f"""
