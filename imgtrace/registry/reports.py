@@ -310,15 +310,14 @@ def index_size(spark, sf):
 @query("d17_capacity", with_("models") + """
 SELECT node, CASE WHEN budget > 167772160 THEN CAST(floor((budget - 167772160) * 0.8::DOUBLE / per) AS BIGINT) ELSE 0 END
   AS capacity
-FROM (SELECT n_nationkey AS node, sum(c_custkey)::BIGINT * 300000 // n_nationkey // 100 AS budget,
+FROM (SELECT n_nationkey AS node, sum(c_custkey)::BIGINT * 300000 // (n_nationkey + 1) // 100 AS budget,
         (SELECT sum(vector_size // 8 + 238) FROM models)::BIGINT AS per
-      FROM nation JOIN customer ON c_nationkey = n_nationkey WHERE n_nationkey > 0 GROUP BY n_nationkey)""")
+      FROM nation JOIN customer ON c_nationkey = n_nationkey GROUP BY n_nationkey)""")
 def capacity(spark, sf):
     """Memory budgets differ per nation's customers, so both sides of the base share occur."""
-    c = D.table(spark, sf, "customer").where(F.col("c_nationkey") > 0).groupBy("c_nationkey").agg(
-        F.sum("c_custkey").alias("s"))
+    c = D.table(spark, sf, "customer").groupBy("c_nationkey").agg(F.sum("c_custkey").alias("s"))
     per = D.models(spark).select(C.ram_per_image("graph")).scalar()
-    budget = F.floor(F.floor(F.col("s") * 300000 / F.col("c_nationkey")) / 100)
+    budget = F.floor(F.floor(F.col("s") * 300000 / (F.col("c_nationkey") + 1)) / 100)
     return c.select(F.col("c_nationkey").alias("node"), C.image_capacity(budget, per).alias("capacity"))
 
 
