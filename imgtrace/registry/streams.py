@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from contextlib import contextmanager
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from imgtrace.operators import fleet as L
@@ -16,6 +18,18 @@ from imgtrace.streaming import feed as SF
 from imgtrace.streaming import fleet as SL
 
 
+@contextmanager
+def _state_sized(spark):
+    """Micro-batches are small and state partitions stay fixed: let both follow the cores."""
+    key = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(int(before), 2 * spark.sparkContext.defaultParallelism)))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 # --- feed -----------------------------------------------------------------
 
 def encode_posts(posts: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -50,7 +64,8 @@ def _sink(spark, path, **options) -> SF.FeedSink:
 
 def _run(spark, feed_path, path, **options) -> SF.FeedSink:
     sink = _sink(spark, path, **options)
-    sink.run(SF.read_feed_stream(spark, feed_path), scratch_path(spark, "checkpoint"))
+    with _state_sized(spark):
+        sink.run(SF.read_feed_stream(spark, feed_path), scratch_path(spark, "checkpoint"))
     return sink
 
 
@@ -112,13 +127,20 @@ def _node():
     return F.concat(F.lit("node"), (F.col("user_id") % 10).cast("string")).alias("node_id")
 
 
+def _finish(writer) -> None:
+    """Start, process everything available, stop."""
+    writer = writer.trigger(availableNow=True)
+    with _state_sized(SparkSession.getActiveSession()):
+        query = writer.start()
+    query.awaitTermination()
+
+
 def _drain(df: DataFrame, name: str) -> DataFrame:
     """Append-mode stream -> table, once everything available is processed."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    (df.writeStream.format("parquet").outputMode("append").option("path", path)
-     .option("checkpointLocation", scratch_path(spark, "checkpoint")).trigger(availableNow=True)
-     .start().awaitTermination())
+    _finish(df.writeStream.format("parquet").outputMode("append").option("path", path)
+            .option("checkpointLocation", scratch_path(spark, "checkpoint")))
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -193,10 +215,9 @@ def decay(spark, sf):
         .cast("bigint").alias("saved"), (F.col("user_id") * 37.5).alias("took_ms"))
     out = SL.throughput_decay(reports, 1000)
     path = scratch_path(spark, "decay")
-    (out.writeStream.outputMode("update")
-     .foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(f"{path}/batch={n}"))
-     .option("checkpointLocation", scratch_path(spark, "checkpoint")).trigger(availableNow=True)
-     .start().awaitTermination())
+    _finish(out.writeStream.outputMode("update")
+            .foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(f"{path}/batch={n}"))
+            .option("checkpointLocation", scratch_path(spark, "checkpoint")))
     last = spark.read.parquet(path).groupBy("node_id").agg(
         F.max_by(F.struct("saved", "millis", "range_size"), "seq").alias("l"))
     return last.select("node_id", "l.*")
