@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -54,12 +56,12 @@ def rebuild_index(images: DataFrame, vectors: DataFrame, codes: DataFrame, model
     }
 
 
-def quota_allows(images: DataFrame, incoming: int, max_indexed: int) -> bool:
+def quota_allows(count_stored: Callable[[], int], incoming: int, max_indexed: int) -> bool:
     """False when the whole batch would not fit. No limit, or a failing count, accepts."""
     if max_indexed <= 0:
         return True
     try:
-        stored = images.count()
+        stored = count_stored()
     except Exception:
         return True
     return stored + incoming <= max_indexed
@@ -81,7 +83,7 @@ def ingest_batch(items: DataFrame, item_vectors: DataFrame, images: DataFrame, v
     if max_indexed > 0:
         # Exact only up to the first row that would not fit; nothing is collected.
         incoming = items.select(*M.IMAGE_KEY).limit(max_indexed + 1).count()
-        if not quota_allows(images, incoming, max_indexed):
+        if not quota_allows(images.count, incoming, max_indexed):
             raise IndexFull(f"{incoming} more pictures exceed {max_indexed}")
     item_id = F.concat_ws("#", *M.IMAGE_KEY)
     keyed = item_vectors.withColumn("item_id", item_id)

@@ -72,6 +72,10 @@ class FeedSink:
             df = self.spark.createDataFrame([], schema)
         return df if before is None else df.where(F.col("batch") < before)
 
+    def _last_image_id(self, before: int) -> int:
+        """Largest id given out so far. Ids are handed out without gaps, so it is also the count."""
+        return self.table("states", before).agg(F.max("last_image_id")).first()[0] or 0
+
     def current(self, name: str, keys: list[str]) -> DataFrame:
         """Latest row per key."""
         return M.latest_per_key(self.table(name), keys, "batch")
@@ -107,8 +111,7 @@ class FeedSink:
         todo = D.work_delta(posts, done).persist()
         try:
             if self.max_indexed > 0 and not J.quota_allows(
-                    self.table("images", batch).select(*M.IMAGE_KEY).distinct(), todo.count(),
-                    self.max_indexed):
+                    lambda: self._last_image_id(batch), todo.count(), self.max_indexed):
                 self.refused.append(batch)
                 return
             self._store(posts, todo, done, old, batch)
@@ -133,7 +136,7 @@ class FeedSink:
             "height", "file_size", "rating", "score", "tags", "artist_tags", "thumb_path",
             F.lit("stream").alias("indexed_by"), F.lit(0).alias("arrival"))
         changed = old.join(items.select(*M.IMAGE_KEY), M.IMAGE_KEY, "left_semi")
-        last_id = self.table("states", batch).select(F.max("last_image_id")).scalar()
+        last_id = F.lit(self._last_image_id(batch)).cast("bigint")
         self._append("images", batch, M.upsert_images(changed, items, self.now, last_id=last_id))
         written = self.spark.read.schema(S.IMAGES).parquet(f"{self.path}/images/batch={batch}")
         fresh = made.join(written.select("image_id", F.col("source_post_id").alias("post_id")),

@@ -72,7 +72,9 @@ def test_quota_refuses_the_whole_batch(spark, models):
     with pytest.raises(J.IndexFull):
         J.ingest_batch(items, v, *empty(spark), models, NOW, max_indexed=4)
     assert J.ingest_batch(items, v, *empty(spark), models, NOW, max_indexed=5)["images"].count() == 5
-    assert J.quota_allows(items, 10**9, 0)
+    assert J.quota_allows(lambda: 10**9, 1, 0)
+    assert J.quota_allows(lambda: 1 // 0, 1, 1)
+    assert not J.quota_allows(lambda: 1, 1, 1)
 
 
 def test_reembed_outcomes_and_resume(spark):
