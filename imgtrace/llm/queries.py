@@ -28,4 +28,4 @@ def load() -> None:
         importlib.import_module(f"imgtrace.llm.{name}")
 
 
-MODULES = ["line_dedup", "mixing", "packing"]
+MODULES = ["line_dedup", "minhash", "mixing", "packing", "language"]
