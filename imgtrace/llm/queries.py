@@ -28,4 +28,4 @@ def load() -> None:
         importlib.import_module(f"imgtrace.llm.{name}")
 
 
-MODULES = ["line_dedup", "minhash", "mixing", "packing", "language", "quality", "brown", "suffix_dedup"]
+MODULES = ["line_dedup", "minhash", "mixing", "packing", "language", "quality", "brown", "suffix_dedup", "pages"]
