@@ -28,4 +28,5 @@ def load() -> None:
         importlib.import_module(f"imgtrace.llm.{name}")
 
 
-MODULES = ["line_dedup", "minhash", "mixing", "packing", "language", "quality", "brown", "suffix_dedup", "pages"]
+MODULES = ["line_dedup", "minhash", "mixing", "packing", "language", "quality", "brown", "suffix_dedup", "pages",
+           "multi_index"]
