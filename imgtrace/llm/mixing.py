@@ -18,7 +18,7 @@ from .queries import query
 from .tables import materialize, number_within, table
 
 WEIGHTS, SHARE, MOST, SEED = (5, 2, 1), (3, 2), 2, "mix"
-UNIT_BITS = 20
+UNIT_BITS, OFFSETS = 20, 64
 #: Rows of one size class of one source that a window holds, about.
 SEGMENT_ROWS = 2048
 
@@ -66,8 +66,8 @@ def hex_number(text: Column, digits: int) -> Column:
     return F.conv(F.substring(F.md5(text), 1, digits), 16, 10).cast("long")
 
 
-def copies(sized: DataFrame, targets: DataFrame, seed: str = SEED, segment_rows: int = SEGMENT_ROWS) -> DataFrame:
-    """`sized` (doc_id, source, size, ...; it is read twice) with its source's target and the `copies` to emit."""
+def placed(sized: DataFrame, targets: DataFrame, segment_rows: int = SEGMENT_ROWS) -> DataFrame:
+    """`sized` (doc_id, source, size, ...; it is read twice) with its source's columns and `__before`, the sum before it."""
     per = targets.withColumnRenamed("source", "__source")
     joined = sized.join(per, F.col("source").eqNullSafe(F.col("__source")))
     segments = F.ceil(F.col("n_docs") / segment_rows)
@@ -75,11 +75,35 @@ def copies(sized: DataFrame, targets: DataFrame, seed: str = SEED, segment_rows:
     part = hex_number(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), 8) % segments
     key = size_class * (1 << 40) + part
     ties = [F.col("__tie")] if "__tie" in sized.columns else []
-    before = number_within(joined, ["source"], [F.col("size"), F.col("doc_id"), *ties], key, "__before", F.col("expected"))
-    offset = hex_number(F.concat(F.lit(seed + ":"), F.coalesce(F.col("source"), F.lit("\0"))), UNIT_BITS // 4)
+    return number_within(joined, ["source"], [F.col("size"), F.col("doc_id"), *ties], key, "__before", F.col("expected")).drop("__source")
+
+
+def hex_number(text: Column, digits: int) -> Column:
+    return F.conv(F.substring(F.md5(text), 1, digits), 16, 10).cast("long")
+
+
+def crossed(offset: Column) -> Column:
     at = lambda c: F.shiftright(c + offset, UNIT_BITS)
-    out = at(F.col("__before") + F.col("expected")) - at(F.col("__before"))
-    return before.withColumn("copies", out).drop("__before", "__source", "n_docs", "expected", "__tie")
+    return at(F.col("__before") + F.col("expected")) - at(F.col("__before"))
+
+
+def offsets(rows: DataFrame, seed: str = SEED) -> DataFrame:
+    """(source, offset): of OFFSETS offsets from a random one on, evenly apart, the one whose words are nearest the target."""
+    start = hex_number(F.concat(F.lit(seed + ":"), F.coalesce(F.col("source"), F.lit("\0"))), UNIT_BITS // 4)
+    tried = rows.select("source", "size", "target", "expected", "__before", start.alias("start"),
+                        F.explode(F.sequence(F.lit(0), F.lit(OFFSETS - 1))).alias("i"))
+    tried = tried.withColumn("offset", (F.col("start") + F.col("i") * ((1 << UNIT_BITS) // OFFSETS)) % (1 << UNIT_BITS))
+    words = tried.groupBy("source", "target", "i", "offset").agg(F.sum(crossed(F.col("offset")) * F.col("size")).alias("words"))
+    return words.groupBy("source").agg(F.min_by("offset", F.struct(F.abs(F.col("words") - F.col("target")), "i")).alias("offset"))
+
+
+def copies(sized: DataFrame, targets: DataFrame, seed: str = SEED, segment_rows: int = SEGMENT_ROWS) -> DataFrame:
+    """`sized` with its source's target and the `copies` to emit; its column `__row`, if there is one, is carried."""
+    rows = placed(sized, targets, segment_rows)
+    chosen = materialize(offsets(placed(sized.drop("__row"), targets, segment_rows), seed), "mix-offsets")
+    chosen = chosen.select(F.col("source").alias("__source"), "offset")
+    joined = rows.join(chosen, F.col("source").eqNullSafe(F.col("__source")))
+    return joined.withColumn("copies", crossed(F.col("offset"))).drop("__before", "__source", "n_docs", "expected", "offset", "__tie")
 
 
 def mix(docs: DataFrame) -> DataFrame:
@@ -118,11 +142,16 @@ targets AS (SELECT source, source_size, n_docs,
             FROM levelled),
 expected AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size * 1048576)::BIGINT ELSE 0 END AS step,
                     ('0x' || substr(md5('mix:' || coalesce(source, chr(0))), 1, 5))::BIGINT AS start FROM targets),
-placed AS (SELECT s.doc_id, s.size, e.source_size, e.target, e.step, e.start,
+placed AS (SELECT s.doc_id, s.source, s.size, e.source_size, e.target, e.step, e.start,
                   (row_number() OVER (PARTITION BY s.source ORDER BY floor(log2(s.size + 1) * 8),
                      ('0x' || substr(md5(s.doc_id::VARCHAR), 1, 8))::BIGINT % ((n_docs + 2047) // 2048), s.size, s.doc_id) - 1) * e.step AS sums
-           FROM sized s JOIN expected e ON s.source IS NOT DISTINCT FROM e.source)
-SELECT doc_id, size, source_size, target, (((sums + step + start) >> 20) - ((sums + start) >> 20)) * size AS taken FROM placed
+           FROM sized s JOIN expected e ON s.source IS NOT DISTINCT FROM e.source),
+tried AS (SELECT source, i, (start + i * 16384) % 1048576 AS pos,
+                 abs(sum((((sums + step + (start + i * 16384) % 1048576) >> 20) - ((sums + (start + i * 16384) % 1048576) >> 20)) * size) - target) AS off
+          FROM placed, range(64) t(i) GROUP BY source, i, start, target),
+chosen AS (SELECT source, pos FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY off, i) AS r FROM tried) WHERE r = 1)
+SELECT doc_id, size, source_size, target, (((sums + step + pos) >> 20) - ((sums + pos) >> 20)) * size AS taken
+FROM placed p JOIN chosen c ON p.source IS NOT DISTINCT FROM c.source
 """
 
 
