@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 from .queries import query
 from .tables import materialize, table
 
-#: Documents the costs are estimated on, at most, and the share of read rows that may be among them.
-SAMPLE_ROWS, SAMPLE_SHARE = 2000, 0.2
+#: Documents the costs are estimated on, about.
+SAMPLE_ROWS = 2000
 LEAST_WORDS, MOST_REPEATED = 50, 50
 #: Symbols a word; mean characters a word; repeated lines in a hundred lines with a word.
 MOST_SYMBOLS, SHORT_WORDS, LONG_WORDS, MOST_DUP_LINES = 1.0, 2.0, 20.0, 60
@@ -102,8 +102,9 @@ def rules(text: str = "text") -> list[Rule]:
 
 
 def estimate(docs: DataFrame, which: list[Rule], rows: int = SAMPLE_ROWS) -> list[tuple[str, float, float]]:
-    """(rule, seconds a document, share rejected) on a stored sample of at most `rows` documents."""
-    sample = materialize(docs.select(*docs.columns).sample(SAMPLE_SHARE, 7).limit(rows), "quality-sample")
+    """(rule, seconds a document, share rejected) on a stored random sample of about `rows` documents."""
+    share = min(1.0, rows / max(1, docs.count()))
+    sample = materialize(docs.sample(share, 7), "quality-sample")
     n = max(1, sample.count())
 
     def run(condition: Column) -> tuple[float, int]:
