@@ -97,75 +97,80 @@ def anchors(data: np.ndarray, offsets: np.ndarray):
 
 
 def scanned(docs: DataFrame) -> DataFrame:
-    """(key, d, n_bytes, sha, doc_id, anchors) per row; key: doc_id with null first; d: digest of the text."""
+    """(key, d, n_bytes, sha, doc_id, anchors, times) per row; key: doc_id with null first; d: digest of the text.
+
+    `anchors` are distinct, `times` says how often each occurs: a periodic text has few.
+    """
 
     def run(batches):
         for batch in batches:
             for lo, hi, data, offsets in blocks(batch.column(1)):
                 text, h, _, _, _ = anchors(data, offsets)
-                ends = np.searchsorted(text, np.arange(hi - lo + 1))
+                order = np.lexsort((h, text))
+                text, h = text[order], h[order]
+                new = np.ones(len(h), bool)
+                new[1:] = (h[1:] != h[:-1]) | (text[1:] != text[:-1])
+                head = np.flatnonzero(new)
+                times = np.diff(np.concatenate((head, [len(h)])))
+                ends = pa.array(np.searchsorted(text[head], np.arange(hi - lo + 1)), pa.int32())
                 sha = [hashlib.sha256(data[offsets[i]:offsets[i + 1]]).digest() for i in range(hi - lo)]
                 ids = batch.column(0).slice(lo, hi - lo)
                 yield pa.RecordBatch.from_arrays(
                     [ids.fill_null(FIRST), pa.array([int.from_bytes(s[:8], "little", signed=True) for s in sha]),
                      pa.array(np.diff(offsets)), pa.array([s.hex() for s in sha]), ids,
-                     pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(signed(h)))],
-                    ["key", "d", "n_bytes", "sha", "doc_id", "anchors"])
+                     pa.ListArray.from_arrays(ends, pa.array(signed(h[head]))),
+                     pa.ListArray.from_arrays(ends, pa.array(times.astype(np.int32)))],
+                    ["key", "d", "n_bytes", "sha", "doc_id", "anchors", "times"])
 
     return take_columns(docs, doc_id="long", text="string").mapInArrow(
-        run, "key long, d long, n_bytes long, sha string, doc_id long, anchors array<long>")
+        run, "key long, d long, n_bytes long, sha string, doc_id long, anchors array<long>, times array<int>")
 
 
 def repeated_anchors(rows: DataFrame) -> DataFrame:
-    """(key, d, h, frequent) of the anchors (h, key, d) that occur at least twice.
+    """(key, d, h, frequent) of the anchors (h, times, key, d) that occur at least twice.
 
-    Rows stream past in order of h; at most FREQUENT of them wait for their run to end.
+    Rows stream past in order of h; less than FREQUENT of them wait for their run to end.
     """
 
+    def out(part: pa.RecordBatch, frequent: bool) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [*(part.column(c) for c in ("key", "d", "h")), pa.array(np.full(part.num_rows, frequent))], ["key", "d", "h", "frequent"])
+
     def run(batches):
-        wait: list[pa.RecordBatch] = []
-        held = 0
+        wait: list[pa.RecordBatch] = []  # rows of the run that isn't over
+        held, last = 0, None
 
-        def out(part: pa.RecordBatch, frequent: bool):
-            return pa.RecordBatch.from_arrays([*(part.column(c) for c in ("key", "d", "h")), pa.array(np.full(part.num_rows, frequent))],
-                                              ["key", "d", "h", "frequent"])
+        def close():
+            nonlocal wait, held
+            if held > 1:
+                yield from (out(w, held >= FREQUENT) for w in wait)
+            wait, held = [], 0
 
-        last = None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            h = batch.column(0).to_numpy()
-            heads = np.concatenate(([0], np.flatnonzero(h[1:] != h[:-1]) + 1, [len(h)]))
-            if last is not None and h[0] != last:
-                if held > 1 and wait:
-                    yield from (out(w, False) for w in wait)
-                wait, held = [], 0
-            sizes = np.diff(heads)
-            sizes[0] += held
-            middle = sizes[:-1]
-            # the first run may have waiting rows; the last one waits itself
-            for lo, hi, n in [(heads[0], heads[1], middle[0])] if len(middle) else []:
-                if n > 1:
-                    yield from (out(w, n >= FREQUENT) for w in wait)
-                    yield out(batch.slice(lo, hi - lo), n >= FREQUENT)
-                wait, held = [], 0
-            if len(middle) > 1:
-                per = np.repeat(middle[1:], np.diff(heads[1:-1]))
+            h, times = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            heads = np.concatenate(([0], np.flatnonzero(h[1:] != h[:-1]) + 1, [len(h)])).tolist()
+            sizes = np.add.reduceat(times.astype(np.int64), heads[:-1])
+            if h[0] != last:
+                yield from close()
+            last = h[-1]
+            if len(heads) > 2:  # the first run ends here
+                wait.append(batch.slice(0, heads[1]))
+                held += int(sizes[0])
+                yield from close()
+                size = np.repeat(sizes[1:-1], np.diff(heads[1:-1]))
                 part = batch.slice(heads[1], heads[-2] - heads[1])
                 for frequent in (False, True):
-                    yield out(part.filter(pa.array((per > 1) & ((per >= FREQUENT) == frequent))), frequent)
-            rest = batch.slice(heads[-2], heads[-1] - heads[-2])
-            held += rest.num_rows
+                    yield out(part.filter(pa.array((size > 1) & ((size >= FREQUENT) == frequent))), frequent)
+            wait.append(batch.slice(heads[-2]))
+            held += int(sizes[-1])
             if held >= FREQUENT:
-                yield from (out(w, True) for w in [*wait, rest])
+                yield from (out(w, True) for w in wait)
                 wait = []
-            else:
-                wait.append(rest)
-            last = h[-1]
-        if held > 1:
-            yield from (out(w, False) for w in wait)
+        yield from close()
 
-    return rows.repartition("h").sortWithinPartitions("h").select("h", "key", "d").mapInArrow(
+    return rows.repartition("h").sortWithinPartitions("h").select("h", "times", "key", "d").mapInArrow(
         run, "key long, d long, h long, frequent boolean")
 
 
@@ -423,7 +428,9 @@ def cut(docs: DataFrame) -> DataFrame:
     copied = materialize(first.where("__n > 1").drop("__n"), "suffix-copies")
     scan = scan.join(checked_broadcast(copied, 120), "sha", "left").withColumn(
         "copy", F.coalesce(F.col("key") > F.col("__first"), F.lit(False))).drop("__first")
-    alone = scan.where(~F.col("copy")).select(F.explode("anchors").alias("h"), "key", "d")
+    each = F.explode(F.arrays_zip("anchors", "times")).alias("z")
+    alone = scan.where(~F.col("copy")).select(each, "key", "d").select(
+        F.col("z.anchors").alias("h"), F.col("z.times").alias("times"), "key", "d")
     hits = repeated_anchors(alone).groupBy("key", "d").agg(
         F.collect_set(F.when(F.col("frequent"), F.col("h"))).alias("frequent"),
         F.collect_set(F.when(~F.col("frequent"), F.col("h"))).alias("rare"))
@@ -435,7 +442,7 @@ def cut(docs: DataFrame) -> DataFrame:
 
     gone = F.col("copy") & (F.col("n_bytes") >= LENGTH)
     either = lambda whole, part, other: F.when(gone, F.lit(whole)).otherwise(F.coalesce(F.col(part), other))
-    return scan.drop("anchors").join(changed, ["key", "d"], "left").select(
+    return scan.drop("anchors", "times").join(changed, ["key", "d"], "left").select(
         "doc_id", "n_bytes",
         F.when(gone, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
         either(1, "n_spans", F.lit(0)).cast("long").alias("n_spans"),
