@@ -2,11 +2,11 @@
 
 Pages of a host are put in order of their URL paths; a page and its nearest neighbour are
 two fillings of one template. Their text lines are aligned by a longest common subsequence
-of line hashes, and the lines both have are the template's. Markup is heard first: what an
-element or its class names as menu, footer, advert, form and so on goes, and lines inside
-an `article` (or `main`) element are the article even where a neighbour repeats them, since
-pages that copy each other would otherwise lose everything. Lines in neither are decided by the
-alignment alone.
+of line hashes, and the lines both have are the template's: they go. Markup is heard too: what an
+element or its class names as menu, footer, advert, form and so on goes, whether shared or not,
+and paragraphs, headings, list items and the like inside an `article` (or `main`) element stay
+even where a neighbour repeats them, since pages that quote or copy each other would otherwise
+lose their text. All other lines are decided by the alignment.
 
 Only line hashes travel: html is read twice and shuffled only for pages whose result depends on a
 neighbour.
@@ -40,6 +40,7 @@ NAMES = frozenset("""ad ads advert adverts advertisement advertising alert banne
 disclaimer footer form header login masthead menu modal nav navbar navigation newsletter notice notices notification pager pagination popup promo
 promotion recommended related reply replies search share sharing sidebar signup social sponsor sponsored subscribe subscription teaser toolbar
 widget""".split())
+PROSE = frozenset("p h1 h2 h3 h4 h5 h6 li blockquote pre td th dd dt figcaption caption".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert form menu menubar toolbar".split())
 
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
@@ -59,9 +60,9 @@ def names_apart(attributes: str) -> bool:
     return False
 
 
-def lines_of(page: str) -> list[tuple[str, bool, bool, bool]]:
-    """(line, stands apart by its markup, is inside an article, inside main) for each block with text, in page order."""
-    out: list[tuple[str, bool, bool, bool]] = []
+def lines_of(page: str) -> list[tuple[str, bool, bool, bool, bool]]:
+    """(line, stands apart by its markup, is inside an article, inside main, in a block of prose) per block with text."""
+    out: list[tuple[str, bool, bool, bool, bool]] = []
     open_: list[tuple[str, bool, str]] = []  # element, apart, "article", "main" or ""
     seen = False
     text: list[str] = []
@@ -73,7 +74,8 @@ def lines_of(page: str) -> list[tuple[str, bool, bool, bool]]:
             text.clear()
             if line:
                 apart = any(x[1] for x in open_)
-                out.append((line, apart, any(x[2] == "article" for x in open_), any(x[2] == "main" for x in open_)))
+                block = next((x[0] for x in reversed(open_) if x[0] in BLOCKS), "")
+                out.append((line, apart, any(x[2] == "article" for x in open_), any(x[2] == "main" for x in open_), block in PROSE))
 
     while True:
         m = TAG.search(page, at)
@@ -133,14 +135,14 @@ def lines_of(page: str) -> list[tuple[str, bool, bool, bool]]:
     return out
 
 
-def candidates(page: str) -> tuple[list[str], bool]:
-    """(lines that may be the article, whether they surely are)."""
+def candidates(page: str) -> tuple[list[str], list[bool]]:
+    """(lines that may be the article, which of them surely are)."""
     lines = [x for x in lines_of(page) if not x[1]]
     for place in (2, 3):
-        sure = [x[0] for x in lines if x[place]]
-        if sure:
-            return sure, True
-    return [x[0] for x in lines], False
+        inside = [x for x in lines if x[place]]
+        if inside:
+            return [x[0] for x in inside], [x[4] for x in inside]
+    return [x[0] for x in lines], [False] * len(lines)
 
 
 # --- differencing ----------------------------------------------------------------------------
@@ -197,23 +199,25 @@ def nearer(path: str, one: str | None, other: str | None) -> bool:
     return same(one) >= same(other)
 
 
-def unsure_lines(pages: DataFrame) -> DataFrame:
-    """(k, page_id, host, path, hashes) of the pages whose article no element names."""
+def line_hashes(pages: DataFrame) -> DataFrame:
+    """(k, page_id, host, path, hashes, sure: places of lines that stay whether shared or not) of the pages with lines."""
 
     def run(batches):
         for batch in batches:
-            cols: tuple[list, ...] = ([], [], [], [], [])
+            cols: tuple[list, ...] = ([], [], [], [], [], [])
             for k, page, url, doc in zip(*(c.to_pylist() for c in batch.columns[:3]), batch.column(3), strict=True):
                 lines, sure = candidates(doc.as_py() or "")
-                if not sure and lines:
+                if lines:
                     host, path = split_url(url or "")
-                    for c, v in zip(cols, (k, page, host, path, [line_hash(x) for x in lines]), strict=True):
+                    kept = [i for i, s in enumerate(sure) if s]
+                    for c, v in zip(cols, (k, page, host, path, [line_hash(x) for x in lines], kept), strict=True):
                         c.append(v)
-            types = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["k", "page_id", "host", "path", "hashes"])
+            types = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["k", "page_id", "host", "path", "hashes", "sure"])
 
     return pages.select("k", "page_id", "url", "html").mapInArrow(
-        run, "k long, page_id long, host string, path string, hashes array<long>")
+        run, "k long, page_id long, host string, path string, hashes array<long>, sure array<int>")
 
 
 def split_url(url: str) -> tuple[str, str]:
@@ -224,7 +228,7 @@ def split_url(url: str) -> tuple[str, str]:
 
 
 def shared_lines(lines: DataFrame) -> DataFrame:
-    """(k, page_id, shared: places of the lines that the nearest page has too) where there are some.
+    """(k, page_id, shared: places of the unsure lines that the nearest page has too) where there are some.
 
     Neighbours are those by path in the same directory, or in the host for pages alone in theirs. Large
     directories are cut into groups of about GROUP_PAGES by a hash of the path. A neighbour with the very
@@ -238,19 +242,21 @@ def shared_lines(lines: DataFrame) -> DataFrame:
     cut = F.pmod(F.xxhash64("path"), F.ceil(F.col("n") / GROUP_PAGES))
     w = Window.partitionBy("host", "folder", "cut").orderBy("path", "page_id", "k")
     both = lines.withColumn("cut", cut).select(
-        "k", "page_id", "path", "hashes", *[f(c).over(w).alias(name + c) for f, name in ((F.lag, "b_"), (F.lead, "a_")) for c in ("path", "hashes")])
+        "k", "page_id", "path", "hashes", "sure", *[f(c).over(w).alias(name + c) for f, name in ((F.lag, "b_"), (F.lead, "a_")) for c in ("path", "hashes")])
 
     def run(batches):
         for batch in batches:
             ks, ids, found = [], [], []
-            for k, page, path, own, *rest in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for k, page, path, own, sure, *rest in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 sides = [(rest[0], rest[1]), (rest[2], rest[3])]
                 if not nearer(path, rest[0], rest[2]):
                     sides.reverse()
                 for _, other in sides:
                     if other is not None and other != own:
-                        places = sorted(common(own, other))
-                        if places and len(places) < len(own):
+                        places = common(own, other)
+                        if len(places) == len(own):
+                            break  # the page is a part of the other: nothing of its own would be left
+                        if places := sorted(places.difference(sure)):
                             ks.append(k)
                             ids.append(page)
                             found.append(places)
@@ -268,7 +274,7 @@ def main_text(pages: DataFrame) -> DataFrame:
     pages without url are one host. Repeated rows get the same text.
     """
     rows = take_columns(pages, page_id="long", url="string", html="string").withColumn("k", F.xxhash64("page_id", "url", "html"))
-    shared = materialize(shared_lines(materialize(unsure_lines(rows), "page-lines")), "page-shared").drop("page_id")
+    shared = materialize(shared_lines(materialize(line_hashes(rows), "page-lines")), "page-shared").drop("page_id")
     joined = rows.join(checked_broadcast(shared, 512), "k", "left")
 
     @F.pandas_udf("string")
