@@ -62,10 +62,10 @@ def _sink(spark, path, **options) -> SF.FeedSink:
                        D.SITE, **options)
 
 
-def _run(spark, feed_path, path, **options) -> SF.FeedSink:
+def _run(spark, feed_path, path, checkpoint=None, **options) -> SF.FeedSink:
     sink = _sink(spark, path, **options)
     with _state_sized(spark):
-        sink.run(SF.read_feed_stream(spark, feed_path), scratch_path(spark, "checkpoint"))
+        sink.run(SF.read_feed_stream(spark, feed_path), checkpoint or scratch_path(spark, "checkpoint"))
     return sink
 
 
@@ -100,9 +100,9 @@ def idempotent(spark, sf):
     """The whole feed again: everything good is already there, nothing is added."""
     feed_path, path = _feed_files(spark, sf, 1), scratch_path(spark, "catalog")
     _run(spark, feed_path, path)
-    sink = _run(spark, feed_path, path, first_batch=1000)
+    sink = _run(spark, feed_path, path)
     images = sink.table("images").select(F.count("*")).scalar()
-    return sink.table("statuses").where(F.col("batch") >= 1000).groupBy("status").agg(
+    return sink.table("statuses").where(F.col("run") == sink.run_id).groupBy("status").agg(
         F.count("*").alias("posts")).withColumn("images", images)
 
 
@@ -116,6 +116,43 @@ def quota(spark, sf):
     return sink.table("images").agg(F.count("*").alias("images")).withColumn("marks", marks)
 
 
+_SAVED = "count(*) FILTER (skip_reason = '' AND score <> 13)"
+
+
+@query("h6_refused_then_accepted", with_("checked_posts") + f"""
+SELECT {_SAVED} AS images, count(*) AS statuses, max(id) AS high_watermark_id FROM checked_posts""")
+def refused_then_accepted(spark, sf):
+    """A refused batch is read again, and stored, once the limit is lifted."""
+    feed_path, path, check = _feed_files(spark, sf, 1), scratch_path(spark, "catalog"), scratch_path(spark, "checkpoint")
+    _run(spark, feed_path, path, check, max_indexed=1)
+    sink = _run(spark, feed_path, path, check)
+    return sink.table("images").agg(F.count("*").alias("images")).withColumn(
+        "statuses", sink.table("statuses").select(F.count("*")).scalar()).withColumn(
+        "high_watermark_id", sink.high_watermark().select("high_watermark_id").scalar())
+
+
+@query("h5_new_checkpoint", with_("checked_posts") + f"""
+SELECT {_SAVED} AS images, count(DISTINCT id) AS posts FROM checked_posts""")
+def new_checkpoint(spark, sf):
+    """Two feeds under checkpoints of their own: the second leaves the first one's batches alone."""
+    path, posts = scratch_path(spark, "catalog"), D.feed(spark, sf)
+    for part in (0, 1):
+        feed_path = scratch_path(spark, "feed")
+        posts.where(F.pmod("id", F.lit(2)) == part).coalesce(1).write.json(feed_path)
+        sink = _run(spark, feed_path, path)
+    return sink.table("images").agg(F.count("*").alias("images")).withColumn(
+        "posts", sink.table("statuses").select(F.count_distinct("post_id")).scalar())
+
+
+@query("h2_failures_are_queued", with_("checked_posts") + """
+SELECT 'site0' AS source_site, 'default' AS scope_key, id AS source_post_id, 'pending' AS status, 0 AS attempts
+FROM checked_posts WHERE skip_reason = '' AND score = 13""")
+def failures_are_queued(spark, sf):
+    sink = _run(spark, _feed_files(spark, sf, 1), scratch_path(spark, "catalog"))
+    none = D.crawl_post_retries(spark, sf).limit(0)
+    return sink.queue_failures(none).select("source_site", "scope_key", "source_post_id", "status", "attempts")
+
+
 # --- fleet ----------------------------------------------------------------
 
 def _events(spark, sf) -> DataFrame:
@@ -181,7 +218,7 @@ seq AS (SELECT *, lag(us) OVER w AS prev, lead(us) OVER w AS next FROM beats WIN
 SELECT node_id, us AS at_us, 'online' AS status FROM seq WHERE prev IS NULL OR us - prev > 14400000000
 UNION ALL
 SELECT node_id, us + 14400000000, 'offline' FROM seq
-WHERE coalesce(next, (SELECT max(us) FROM beats)) - us > 14400000000""")
+WHERE coalesce(next, (SELECT max(us) - 30000000 FROM beats)) - us > 14400000000""")
 def liveness(spark, sf):
     beats = _events(spark, sf).select(_node(), F.col("ts").cast("timestamp").alias("heartbeat_at"))
     return _drain(SL.liveness_stream(beats, timeout_seconds=4 * 3600), "liveness")
@@ -193,31 +230,3 @@ WHERE observed_at >= TIMESTAMP '{D.EVENTS_NOW}' - INTERVAL 24 HOUR""")
 def prune(spark, sf):
     return L.prune_metrics(D.node_metrics(spark, sf), D.EVENTS_NOW).select(
         "node_id", ts_text("observed_at").alias("observed_at"), "saved")
-
-
-@query("h8_throughput_decay", """
-WITH RECURSIVE r AS (
-  SELECT 'node' || (user_id % 10) AS node_id, CAST(floor(value * 20) AS BIGINT) AS saved,
-    CAST(floor(user_id * 37.5) AS BIGINT) AS ms, row_number() OVER (PARTITION BY user_id % 10 ORDER BY event_id) AS rn
-  FROM events WHERE event_type <> 'error' AND floor(value * 20) > 0 AND user_id > 0),
-acc(node_id, rn, s, m) AS (
-  SELECT node_id, rn, saved, ms FROM r WHERE rn = 1
-  UNION ALL
-  SELECT a.node_id, r.rn, CASE WHEN s > 10000 THEN s // 2 ELSE s END + saved, CASE WHEN s > 10000 THEN m // 2 ELSE m END + ms
-  FROM acc a JOIN r ON r.node_id = a.node_id AND r.rn = a.rn + 1)
-SELECT node_id, max_by(s, rn) AS saved, max_by(m, rn) AS millis,
-  CAST(greatest(100, least(4000, floor(max_by(s, rn) * 1000.0::DOUBLE / max_by(m, rn) * 3600))) AS BIGINT) AS range_size
-FROM acc GROUP BY node_id""")
-def decay(spark, sf):
-    reports = _events(spark, sf).select(
-        _node(), F.col("event_id").alias("seq"),
-        F.when(F.col("event_type") == "error", 0).otherwise(F.floor(F.col("value") * 20))
-        .cast("bigint").alias("saved"), (F.col("user_id") * 37.5).alias("took_ms"))
-    out = SL.throughput_decay(reports, 1000)
-    path = scratch_path(spark, "decay")
-    _finish(out.writeStream.outputMode("update")
-            .foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(f"{path}/batch={n}"))
-            .option("checkpointLocation", scratch_path(spark, "checkpoint")))
-    last = spark.read.parquet(path).groupBy("node_id").agg(
-        F.max_by(F.struct("saved", "millis", "range_size"), "seq").alias("l"))
-    return last.select("node_id", "l.*")

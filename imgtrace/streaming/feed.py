@@ -1,16 +1,19 @@
 """Feed -> catalog as a stream.
 
-Each micro-batch appends to tables partitioned by batch id. A replayed batch
-overwrites its own partition only, and looks at earlier batches only, so
-replays after a lost executor or driver change nothing.
+Each micro-batch appends to tables partitioned by run and batch; a run is a stream
+checkpoint, so a new checkpoint on an old catalog overwrites nothing. A replayed batch
+overwrites its own partition only, and looks at other runs and its own earlier batches
+only, so replays after a lost executor or driver change nothing. `seq` counts batches over
+all runs: of several rows of a key the one with the largest `seq` is current.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.errors import AnalysisException
+from pyspark.errors import AnalysisException, StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -41,6 +44,10 @@ _LOG_SCHEMAS = {
 Encode = Callable[[DataFrame], tuple[DataFrame, DataFrame]]
 
 
+class IndexFull(RuntimeError):
+    """A batch doesn't fit the catalog; nothing of it is committed, and it comes again."""
+
+
 @dataclass
 class FeedSink:
     """foreachBatch target. Call `run` on a stream of feed posts."""
@@ -54,40 +61,44 @@ class FeedSink:
     site: str
     scope: str = "default"
     max_indexed: int = 0
-    # Batch ids start over with every new checkpoint; a later run starts above the earlier ones.
-    first_batch: int = 0
+    run_id: str = "direct"
     refused: list[int] = field(default_factory=list)
 
     def __post_init__(self):
         self.active = D.active_models(self.models)
 
     def table(self, name: str, before: int | None = None) -> DataFrame:
-        """All appended rows, or those of earlier batches; empty before the first batch."""
-        schema = T.StructType([*_LOG_SCHEMAS[name].fields, T.StructField("batch", T.LongType())])
+        """All appended rows, or those of other runs and earlier batches of this one; empty before the first batch."""
+        schema = T.StructType([
+            *_LOG_SCHEMAS[name].fields, T.StructField("seq", T.LongType()),
+            T.StructField("run", T.StringType()), T.StructField("batch", T.LongType())])
         try:
             df = self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
         except AnalysisException as e:
             if e.getCondition() != "PATH_NOT_FOUND":
                 raise
             df = self.spark.createDataFrame([], schema)
-        return df if before is None else df.where(F.col("batch") < before)
+        return df if before is None else df.where((F.col("run") != self.run_id) | (F.col("batch") < before))
 
-    def _last_image_id(self, before: int) -> int:
-        """Largest id given out so far. Ids are handed out without gaps, so it is also the count."""
-        return self.table("states", before).agg(F.max("last_image_id")).first()[0] or 0
+    def _last(self, before: int) -> tuple[int, int]:
+        """(largest image id given out so far, largest seq). Ids have no gaps, so the first is also the count."""
+        last = self.table("states", before).agg(F.max("last_image_id"), F.max("seq")).first()
+        return last[0] or 0, last[1] or 0
 
     def current(self, name: str, keys: list[str]) -> DataFrame:
         """Latest row per key."""
-        return M.latest_per_key(self.table(name), keys, "batch")
+        return M.latest_per_key(self.table(name).drop("run", "batch"), keys, "seq")
 
-    def _append(self, name: str, batch: int, df: DataFrame) -> None:
+    def _part(self, name: str, batch: int) -> str:
+        return f"{self.path}/{name}/run={self.run_id}/batch={batch}"
+
+    def _append(self, name: str, batch: int, seq: int, df: DataFrame) -> None:
         cols = [f.name for f in _LOG_SCHEMAS[name].fields]
-        df.select(*cols).write.mode("overwrite").parquet(f"{self.path}/{name}/batch={batch}")
+        df.select(*cols, F.lit(seq).cast("bigint").alias("seq")).write.mode("overwrite").parquet(self._part(name, batch))
 
     def __call__(self, feed: DataFrame, batch: int) -> None:
-        batch += self.first_batch
-        posts = feed_source.with_download(
-            feed_source.normalize_posts(feed, self.base_url, self.site)).dropDuplicates(["post_id"])
+        found = feed_source.with_download(feed_source.normalize_posts(feed, self.base_url, self.site))
+        posts = M.latest_per_key(found.withColumn("_same", F.lit(0)), ["post_id"], "_same").select(*found.columns)
         posts = posts.persist()
         try:
             self._ingest(posts, batch)
@@ -101,9 +112,9 @@ class FeedSink:
         # statistics skip the row groups of other parts of the feed.
         low, high = keys.agg(F.min("source_post_id"), F.max("source_post_id")).first()
         seen = self.table("images", batch).where(F.col("source_post_id").between(low, high)).select(
-            "image_id", *M.IMAGE_KEY, "phash", "dhash", "thumb_path", "created_at", "updated_at", "batch")
+            "image_id", *M.IMAGE_KEY, "phash", "dhash", "thumb_path", "created_at", "updated_at", "seq")
         old = M.latest_per_key(
-            seen.join(broadcast_if_small(keys), M.IMAGE_KEY, "left_semi"), M.IMAGE_KEY, "batch").persist()
+            seen.join(broadcast_if_small(keys), M.IMAGE_KEY, "left_semi"), M.IMAGE_KEY, "seq").persist()
         low, high = old.agg(F.min("image_id"), F.max("image_id")).first()
         have = self.table("image_vectors", batch).where(F.col("image_id").between(low, high)).select(
             "image_id", "model_id").join(old.select("image_id"), "image_id", "left_semi")
@@ -111,44 +122,46 @@ class FeedSink:
         todo = D.work_delta(posts, done).persist()
         try:
             if self.max_indexed > 0 and not J.quota_allows(
-                    lambda: self._last_image_id(batch), todo.count(), self.max_indexed):
+                    lambda: self._last(batch)[0], todo.count(), self.max_indexed):
                 self.refused.append(batch)
-                return
+                raise IndexFull(f"batch {batch} would exceed {self.max_indexed} pictures")
             self._store(posts, todo, done, old, batch)
         finally:
             todo.unpersist()
             old.unpersist()
 
     def _store(self, posts, todo, done, old, batch: int) -> None:
+        last_image, last_seq = self._last(batch)
+        seq = last_seq + 1
         marks, made = self.encode(todo)
         faults = D.validate_vectors(
             todo.select(F.col("post_id").alias("item_id")),
             made.withColumnRenamed("post_id", "item_id"), self.active)
         bad = faults.where(F.col("fault").isNotNull() | (F.col("unregistered") > 0)).select(
             F.col("item_id").alias("post_id"))
-        self._append("statuses", batch, D.post_status(posts, done, bad))
+        self._append("statuses", batch, seq, D.post_status(posts, done, bad))
         # Later steps need only to know which posts passed, so they read that back.
         passed = self.table("statuses").where(
-            (F.col("batch") == batch) & (F.col("status") == "saved")).select("post_id")
+            (F.col("run") == self.run_id) & (F.col("batch") == batch) & (F.col("status") == "saved")).select("post_id")
         items = todo.join(passed, "post_id", "left_semi").join(marks, "post_id").select(
             "source_site", F.col("post_id").alias("source_post_id"), "source_url", "canonical_url",
             F.col("large_url").alias("file_url"), "preview_url", "md5", "phash", "dhash", "width",
             "height", "file_size", "rating", "score", "tags", "artist_tags", "thumb_path",
             F.lit("stream").alias("indexed_by"), F.lit(0).alias("arrival"))
         changed = old.join(items.select(*M.IMAGE_KEY), M.IMAGE_KEY, "left_semi")
-        last_id = F.lit(self._last_image_id(batch)).cast("bigint")
-        self._append("images", batch, M.upsert_images(changed, items, self.now, last_id=last_id))
-        written = self.spark.read.schema(S.IMAGES).parquet(f"{self.path}/images/batch={batch}")
+        last_id = F.lit(last_image).cast("bigint")
+        self._append("images", batch, seq, M.upsert_images(changed, items, self.now, last_id=last_id))
+        written = self.spark.read.schema(S.IMAGES).parquet(self._part("images", batch))
         fresh = made.join(written.select("image_id", F.col("source_post_id").alias("post_id")),
                           "post_id")
         at = D.as_ts(self.now)
         # Codes before the mark: a crash in between leaves vectors pending for a rebuild.
-        self._append("codes", batch, fresh.select(
-            "image_id", "model_id", V.encode_sign(F.col("vector")).alias("code")))
-        self._append("image_vectors", batch, fresh.select(
+        self._append("codes", batch, seq, fresh.select(
+            "image_id", "model_id", V.encode_sign_bulk(F.col("vector")).alias("code")))
+        self._append("image_vectors", batch, seq, fresh.select(
             "image_id", "model_id", "vector", at.alias("created_at"), at.alias("indexed_at")))
         top = F.greatest(written.select(F.max("image_id")).scalar(), last_id)
-        self._append("states", batch, posts.groupBy("source_site").agg(
+        self._append("states", batch, seq, posts.groupBy("source_site").agg(
             F.max("post_id").alias("high_watermark_id")).select(
             "source_site", F.lit(self.scope).alias("scope_key"), "high_watermark_id",
             top.alias("last_image_id")))
@@ -158,14 +171,28 @@ class FeedSink:
         return self.table("states").groupBy("source_site", "scope_key").agg(
             F.max("high_watermark_id").alias("high_watermark_id"))
 
+    def queue_failures(self, retries: DataFrame) -> DataFrame:
+        """`retries` with every post whose last status is a failure, waiting for its next attempt."""
+        last = self.current("statuses", ["source_site", "post_id"]).where("status = 'failed'")
+        return M.enqueue_retries(retries, last.select(
+            "source_site", F.lit(self.scope).alias("scope_key"), F.col("post_id").alias("source_post_id")), self.now)
+
     def report(self) -> DataFrame:
         return D.batch_report(self.table("statuses"))
 
     def run(self, stream: DataFrame, checkpoint: str) -> None:
-        """Process everything available, then stop."""
+        """Process everything available, then stop.
+
+        A refused batch ends the run before it is committed; the next run with this checkpoint reads it again.
+        """
+        self.run_id = hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
         q = (stream.writeStream.foreachBatch(self).option("checkpointLocation", checkpoint)
              .trigger(availableNow=True).start())
-        q.awaitTermination()
+        try:
+            q.awaitTermination()
+        except StreamingQueryException:
+            if not self.refused:
+                raise
 
 
 def read_feed_stream(spark: SparkSession, path: str, files_per_trigger: int = 1) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Fleet metrics as streams: windowed throughput, liveness, adaptive range size."""
+"""Fleet metrics as streams: windowed throughput and liveness."""
 
 from __future__ import annotations
 
@@ -10,13 +10,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor
 
-from imgtrace.functions import rules as R
 from imgtrace.operators.fleet import deltas, edge, edges
 
 # --- fixed values ---------------------------------------------------------
 BEAT_SECONDS = 30
 TIMEOUT_SECONDS = 90
-DECAY_ABOVE = 10_000
 # --------------------------------------------------------------------------
 
 _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -90,10 +88,11 @@ class _Liveness(StatefulProcessor):
 
 
 def liveness_stream(beats: DataFrame, timeout_seconds: int = TIMEOUT_SECONDS,
-                    lateness: str = "0 seconds") -> DataFrame:
+                    lateness: str = f"{BEAT_SECONDS} seconds") -> DataFrame:
     """beats(node_id, heartbeat_at) -> status changes (node_id, at_us, status).
 
-    A node goes offline `timeout` after its last beat and online at its next one.
+    A node goes offline `timeout` after its last beat and online at its next one. Beats that lag the
+    newest beat of any node by more than `lateness` are dropped; it should be a beat interval at least.
     """
     use_state_store(beats.sparkSession)
     timed = beats.withWatermark("heartbeat_at", lateness).select(
@@ -104,44 +103,3 @@ def liveness_stream(beats: DataFrame, timeout_seconds: int = TIMEOUT_SECONDS,
             T.StructField("node_id", T.StringType()), T.StructField("at_us", T.LongType()),
             T.StructField("status", T.StringType())]),
         outputMode="Append", timeMode="EventTime")
-
-
-class _Decay(StatefulProcessor):
-    """State: recent saved pictures and the milliseconds they took."""
-
-    def init(self, handle) -> None:
-        self.sums = handle.getValueState("sums", "saved long, millis long")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        saved, millis = tuple(self.sums.get()) if self.sums.exists() else (0, 0)
-        reports = pd.concat(list(rows)).sort_values("seq")
-        for n, ms in zip(reports["saved"], reports["took_ms"]):
-            if n <= 0 or ms <= 0:
-                continue
-            if saved > DECAY_ABOVE:
-                saved, millis = saved // 2, millis // 2
-            saved, millis = saved + int(n), millis + max(1, int(ms))
-        self.sums.update((saved, millis))
-        yield pd.DataFrame([(key[0], int(reports["seq"].iloc[-1]), saved, millis)],
-                           columns=["node_id", "seq", "saved", "millis"])
-
-    def close(self) -> None:
-        pass
-
-
-def throughput_decay(reports: DataFrame, base_size: int) -> DataFrame:
-    """reports(node_id, seq, saved, took_ms): recent rate per node and the range size it earns.
-
-    Once more than 10 000 pictures are summed, both sums are halved before the
-    next report, so old speed fades. Reports that saved nothing are ignored.
-    """
-    use_state_store(reports.sparkSession)
-    sums = reports.select("node_id", "seq", "saved", "took_ms").groupBy("node_id").transformWithStateInPandas(
-        statefulProcessor=_Decay(),
-        outputStructType=T.StructType([
-            T.StructField("node_id", T.StringType()), T.StructField("seq", T.LongType()),
-            T.StructField("saved", T.LongType()), T.StructField("millis", T.LongType())]),
-        outputMode="Update", timeMode="None")
-    rate = F.when(F.col("millis") > 0, F.col("saved") * 1000.0 / F.col("millis")).otherwise(0.0)
-    return sums.withColumn("per_second", rate).withColumn(
-        "range_size", R.range_size_for(F.col("per_second"), base_size))

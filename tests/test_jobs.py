@@ -151,8 +151,12 @@ def test_refused_batch_moves_no_watermark(spark):
     feed, path = scratch_path(spark, "feed"), scratch_path(spark, "catalog")
     _feed(spark, range(1, 11), feed)
     sink = R._sink(spark, path, max_indexed=9)
-    sink.run(SF.read_feed_stream(spark, feed), scratch_path(spark, "checkpoint"))
+    check = scratch_path(spark, "checkpoint")
+    sink.run(SF.read_feed_stream(spark, feed), check)
     assert sink.refused == [0] and sink.table("images").count() == 0 and sink.high_watermark().count() == 0
+    later = R._sink(spark, path)
+    later.run(SF.read_feed_stream(spark, feed), check)
+    assert later.refused == [] and later.table("images").count() == 10
 
 
 def _beats(spark, path, rows):
