@@ -122,17 +122,10 @@ def embed(spark, sf):
 
 @query("i5_degrade", with_(**Q.DEGRADE) + Q.DEGRADE_SQL)
 def degrade(spark, sf):
-    kinds = tuple(k for k in X.DEGRADATIONS if k != "jpeg40")
-    return X.degrade(grey_pictures(spark, sf), kinds).select(
+    return X.degrade(grey_pictures(spark, sf)).select(
         "image_id", "degradation", "width", "height", F.md5(F.hex("pixels")).alias("pixels_md5"))
 
 
-@query("i5_degrade_jpeg")
-def degrade_jpeg(spark, sf):
-    return X.degrade(pictures(spark, sf), ("jpeg40",)).select(
-        "image_id", "degradation", "width", "height", F.md5("pixels").alias("pixels_md5"))
-
-
 @query("i6_sample_split", """
 WITH k AS (SELECT doc_id, CAST('0x' || substr(md5(doc_id || ':7'), 1, 13) AS BIGINT) AS k,
              CAST('0x' || substr(md5(doc_id || ':8'), 1, 13) AS BIGINT) AS k2,
