@@ -7,6 +7,8 @@ import binascii
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,6 +36,26 @@ def encode_sign(v: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), last), word)
 
 
+def encode_sign_bulk(v: Column) -> Column:
+    """`encode_sign` for whole tables: bits are packed for a batch at a time."""
+
+    @F.arrow_udf("array<bigint>")
+    def pack(vectors: pa.Array) -> pa.Array:
+        lengths = pc.fill_null(pc.list_value_length(vectors), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        flat = vectors.flatten().to_numpy(zero_copy_only=False)
+        words = -(-lengths // WORD_BITS)
+        ends = np.concatenate(([0], np.cumsum(words)))
+        start = np.cumsum(lengths) - lengths
+        bits = np.zeros(int(ends[-1]) * WORD_BITS, bool)
+        place = np.arange(len(flat)) - np.repeat(start, lengths) + np.repeat(ends[:-1] * WORD_BITS, lengths)
+        with np.errstate(invalid="ignore"):
+            bits[place] = flat > 0
+        packed = np.packbits(bits, bitorder="little").view("<i8")
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(packed), mask=vectors.is_null())
+
+    return pack(v)
+
+
 def _sum_of(v: Column, each) -> Column:
     return F.aggregate(v, F.lit(0.0), lambda acc, x: acc + each(x))
 
@@ -57,10 +79,15 @@ def dot(a: Column, b: Column) -> Column:
 
 def normalize(v: Column) -> Column:
     """L2-normalise; zero, infinite and NaN sums leave the vector unchanged."""
-    norm2 = squared_norm(v)
-    broken = (norm2 == 0) | F.isnan(norm2) | (norm2 == F.lit(float("inf")))
-    scaled = F.transform(v, lambda x: (x.cast("double") * (F.lit(1.0) / F.sqrt(norm2))).cast("float"))
-    return F.when(broken, v).otherwise(scaled)
+
+    def scaled(norm2: Column) -> Column:
+        broken = (norm2 == 0) | F.isnan(norm2) | (norm2 == F.lit(float("inf")))
+        inverse = F.lit(1.0) / F.sqrt(norm2)
+        return F.when(broken, v).otherwise(F.element_at(F.transform(
+            F.array(inverse), lambda by: F.transform(v, lambda x: (x.cast("double") * by).cast("float"))), 1))
+
+    # one-element arrays bind the norm and its inverse, so that neither is computed per element
+    return F.element_at(F.transform(F.array(squared_norm(v)), scaled), 1)
 
 
 def cosine(a: Column, b: Column) -> Column:

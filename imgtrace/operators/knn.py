@@ -245,7 +245,7 @@ def _in_place(make, sent):
     return run
 
 
-def _paired(make):
+def _paired(make, width: int | None):
     """Rows (part, role, id, values, answer, own) sorted by part, role: queries, then gallery."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -253,7 +253,7 @@ def _paired(make):
 
         def start():
             t = pa.Table.from_batches(waiting)
-            matrix, kept = _matrix(t.column("values"), None)
+            matrix, kept = _matrix(t.column("values"), width)
             extra = (_numbers(t.column("answer"))[kept], _numbers(t.column("own"))[kept])
             return make(_numbers(t.column("id"))[kept], matrix, extra)
 
@@ -306,22 +306,35 @@ def _as_gallery(gallery: DataFrame, values: str) -> DataFrame:
                           F.col(values).alias("values"))
 
 
+def stored_width(gallery: DataFrame, values: str) -> int | None:
+    """Length of the stored lists, taken from the first there is; None without any."""
+    row = gallery.where(F.col(values).isNotNull()).select(F.size(values)).first()
+    return row[0] if row else None
+
+
+def wrong_sized(queries: DataFrame, values: str, width: int | None) -> DataFrame:
+    """Queries that can't be answered: no values, or not as many as the stored lists have."""
+    fits = F.coalesce(F.size(values) == F.lit(width), F.lit(False))
+    return queries.where(~fits).select("query_id", F.size(values).alias("size"), F.lit(width).alias("wanted"))
+
+
 def ship(queries: DataFrame, values: str, max_rows: int = MAX_SHIPPED_QUERIES,
-         answer: str | None = None, own: str | None = None) -> Shipped | None:
+         answer: str | None = None, own: str | None = None, width: int | None = None) -> Shipped | None:
     """Fetch the queries if there are at most `max_rows`, else None.
 
-    One bounded job; it fetches a row more than allowed, never the whole set.
+    One bounded job; it fetches a row more than allowed, never the whole set. Queries that don't
+    have `width` values get no answer (`wrong_sized` lists them) and keep no other from one.
     """
     t = _as_queries(queries, values, answer, own).limit(max_rows + 1).toArrow()
     if t.num_rows > max_rows:
         return None
-    matrix, kept = _matrix(t.column("values"), None)
+    matrix, kept = _matrix(t.column("values"), width)
     return Shipped(_numbers(t.column("id"))[kept], matrix,
                    (_numbers(t.column("answer"))[kept], _numbers(t.column("own"))[kept]))
 
 
 def _scan(reducer, metric: str, k: int, queries: DataFrame, gallery: DataFrame,
-          shipped: Shipped | None) -> DataFrame:
+          shipped: Shipped | None, width: int | None) -> DataFrame:
     """queries(id, values, answer, own) against gallery(id, values)."""
     spark = queries.sparkSession
     schema = reducer.schema(metric)
@@ -334,7 +347,8 @@ def _scan(reducer, metric: str, k: int, queries: DataFrame, gallery: DataFrame,
         return gallery.mapInArrow(_in_place(make, sent), schema)
 
     blocks = max(1, math.ceil(queries.count() / QUERY_BLOCK))
-    cells = max(1, math.ceil(4 * shuffle_partitions(spark) / blocks))
+    parts = shuffle_partitions(spark)  # the gallery stays cut, however many blocks there are
+    cells = max(parts, math.ceil(4 * parts / blocks))
     left = queries.select(
         F.explode(F.sequence(F.lit(0), F.lit(cells - 1))).alias("cell"),
         F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block"),
@@ -350,7 +364,7 @@ def _scan(reducer, metric: str, k: int, queries: DataFrame, gallery: DataFrame,
         "role", "id", "values", "answer", "own")
     return (
         both.repartition("part").sortWithinPartitions("part", "role")
-        .mapInArrow(_paired(make), schema)
+        .mapInArrow(_paired(make, width), schema)
     )
 
 
@@ -368,8 +382,9 @@ def nearest_codes(queries: DataFrame, codes: DataFrame, k: int, code: str = "cod
 
     `shipped` saves the fetch when the caller already did it.
     """
-    shipped = shipped or ship(queries, code, max_shipped)
-    partial = _scan(_TopK, "hamming", k, _as_queries(queries, code), _as_gallery(codes, code), shipped)
+    width = stored_width(codes, code)
+    shipped = shipped or ship(queries, code, max_shipped, width=width)
+    partial = _scan(_TopK, "hamming", k, _as_queries(queries, code), _as_gallery(codes, code), shipped, width)
     return topk_per_query(partial, k, "distance", "image_id")
 
 
@@ -379,8 +394,9 @@ def nearest_vectors(queries: DataFrame, vectors: DataFrame, k: int, metric: str
     """k nearest vectors of each query by full-precision score, ties by image id."""
     if metric not in METRICS[1:]:
         raise ValueError(f"unknown metric {metric!r}")
-    shipped = shipped or ship(queries, vector, max_shipped)
-    partial = _scan(_TopK, metric, k, _as_queries(queries, vector), _as_gallery(vectors, vector), shipped)
+    width = stored_width(vectors, vector)
+    shipped = shipped or ship(queries, vector, max_shipped, width=width)
+    partial = _scan(_TopK, metric, k, _as_queries(queries, vector), _as_gallery(vectors, vector), shipped, width)
     best = F.asc("score") if metric == "euclid" else F.desc("score")
     return topk_per_query(partial, k, best, "image_id")
 
@@ -392,8 +408,9 @@ def answer_rank(queries: DataFrame, gallery: DataFrame, metric: str, values: str
     `own` names the column with the query's score against its answer. Tasks emit
     two counts per query, never the scores themselves.
     """
-    shipped = ship(queries, values, max_shipped, "answer_id", own)
+    width = stored_width(gallery, values)
+    shipped = ship(queries, values, max_shipped, "answer_id", own, width)
     counts = _scan(_Ahead, metric, 0, _as_queries(queries, values, "answer_id", own),
-                   _as_gallery(gallery, values), shipped)
+                   _as_gallery(gallery, values), shipped, width)
     return counts.groupBy("query_id").agg(
         (F.sum("better") + F.sum("tied")).cast("bigint").alias("rank"))

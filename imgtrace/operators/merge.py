@@ -22,10 +22,10 @@ KEEP_IF_NEW_EMPTY = ("phash", "dhash", "thumb_path")
 
 
 def latest_per_key(df: DataFrame, keys: list[str], arrival: str) -> DataFrame:
-    """Last arrival wins; the arrival column is dropped."""
+    """Last arrival wins, of equal ones that with the largest content digest; the arrival column is dropped."""
     rest = [c for c in df.columns if c not in keys and c != arrival]
     return df.groupBy(*keys).agg(
-        F.max_by(F.struct(*rest), F.col(arrival)).alias("_r")).select(*keys, "_r.*")
+        F.max_by(F.struct(*rest), F.struct(F.col(arrival), F.xxhash64(*rest))).alias("_r")).select(*keys, "_r.*")
 
 
 def merge(old: DataFrame, new: DataFrame, keys: list[str],
@@ -195,10 +195,15 @@ def record_probes(log: DataFrame, arrival: str) -> DataFrame:
 
 
 def record_metrics(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Samples already present for (node, time) stay; a repeated new one is kept once."""
+    """Samples already present for (node, time) stay; of repeated new ones that with the largest digest.
+
+    Only the old samples of the new ones' times and nodes are looked at.
+    """
     key = ["node_id", "observed_at"]
-    fresh = new.join(old.select(*key), key, "left_anti").dropDuplicates(key)
-    return old.unionByName(fresh)
+    once = latest_per_key(new.withColumn("_same", F.lit(0)), key, "_same")
+    low, high = once.select(F.min("observed_at")).scalar(), once.select(F.max("observed_at")).scalar()
+    near = old.where(F.col("observed_at").between(low, high)).select(*key)
+    return old.unionByName(once.join(near, key, "left_anti"))
 
 
 def init_state(old: DataFrame, new: DataFrame) -> DataFrame:

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from imgtrace.functions.rules import DEFAULT_RANGE_SIZE, MAX_ATTEMPTS, STALE_LEASE_MINUTES
-from imgtrace.operators.ranking import SEGMENT_WIDTH, previous_by_key_desc
+from imgtrace.operators.ranking import SEGMENT_WIDTH, previous_by_key_desc, row_numbers
 from imgtrace.operators.setdiff import as_ts
 
 # --- fixed values ---------------------------------------------------------
@@ -21,6 +21,8 @@ DEFAULT_EXHAUSTED = 50
 SCOPE = ["source_site", "scope_key"]
 RANGE_KEY = [*SCOPE, "direction", "lower_id", "upper_id"]
 _SLICES_PER_STEP = 1024
+# Planned work is due from the start unless a time is given.
+ALWAYS = "1970-01-01 00:00:00"
 
 
 def _is(status: str) -> Column:
@@ -52,7 +54,7 @@ def coverage_gaps(ranges: DataFrame, limit: int | None = DEFAULT_GAPS, strict: b
 
     Compares each range with the one before it in descending upper order; with
     nested ranges that can report ids a wider range covers. `strict` compares
-    with the lowest id reached so far instead.
+    with the lowest id reached so far instead. `limit` counts per scope.
     """
     prev = previous_by_key_desc(ranges.select(*SCOPE, "lower_id", "upper_id"), SCOPE, "upper_id",
                                 "lower_id", "prev_lower", width, running_min=strict)
@@ -61,11 +63,17 @@ def coverage_gaps(ranges: DataFrame, limit: int | None = DEFAULT_GAPS, strict: b
     gaps = gaps.withColumn("gap_size", F.col("gap_to") - F.col("gap_from") + 1)
     if limit is None:
         return gaps
-    return gaps.orderBy(F.desc("gap_from")).limit(limit if limit > 0 else DEFAULT_GAPS)
+    return _newest_per_scope(gaps, limit if limit > 0 else DEFAULT_GAPS, "gap_from")
 
 
 def exhausted_ranges(ranges: DataFrame, limit: int = DEFAULT_EXHAUSTED) -> DataFrame:
-    return ranges.where(is_exhausted()).orderBy(F.desc("upper_id"), F.desc("lower_id")).limit(limit)
+    """The newest `limit` ranges of each scope that have no attempt left."""
+    return _newest_per_scope(ranges.where(is_exhausted()), limit, "upper_id", "lower_id")
+
+
+def _newest_per_scope(df: DataFrame, limit: int, *keys: str) -> DataFrame:
+    w = Window.partitionBy(*SCOPE).orderBy(*[F.desc(k) for k in keys])
+    return df.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= limit).drop("_r")
 
 
 def _stale(now, minutes: int = STALE_LEASE_MINUTES) -> Column:
@@ -73,7 +81,8 @@ def _stale(now, minutes: int = STALE_LEASE_MINUTES) -> Column:
 
 
 def stale_running(ranges: DataFrame, now, minutes: int = STALE_LEASE_MINUTES) -> DataFrame:
-    return ranges.agg(F.count_if(_is("running") & _stale(now, minutes)).alias("stale_running"))
+    """Running ranges per scope whose lease is too old."""
+    return ranges.groupBy(*SCOPE).agg(F.count_if(_is("running") & _stale(now, minutes)).alias("stale_running"))
 
 
 def reusable_ranges(ranges: DataFrame, now, floor: int) -> DataFrame:
@@ -110,6 +119,13 @@ def _cut_down(df: DataFrame, low: str, high: str, size: int) -> DataFrame:
     )
 
 
+def _with_ids(fresh: DataFrame, existing: DataFrame) -> DataFrame:
+    """Ids after the largest one there is, in order of the range; without ids in `existing`, from 1."""
+    last = F.coalesce(existing.select(F.max("id")).scalar(), F.lit(0)) if "id" in existing.columns else F.lit(0)
+    numbered = row_numbers(fresh, [], "lower_id", [*SCOPE, "direction", "upper_id"], "_n")
+    return numbered.withColumn("id", (F.col("_n") + last).cast("bigint")).drop("_n")
+
+
 def _new_work(df: DataFrame) -> DataFrame:
     return df.select(
         *SCOPE, F.lit("backfill").alias("direction"), F.col("slice_lower").alias("lower_id"),
@@ -117,11 +133,13 @@ def _new_work(df: DataFrame) -> DataFrame:
         F.lit(0).alias("attempts"))
 
 
-def plan_gap_ranges(gaps: DataFrame, existing: DataFrame, size: int) -> DataFrame:
-    """New work covering the gaps, cut from the top; slices already known are left out."""
+def plan_gap_ranges(gaps: DataFrame, existing: DataFrame, size: int, now=ALWAYS) -> DataFrame:
+    """New work covering the gaps, cut from the top, due at `now`; slices already known are left out."""
     size = size if size >= 1 else DEFAULT_RANGE_SIZE
     planned = _new_work(_cut_down(gaps, "gap_from", "gap_to", size)).distinct()
-    return planned.join(existing.select(*RANGE_KEY), RANGE_KEY, "left_anti")
+    fresh = planned.join(existing.select(*RANGE_KEY), RANGE_KEY, "left_anti")
+    return _with_ids(fresh, existing).withColumn("ready_at", as_ts(now)).withColumn(
+        "leased_at", F.lit(None).cast("timestamp"))
 
 
 def plan_backfill(state: DataFrame, floor: int, size: int) -> DataFrame:
@@ -133,10 +151,10 @@ def plan_backfill(state: DataFrame, floor: int, size: int) -> DataFrame:
         *SCOPE, F.col("slice_lower").alias("lower_id"), F.col("slice_upper").alias("upper_id"))
 
 
-def split_at_floor(ranges: DataFrame, floor: int) -> DataFrame:
+def split_at_floor(ranges: DataFrame, floor: int, now=ALWAYS) -> DataFrame:
     """Failed or running ranges across the floor keep their upper part.
 
-    What lies below becomes new, never attempted work unless it already exists.
+    What lies below becomes new, never attempted work, due at `now`, unless it already exists.
     """
     across = (F.col("lower_id") < floor) & (F.col("upper_id") >= floor) & \
         F.col("status").isin("failed", "running")
@@ -144,6 +162,8 @@ def split_at_floor(ranges: DataFrame, floor: int) -> DataFrame:
         *SCOPE, "direction", "lower_id", F.lit(floor - 1).cast("bigint").alias("upper_id"),
         F.lit("failed").alias("status"), F.lit(0).alias("attempts"))
     fresh = below.distinct().join(ranges.select(*RANGE_KEY), RANGE_KEY, "left_anti")
+    fresh = _with_ids(fresh, ranges).withColumn("ready_at", as_ts(now))
+    fresh = fresh.select(*[c for c in fresh.columns if c in ranges.columns])
     kept = ranges.withColumn(
         "lower_id", F.when(across, F.lit(floor).cast("bigint")).otherwise(F.col("lower_id")))
     return kept.unionByName(fresh, allowMissingColumns=True)

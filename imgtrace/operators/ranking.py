@@ -19,7 +19,12 @@ def _segment(key: str, width: int) -> Column:
 
 
 def _null_safe_join(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
-    return left.join(right, on, "left")
+    """Left join by equal keys, null equal to null; the right side's keys go."""
+    right = right.withColumnsRenamed({c: f"_right_{c}" for c in on})
+    same = F.lit(True)
+    for c in on:
+        same = same & F.col(c).eqNullSafe(F.col(f"_right_{c}"))
+    return left.join(right, same, "left").drop(*[f"_right_{c}" for c in on])
 
 
 def previous_by_key_desc(df: DataFrame, group: list[str], key: str, value: str, out: str,
@@ -63,8 +68,7 @@ def row_numbers(df: DataFrame, group: list[str], key: str, ties: list[str], out:
     )
     inside = Window.partitionBy(*group, "_seg").orderBy(key, *ties)
     return (
-        seg.withColumn("_row", F.row_number().over(inside))
-        .join(offsets, [*group, "_seg"])
+        _null_safe_join(seg.withColumn("_row", F.row_number().over(inside)), offsets, [*group, "_seg"])
         .withColumn(out, F.col("_row") + F.col("_off")).drop("_seg", "_row", "_off")
     )
 
@@ -82,7 +86,7 @@ def ranked_values(df: DataFrame, group: list[str], value: str,
     )
     limits = [F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_c").alias("n")]
     if group:
-        bounded = counts.join(counts.groupBy(*group).agg(*limits), group)
+        bounded = _null_safe_join(counts, counts.groupBy(*group).agg(*limits), group)
     else:
         one = counts.select(F.struct(*limits)).scalar()
         bounded = counts.withColumn("_b", one).select("_v", "_c", "_b.*")
@@ -102,7 +106,7 @@ def ranked_values(df: DataFrame, group: list[str], value: str,
         Window.unboundedPreceding, 0)
     hi = F.sum("_c").over(inside)
     return (
-        seg.withColumn("_cum", hi).join(offsets, [*group, "_seg"])
+        _null_safe_join(seg.withColumn("_cum", hi), offsets, [*group, "_seg"])
         .select(*group, F.col("_v").alias("value"), "n",
                 (F.col("_off") + F.col("_cum") - F.col("_c")).alias("lo"),
                 (F.col("_off") + F.col("_cum")).alias("hi"))

@@ -54,9 +54,11 @@ def _ship(df: DataFrame, proven: bool) -> DataFrame:
 def coarse_scan(queries: DataFrame, codes: DataFrame, limit: int,
                 max_shipped: int = knn.MAX_SHIPPED_QUERIES,
                 shipped: knn.Shipped | None = None) -> DataFrame:
-    """queries(query_id, code) x codes(image_id, code) -> the nearest codes per query."""
-    return knn.nearest_codes(queries, codes, coarse_want(limit), max_shipped=max_shipped,
+    """queries(query_id, code) x codes(image_id, code) -> the nearest codes per query, each picture once."""
+    near = knn.nearest_codes(queries, codes, coarse_want(limit), max_shipped=max_shipped,
                              shipped=shipped)
+    once = Window.partitionBy("query_id", "image_id").orderBy("rank")
+    return near.withColumn("_r", F.row_number().over(once)).where("_r = 1").drop("_r")
 
 
 def fetch_originals(cands: DataFrame, vectors: DataFrame, model_id: str,
@@ -121,11 +123,17 @@ def exact_match(hits: DataFrame) -> DataFrame:
 def search(queries: DataFrame, codes: DataFrame, vectors: DataFrame, images: DataFrame,
            model_id: str, limit: int = DEFAULT_LIMIT, candidates: int = DEFAULT_CANDIDATES,
            max_shipped: int = knn.MAX_SHIPPED_QUERIES) -> DataFrame:
-    """queries(query_id, vector, phash[, code]) -> at most `limit` ranked hits per query."""
+    """queries(query_id, vector, phash[, code]) -> at most `limit` ranked hits per query.
+
+    A query of another size than the model's codes has no hits. Codes of other models are left out
+    where the table says whose they are.
+    """
+    if "model_id" in codes.columns:
+        codes = codes.where(F.col("model_id") == model_id)
     candidates = effective_candidates(limit, candidates)
     if "code" not in queries.columns:
         queries = queries.withColumn("code", V.encode_sign(F.col("vector")))
-    shipped = knn.ship(queries, "code", max_shipped)
+    shipped = knn.ship(queries, "code", max_shipped, width=knn.stored_width(codes, "code"))
     proven = small_enough(shipped, coarse_want(candidates))
     cands = coarse_scan(queries, codes, candidates, max_shipped, shipped).select(
         "query_id", "image_id")
@@ -159,7 +167,7 @@ def hash_search(queries: DataFrame, gallery: DataFrame, k: int = 1,
 def two_step_scores(queries: DataFrame, gallery: DataFrame, topk: int,
                     max_shipped: int = knn.MAX_SHIPPED_QUERIES) -> DataFrame:
     """Vector top-k, then the smallest hash distance inside it; score is its negative."""
-    shipped = knn.ship(queries, "vector", max_shipped)
+    shipped = knn.ship(queries, "vector", max_shipped, width=knn.stored_width(gallery, "vector"))
     near = knn.nearest_vectors(queries, gallery, topk, max_shipped=max_shipped, shipped=shipped)
     proven = small_enough(shipped, topk)
     g = gallery.select("image_id", F.col("phash").alias("image_phash"))

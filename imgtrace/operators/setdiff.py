@@ -19,7 +19,7 @@ WHY_GONE = "deleted or unsupported"
 # --------------------------------------------------------------------------
 
 # One active model per kind, so the active list stays at the number of kinds.
-MAX_ACTIVE_MODELS = 64
+MAX_ACTIVE_MODELS = 62
 
 
 def active_models(models: DataFrame) -> list:
@@ -168,11 +168,16 @@ def rebuild_points(pending: DataFrame, images: DataFrame) -> DataFrame:
 
 
 def explain_missing(ids: DataFrame, images: DataFrame, state: DataFrame, ranges: DataFrame) -> DataFrame:
-    """Why a post is (not) in the catalog; the first reason that fits."""
-    high = F.coalesce(state.select(F.max("high_watermark_id")).scalar(), F.lit(0))
-    before = F.coalesce(state.select(F.max("backfill_before_id")).scalar(), F.lit(0))
-    exhausted = ranges.select(
-        F.count_if((F.col("status") == "failed") & (F.col("attempts") >= MAX_ATTEMPTS))).scalar()
+    """Why a post is (not) in the catalog; the first reason that fits.
+
+    Watermarks and exhausted ranges are those of the post's site, and of its scope where `ids` names one.
+    """
+    key = [c for c in ("source_site", "scope_key") if c in ids.columns]
+    marks = state.groupBy(*key).agg(F.max("high_watermark_id").alias("_high"), F.max("backfill_before_id").alias("_before"))
+    spent = ranges.groupBy(*key).agg(
+        F.count_if((F.col("status") == "failed") & (F.col("attempts") >= MAX_ATTEMPTS)).alias("_exhausted"))
+    ids = ids.join(marks, key, "left").join(spent, key, "left")
+    high, before, exhausted = (F.coalesce(c, F.lit(0)) for c in ("_high", "_before", "_exhausted"))
     have = images.select("source_site", "source_post_id", "image_id")
     reason = (
         F.when(F.col("image_id").isNotNull(), "")
@@ -182,7 +187,7 @@ def explain_missing(ids: DataFrame, images: DataFrame, state: DataFrame, ranges:
         .otherwise(WHY_GONE)
     )
     return ids.join(have, ["source_site", "source_post_id"], "left").select(
-        "source_site", "source_post_id", F.col("image_id").isNotNull().alias("indexed"),
+        *key, "source_post_id", F.col("image_id").isNotNull().alias("indexed"),
         reason.alias("reason"))
 
 

@@ -27,7 +27,7 @@ def pending_vectors(vectors: DataFrame, model_id: str, limit: int | None = None)
 
 
 def to_codes(vectors: DataFrame) -> DataFrame:
-    return vectors.select("image_id", "model_id", V.encode_sign(F.col("vector")).alias("code"))
+    return vectors.select("image_id", "model_id", V.encode_sign_bulk(F.col("vector")).alias("code"))
 
 
 def replace_codes(codes: DataFrame, fresh: DataFrame) -> DataFrame:

@@ -48,22 +48,24 @@ def progress(summary: DataFrame, stats: DataFrame, saved_per_second: float = 0.0
 
 
 def jobs_report(ranges: DataFrame, retries: DataFrame, state: DataFrame, now) -> DataFrame:
-    """Everything the operations page shows for one scope, in one row.
+    """Everything the operations page shows, one row per scope.
 
-    The two lists inside are top-50 exhausted ranges and top-20 gaps.
+    The two lists inside are the scope's top-50 exhausted ranges and top-20 gaps.
     """
     stats = G.range_stats(ranges)
     summary = crawl_summary(ranges, retries, state)
-    worst = G.exhausted_ranges(ranges).select(F.struct(
+    worst = G.exhausted_ranges(ranges).select(*SCOPE, F.struct(
         F.col("upper_id").alias("upper"), F.col("lower_id").alias("lower"), F.col("id").alias("id"),
         (F.col("upper_id") - F.col("lower_id") + 1).alias("count"), "attempts",
         F.substring(F.coalesce("last_error", F.lit("")), 1, 160).alias("error")).alias("item"))
-    gaps = G.coverage_gaps(ranges).select(F.struct("gap_from", "gap_to", "gap_size").alias("item"))
-    newest_first = lambda df: df.select(
-        F.sort_array(F.collect_list("item"), asc=False)).scalar()
-    stale = G.stale_running(ranges, now).scalar()
+    gaps = G.coverage_gaps(ranges).select(*SCOPE, F.struct("gap_from", "gap_to", "gap_size").alias("item"))
+    newest_first = lambda df, name: df.groupBy(*SCOPE).agg(
+        F.sort_array(F.collect_list("item"), asc=False).alias(name))
+    listed = lambda c, df: F.coalesce(F.col(c), F.array().cast(df.schema[c].dataType)).alias(c)
+    worst, gaps = newest_first(worst, "failed_ranges"), newest_first(gaps, "gaps")
     return stats.join(
         summary.select(*SCOPE, "retry_pending", "retry_dead", "high_watermark", "backfill_before"),
         SCOPE, "left",
-    ).withColumn("stale_running", stale).withColumn("failed_ranges", newest_first(worst)).withColumn(
-        "gaps", newest_first(gaps))
+    ).join(G.stale_running(ranges, now), SCOPE, "left").join(worst, SCOPE, "left").join(gaps, SCOPE, "left").select(
+        *[c for c in stats.columns], "retry_pending", "retry_dead", "high_watermark", "backfill_before", "stale_running",
+        listed("failed_ranges", worst), listed("gaps", gaps))

@@ -127,7 +127,14 @@ _STALE = f"""(SELECT count(*) FROM crawl_ranges WHERE status = 'running'
 
 @query("d6_stale_running", with_("crawl_ranges") + f"SELECT {_STALE} AS stale_running")
 def stale_running(spark, sf):
-    return G.stale_running(D.crawl_ranges(spark, sf), D.ORDERS_NOW)
+    return G.stale_running(D.crawl_ranges(spark, sf), D.ORDERS_NOW).select("stale_running")
+
+
+@query("d6_stale_two_scopes", with_("crawl_ranges", two=D.TWO_SCOPES_SQL) + f"""
+SELECT source_site, scope_key, count(*) FILTER (status = 'running'
+  AND leased_at < TIMESTAMP '{D.ORDERS_NOW}' - INTERVAL 30 MINUTE) AS stale_running FROM two GROUP BY 1, 2""")
+def stale_two(spark, sf):
+    return G.stale_running(D.two_scopes(spark, sf), D.ORDERS_NOW)
 
 
 @query("d7_progress", with_("crawl_ranges", "retries", "states", s=_SUMMARY, t=_STATS) + """
@@ -366,6 +373,25 @@ def coverage_gaps(spark, sf):
         "gap_from", "gap_to", "gap_size")
 
 
+@query("e1_gaps_two_scopes", with_("crawl_ranges", two=D.TWO_SCOPES_SQL, g=GAPS.replace("FROM crawl_ranges", "FROM two")) + """
+SELECT scope_key, gap_from, gap_to FROM (
+  SELECT *, row_number() OVER (PARTITION BY source_site, scope_key ORDER BY gap_from DESC) AS r FROM g) WHERE r <= 20""")
+def gaps_two(spark, sf):
+    return G.coverage_gaps(D.two_scopes(spark, sf)).select("scope_key", "gap_from", "gap_to")
+
+
+@query("d8_jobs_two_scopes", with_("crawl_ranges", two=D.TWO_SCOPES_SQL, g=GAPS.replace("FROM crawl_ranges", "FROM two")) + f"""
+SELECT t.scope_key, count(*) AS total, count(*) FILTER (status = 'running'
+    AND leased_at < TIMESTAMP '{D.ORDERS_NOW}' - INTERVAL 30 MINUTE) AS stale_running,
+  least(20, (SELECT count(*) FROM g WHERE g.scope_key = t.scope_key)) AS gaps,
+  least(50, count(*) FILTER (status = 'failed' AND attempts >= 5)) AS failed_ranges
+FROM two t GROUP BY t.scope_key""")
+def jobs_two(spark, sf):
+    r = reports.jobs_report(D.two_scopes(spark, sf), D.crawl_post_retries(spark, sf), D.crawl_states(spark, sf), D.ORDERS_NOW)
+    return r.select("scope_key", "total", "stale_running", i64(F.size("gaps")).alias("gaps"),
+                    i64(F.size("failed_ranges")).alias("failed_ranges"))
+
+
 @query("e1_coverage_gaps_top20", with_("crawl_ranges", g=GAPS) + """
 SELECT gap_from, gap_to, gap_size FROM g ORDER BY gap_from DESC LIMIT 20""")
 def coverage_gaps_top(spark, sf):

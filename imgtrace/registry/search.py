@@ -78,6 +78,24 @@ def search(spark, sf):
         r6("score").alias("score"), "hash_distance", "exact")
 
 
+@query("f8_mixed_sizes", _ALL + """
+SELECT query_id, hit_rank, image_id FROM hits""")
+def mixed_sizes(spark, sf):
+    """Queries of a wrong size among the others have no hits and cost nobody else theirs."""
+    q = D.queries(spark, sf)
+    odd = q.where("query_id % 10 = 0").withColumn("query_id", -F.col("query_id") - 1).withColumn(
+        "vector", F.concat("vector", F.slice("vector", 1, 8)))
+    return S.search(q.unionByName(odd), D.codes(spark, sf), D.image_vectors(spark, sf), D.gallery(spark, sf), "copy64").select(
+        "query_id", i64("hit_rank").alias("hit_rank"), "image_id")
+
+
+@query("f4_exhausted_two_scopes", with_("crawl_ranges", two=D.TWO_SCOPES_SQL) + """
+SELECT scope_key, id FROM (SELECT *, row_number() OVER (PARTITION BY scope_key ORDER BY upper_id DESC) AS r
+  FROM two WHERE status = 'failed' AND attempts >= 5) WHERE r <= 50""")
+def exhausted_two(spark, sf):
+    return G.exhausted_ranges(D.two_scopes(spark, sf)).select("scope_key", "id")
+
+
 @query("f4_exhausted_ranges", with_("crawl_ranges") + """
 SELECT id, lower_id, upper_id, attempts FROM crawl_ranges WHERE status = 'failed' AND attempts >= 5
 ORDER BY upper_id DESC LIMIT 50""")

@@ -39,6 +39,17 @@ def plan_gap_ranges_again(spark, sf):
     return again.agg(F.count("*").alias("created"))
 
 
+@query("g1_planned_is_leasable", with_("crawl_ranges", g=GAPS, planned=_PLANNED) + """
+SELECT (SELECT max(id) FROM crawl_ranges) + row_number() OVER (ORDER BY lower_id, upper_id) AS id, lower_id, upper_id
+FROM planned p WHERE NOT EXISTS (
+  SELECT 1 FROM crawl_ranges r WHERE r.lower_id = p.lower_id AND r.upper_id = p.upper_id)""")
+def planned_is_leasable(spark, sf):
+    """Every planned range is in the backlog at once, under an id of its own."""
+    r = D.crawl_ranges(spark, sf)
+    planned = G.plan_gap_ranges(G.coverage_gaps(r, limit=None), r, 2, D.ORDERS_NOW)
+    return G.reusable_ranges(planned, D.ORDERS_NOW, 0).select("id", "lower_id", "upper_id")
+
+
 @query("g2_plan_backfill", with_("states") + """
 SELECT greatest(u - 9, 100) AS lower_id, u AS upper_id
 FROM (SELECT unnest(range(backfill_before_id - 1, 99, -10)) AS u FROM states)""")

@@ -35,11 +35,13 @@ def build_session(app: str = "imgtrace", master: str | None = None, **conf: str)
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh folder under `spark.checkpoint.dir`.
 
-    The cluster names a shared folder there. Only where it names none (tests on
-    one machine) is a temporary folder made.
+    The cluster names a shared folder there. Only in local mode (tests on one
+    machine) is a temporary folder made where it names none.
     """
     global _local_base
     base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not base:
         if _local_base is None:
             _local_base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from imgtrace.functions import vectors as V
+from imgtrace.session import shuffle_partitions
 
 
 class CollectionMismatch(ValueError):
@@ -16,11 +17,11 @@ def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None,
                 sort_by: str | None = None) -> None:
     """Write a new version; an existing path is never overwritten.
 
-    Rows are clustered by partition and sorted so parquet min/max statistics
-    prune id lookups. A salt keeps one large partition value spread over tasks.
+    Rows are dealt by range of (partition, sort key), so a large partition value is
+    spread over tasks and each file holds id bounds of its own, by which lookups prune.
     """
     if partition_by and sort_by:
-        df = df.repartition(*partition_by, F.pmod(F.xxhash64(sort_by), F.lit(64)))
+        df = df.repartitionByRange(shuffle_partitions(df.sparkSession), *partition_by, sort_by)
         df = df.sortWithinPartitions(*partition_by, sort_by)
     w = df.write.mode("errorifexists")
     if partition_by:
@@ -28,18 +29,30 @@ def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None,
     w.parquet(path)
 
 
-def write_catalog(images: DataFrame, vectors: DataFrame, path: str) -> None:
-    """images by site; vectors and their sign codes by model; one model table beside them."""
+def write_catalog(images: DataFrame, vectors: DataFrame, path: str, models: DataFrame | None = None) -> None:
+    """images by site; vectors and their sign codes by model; one model table beside them.
+
+    `models` gives each model's distance (cosine where it names none). A model with a distance that
+    sign codes can't stand for, or with vectors of several sizes, is refused before anything is written.
+    """
     spark = images.sparkSession
+    sizes = vectors.groupBy("model_id").agg(
+        F.min(F.size("vector")).alias("least"), F.max(F.size("vector")).alias("vector_size"))
+    if models is not None:
+        sizes = sizes.join(models.select("model_id", "distance"), "model_id", "left")
+    else:
+        sizes = sizes.withColumn("distance", F.lit(None).cast("string"))
+    sizes = sizes.withColumn("distance", F.coalesce("distance", F.lit("cosine")))
+    wrong = sizes.where((F.col("least") != F.col("vector_size")) | ~F.col("distance").isin("cosine", "dot")).take(1)
+    if wrong:
+        raise CollectionMismatch(str(wrong[0].asDict()))
     write_table(images, f"{path}/images", ["source_site"], "image_id")
     write_table(vectors, f"{path}/image_vectors", ["model_id"], "image_id")
     stored = spark.read.parquet(f"{path}/image_vectors")
     write_table(
-        stored.select("image_id", "model_id", V.encode_sign(F.col("vector")).alias("code")),
+        stored.select("image_id", "model_id", V.encode_sign_bulk(F.col("vector")).alias("code")),
         f"{path}/codes", ["model_id"], "image_id")
-    stored.groupBy("model_id").agg(
-        F.max(F.size("vector")).alias("vector_size"), F.lit("cosine").alias("distance")
-    ).coalesce(1).write.mode("errorifexists").parquet(f"{path}/collections")
+    sizes.drop("least").coalesce(1).write.mode("errorifexists").parquet(f"{path}/collections")
 
 
 def collection_conflicts(collections: DataFrame, models: DataFrame) -> DataFrame:

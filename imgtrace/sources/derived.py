@@ -165,6 +165,17 @@ def crawl_ranges(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+TWO_SCOPES_SQL = """
+  SELECT * FROM crawl_ranges
+  UNION ALL SELECT * REPLACE ('other' AS scope_key) FROM crawl_ranges WHERE id % 3 <> 0"""
+
+
+def two_scopes(spark: SparkSession, sf: str) -> DataFrame:
+    """The ranges under one scope, and two thirds of them under another."""
+    r = crawl_ranges(spark, sf)
+    return r.unionByName(r.where("id % 3 != 0").withColumn("scope_key", F.lit("other")))
+
+
 def crawl_post_retries(spark: SparkSession, sf: str) -> DataFrame:
     o = table(spark, sf, "orders")
     st = F.col("o_orderstatus")
