@@ -9,10 +9,10 @@ collection agrees, which has probability 7e-6; at 0.9 it is 2e-7.
    never meet as pairs).
 2. Star round: a table key with several classes links each to one hub, the class
    that meets most others; the links are confirmed on full sets and joined up.
-3. Cross round: whatever still shares a key without being connected is compared
-   pair by pair, in blocks of bounded size, by set sizes and sketches first; a pair
-   is passed on by the first table in which it meets, so it comes up once. What
-   passes is confirmed on full sets.
+3. Cross round: whatever still shares a key without being connected is compared in
+   blocks of bounded size by set sizes and by a finer sketch, 512 hashes of two bits,
+   which a pair of similarity 0.85 fails with probability 1e-7. A pair is passed on by
+   the first table in which it meets, so it comes up once, and is confirmed on full sets.
 
 After that every pair that shares a key is either connected or refuted.
 """
@@ -27,6 +27,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .queries import query
+from imgtrace.session import shuffle_partitions
+
 from .tables import checked_broadcast, materialize, table, take_columns
 from .words import blocks, each_text, find_words, hash_words, mix, signed
 
@@ -36,6 +38,8 @@ HASHES = COLLECTIONS * EACH
 TABLES = list(combinations(range(COLLECTIONS), 2))
 #: Of 24 hashes, a pair of similarity 0.85 agrees in fewer with probability 1e-6.
 LEAST_EQUAL = 11
+#: Two-bit hashes of the finer sketch, and how many may differ: 57.6 are expected at 0.85, with a deviation of 7.2.
+FINE, MOST_DIFFER = 512, 97
 #: Classes of one key that a task compares with as many others at a time.
 BLOCK = 1024
 NO_ID = (1 << 63) - 1
@@ -43,6 +47,7 @@ NO_ID = (1 << 63) - 1
 _rng = np.random.Generator(np.random.PCG64(77))
 _ODD = _rng.integers(1, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _PLACE = _rng.integers(1, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_FINE = _rng.integers(1, 1 << 63, FINE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _MORE = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -223,64 +228,96 @@ def _first_table(eq: np.ndarray) -> np.ndarray:
     return one * COLLECTIONS - one * (one + 1) // 2 + two - one - 1
 
 
+def fine_sketches(sets: DataFrame) -> DataFrame:
+    """(id, fine): two bits of each of FINE minimum hashes of the sets (id, shingles)."""
+
+    def run(batches):
+        for batch in batches:
+            made = []
+            for raw in batch.column(1):
+                x = np.frombuffer(raw.as_buffer(), np.uint64)
+                low = np.empty(FINE, np.uint64)
+                for lo in range(0, FINE, 64):
+                    y = x[None, :] * _FINE[lo:lo + 64, None]
+                    y ^= y >> np.uint64(32)
+                    y *= _MORE
+                    low[lo:lo + 64] = y.min(1)
+                two = ((low ^ (low >> np.uint64(17))) & np.uint64(3)).astype(np.uint8).reshape(-1, 4)
+                made.append((two[:, 0] | two[:, 1] << 2 | two[:, 2] << 4 | two[:, 3] << 6).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], ["id", "fine"])
+
+    return sets.select("id", "shingles").mapInArrow(run, "id long, fine binary")
+
+
+def pairs_of(rows: pa.Table, percent: int):
+    """The pairs of one group of `cross_pairs`, in batches."""
+    own, t, ids = rows["__own"].to_numpy(), rows["t"][0].as_py(), rows["id"].to_numpy()
+    comp, n = rows["component"].to_numpy(), rows["n_shingles"].to_numpy()
+    c = collections(unpack(rows["sketch"].combine_chunks()))
+    fine = np.frombuffer(b"".join(rows["fine"].to_pylist()), np.uint64).reshape(len(ids), -1)
+    p, q = rows["p"][0].as_py(), rows["q"][0].as_py()
+    left, right = np.flatnonzero(own == p), np.flatnonzero(own == q)
+    # pairs within the largest component need no look: one side is always outside it
+    names, sizes = np.unique(comp, return_counts=True)
+    main = comp == names[sizes.argmax()]
+    sides = [(left[~main[left]], right, p == q)] + ([(right[~main[right]], left[main[left]], False)] if p != q else [])
+    for some, others, within in sides:
+        for lo in range(0, len(some), 64):
+            i, j = np.meshgrid(some[lo:lo + 64], others, indexing="ij")
+            i, j = i.ravel(), j.ravel()
+            ok = comp[i] != comp[j]
+            if within:
+                ok &= main[j] | (i < j)
+            ok &= percent * np.maximum(n[i], n[j]) <= 100 * np.minimum(n[i], n[j])
+            i, j = i[ok], j[ok]
+            eq = c[i] == c[j]
+            ok = eq.sum(1) > 1
+            ok[ok] = _first_table(eq[ok]) == t
+            i, j = i[ok], j[ok]
+            x = fine[i] ^ fine[j]
+            ok = np.bitwise_count((x | x >> np.uint64(1)) & np.uint64(0x5555555555555555)).sum(1) <= MOST_DIFFER
+            a, b = ids[i[ok]], ids[j[ok]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+
 def cross_pairs(members: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of different components that share a key and may link, each once.
 
-    `members`: key, t, id, component, n_shingles, sketch, n (rows of the key). A key with more than BLOCK
-    rows is cut into blocks, and each two blocks meet in a group of their own.
+    `members`: key, t, id, component, n_shingles, sketch, fine, n (rows of the key). A key with more than
+    BLOCK rows is cut into blocks, and each two blocks meet in a group of their own.
     """
     cut = members.withColumn("__cuts", F.ceil(F.col("n") / BLOCK).cast("int"))
     cut = cut.withColumn("__own", F.pmod(F.xxhash64("id"), F.col("__cuts")).cast("int"))
     cut = cut.withColumn("__other", F.explode(F.sequence(F.lit(0), F.col("__cuts") - 1)))
     cut = cut.select("key", F.least("__own", "__other").alias("p"), F.greatest("__own", "__other").alias("q"), "__own",
-                     "t", "id", "component", "n_shingles", "sketch")
-
-    def pairs_of(rows: pa.Table):
-        own, t, ids = rows["__own"].to_numpy(), rows["t"][0].as_py(), rows["id"].to_numpy()
-        comp, n, mins = rows["component"].to_numpy(), rows["n_shingles"].to_numpy(), unpack(rows["sketch"].combine_chunks())
-        p, q = rows["p"][0].as_py(), rows["q"][0].as_py()
-        left = np.flatnonzero(own == p)
-        right = left if p == q else np.flatnonzero(own == q)
-        c = collections(mins)
-        for lo in range(0, len(left), 64):
-            i, j = np.meshgrid(left[lo:lo + 64], right, indexing="ij")
-            i, j = i.ravel(), j.ravel()
-            some = comp[i] != comp[j]
-            if p == q:
-                some &= i < j
-            i, j = i[some], j[some]
-            some = _may_link(n, mins, i, j, percent)
-            i, j = i[some], j[some]
-            eq = c[i] == c[j]
-            some = (eq.sum(1) > 1)
-            some[some] = _first_table(eq[some]) == t
-            a, b = ids[i[some]], ids[j[some]]
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+                     "t", "id", "component", "n_shingles", "sketch", "fine")
 
     def run(batches):
-        """Groups are runs of rows in key order; a group is at most two blocks."""
-        held: list[pa.RecordBatch] = []
-        for batch in batches:
-            held.append(batch)
-            rows = pa.Table.from_batches(held)
-            yield from cut_groups(rows, False)
-            held = rest
-        if held:
-            yield from cut_groups(pa.Table.from_batches(held), True)
-
-    rest: list[pa.RecordBatch] = []
-
-    def cut_groups(rows: pa.Table, last: bool):
-        nonlocal rest
-        key = np.stack([rows[c].to_numpy() for c in ("key", "p", "q")])
-        heads = np.concatenate(([0], np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0)) + 1, [rows.num_rows]))
-        for lo, hi in zip(heads[:-1] if last else heads[:-2], heads[1:] if last else heads[1:-1], strict=True):
-            if hi - lo > 1:
-                yield from pairs_of(rows.slice(lo, hi - lo))
-        rest = [] if last else rows.slice(heads[-2]).combine_chunks().to_batches()
+        """Groups are runs of rows in key order, of at most two blocks; the last run of a batch waits for the next."""
+        rest: list[pa.RecordBatch] = []
+        for batch in _with_end(batches):
+            if batch is not None:
+                rest.append(batch)
+            if not rest:
+                continue
+            rows = pa.Table.from_batches(rest)
+            key = np.stack([rows[x].to_numpy() for x in ("key", "p", "q")])
+            heads = np.concatenate(([0], np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0)) + 1, [rows.num_rows])).tolist()
+            if batch is not None:
+                rest = rows.slice(heads[-2]).combine_chunks().to_batches()
+                heads.pop()
+            for lo, hi in zip(heads[:-1], heads[1:], strict=True):
+                if hi - lo > 1:
+                    yield from pairs_of(rows.slice(lo, hi - lo), percent)
 
     by = ["key", "p", "q"]
-    return cut.repartition(*by).sortWithinPartitions(*by).mapInArrow(run, "a long, b long")
+    parts = shuffle_partitions(members.sparkSession)  # little data, much work: not to be merged into few tasks
+    return cut.repartition(parts, *by).sortWithinPartitions(*by).mapInArrow(run, "a long, b long")
+
+
+def _with_end(batches):
+    yield from (b for b in batches if b.num_rows)
+    yield None
 
 
 # --- the operator ----------------------------------------------------------------------------
@@ -309,29 +346,25 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, percent: int = PERCEN
     hubs = members.join(degree, "id").groupBy("key").agg(F.max(F.struct("degree", "id")).alias("h")).select("key", F.col("h.id").alias("hub"))
     star = members.join(hubs, "key").where("id != hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
     star = materialize(sieved(star, classes, percent), "star-pairs")
-    sets = materialize(stored_sets(docs, ids_of(star), width), "sets")
+    sets = materialize(stored_sets(docs, materialize(members.select("id").distinct(), "ids"), width), "sets")
     links = materialize(confirmed(star, sets, percent), "star-links")
     label = materialize(components(links), "star-components")
 
     known = members.join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
     mixed = known.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("key")
-    open_ = known.join(mixed, "key").join(classes, "id")
+    open_ = materialize(known.join(mixed, "key"), "open-members")
+    fine = fine_sketches(sets.join(open_.select("id").distinct(), "id", "left_semi"))
+    sketched = open_.join(classes, "id").join(fine, "id")
     tested = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    cross = materialize(cross_pairs(open_, percent).join(tested, ["a", "b"], "left_anti"), "cross-pairs")
-    more = ids_of(cross).join(sets.select("id"), "id", "left_anti")
-    sets = sets.unionByName(materialize(stored_sets(docs, materialize(more, "ids"), width), "sets"))
+    cross = materialize(cross_pairs(sketched, percent).join(tested, ["a", "b"], "left_anti"), "cross-pairs")
     again = confirmed(cross, sets, percent)
     all_links = label.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(again).unionByName(copies)
     final = components(all_links).withColumnRenamed("component", "component_id")
     out = sk.select("doc_id", "n_shingles", "id").join(final, "id", "left")
-    component = F.nullif(F.coalesce("component_id", "id"), F.lit(NO_ID))
+    component = F.nullif(F.when(F.col("n_shingles") > 0, F.coalesce("component_id", "id")).otherwise(F.col("id")), F.lit(NO_ID))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
 
 
-def ids_of(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-
-
 def sieved(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """The pairs whose sizes and sketches allow a link."""
 
