@@ -9,10 +9,12 @@ collection agrees, which has probability 7e-6; at 0.9 it is 2e-7.
    never meet as pairs).
 2. Star round: a table key with several classes links each to one hub, the class
    that meets most others; the links are confirmed on full sets and joined up.
-3. Cross round: whatever still shares a key without being connected is compared in
-   blocks of bounded size by set sizes and by a finer sketch, 512 hashes of two bits,
-   which a pair of similarity 0.85 fails with probability 1e-7. A pair is passed on by
-   the first table in which it meets, so it comes up once, and is confirmed on full sets.
+3. Cross rounds: whatever still shares a key without being connected is compared in
+   blocks of bounded size by set sizes and by a finer sketch, 2048 hashes of two bits,
+   which a pair of similarity 0.85 fails with probability 1e-7. A pair is looked at in
+   the first table in which it meets. At first each class passes on the few others that
+   look nearest; most classes that have a link are connected by these. For the classes
+   that still are not, all pairs are passed on. What is passed on is confirmed on full sets.
 
 After that every pair that shares a key is either connected or refuted.
 """
@@ -23,7 +25,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .queries import query
@@ -38,8 +40,10 @@ HASHES = COLLECTIONS * EACH
 TABLES = list(combinations(range(COLLECTIONS), 2))
 #: Of 24 hashes, a pair of similarity 0.85 agrees in fewer with probability 1e-6.
 LEAST_EQUAL = 11
-#: Two-bit hashes of the finer sketch, and how many may differ: 57.6 are expected at 0.85, with a deviation of 7.2.
-FINE, MOST_DIFFER = 512, 97
+#: Two-bit hashes of the finer sketch, and how many may differ: 230 are expected at 0.85, with a deviation of 14.3.
+FINE, MOST_DIFFER = 2048, 309
+#: Nearest others of a class that are tried before all pairs.
+TRIED = 4
 #: Classes of one key that a task compares with as many others at a time.
 BLOCK = 1024
 NO_ID = (1 << 63) - 1
@@ -249,8 +253,8 @@ def fine_sketches(sets: DataFrame) -> DataFrame:
     return sets.select("id", "shingles").mapInArrow(run, "id long, fine binary")
 
 
-def pairs_of(rows: pa.Table, percent: int):
-    """The pairs of one group of `cross_pairs`, in batches."""
+def pairs_of(rows: pa.Table, percent: int, nearest: bool):
+    """The pairs (a, b, by how much their sketches differ) of one group of `cross_pairs`, in batches."""
     own, t, ids = rows["__own"].to_numpy(), rows["t"][0].as_py(), rows["id"].to_numpy()
     comp, n = rows["component"].to_numpy(), rows["n_shingles"].to_numpy()
     c = collections(unpack(rows["sketch"].combine_chunks()))
@@ -275,13 +279,18 @@ def pairs_of(rows: pa.Table, percent: int):
             ok[ok] = _first_table(eq[ok]) == t
             i, j = i[ok], j[ok]
             x = fine[i] ^ fine[j]
-            ok = np.bitwise_count((x | x >> np.uint64(1)) & np.uint64(0x5555555555555555)).sum(1) <= MOST_DIFFER
-            a, b = ids[i[ok]], ids[j[ok]]
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+            differ = np.bitwise_count((x | x >> np.uint64(1)) & np.uint64(0x5555555555555555)).sum(1).astype(np.int64)
+            ok = np.flatnonzero(differ <= MOST_DIFFER)
+            if nearest and len(ok):  # the nearest of each i in this group
+                ok = ok[np.lexsort((ids[j[ok]], differ[ok], i[ok]))]
+                ok = ok[np.concatenate(([True], i[ok][1:] != i[ok][:-1]))]
+            yield pa.RecordBatch.from_arrays([pa.array(ids[i[ok]]), pa.array(ids[j[ok]]), pa.array(differ[ok])], ["a", "b", "differ"])
 
 
-def cross_pairs(members: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of different components that share a key and may link, each once.
+def cross_pairs(members: DataFrame, percent: int, nearest: bool) -> DataFrame:
+    """Pairs (a, b, differ) of different components that share a key and may link, each in one order and once.
+
+    `nearest`: of each class outside its key's largest component only the nearest other in each group.
 
     `members`: key, t, id, component, n_shingles, sketch, fine, n (rows of the key). A key with more than
     BLOCK rows is cut into blocks, and each two blocks meet in a group of their own.
@@ -308,11 +317,11 @@ def cross_pairs(members: DataFrame, percent: int) -> DataFrame:
                 heads.pop()
             for lo, hi in zip(heads[:-1], heads[1:], strict=True):
                 if hi - lo > 1:
-                    yield from pairs_of(rows.slice(lo, hi - lo), percent)
+                    yield from pairs_of(rows.slice(lo, hi - lo), percent, nearest)
 
     by = ["key", "p", "q"]
     parts = shuffle_partitions(members.sparkSession)  # little data, much work: not to be merged into few tasks
-    return cut.repartition(parts, *by).sortWithinPartitions(*by).mapInArrow(run, "a long, b long")
+    return cut.repartition(parts, *by).sortWithinPartitions(*by).mapInArrow(run, "a long, b long, differ long")
 
 
 def _with_end(batches):
@@ -350,16 +359,35 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, percent: int = PERCEN
     links = materialize(confirmed(star, sets, percent), "star-links")
     label = materialize(components(links), "star-components")
 
-    known = members.join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    mixed = known.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("key")
-    open_ = materialize(known.join(mixed, "key"), "open-members")
-    fine = fine_sketches(sets.join(open_.select("id").distinct(), "id", "left_semi"))
-    sketched = open_.join(classes, "id").join(fine, "id")
-    tested = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    cross = materialize(cross_pairs(sketched, percent).join(tested, ["a", "b"], "left_anti"), "cross-pairs")
+    def still_open(rows: DataFrame, label: DataFrame) -> DataFrame:
+        """The rows of keys whose classes are in several components, with `component`."""
+        known = rows.join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        mixed = known.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi")
+        return materialize(known.join(mixed.select("key"), "key"), "open-members")
+
+    def untested(pairs: DataFrame, *tested: DataFrame) -> DataFrame:
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        for t in tested:
+            pairs = pairs.join(t.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
+        return materialize(pairs.distinct(), "cross-pairs")
+
+    def joined_up(label: DataFrame, *links: DataFrame) -> DataFrame:
+        out = label.select(F.col("id").alias("a"), F.col("component").alias("b"))
+        for x in links:
+            out = out.unionByName(x)
+        return components(out)
+
+    open_ = still_open(members, label)
+    fine = materialize(fine_sketches(sets.join(open_.select("id").distinct(), "id", "left_semi")), "fine-sketches")
+    sketched = lambda rows: rows.join(classes, "id").join(fine, "id")
+    few = Window.partitionBy("a").orderBy("differ", "b")
+    near = cross_pairs(sketched(open_), percent, True).withColumn("__r", F.row_number().over(few)).where(F.col("__r") <= TRIED)
+    near = untested(near, star)
+    label = materialize(joined_up(label, confirmed(near, sets, percent)), "near-components")
+    open_ = still_open(open_.drop("component"), label)
+    cross = untested(cross_pairs(sketched(open_), percent, False), star, near)
     again = confirmed(cross, sets, percent)
-    all_links = label.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(again).unionByName(copies)
-    final = components(all_links).withColumnRenamed("component", "component_id")
+    final = joined_up(label, again, copies).withColumnRenamed("component", "component_id")
     out = sk.select("doc_id", "n_shingles", "id").join(final, "id", "left")
     component = F.nullif(F.when(F.col("n_shingles") > 0, F.coalesce("component_id", "id")).otherwise(F.col("id")), F.lit(NO_ID))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
