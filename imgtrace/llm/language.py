@@ -130,31 +130,34 @@ def fit(labelled: DataFrame, rows: int = FIT_ROWS) -> tuple[list[str], np.ndarra
 
 # --- scoring ---------------------------------------------------------------------------------
 
-def predict(docs: DataFrame, model) -> DataFrame:
-    """`docs` with lang_pred and score (0 to 1; 0.5 is the regression's zero).
-
-    A null text, an empty one and one without letters is `und` with score 0. Nothing but `text`
-    is looked at; repeated rows get the same answer. Other columns are carried.
-    """
+def guesser(spark: SparkSession, model):
+    """A function of a text column: struct of lang_pred and score."""
     langs, marks, weights = model
-    sent = docs.sparkSession.sparkContext.broadcast((marks, weights))
-    names = [*langs, NO_LANGUAGE]
-
-    @F.pandas_udf("struct<lang_pred:string,score:double>")
-    def guess(text):
-        import pandas as pd
+    sent = spark.sparkContext.broadcast((marks, weights))
+    names = pa.array([*langs, NO_LANGUAGE])
 
+    @F.arrow_udf("struct<lang_pred:string,score:double>")
+    def guess(text: pa.Array) -> pa.Array:
         g, w = sent.value
         best, top = np.full(len(text), len(langs)), np.zeros(len(text))
-        for lo, hi, p, letter in presence(pa.Array.from_pandas(text, type=pa.large_string())):
+        for lo, hi, p, letter in presence(text):
             if len(langs):
                 k = (p.astype(np.float32) @ g) / np.sqrt(np.maximum(1, p.sum(1, dtype=np.int64)))[:, None]
                 f = k @ w[:-1] + w[-1]
                 best[lo:hi] = np.where(letter, f.argmax(1), len(langs))
                 top[lo:hi] = np.where(letter, np.clip((f.max(1) + 1) / 2, 0, 1), 0)
-        return pd.DataFrame({"lang_pred": [names[i] for i in best], "score": top})
+        return pa.StructArray.from_arrays([names.take(pa.array(best)), pa.array(top)], ["lang_pred", "score"])
+
+    return guess
 
-    made = docs.withColumn("__guess", guess(F.col("text").cast("string")))
+
+def predict(docs: DataFrame, model) -> DataFrame:
+    """`docs` with lang_pred and score (0 to 1; 0.5 is the regression's zero).
+
+    A null text, an empty one and one without letters is `und` with score 0. Nothing but `text`
+    is looked at; repeated rows get the same answer. Other columns are carried.
+    """
+    made = docs.withColumn("__guess", guesser(docs.sparkSession, model)(F.col("text").cast("string")))
     return made.select(*[F.col(f"`{c}`") for c in docs.columns if c not in ("lang_pred", "score")], "__guess.*")
 
 
@@ -164,8 +167,9 @@ def train(docs: DataFrame, parts: int = 3, which: int = 1):
 
 def recognised(docs: DataFrame) -> DataFrame:
     """The rows of `docs` in a learned language; texts without letters or like none of them go."""
-    scored = predict(docs.select(F.struct("*").alias("__row"), "text"), train(docs))
-    return scored.where((F.col("lang_pred") != NO_LANGUAGE) & (F.col("score") >= LEAST_SCORE)).select("__row.*")
+    made = docs.withColumn("__guess", guesser(docs.sparkSession, train(docs))(F.col("text").cast("string")))
+    sure = (F.col("__guess.lang_pred") != NO_LANGUAGE) & (F.col("__guess.score") >= LEAST_SCORE)
+    return made.where(sure).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 @query("op7_language_id")

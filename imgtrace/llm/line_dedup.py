@@ -305,23 +305,23 @@ def drop_lines(docs: DataFrame, index: LineIndex | None = None) -> DataFrame:
     joined = keyed.join(drops, F.col("__id") == F.col("__doc"), "left").drop("__id", "__doc")
     out = "struct<text:string,n_lines:bigint,n_dropped:bigint>"
 
-    @F.pandas_udf(out)
-    def cut(text, drop):
-        import pandas as pd
-
+    @F.arrow_udf(out)
+    def cut(text: pa.Array, drop: pa.Array) -> pa.Array:
         texts, lines, lost = [], [], []
         for t, d in zip(text, drop, strict=True):
+            t = t.as_py()
             parts = (t or "").split("\n")
             lines.append(len(parts))
-            if d is not None and len(d):
-                gone = {np.array([x["k1"], x["k2"]], np.int64).tobytes() for x in d}
+            if d.is_valid:
+                gone = {np.array([x["k1"], x["k2"]], np.int64).tobytes() for x in d.as_py()}
                 kept = [x for x in parts if line_key(x.encode()) not in gone]
                 texts.append("\n".join(kept))
                 lost.append(len(parts) - len(kept))
             else:
                 texts.append(t)
                 lost.append(0)
-        return pd.DataFrame({"text": texts, "n_lines": lines, "n_dropped": lost})
+        return pa.StructArray.from_arrays(
+            [pa.array(texts, pa.string()), pa.array(lines, pa.int64()), pa.array(lost, pa.int64())], ["text", "n_lines", "n_dropped"])
 
     made = joined.withColumn("__cut", cut(F.col("text"), F.col("__drop")))
     return made.select(*[F.col(f"`{c}`") for c in docs.columns if c not in ("text", "n_lines", "n_dropped")], "__cut.*")
