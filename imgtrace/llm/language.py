@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from .queries import query
-from .tables import materialize, table, take_columns
+from .tables import table, take_columns
 from .words import blocks
 
 CELLS, LENGTHS = 1 << 14, (1, 2, 3)
