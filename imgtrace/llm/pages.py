@@ -9,7 +9,8 @@ even where a neighbour repeats them, since pages that quote or copy each other w
 lose their text. All other lines are decided by the alignment.
 
 Only line hashes travel: html is read twice and shuffled only for pages whose result depends on a
-neighbour.
+neighbour. All pages are put in order in ranges of about equal size, however large a host or a directory is,
+and the last different page before a range and the first one after it are handed to it.
 """
 
 from __future__ import annotations
@@ -18,17 +19,17 @@ import hashlib
 import html as entities
 import re
 from bisect import bisect_left
+from itertools import islice
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from imgtrace.session import shuffle_partitions
+
 from .queries import query
 from .tables import checked_broadcast, materialize, table, take_columns
 
-#: Pages of one directory of one host that are put in order together, about.
-GROUP_PAGES = 4096
-
 # Element names of HTML and words of class names for parts that aren't the article.
 BLOCKS = frozenset("""address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption
 figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section
@@ -185,17 +186,17 @@ def line_hash(line: str) -> int:
     return int.from_bytes(hashlib.blake2b(line.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
-def nearer(path: str, one: str | None, other: str | None) -> bool:
-    """Whether `one` has at least as long a common start with `path` as `other`."""
+def nearer(place: tuple[str, str], one: tuple[str, str] | None, other: tuple[str, str] | None) -> bool:
+    """Whether `one` is at least as near to (folder, path) `place` as `other`: in its folder, then by the length of the common start."""
     def same(x):
         if x is None:
-            return -1
+            return (False, -1)
         n = 0
-        for p, q in zip(path, x, strict=False):
+        for p, q in zip(place[1], x[1], strict=False):
             if p != q:
                 break
             n += 1
-        return n
+        return (x[0] == place[0], n)
     return same(one) >= same(other)
 
 
@@ -227,44 +228,97 @@ def split_url(url: str) -> tuple[str, str]:
     return host.lower(), slash + path
 
 
+ORDER = ["host", "folder", "path", "page_id", "k"]
+
+
+def in_ranges(lines: DataFrame) -> DataFrame:
+    """`lines`, each once, with folder, `same` (digest of host and lines) and `part`, the range of the order by ORDER they are in.
+
+    Ranges are of about equal size: page ids part pages of one path.
+    """
+    folder = F.regexp_replace(F.regexp_replace("path", r"\?.*$", ""), r"[^/]*/?$", "")
+    lines = lines.dropDuplicates(["k"]).withColumns({"folder": folder, "same": F.xxhash64("host", "hashes")})
+    cut = lines.repartitionByRange(shuffle_partitions(lines.sparkSession), *ORDER)
+    return materialize(cut.withColumn("part", F.spark_partition_id()), "page-order")
+
+
+def edges(cut: DataFrame) -> list[tuple[int, int]]:
+    """(part, k): the last page before each range that differs from its first page, and the first after it that differs from its last."""
+    row = F.struct(*ORDER, "same")
+    ends = materialize(cut.groupBy("part").agg(F.min(row).alias("first"), F.max(row).alias("last")), "page-ends")
+    inner = cut.join(F.broadcast(ends), "part").groupBy("part").agg(
+        F.min(F.when(F.col("same") != F.col("first.same"), row)).alias("second"),
+        F.max(F.when(F.col("same") != F.col("last.same"), row)).alias("other"))
+    ranges = ends.join(inner, "part").orderBy("part").collect()
+    out = []
+    for i, r in enumerate(ranges):
+        back = (x for e in reversed(ranges[:i]) for x in (e["last"], e["other"]))
+        ahead = (x for e in ranges[i + 1:] for x in (e["first"], e["second"]))
+        for end, found in ((r["first"], back), (r["last"], ahead)):
+            x = next((x for x in found if x is not None and (x["host"] != end["host"] or x["same"] != end["same"])), None)
+            if x is not None and x["host"] == end["host"]:
+                out.append((r["part"], x["k"]))
+    return out
+
+
+def differences(rows):
+    """(k, page_id, places) from rows (part, edge, k, page_id, host, folder, path, hashes, sure) in order, lists of hashes compared."""
+    before, run, known = None, [], None
+
+    def settle(after):
+        found: dict[int, set[int]] = {}
+        for _, edge, k, page, _, folder, path, own, sure in run:
+            if edge:
+                continue
+            sides = [before, after]
+            if not nearer((folder, path), *[x and (x[5], x[6]) for x in sides]):
+                sides.reverse()
+            other = sides[0] or sides[1]
+            if other is None:
+                continue
+            if id(other) not in found:  # copies have the same neighbours
+                found[id(other)] = common(own, other[7])
+            places = found[id(other)]
+            if len(places) < len(own):  # else the page is a part of the other: nothing of its own would be left
+                if places := sorted(places.difference(sure)):
+                    yield k, page, places
+
+    for r in rows:
+        place = (r[0], r[4])
+        if run and (place != known or r[7] != run[0][7]):
+            yield from settle(r if place == known else None)
+            before = run[-1] if place == known else None
+            run = []
+        known = place
+        run.append(r)
+    if run:
+        yield from settle(None)
+
+
 def shared_lines(lines: DataFrame) -> DataFrame:
     """(k, page_id, shared: places of the unsure lines that the nearest page has too) where there are some.
 
-    Neighbours are those by path in the same directory, or in the host for pages alone in theirs. Large
-    directories are cut into groups of about GROUP_PAGES by a hash of the path. A neighbour with the very
-    same lines tells nothing: then the other one is asked, and if it is the same too all lines stay.
+    Neighbours are the last page before and the first page after in the order of host, directory and path
+    that don't have the very same lines, which would tell nothing. One in the same directory is nearer than one
+    in another, then the one with the longer common start. Without one in the host all lines stay.
     """
-    folder = F.regexp_replace(F.regexp_replace("path", r"\?.*$", ""), r"[^/]*/?$", "")
-    lines = lines.withColumn("folder", folder)
-    n = lines.groupBy("host", "folder").agg(F.count("*").alias("n"))
-    lines = lines.join(n, ["host", "folder"]).withColumn("folder", F.when(F.col("n") > 1, F.col("folder")).otherwise(F.lit("*alone")))
-    lines = lines.drop("n").join(lines.groupBy("host", "folder").agg(F.count("*").alias("n")), ["host", "folder"])
-    cut = F.pmod(F.xxhash64("path"), F.ceil(F.col("n") / GROUP_PAGES))
-    w = Window.partitionBy("host", "folder", "cut").orderBy("path", "page_id", "k")
-    both = lines.withColumn("cut", cut).select(
-        "k", "page_id", "path", "hashes", "sure", *[f(c).over(w).alias(name + c) for f, name in ((F.lag, "b_"), (F.lead, "a_")) for c in ("path", "hashes")])
+    spark = lines.sparkSession
+    cut = in_ranges(lines)
+    sent = spark.createDataFrame(edges(cut), "__to int, k long")
+    over = cut.join(F.broadcast(sent), "k").withColumn("part", F.col("__to")).withColumn("edge", F.lit(True))
+    names = ["part", "edge", "k", "page_id", "host", "folder", "path", "hashes", "sure"]
+    both = cut.withColumn("edge", F.lit(False)).select(*names).unionByName(over.select(*names))
+    both = both.repartition(shuffle_partitions(spark), "part").sortWithinPartitions("part", *ORDER)
 
     def run(batches):
-        for batch in batches:
-            ks, ids, found = [], [], []
-            for k, page, path, own, sure, *rest in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                sides = [(rest[0], rest[1]), (rest[2], rest[3])]
-                if not nearer(path, rest[0], rest[2]):
-                    sides.reverse()
-                for _, other in sides:
-                    if other is not None and other != own:
-                        places = common(own, other)
-                        if len(places) == len(own):
-                            break  # the page is a part of the other: nothing of its own would be left
-                        if places := sorted(places.difference(sure)):
-                            ks.append(k)
-                            ids.append(page)
-                            found.append(places)
-                        break
+        rows = (r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        found = differences(rows)
+        while some := list(islice(found, 1024)):
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ks, pa.int64()), pa.array(ids, pa.int64()), pa.array(found, pa.list_(pa.int32()))], ["k", "page_id", "shared"])
+                [pa.array(c, t) for c, t in zip(zip(*some, strict=True), (pa.int64(), pa.int64(), pa.list_(pa.int32())), strict=True)],
+                ["k", "page_id", "shared"])
 
-    return both.mapInArrow(run, "k long, page_id long, shared array<int>").dropDuplicates(["k"])
+    return both.mapInArrow(run, "k long, page_id long, shared array<int>")
 
 
 def main_text(pages: DataFrame) -> DataFrame:

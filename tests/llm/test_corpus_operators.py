@@ -338,6 +338,49 @@ def test_neighbours_take_the_template_away(spark):
     assert pages.main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_nearest_page_of_a_large_directory(spark):
+    # the partner of each page is its nearest; the last three pages are copies between two others
+    rows = [(i, f"http://h.example/x/{i // 2:05d}{'ab'[i % 2]}", f"<div>Pair {i // 2}</div><p>Text {i}.</p>") for i in range(5000)]
+    rows += [(9000 + i, f"http://c.example/{i}", f"<div>Site</div><p>{'Copy' if 0 < i < 5 else i}</p>") for i in range(6)]
+    got = {r["page_id"]: r["text"] for r in pages.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {**{i: f"Text {i}." for i in range(5000)}, **{9000 + i: "Copy" if 0 < i < 5 else str(i) for i in range(6)}}
+
+
+def test_pages_of_one_path_are_parted(spark):
+    rows = [(i if i % 3 else None, None, f"<div>Site</div><p>Text {i}.</p>") for i in range(900)]
+    rows = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("k", F.xxhash64("page_id", "url", "html"))
+    lines = materialize(pages.line_hashes(rows), "test-lines")
+    sizes = [r["count"] for r in pages.in_ranges(lines).groupBy("part").count().collect()]
+    assert sum(sizes) == 900 and max(sizes) < 450
+    assert [r["shared"] for r in pages.shared_lines(lines).collect()] == [[0]] * 900
+
+
+def test_neighbours_across_ranges(spark):
+    rnd = random.Random(5)
+    rows = []
+    for i in range(240):
+        host, folder = f"h{i // 60}", f"/{rnd.randint(0, 2)}/"
+        hashes = [7, 7, 7] if i // 60 == 2 and i % 60 else [rnd.randint(0, 2) for _ in range(rnd.randint(1, 3))]
+        rows.append((1000 + i, i, host, f"{folder}{rnd.randint(0, 9)}", hashes, [0] if i % 7 == 0 else []))
+    folder_of = lambda x: x[3][:3]
+    rows.sort(key=lambda x: (x[2], folder_of(x), x[3], x[1]))
+    want = {}
+    for at, x in enumerate(rows):
+        near = []
+        for others in (rows[:at][::-1], rows[at + 1:]):
+            y = next((y for y in others if y[2] == x[2] and y[4] != x[4]), None)
+            near.append(y and (folder_of(y), y[3]))
+            near.append(y)
+        one, other = (near[1], near[3]) if pages.nearer((folder_of(x), x[3]), near[0], near[2]) else (near[3], near[1])
+        if y := one or other:
+            places = pages.common(x[4], y[4])
+            if len(places) < len(x[4]) and (places := sorted(places.difference(x[5]))):
+                want[x[0]] = places
+    lines = spark.createDataFrame(rows, "k long, page_id long, host string, path string, hashes array<long>, sure array<int>").repartition(3)
+    got = pages.shared_lines(materialize(lines.unionByName(lines.limit(9)), "test-lines")).collect()
+    assert len(got) == len(want) and {r["k"]: r["shared"] for r in got} == want
+
+
 # --- quality ---
 
 def test_quality_by_sql_on_edge_rows(spark, tmp_path):
