@@ -6,7 +6,8 @@ of line hashes, and the lines both have are the template's: they go. Markup is h
 element or its class names as menu, footer, advert, form and so on goes, whether shared or not,
 and paragraphs, headings, list items and the like inside an `article` (or `main`) element stay
 even where a neighbour repeats them, since pages that quote or copy each other would otherwise
-lose their text. All other lines are decided by the alignment.
+lose their text. The alignment decides what is left: lines of an article outside such blocks, and all
+unmarked lines of pages without one. The given pages have no such lines (see README), so there markup alone decides.
 
 Only line hashes travel: html is read twice and shuffled only for pages whose result depends on a
 neighbour. All pages are put in order in ranges of about equal size, however large a host or a directory is,
