@@ -1,9 +1,10 @@
 """MinHash near-dedup with tensored banding, candidates confirmed on full shingle sets.
 
-A text gets 24 minimum hashes in 12 small collections of two. A table key combines a
-pair of collections, so 66 tables of four hashes each come from 24 hashes instead of
-264. Two sets of similarity 0.85 miss each other in all tables only if at most one
-collection agrees, which has probability 7e-6; at 0.9 it is 2e-7.
+A text gets minimum hashes in small collections of two. A table key combines a pair of
+collections, so at similarity 0.85 66 tables of four hashes each come from 12 collections,
+24 hashes instead of 264. Two sets of that similarity miss each other in all tables only if
+at most one collection agrees, which has probability 7e-6; at 0.9 it is 2e-7. For other
+similarities `Plan` takes as many collections as keep that below 1e-5 (15 at 0.8: 6e-6).
 
 1. Sketch: each text once; equal sets collapse to one class at once (exact copies
    never meet as pairs).
@@ -11,7 +12,7 @@ collection agrees, which has probability 7e-6; at 0.9 it is 2e-7.
    that meets most others; the links are confirmed on full sets and joined up.
 3. Cross rounds: whatever still shares a key without being connected is compared in
    blocks of bounded size by set sizes and by a finer sketch, 2048 hashes of two bits,
-   which a pair of similarity 0.85 fails with probability 1e-7. A pair is looked at in
+   which a pair of the similarity asked for fails with probability 1e-7. A pair is looked at in
    the first table in which it meets. At first each class passes on the few others that
    look nearest; most classes that have a link are connected by these. For the classes
    that still are not, all pairs are passed on. What is passed on is confirmed on full sets.
@@ -22,6 +23,7 @@ After that every pair that shares a key is either connected or refuted.
 from __future__ import annotations
 
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -35,13 +37,10 @@ from .tables import checked_broadcast, materialize, table, take_columns
 from .words import blocks, each_text, find_words, hash_words, mix, signed
 
 SHINGLE, PERCENT = 3, 85
-COLLECTIONS, EACH = 12, 2
-HASHES = COLLECTIONS * EACH
-TABLES = list(combinations(range(COLLECTIONS), 2))
-#: Of 24 hashes, a pair of similarity 0.85 agrees in fewer with probability 1e-6.
-LEAST_EQUAL = 11
-#: Two-bit hashes of the finer sketch, and how many may differ: 230 are expected at 0.85, with a deviation of 14.3.
-FINE, MOST_DIFFER = 2048, 309
+#: Hashes of a collection, and two-bit hashes of the finer sketch.
+EACH, FINE = 2, 2048
+#: Probabilities with which a pair as similar as asked for may miss all tables, or have too few equal hashes.
+MISSED, TOO_FEW = 1e-5, 2e-6
 #: Nearest others of a class that are tried before all pairs.
 TRIED = 4
 #: Classes of one key that a task compares with as many others at a time.
@@ -49,12 +48,37 @@ BLOCK = 1024
 NO_ID = (1 << 63) - 1
 
 _rng = np.random.Generator(np.random.PCG64(77))
-_ODD = _rng.integers(1, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_ODD = _rng.integers(1, 1 << 63, 24, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _PLACE = _rng.integers(1, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _FINE = _rng.integers(1, 1 << 63, FINE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_ODD = np.concatenate((_ODD, _rng.integers(1, 1 << 63, 1 << 12, dtype=np.uint64) * np.uint64(2) + np.uint64(1)))
 _MORE = np.uint64(0xD6E8FEB86659FD93)
 
 
+class Plan:
+    """Sizes of the sketches for pairs of `percent` similarity or more.
+
+    `collections`: as few as leave at most one equal with probability below MISSED. `least_equal`: of
+    all hashes, such a pair agrees in fewer with probability below TOO_FEW (11 of 24 at 0.85, 1e-6).
+    `most_differ`: of FINE two-bit hashes; 230 are expected to differ at 0.85, with a deviation of 14.3,
+    and 5.5 deviations more may.
+    """
+
+    def __init__(self, percent: int):
+        same = percent / 100
+        both, m = same ** EACH, 2
+        while (1 - both) ** m + m * both * (1 - both) ** (m - 1) > MISSED:
+            m += 1
+        self.percent, self.collections, self.hashes = percent, m, m * EACH
+        self.tables = list(combinations(range(m), 2))
+        self.least_equal, below = 0, 0.0
+        while (below := below + comb(self.hashes, self.least_equal) * same ** self.least_equal
+               * (1 - same) ** (self.hashes - self.least_equal)) <= TOO_FEW:
+            self.least_equal += 1
+        differs = (1 - same) * 0.75
+        self.most_differ = int(FINE * differs + 5.5 * (FINE * differs * (1 - differs)) ** 0.5)
+
+
 # --- shingle sets ----------------------------------------------------------------------------
 
 def shingle_sets(texts: pa.Array, width: int = SHINGLE):
@@ -92,8 +116,8 @@ def shingle_sets(texts: pa.Array, width: int = SHINGLE):
         yield lo, hi, x[new], np.concatenate(([0], np.cumsum(new)))[ends]
 
 
-def sketches(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
-    """(doc_id, n_shingles, d1, d2: digest of the set, sketch: 24 minimum hashes)."""
+def sketches(docs: DataFrame, hashes: int, width: int = SHINGLE) -> DataFrame:
+    """(doc_id, n_shingles, d1, d2: digest of the set, sketch: minimum hashes)."""
 
     def run(batches):
         for batch in batches:
@@ -101,10 +125,10 @@ def sketches(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
                 n = np.diff(at)
                 full = np.flatnonzero(n)
                 heads = at[:-1][full]
-                mins = np.zeros((hi - lo, HASHES), "<u4")
+                mins = np.zeros((hi - lo, hashes), "<u4")
                 d = np.zeros((2, hi - lo), np.uint64)
                 if len(full):
-                    for k in range(HASHES):
+                    for k in range(hashes):
                         y = x * _ODD[k]
                         y ^= y >> np.uint64(32)
                         y *= _MORE
@@ -120,18 +144,18 @@ def sketches(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
 
 
 def unpack(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), "<u4").reshape(-1, HASHES)
+    return np.frombuffer(b"".join(column.to_pylist()), "<u4").reshape(len(column), -1)
 
 
 def collections(mins: np.ndarray) -> np.ndarray:
-    m = mins.astype(np.uint64).reshape(len(mins), COLLECTIONS, EACH)
+    m = mins.astype(np.uint64).reshape(len(mins), mins.shape[1] // EACH, EACH)
     out = np.zeros(m.shape[:2], np.uint64)
     for i in range(EACH):
         out = mix(out * _MORE + m[:, :, i] + np.uint64(i + 1))
     return out
 
 
-def table_keys(classes: DataFrame) -> DataFrame:
+def table_keys(classes: DataFrame, plan: Plan) -> DataFrame:
     """(key, t, id): one row per class and table."""
 
     def run(batches):
@@ -139,11 +163,11 @@ def table_keys(classes: DataFrame) -> DataFrame:
             ids = batch.column(0).to_numpy()
             for lo in range(0, len(ids), 2048):
                 c = collections(unpack(batch.column(1).slice(lo, 2048)))
-                keys = np.stack([mix(c[:, i] * _PLACE[0] + c[:, j] * _PLACE[1] + np.uint64(t)) for t, (i, j) in enumerate(TABLES)])
+                keys = np.stack([mix(c[:, i] * _PLACE[0] + c[:, j] * _PLACE[1] + np.uint64(t)) for t, (i, j) in enumerate(plan.tables)])
                 n = keys.shape[1]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(signed(keys.reshape(-1))), pa.array(np.repeat(np.arange(len(TABLES), dtype=np.int32), n)),
-                     pa.array(np.tile(ids[lo:lo + n], len(TABLES)))], ["key", "t", "id"])
+                    [pa.array(signed(keys.reshape(-1))), pa.array(np.repeat(np.arange(len(plan.tables), dtype=np.int32), n)),
+                     pa.array(np.tile(ids[lo:lo + n], len(plan.tables)))], ["key", "t", "id"])
 
     return classes.select("id", "sketch").mapInArrow(run, "key long, t int, id long")
 
@@ -217,10 +241,10 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(b, "b").join(a, "a").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def _may_link(n, mins, i, j, percent) -> np.ndarray:
-    sizes = percent * np.maximum(n[i], n[j]) <= 100 * np.minimum(n[i], n[j])
+def _may_link(n, mins, i, j, plan) -> np.ndarray:
+    sizes = plan.percent * np.maximum(n[i], n[j]) <= 100 * np.minimum(n[i], n[j])
     out = np.flatnonzero(sizes)
-    return out[(mins[i[out]] == mins[j[out]]).sum(1) >= LEAST_EQUAL]
+    return out[(mins[i[out]] == mins[j[out]]).sum(1) >= plan.least_equal]
 
 
 def _first_table(eq: np.ndarray) -> np.ndarray:
@@ -229,7 +253,7 @@ def _first_table(eq: np.ndarray) -> np.ndarray:
     rest = eq.copy()
     rest[np.arange(len(eq)), one] = False
     two = rest.argmax(1)
-    return one * COLLECTIONS - one * (one + 1) // 2 + two - one - 1
+    return one * eq.shape[1] - one * (one + 1) // 2 + two - one - 1
 
 
 def fine_sketches(sets: DataFrame) -> DataFrame:
@@ -253,7 +277,7 @@ def fine_sketches(sets: DataFrame) -> DataFrame:
     return sets.select("id", "shingles").mapInArrow(run, "id long, fine binary")
 
 
-def pairs_of(rows: pa.Table, percent: int, nearest: bool):
+def pairs_of(rows: pa.Table, plan: Plan, nearest: bool):
     """The pairs (a, b, by how much their sketches differ) of one group of `cross_pairs`, in batches."""
     own, t, ids = rows["__own"].to_numpy(), rows["t"][0].as_py(), rows["id"].to_numpy()
     comp, n = rows["component"].to_numpy(), rows["n_shingles"].to_numpy()
@@ -272,7 +296,7 @@ def pairs_of(rows: pa.Table, percent: int, nearest: bool):
             ok = comp[i] != comp[j]
             if within:
                 ok &= main[j] | (i < j)
-            ok &= percent * np.maximum(n[i], n[j]) <= 100 * np.minimum(n[i], n[j])
+            ok &= plan.percent * np.maximum(n[i], n[j]) <= 100 * np.minimum(n[i], n[j])
             i, j = i[ok], j[ok]
             eq = c[i] == c[j]
             ok = eq.sum(1) > 1
@@ -280,14 +304,14 @@ def pairs_of(rows: pa.Table, percent: int, nearest: bool):
             i, j = i[ok], j[ok]
             x = fine[i] ^ fine[j]
             differ = np.bitwise_count((x | x >> np.uint64(1)) & np.uint64(0x5555555555555555)).sum(1).astype(np.int64)
-            ok = np.flatnonzero(differ <= MOST_DIFFER)
+            ok = np.flatnonzero(differ <= plan.most_differ)
             if nearest and len(ok):  # the nearest of each i in this group
                 ok = ok[np.lexsort((ids[j[ok]], differ[ok], i[ok]))]
                 ok = ok[np.concatenate(([True], i[ok][1:] != i[ok][:-1]))]
             yield pa.RecordBatch.from_arrays([pa.array(ids[i[ok]]), pa.array(ids[j[ok]]), pa.array(differ[ok])], ["a", "b", "differ"])
 
 
-def cross_pairs(members: DataFrame, percent: int, nearest: bool) -> DataFrame:
+def cross_pairs(members: DataFrame, plan: Plan, nearest: bool) -> DataFrame:
     """Pairs (a, b, differ) of different components that share a key and may link, each in one order and once.
 
     `nearest`: of each class outside its key's largest component only the nearest other in each group.
@@ -317,7 +341,7 @@ def cross_pairs(members: DataFrame, percent: int, nearest: bool) -> DataFrame:
                 heads.pop()
             for lo, hi in zip(heads[:-1], heads[1:], strict=True):
                 if hi - lo > 1:
-                    yield from pairs_of(rows.slice(lo, hi - lo), percent, nearest)
+                    yield from pairs_of(rows.slice(lo, hi - lo), plan, nearest)
 
     by = ["key", "p", "q"]
     parts = shuffle_partitions(members.sparkSession)  # little data, much work: not to be merged into few tasks
@@ -338,7 +362,8 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, percent: int = PERCEN
     a doc_id are one document: their links count together. A null doc_id is one such id
     above all others. Exact copies are linked if they have a word.
     """
-    sk = materialize(sketches(docs, width).withColumn("id", F.coalesce("doc_id", F.lit(NO_ID))), "sketches")
+    plan = Plan(percent)
+    sk = materialize(sketches(docs, plan.hashes, width).withColumn("id", F.coalesce("doc_id", F.lit(NO_ID))), "sketches")
     full = sk.where("n_shingles > 0")
     groups = full.groupBy("d1", "d2", "n_shingles").agg(F.min("id").alias("rep"), F.count("*").alias("n"))
     classes = materialize(
@@ -348,13 +373,13 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, percent: int = PERCEN
     copies = full.join(groups.where("n > 1").select("d1", "d2", "n_shingles", "rep"), ["d1", "d2", "n_shingles"]).select(
         F.col("id").alias("a"), F.col("rep").alias("b")).where("a != b")
 
-    keys = table_keys(classes)
+    keys = table_keys(classes, plan)
     shared = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     members = materialize(keys.join(shared, "key"), "members")
     degree = members.groupBy("id").agg(F.sum("n").alias("degree"))
     hubs = members.join(degree, "id").groupBy("key").agg(F.max(F.struct("degree", "id")).alias("h")).select("key", F.col("h.id").alias("hub"))
     star = members.join(hubs, "key").where("id != hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
-    star = materialize(sieved(star, classes, percent), "star-pairs")
+    star = materialize(sieved(star, classes, plan), "star-pairs")
     sets = materialize(stored_sets(docs, materialize(members.select("id").distinct(), "ids"), width), "sets")
     links = materialize(confirmed(star, sets, percent), "star-links")
     label = materialize(components(links), "star-components")
@@ -381,11 +406,11 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, percent: int = PERCEN
     fine = materialize(fine_sketches(sets.join(open_.select("id").distinct(), "id", "left_semi")), "fine-sketches")
     sketched = lambda rows: rows.join(classes, "id").join(fine, "id")
     few = Window.partitionBy("a").orderBy("differ", "b")
-    near = cross_pairs(sketched(open_), percent, True).withColumn("__r", F.row_number().over(few)).where(F.col("__r") <= TRIED)
+    near = cross_pairs(sketched(open_), plan, True).withColumn("__r", F.row_number().over(few)).where(F.col("__r") <= TRIED)
     near = untested(near, star)
     label = materialize(joined_up(label, confirmed(near, sets, percent)), "near-components")
     open_ = still_open(open_.drop("component"), label)
-    cross = untested(cross_pairs(sketched(open_), percent, False), star, near)
+    cross = untested(cross_pairs(sketched(open_), plan, False), star, near)
     again = confirmed(cross, sets, percent)
     final = joined_up(label, again, copies).withColumnRenamed("component", "component_id")
     out = sk.select("doc_id", "n_shingles", "id").join(final, "id", "left")
@@ -393,7 +418,7 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, percent: int = PERCEN
     return out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
 
 
-def sieved(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+def sieved(pairs: DataFrame, classes: DataFrame, plan: Plan) -> DataFrame:
     """The pairs whose sizes and sketches allow a link."""
 
     def run(batches):
@@ -401,16 +426,16 @@ def sieved(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
             na, nb = batch.column(2).to_numpy(), batch.column(3).to_numpy()
             m = np.concatenate((unpack(batch.column(4)), unpack(batch.column(5))))
             i = np.arange(len(na))
-            keep = _may_link(np.concatenate((na, nb)), m, i, i + len(na), percent)
+            keep = _may_link(np.concatenate((na, nb)), m, i, i + len(na), plan)
             yield batch.select([0, 1]).take(pa.array(keep))
 
     side = lambda c: classes.select(F.col("id").alias(c), F.col("n_shingles").alias("n" + c), F.col("sketch").alias("s" + c))
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
+def one_of_each(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """The rows of `docs` whose document is the smallest of its component."""
-    gone = near_duplicates(docs).where("NOT kept").select(F.col("doc_id").alias("__gone")).distinct()
+    gone = near_duplicates(docs, width, percent).where("NOT kept").select(F.col("doc_id").alias("__gone")).distinct()
     return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
 
 

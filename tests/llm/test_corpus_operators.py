@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from common import components, dedup_lines, edge_docs, edge_rows, held_out, no_docs, shingles, words
-from imgtrace.llm import brown, mixing, multi_index, packing, pages, quality
+from imgtrace.llm import brown, minhash, mixing, multi_index, packing, pages, quality
 from imgtrace.llm.tables import materialize
 
 
@@ -427,6 +427,30 @@ def test_pipeline_stage_by_stage(spark, sf):
     assert Counter(r["doc_id"] for r in outs[4].where("piece = 0").collect()) == taken
 
 
+def test_near_duplicate_stage_takes_five_words_and_80_percent(spark, sf):
+    rnd = random.Random(11)
+    word = lambda: f"w{rnd.randint(0, 10**6)}"
+    rows = []
+    for i in range(60):
+        base = [word() for _ in range(200)]
+        added = base + [word() for _ in range(rnd.randint(30, 60))]  # 0.77 to 0.87 by either width
+        edits = list(base)
+        for at in rnd.sample(range(200), rnd.randint(2, 6)):  # below 0.8 by five words, above 0.85 by three in part
+            edits[at] = word()
+        rows += [(3 * i, " ".join(base)), (3 * i + 1, " ".join(added)), (3 * i + 2, " ".join(edits))]
+    made = spark.createDataFrame(rows, "doc_id long, text string")
+    stage = dict(corpus_pipeline.STAGES)["near_duplicates"]
+    for docs in (made, spark.read.parquet(f"{sf}/documents.parquet")):
+        comp = components({d: shingles(t, 5) for d, t in pairs(docs)}, 80)
+        assert Counter(d for d, _ in pairs(stage(spark, docs, sf))) == Counter(d for d, c in comp.items() if c == d)
+
+
+def test_sketches_follow_the_similarity():
+    a, b = minhash.Plan(85), minhash.Plan(80)
+    assert (a.collections, a.hashes, len(a.tables), a.least_equal, a.most_differ) == (12, 24, 66, 11, 309)
+    assert (b.collections, b.hashes, len(b.tables)) == (15, 30, 105) and b.least_equal / 30 < 0.8 and 307 < b.most_differ < 400
+
+
 def test_pipeline_on_edge_rows(spark, tmp_path):
     edge_docs(spark).drop("a.b").write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
