@@ -307,15 +307,19 @@ def _as_gallery(gallery: DataFrame, values: str) -> DataFrame:
 
 
 def stored_width(gallery: DataFrame, values: str) -> int | None:
-    """Length of the stored lists, taken from the first there is; None without any."""
-    row = gallery.where(F.col(values).isNotNull()).select(F.size(values)).first()
-    return row[0] if row else None
+    """The most frequent length of the stored lists, of several the one of the smallest image id; None without any that has values."""
+    sizes = gallery.where(F.size(values) > 0).groupBy(F.size(values).alias("width")).agg(F.count("*").alias("n"), F.min("image_id").alias("id"))
+    row = sizes.orderBy(F.desc("n"), F.asc_nulls_last("id"), "width").first()
+    return row["width"] if row else None
 
 
-def wrong_sized(queries: DataFrame, values: str, width: int | None) -> DataFrame:
-    """Queries that can't be answered: no values, or not as many as the stored lists have."""
+def wrong_sized(queries: DataFrame, values: str, width: int | None, id_column: str = "query_id") -> DataFrame:
+    """Queries that can't be answered: no values, or not as many as the stored lists have.
+
+    With `id_column` image_id, the gallery rows that take part in no search.
+    """
     fits = F.coalesce(F.size(values) == F.lit(width), F.lit(False))
-    return queries.where(~fits).select("query_id", F.size(values).alias("size"), F.lit(width).alias("wanted"))
+    return queries.where(~fits).select(id_column, F.size(values).alias("size"), F.lit(width).alias("wanted"))
 
 
 def ship(queries: DataFrame, values: str, max_rows: int = MAX_SHIPPED_QUERIES,

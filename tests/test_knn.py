@@ -140,3 +140,14 @@ def test_gallery_is_not_shuffled_for_shipped_queries(spark):
     plan = knn.nearest_codes(q, g, 3)._jdf.queryExecution().executedPlan().toString()
     below = plan.split("MapInArrow")[1]
     assert "Exchange" not in below and plan.count("WindowGroupLimit") == 2
+
+
+@pytest.mark.parametrize("first", [[], [1.0], [1.0] * 9])
+@pytest.mark.parametrize("max_shipped", [1000, 2])
+def test_wrong_sized_first_gallery_row(spark, first, max_shipped):
+    rows = [(0, first), (1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, None), (4, [1.0, 1.0])]
+    gallery = spark.createDataFrame(rows, "image_id long, vector array<double>").coalesce(1)
+    queries = spark.createDataFrame([(i, [1.0, 0.1]) for i in range(3)], "query_id long, vector array<double>")
+    assert knn.stored_width(gallery, "vector") == 2
+    assert result(knn.nearest_vectors(queries, gallery, 3, max_shipped=max_shipped)) == [[1, 4, 2]] * 3
+    assert {r.image_id for r in knn.wrong_sized(gallery, "vector", 2, "image_id").collect()} == {0, 3}
