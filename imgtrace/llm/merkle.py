@@ -16,13 +16,11 @@ Built-in functions only; each level is a written table.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from imgtrace.session import shuffle_partitions
-
 from .queries import query
-from .tables import checked_broadcast, materialize, table, take_columns
+from .tables import checked_broadcast, materialize, places, table, take_columns
 
 ARITY = 8
 #: Characters of a digest.
@@ -43,26 +41,6 @@ def leaf(**other: Column) -> Column:
     return F.sha2(F.concat(*[entry(other.get(c, F.col(c))) for c in FIELDS]), 256)
 
 
-def places(rows: DataFrame, group: list[str], order: list[str]) -> DataFrame:
-    """`rows` with `idx`, the place from 0 within `group` in that order, and `m`, the size of the group.
-
-    Neither a group nor a run of equal keys has to fit one task if `order` ends with a salt. Null keys of
-    `group` aren't provided for. `rows` is a stored table.
-    """
-    parts = shuffle_partitions(rows.sparkSession)
-    dealt = rows.repartitionByRange(parts, *group, *order).sortWithinPartitions(*group, *order)
-    dealt = materialize(dealt.withColumn("__at", F.monotonically_increasing_id()), "merkle-places")
-    part = F.shiftrightunsigned("__at", 33)
-    runs = dealt.groupBy(*group, part.alias("__part")).agg(F.min("__at").alias("__low"), F.count("*").alias("__n"))
-    whole = Window.partitionBy(*group)
-    before = whole.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    runs = runs.select(*group, "__part", (F.coalesce(F.sum("__n").over(before), F.lit(0)) - F.col("__low")).alias("__shift"),
-                       F.sum("__n").over(whole).alias("m"))
-    runs = checked_broadcast(materialize(runs, "merkle-runs"), 64)
-    return dealt.withColumn("__part", part).join(runs, [*group, "__part"]).withColumn(
-        "idx", F.col("__at") + F.col("__shift")).drop("__at", "__part", "__shift")
-
-
 def parents(nodes: DataFrame) -> DataFrame:
     """(tree, idx, digest, m, members) of the level above the nodes (tree, idx, digest, m: nodes of the tree's level).
 

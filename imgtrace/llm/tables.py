@@ -5,12 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from imgtrace.session import materialize, scratch_path
+from imgtrace.session import materialize, scratch_path, shuffle_partitions
 
-__all__ = ["arrow", "checked_broadcast", "materialize", "number_within", "scratch_path", "table", "take_columns"]
+__all__ = ["arrow", "checked_broadcast", "materialize", "number_within", "places", "scratch_path", "table", "take_columns"]
 
 BROADCAST_BYTES = 32 << 20
 
@@ -49,8 +49,6 @@ def number_within(df: DataFrame, group: list[str], order: list[Column], salt: Co
     per salt is ordered across the group, so no group meets in one task. Null keys
     are groups of their own. `df` is read twice: pass a stored table.
     """
-    from pyspark.sql import Window
-
     w = F.lit(1).cast("long") if weight is None else weight
     df = df.withColumns({"__salt": salt, "__w": w})
     keys = [*group, "__salt"]
@@ -68,3 +66,23 @@ def number_within(df: DataFrame, group: list[str], order: list[Column], salt: Co
         .join(sums, cond).withColumn(out, F.col("__off") + F.col("__in"))
         .drop("__salt", "__w", "__in", "__off", *[f"__r_{c}" for c in keys])
     )
+
+
+def places(rows: DataFrame, group: list[str], order: list[str]) -> DataFrame:
+    """`rows` with `idx`, the place from 0 within `group` in that order, and `m`, the size of the group.
+
+    Neither a group nor a run of equal keys has to fit one task if `order` ends with a salt. Null keys of
+    `group` aren't provided for. `rows` is a stored table.
+    """
+    parts = shuffle_partitions(rows.sparkSession)
+    dealt = rows.repartitionByRange(parts, *group, *order).sortWithinPartitions(*group, *order)
+    dealt = materialize(dealt.withColumn("__at", F.monotonically_increasing_id()), "places")
+    part = F.shiftrightunsigned("__at", 33)
+    runs = dealt.groupBy(*group, part.alias("__part")).agg(F.min("__at").alias("__low"), F.count("*").alias("__n"))
+    whole = Window.partitionBy(*group)
+    before = whole.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    runs = runs.select(*group, "__part", (F.coalesce(F.sum("__n").over(before), F.lit(0)) - F.col("__low")).alias("__shift"),
+                       F.sum("__n").over(whole).alias("m"))
+    runs = checked_broadcast(materialize(runs, "runs"), 64)
+    return dealt.withColumn("__part", part).join(runs, [*group, "__part"]).withColumn(
+        "idx", F.col("__at") + F.col("__shift")).drop("__at", "__part", "__shift")
