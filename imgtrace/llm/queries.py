@@ -29,4 +29,4 @@ def load() -> None:
 
 
 MODULES = ["line_dedup", "minhash", "mixing", "packing", "language", "quality", "brown", "suffix_dedup", "pages",
-           "multi_index", "merkle", "pca_tiles"]
+           "multi_index", "merkle", "pca_tiles", "divergence"]
