@@ -208,8 +208,9 @@ def count_terms(docs: DataFrame) -> DataFrame:
 def share(count: Column, total: Column, terms: Column) -> Column:
     """1 + floor(SCALE * (count + ADDED) / (total + ADDED * terms)) in whole numbers of any size; null without terms."""
     whole = lambda c: c.cast("decimal(20,0)")
-    over = F.nullif(whole(total + ADDED * terms), F.lit(0))
-    exact = F.call_function("div", F.lit(SCALE).cast("decimal(10,0)") * whole(count + ADDED), over)
+    number = lambda n: F.lit(n).cast(f"decimal({len(str(n))},0)")
+    over = F.nullif(whole(total) + number(ADDED) * whole(terms), F.lit(0))
+    exact = F.call_function("div", number(SCALE) * (whole(count) + number(ADDED)), over)
     return exact.cast("long") + 1
 
 
