@@ -45,7 +45,6 @@ MISSED, TOO_FEW = 1e-5, 2e-6
 TRIED = 4
 #: Classes of one key that a task compares with as many others at a time.
 BLOCK = 1024
-NO_ID = (1 << 63) - 1
 
 _rng = np.random.Generator(np.random.PCG64(77))
 _ODD = _rng.integers(1, 1 << 63, 24, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -116,12 +115,17 @@ def shingle_sets(texts: pa.Array, width: int = SHINGLE):
         yield lo, hi, x[new], np.concatenate(([0], np.cumsum(new)))[ends]
 
 
+def digests(x: np.ndarray, heads: np.ndarray) -> np.ndarray:
+    """Two numbers for each of the sets that begin at `heads`."""
+    return np.stack((np.add.reduceat(mix(x), heads), np.add.reduceat(mix(x + _MORE), heads)))
+
+
 def sketches(docs: DataFrame, hashes: int, width: int = SHINGLE) -> DataFrame:
-    """(doc_id, n_shingles, d1, d2: digest of the set, sketch: minimum hashes)."""
+    """(doc_id, tag, n_shingles, d1, d2: digest of the set, sketch: minimum hashes) of rows (doc_id, tag, text)."""
 
     def run(batches):
         for batch in batches:
-            for lo, hi, x, at in shingle_sets(batch.column(1), width):
+            for lo, hi, x, at in shingle_sets(batch.column(2), width):
                 n = np.diff(at)
                 full = np.flatnonzero(n)
                 heads = at[:-1][full]
@@ -133,14 +137,12 @@ def sketches(docs: DataFrame, hashes: int, width: int = SHINGLE) -> DataFrame:
                         y ^= y >> np.uint64(32)
                         y *= _MORE
                         mins[full, k] = np.minimum.reduceat(y, heads) >> np.uint64(32)
-                    d[0, full] = np.add.reduceat(mix(x), heads)
-                    d[1, full] = np.add.reduceat(mix(x + _MORE), heads)
+                    d[:, full] = digests(x, heads)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, hi - lo), pa.array(n), pa.array(signed(d[0])), pa.array(signed(d[1])),
-                     pa.array([r.tobytes() for r in mins], pa.binary())], ["doc_id", "n_shingles", "d1", "d2", "sketch"])
+                    [*(batch.column(c).slice(lo, hi - lo) for c in (0, 1)), pa.array(n), pa.array(signed(d[0])), pa.array(signed(d[1])),
+                     pa.array([r.tobytes() for r in mins], pa.binary())], ["doc_id", "tag", "n_shingles", "d1", "d2", "sketch"])
 
-    return take_columns(docs, doc_id="long", text="string").mapInArrow(
-        run, "doc_id long, n_shingles long, d1 long, d2 long, sketch binary")
+    return docs.select("doc_id", "tag", "text").mapInArrow(run, "doc_id long, tag long, n_shingles long, d1 long, d2 long, sketch binary")
 
 
 def unpack(column: pa.Array) -> np.ndarray:
@@ -205,19 +207,26 @@ def components(edges: DataFrame) -> DataFrame:
 
 # --- confirmation ----------------------------------------------------------------------------
 
-def stored_sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
-    """(id, shingles: sorted 64-bit numbers) of the texts with these ids."""
+def stored_sets(docs: DataFrame, classes: DataFrame, width: int) -> DataFrame:
+    """(id, shingles: sorted 64-bit numbers) of classes (id, rep: a doc_id that has the set, d1, d2, n_shingles)."""
 
     def run(batches):
         for batch in batches:
-            for lo, hi, x, at in shingle_sets(batch.column(1), width):
+            for lo, hi, x, at in shingle_sets(batch.column(0), width):
+                n = np.diff(at)
+                full = np.flatnonzero(n)
+                if not len(full):
+                    continue
+                d1, d2 = digests(x, at[:-1][full])
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, hi - lo),
-                     pa.array([x[at[i]:at[i + 1]].tobytes() for i in range(hi - lo)], pa.binary())], ["id", "shingles"])
+                    [pa.array(signed(d1)), pa.array(signed(d2)), pa.array(n[full]),
+                     pa.array([x[at[i]:at[i + 1]].tobytes() for i in full.tolist()], pa.binary())], ["d1", "d2", "n_shingles", "shingles"])
 
-    wanted = take_columns(docs, doc_id="long", text="string").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), "text")
-    wanted = wanted.join(checked_broadcast(ids, 16), "id", "left_semi")
-    return wanted.mapInArrow(run, "id long, shingles binary").dropDuplicates(["id"])
+    reps = checked_broadcast(materialize(classes.select("rep").distinct(), "reps"), 16)
+    wanted = docs.select("text", "doc_id").join(reps, F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi").select("text")
+    sets = wanted.mapInArrow(run, "d1 long, d2 long, n_shingles long, shingles binary")
+    by = ["d1", "d2", "n_shingles"]
+    return sets.join(checked_broadcast(classes.select(*by, "id"), 40), by).dropDuplicates(["id"]).select("id", "shingles")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -358,18 +367,24 @@ def _with_end(batches):
 def near_duplicates(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of `docs` (a stored table).
 
-    A null, empty or blank text has no shingles and is linked with nothing. Rows that share
-    a doc_id are one document: their links count together. A null doc_id is one such id
-    above all others. Exact copies are linked if they have a word.
+    A null, empty or blank text has no shingles and is linked with nothing. Rows that share a doc_id are one document:
+    each one's text has links of its own, and these count together. Rows without a doc_id are documents of their
+    own; a component's id is the smallest doc_id in it, and null if it has none, in which case one of its rows is kept.
+    Exact copies are linked if they have a word. Texts of any length enter whole. An empty table gives no rows.
     """
+    texts = take_columns(docs, doc_id="long", text="string").withColumn("tag", F.lit(None).cast("long"))
+    return grouped(texts, width, percent).drop("tag")
+
+
+def grouped(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """`near_duplicates` of rows (doc_id, tag, text), with `tag`."""
     plan = Plan(percent)
-    sk = materialize(sketches(docs, plan.hashes, width).withColumn("id", F.coalesce("doc_id", F.lit(NO_ID))), "sketches")
+    sk = materialize(sketches(docs, plan.hashes, width).withColumn("id", F.monotonically_increasing_id()), "sketches")
     full = sk.where("n_shingles > 0")
     groups = full.groupBy("d1", "d2", "n_shingles").agg(F.min("id").alias("rep"), F.count("*").alias("n"))
     classes = materialize(
-        full.select("d1", "d2", "n_shingles", "id", "sketch").join(
-            groups.select("d1", "d2", "n_shingles", F.col("rep").alias("id")), ["d1", "d2", "n_shingles", "id"], "left_semi")
-        .dropDuplicates(["id"]).select("id", "n_shingles", "sketch"), "classes")
+        full.select("id", F.col("doc_id").alias("rep"), "d1", "d2", "n_shingles", "sketch").join(
+            groups.select(F.col("rep").alias("id")), "id", "left_semi"), "classes")
     copies = full.join(groups.where("n > 1").select("d1", "d2", "n_shingles", "rep"), ["d1", "d2", "n_shingles"]).select(
         F.col("id").alias("a"), F.col("rep").alias("b")).where("a != b")
 
@@ -380,7 +395,8 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, percent: int = PERCEN
     hubs = members.join(degree, "id").groupBy("key").agg(F.max(F.struct("degree", "id")).alias("h")).select("key", F.col("h.id").alias("hub"))
     star = members.join(hubs, "key").where("id != hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
     star = materialize(sieved(star, classes, plan), "star-pairs")
-    sets = materialize(stored_sets(docs, materialize(members.select("id").distinct(), "ids"), width), "sets")
+    met = materialize(classes.drop("sketch").join(members.select("id").distinct(), "id", "left_semi"), "met")
+    sets = materialize(stored_sets(docs, met, width), "sets")
     links = materialize(confirmed(star, sets, percent), "star-links")
     label = materialize(components(links), "star-components")
 
@@ -404,7 +420,7 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, percent: int = PERCEN
 
     open_ = still_open(members, label)
     fine = materialize(fine_sketches(sets.join(open_.select("id").distinct(), "id", "left_semi")), "fine-sketches")
-    sketched = lambda rows: rows.join(classes, "id").join(fine, "id")
+    sketched = lambda rows: rows.join(classes.select("id", "n_shingles", "sketch"), "id").join(fine, "id")
     few = Window.partitionBy("a").orderBy("differ", "b")
     near = cross_pairs(sketched(open_), plan, True).withColumn("__r", F.row_number().over(few)).where(F.col("__r") <= TRIED)
     near = untested(near, star)
@@ -412,10 +428,18 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, percent: int = PERCEN
     open_ = still_open(open_.drop("component"), label)
     cross = untested(cross_pairs(sketched(open_), plan, False), star, near)
     again = confirmed(cross, sets, percent)
-    final = joined_up(label, again, copies).withColumnRenamed("component", "component_id")
-    out = sk.select("doc_id", "n_shingles", "id").join(final, "id", "left")
-    component = F.nullif(F.when(F.col("n_shingles") > 0, F.coalesce("component_id", "id")).otherwise(F.col("id")), F.lit(NO_ID))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
+    shared_id = full.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("id").alias("b"), F.count("*").alias("n")).where("n > 1")
+    same = full.join(shared_id.select("doc_id", "b"), "doc_id").select(F.col("id").alias("a"), "b").where("a != b")
+    final = joined_up(label, again, copies, same)
+    rows = materialize(sk.select("doc_id", "tag", "id", "n_shingles").join(final, "id", "left"), "labels")
+    least = rows.where("component IS NOT NULL").groupBy("component").agg(
+        F.min("doc_id").alias("component_id"), F.min("id").alias("first"))
+    rows = rows.join(checked_broadcast(materialize(least, "components"), 32), "component", "left")
+    alone = F.col("component").isNull()
+    component = F.when(alone, F.col("doc_id")).otherwise(F.col("component_id"))
+    kept = alone | F.when(F.col("component_id").isNull(), F.col("id") == F.col("first")).otherwise(
+        F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+    return rows.select("doc_id", "n_shingles", component.alias("component_id"), kept.alias("kept"), "tag")
 
 
 def sieved(pairs: DataFrame, classes: DataFrame, plan: Plan) -> DataFrame:
@@ -434,9 +458,19 @@ def sieved(pairs: DataFrame, classes: DataFrame, plan: Plan) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """The rows of `docs` whose document is the smallest of its component."""
-    gone = near_duplicates(docs, width, percent).where("NOT kept").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+    """The rows of `docs` that `near_duplicates` keeps: those of each component's smallest doc_id, or one row if it has no doc_id.
+
+    What holds for nulls, repeated ids, empty and long texts there holds here. An empty table stays empty.
+    """
+    nameless = materialize(docs.where("doc_id IS NULL").withColumn("__tag", F.monotonically_increasing_id()), "nameless")
+    rest = docs.where("doc_id IS NOT NULL")
+    texts = take_columns(rest, doc_id="long", text="string").withColumn("tag", F.lit(None).cast("long")).unionByName(
+        take_columns(nameless, doc_id="long", text="string", __tag="long").withColumnRenamed("__tag", "tag"))
+    gone = materialize(grouped(texts, width, percent).where("NOT kept").select(F.col("doc_id").alias("__gone"), F.col("tag").alias("__gone_tag")), "gone")
+    ids = gone.where("__gone IS NOT NULL").select("__gone").distinct()
+    tags = gone.where("__gone IS NULL").select("__gone_tag")
+    return rest.join(ids, F.col("doc_id") == F.col("__gone"), "left_anti").unionByName(
+        nameless.join(tags, F.col("__tag") == F.col("__gone_tag"), "left_anti").drop("__tag"))
 
 
 @query("op8_minhash_dedup")

@@ -419,7 +419,7 @@ def test_pipeline_stage_by_stage(spark, sf):
     b = dict(pairs(outs[1]))
     rows = list(a.items())
     assert b == {d: x[0] for (d, _), x in zip(rows, dedup_lines(rows))}
-    comp = components({d: shingles(t) for d, t in b.items()})
+    comp = components({d: shingles(t, 5) for d, t in b.items()}, 80)
     assert set(dict(pairs(outs[2]))) == {d for d, c in comp.items() if c == d}
     taken = Counter(r["doc_id"] for r in outs[3].select("doc_id").collect())
     want = {r["doc_id"]: r["copies"] for r in mixing.mix(outs[2]).collect() if r["copies"]}

@@ -1,5 +1,7 @@
 """Line dedup, near-duplicates, string removal and language against plain versions."""
 
+from collections import Counter
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -81,21 +83,65 @@ def test_cuckoo_adds_and_removes():
 
 # --- near-duplicates ---
 
-def check_components(docs):
-    out = minhash.near_duplicates(docs).collect()
-    top = 1 << 62
-    sets = {}
-    for d, t in pairs(docs):
-        sets.setdefault(top if d is None else d, set()).update(shingles(t))
-    want = components({d: frozenset(s) for d, s in sets.items()})
-    for r in out:
-        d = top if r["doc_id"] is None else r["doc_id"]
-        c = want[d] if r["n_shingles"] else d
-        assert (top if r["component_id"] is None else r["component_id"]) == c
-        assert r["kept"] == (c == d)
+def rows_linked(rows, width=3, percent=85):
+    """(doc_id, set size, component_id, kept or None where any one of the rows may be kept) of rows (doc_id, text)."""
+    sets = [shingles(t, width) for _, t in rows]
+    parent = list(range(len(rows)))
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    full = [i for i, s in enumerate(sets) if s]
+    for k, i in enumerate(full):
+        for j in full[:k]:
+            both = len(sets[i] & sets[j])
+            if rows[i][0] is not None and rows[i][0] == rows[j][0] or 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
+                parent[find(i)] = find(j)
+    members = {}
+    for i in full:
+        members.setdefault(find(i), []).append(i)
+    out = []
+    for i, (d, _) in enumerate(rows):
+        own = members[find(i)] if sets[i] else [i]
+        c = min((rows[j][0] for j in own if rows[j][0] is not None), default=None)
+        out.append((d, len(sets[i]), c, c == d if c is not None else (True if len(own) == 1 else None)))
     return out
 
 
+def check_components(docs, **how):
+    out = (minhash.near_duplicates(docs, **how) if how else minhash.near_duplicates(docs)).collect()
+    want = rows_linked(pairs(docs), **how)
+    assert sorted(repr(tuple(r)[:3]) for r in out) == sorted(repr(r[:3]) for r in want)
+    sure = [r for r in want if r[3] is not None]
+    assert Counter(r["doc_id"] for r in out if r["kept"] and r["component_id"] is not None) == Counter(r[0] for r in sure if r[3] and r[2] is not None)
+    return out
+
+
+def two_texts_under_one_id():
+    """(doc_id, text) with ids and nulls that hold several texts, each with a near copy elsewhere."""
+    text = lambda i, last: " ".join(f"w{i}x{k}" for k in range(60)) + last
+    rows = []
+    for i in range(10):
+        rows += [(i, text(2 * i, "")), (i, text(2 * i + 1, "")), (100 + i, text(2 * i, " end")), (200 + i, text(2 * i + 1, " end"))]
+    for i in range(20, 30):
+        rows += [(None, text(i, "")), (None, text(i, " end"))]
+    return rows + [(None, text(30, "")), (300, text(30, " end")), (None, text(31, "")), (None, ""), (5, "")]
+
+
+@pytest.mark.parametrize("parts", [1, 4])
+def test_components_of_ids_and_nulls_with_several_texts(spark, parts):
+    docs = spark.createDataFrame(two_texts_under_one_id(), "doc_id long, text string").repartition(parts)
+    out = check_components(docs)
+    assert {r["component_id"] for r in out if r["doc_id"] in range(100, 210)} == set(range(10))
+    pairs_without_id = [r for r in out if r["component_id"] is None]
+    assert len(pairs_without_id) == 22 and sum(r["kept"] for r in pairs_without_id) == 12
+    again = minhash.near_duplicates(docs).collect()
+    assert sorted(map(repr, again)) == sorted(map(repr, out))
+    assert len(minhash.one_of_each(docs).collect()) == sum(r["kept"] for r in out)
+
+
 def test_components_on_edge_rows(spark):
     docs = edge_docs(spark)
     out = check_components(docs)
