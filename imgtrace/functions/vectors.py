@@ -16,6 +16,11 @@ from pyspark.sql import types as T
 WORD_BITS = 64
 
 
+def code_words(vector_size: int) -> int:
+    """Words of a code of that many dimensions."""
+    return -(-vector_size // WORD_BITS)
+
+
 def encode_sign(v: Column) -> Column:
     """One bit per dimension (set iff strictly positive), 64 dims per word, low bit first."""
 

@@ -381,12 +381,14 @@ def topk_per_query(cands: DataFrame, k: int, *order, rank: str = "rank") -> Data
 
 
 def nearest_codes(queries: DataFrame, codes: DataFrame, k: int, code: str = "code",
-                  max_shipped: int = MAX_SHIPPED_QUERIES, shipped: Shipped | None = None) -> DataFrame:
+                  max_shipped: int = MAX_SHIPPED_QUERIES, shipped: Shipped | None = None,
+                  width: int | None = None) -> DataFrame:
     """k nearest binary codes of each query by Hamming distance, ties by image id.
 
-    `shipped` saves the fetch when the caller already did it.
+    `shipped` saves the fetch when the caller already did it; `width`, the words of a code, saves a pass
+    over the gallery that finds it.
     """
-    width = stored_width(codes, code)
+    width = width or stored_width(codes, code)
     shipped = shipped or ship(queries, code, max_shipped, width=width)
     partial = _scan(_TopK, "hamming", k, _as_queries(queries, code), _as_gallery(codes, code), shipped, width)
     return topk_per_query(partial, k, "distance", "image_id")
@@ -394,11 +396,14 @@ def nearest_codes(queries: DataFrame, codes: DataFrame, k: int, code: str = "cod
 
 def nearest_vectors(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "cosine",
                     vector: str = "vector", max_shipped: int = MAX_SHIPPED_QUERIES,
-                    shipped: Shipped | None = None) -> DataFrame:
-    """k nearest vectors of each query by full-precision score, ties by image id."""
+                    shipped: Shipped | None = None, width: int | None = None) -> DataFrame:
+    """k nearest vectors of each query by full-precision score, ties by image id.
+
+    `width` is the model's vector size; without it a pass over the gallery finds it.
+    """
     if metric not in METRICS[1:]:
         raise ValueError(f"unknown metric {metric!r}")
-    width = stored_width(vectors, vector)
+    width = width or stored_width(vectors, vector)
     shipped = shipped or ship(queries, vector, max_shipped, width=width)
     partial = _scan(_TopK, metric, k, _as_queries(queries, vector), _as_gallery(vectors, vector), shipped, width)
     best = F.asc("score") if metric == "euclid" else F.desc("score")
@@ -406,13 +411,13 @@ def nearest_vectors(queries: DataFrame, vectors: DataFrame, k: int, metric: str
 
 
 def answer_rank(queries: DataFrame, gallery: DataFrame, metric: str, values: str, own: str,
-                max_shipped: int = MAX_SHIPPED_QUERIES) -> DataFrame:
+                max_shipped: int = MAX_SHIPPED_QUERIES, width: int | None = None) -> DataFrame:
     """0-based pessimistic rank of each query's `answer_id`: rows better plus rows tied.
 
     `own` names the column with the query's score against its answer. Tasks emit
-    two counts per query, never the scores themselves.
+    two counts per query, never the scores themselves. `width` as in `nearest_vectors`.
     """
-    width = stored_width(gallery, values)
+    width = width or stored_width(gallery, values)
     shipped = ship(queries, values, max_shipped, "answer_id", own, width)
     counts = _scan(_Ahead, metric, 0, _as_queries(queries, values, "answer_id", own),
                    _as_gallery(gallery, values), shipped, width)

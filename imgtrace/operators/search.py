@@ -53,10 +53,10 @@ def _ship(df: DataFrame, proven: bool) -> DataFrame:
 
 def coarse_scan(queries: DataFrame, codes: DataFrame, limit: int,
                 max_shipped: int = knn.MAX_SHIPPED_QUERIES,
-                shipped: knn.Shipped | None = None) -> DataFrame:
+                shipped: knn.Shipped | None = None, width: int | None = None) -> DataFrame:
     """queries(query_id, code) x codes(image_id, code) -> the nearest codes per query, each picture once."""
     near = knn.nearest_codes(queries, codes, coarse_want(limit), max_shipped=max_shipped,
-                             shipped=shipped)
+                             shipped=shipped, width=width)
     once = Window.partitionBy("query_id", "image_id").orderBy("rank")
     return near.withColumn("_r", F.row_number().over(once)).where("_r = 1").drop("_r")
 
@@ -122,20 +122,22 @@ def exact_match(hits: DataFrame) -> DataFrame:
 
 def search(queries: DataFrame, codes: DataFrame, vectors: DataFrame, images: DataFrame,
            model_id: str, limit: int = DEFAULT_LIMIT, candidates: int = DEFAULT_CANDIDATES,
-           max_shipped: int = knn.MAX_SHIPPED_QUERIES) -> DataFrame:
+           max_shipped: int = knn.MAX_SHIPPED_QUERIES, vector_size: int | None = None) -> DataFrame:
     """queries(query_id, vector, phash[, code]) -> at most `limit` ranked hits per query.
 
     A query of another size than the model's codes has no hits. Codes of other models are left out
-    where the table says whose they are.
+    where the table says whose they are. `vector_size` is the model's, as its table has it; without it a pass over
+    the codes finds their width.
     """
     if "model_id" in codes.columns:
         codes = codes.where(F.col("model_id") == model_id)
     candidates = effective_candidates(limit, candidates)
     if "code" not in queries.columns:
         queries = queries.withColumn("code", V.encode_sign(F.col("vector")))
-    shipped = knn.ship(queries, "code", max_shipped, width=knn.stored_width(codes, "code"))
+    width = V.code_words(vector_size) if vector_size else knn.stored_width(codes, "code")
+    shipped = knn.ship(queries, "code", max_shipped, width=width)
     proven = small_enough(shipped, coarse_want(candidates))
-    cands = coarse_scan(queries, codes, candidates, max_shipped, shipped).select(
+    cands = coarse_scan(queries, codes, candidates, max_shipped, shipped, width).select(
         "query_id", "image_id")
     originals = fetch_originals(cands, vectors, model_id, proven)
     scored = rescore(originals, queries, candidates, proven)
@@ -161,14 +163,15 @@ def hash_search(queries: DataFrame, gallery: DataFrame, k: int = 1,
     ok = H.hash_to_long(F.col("phash")).isNotNull()
     return knn.nearest_codes(
         queries.where(ok).select("query_id", word.alias("code")),
-        gallery.where(ok).select("image_id", word.alias("code")), k, max_shipped=max_shipped)
+        gallery.where(ok).select("image_id", word.alias("code")), k, max_shipped=max_shipped, width=1)
 
 
 def two_step_scores(queries: DataFrame, gallery: DataFrame, topk: int,
-                    max_shipped: int = knn.MAX_SHIPPED_QUERIES) -> DataFrame:
+                    max_shipped: int = knn.MAX_SHIPPED_QUERIES, width: int | None = None) -> DataFrame:
     """Vector top-k, then the smallest hash distance inside it; score is its negative."""
-    shipped = knn.ship(queries, "vector", max_shipped, width=knn.stored_width(gallery, "vector"))
-    near = knn.nearest_vectors(queries, gallery, topk, max_shipped=max_shipped, shipped=shipped)
+    width = width or knn.stored_width(gallery, "vector")
+    shipped = knn.ship(queries, "vector", max_shipped, width=width)
+    near = knn.nearest_vectors(queries, gallery, topk, max_shipped=max_shipped, shipped=shipped, width=width)
     proven = small_enough(shipped, topk)
     g = gallery.select("image_id", F.col("phash").alias("image_phash"))
     pairs = g.join(_ship(near.select("query_id", "image_id"), proven), "image_id").join(

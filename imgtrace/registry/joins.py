@@ -32,7 +32,7 @@ KNN = {"words": _WORDS, "qwords": _QWORDS, "coarse": COARSE}
 
 def coarse(spark, sf, limit=25):
     q = D.queries(spark, sf).select("query_id", V.encode_sign(F.col("vector")).alias("code"))
-    return S.coarse_scan(q, D.codes(spark, sf), limit)
+    return S.coarse_scan(q, D.codes(spark, sf), limit, width=V.code_words(D.vector_size("copy64")))
 
 
 @query("c1_hydrate", with_("gallery", "queries", **KNN) + """

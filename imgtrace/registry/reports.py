@@ -192,7 +192,7 @@ SELECT coalesce(degradation, '전체') AS degradation, count(*) AS queries,
 FROM ranks GROUP BY ROLLUP (degradation)""")
 def retrieval_eval(spark, sf):
     q = D.degraded(spark, sf)
-    ranks = evaluation.vector_ranks(q, all_vectors(spark, sf)).join(
+    ranks = evaluation.vector_ranks(q, all_vectors(spark, sf), D.vector_size("copy64")).join(
         q.select("query_id", "degradation"), "query_id")
     return E.retrieval_eval(ranks).select(
         "degradation", "queries", r6("top1_pct").alias("top1_pct"), r6("top5_pct").alias("top5_pct"))
@@ -223,7 +223,7 @@ def scores(spark, sf):
     kind = F.when(F.col("label") == 7, "fake").otherwise("real")
     found = evaluation.threshold_scores(
         D.queries(spark, sf).withColumn("kind", kind),
-        all_vectors(spark, sf).where(F.col("label") != 7), 20)
+        all_vectors(spark, sf).where(F.col("label") != 7), 20, D.vector_size("copy64"))
     # The figures read the scores several times; the scans behind them run once.
     return materialize(found, "scores")
 

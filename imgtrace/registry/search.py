@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from imgtrace.functions import vectors as V
+from imgtrace.operators import hashjoin as HJ
 from imgtrace.operators import knn
 from imgtrace.operators import ranges as G
 from imgtrace.operators import search as S
@@ -66,7 +67,7 @@ def rerank(spark, sf):
 
 def _search(spark, sf):
     return S.search(D.queries(spark, sf), D.codes(spark, sf), D.image_vectors(spark, sf),
-                    D.gallery(spark, sf), "copy64")
+                    D.gallery(spark, sf), "copy64", vector_size=D.vector_size("copy64"))
 
 
 @query("f8_search", _ALL + """
@@ -85,8 +86,8 @@ def mixed_sizes(spark, sf):
     q = D.queries(spark, sf)
     odd = q.where("query_id % 10 = 0").withColumn("query_id", -F.col("query_id") - 1).withColumn(
         "vector", F.concat("vector", F.slice("vector", 1, 8)))
-    return S.search(q.unionByName(odd), D.codes(spark, sf), D.image_vectors(spark, sf), D.gallery(spark, sf), "copy64").select(
-        "query_id", i64("hit_rank").alias("hit_rank"), "image_id")
+    return S.search(q.unionByName(odd), D.codes(spark, sf), D.image_vectors(spark, sf), D.gallery(spark, sf), "copy64",
+                    vector_size=D.vector_size("copy64")).select("query_id", i64("hit_rank").alias("hit_rank"), "image_id")
 
 
 @query("f4_exhausted_two_scopes", with_("crawl_ranges", two=D.TWO_SCOPES_SQL) + """
@@ -133,7 +134,7 @@ def ready_retries(spark, sf):
 SELECT query_id, image_id, round(CAST(score AS DOUBLE), 6) AS score, rank FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, image_id) AS rank FROM pairs) WHERE rank <= 5""")
 def search_exact(spark, sf):
-    return knn.nearest_vectors(D.queries(spark, sf), all_vectors(spark, sf), 5).select(
+    return knn.nearest_vectors(D.queries(spark, sf), all_vectors(spark, sf), 5, width=D.vector_size("copy64")).select(
         "query_id", "image_id", r6("score").alias("score"), i64("rank").alias("rank"))
 
 
@@ -165,6 +166,32 @@ def hash_search(spark, sf):
         "query_id", "image_id", "distance")
 
 
+@query("f10_hash_join", with_("gallery", "queries", pairs=_HASH_PAIRS) + """
+SELECT query_id, count(*) AS matches, arg_min(image_id, (distance, image_id)) AS image_id, min(distance) AS distance
+FROM pairs WHERE distance <= 5 GROUP BY query_id""")
+def hash_join(spark, sf):
+    """Pictures within five bits by bands of distinct hashes."""
+    return HJ.hash_matches(D.queries(spark, sf), D.gallery(spark, sf))
+
+
+@query("f10_same_pictures", with_("gallery", pairs=f"""
+  SELECT a.image_id, b.image_id AS other, {hamming_hex('a.phash', 'b.phash')} AS d FROM gallery a, gallery b
+  WHERE a.image_id <> b.image_id""") + """
+SELECT image_id, count(*) FILTER (d <= 20) AS links, coalesce(arg_min(other, (d, other)) FILTER (d <= 20), -1) AS nearest,
+  coalesce(min(d) FILTER (d <= 20), -1) AS distance FROM pairs GROUP BY image_id""")
+def same_pictures(spark, sf):
+    """The gallery against itself at twenty bits, where these hashes have neighbours."""
+    return HJ.same_pictures(D.gallery(spark, sf), 20).fillna(-1, ["nearest", "distance"])
+
+
+@query("f10_hash_search_near", with_("gallery", "queries", pairs=_HASH_PAIRS) + """
+SELECT query_id, image_id, distance FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, image_id) AS rank FROM pairs) WHERE rank = 1""")
+def hash_search_near(spark, sf):
+    """The join first; only what it leaves is scanned."""
+    return HJ.hash_search_near(D.queries(spark, sf), D.gallery(spark, sf))
+
+
 @query("f11_two_step_scores", with_("gallery", "queries", pairs=f"""
   SELECT q.query_id, g.image_id, {cosine('q.vector', 'g.embedding')} AS score,
     {hamming_hex('q.phash', 'g.phash')} AS distance FROM queries q, gallery g""") + """
@@ -172,14 +199,14 @@ SELECT query_id, CAST(-min(distance) AS DOUBLE) AS score FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, image_id) AS rank FROM pairs)
 WHERE rank <= 20 GROUP BY 1""")
 def two_step(spark, sf):
-    return S.two_step_scores(D.queries(spark, sf), all_vectors(spark, sf), 20)
+    return S.two_step_scores(D.queries(spark, sf), all_vectors(spark, sf), 20, width=D.vector_size("copy64"))
 
 
 @query("e3_rank_of", with_("degraded", pairs=PAIRS.format("degraded")) + """
 SELECT p.query_id, count(*) FILTER (p.score >= o.score AND p.image_id <> p.answer_id) AS rank
 FROM pairs p JOIN (SELECT query_id, score FROM pairs WHERE image_id = answer_id) o USING (query_id) GROUP BY 1""")
 def rank_of(spark, sf):
-    return evaluation.vector_ranks(D.degraded(spark, sf), all_vectors(spark, sf))
+    return evaluation.vector_ranks(D.degraded(spark, sf), all_vectors(spark, sf), D.vector_size("copy64"))
 
 
 @query("e3_rank_of_hash", with_("gallery", "degraded", pairs=f"""

@@ -100,6 +100,11 @@ def models(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(MODEL_ROWS, S.MODELS)
 
 
+def vector_size(model_id: str) -> int:
+    """The size the model table states."""
+    return next(row[2] for row in MODEL_ROWS if row[0] == model_id)
+
+
 def _shifted(step: Column) -> Column:
     return F.transform(
         F.col("embedding"),
