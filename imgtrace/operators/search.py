@@ -12,6 +12,7 @@ from imgtrace.functions import hashes as H
 from imgtrace.functions import posts as P
 from imgtrace.functions import vectors as V
 from imgtrace.operators import knn
+from imgtrace.sources.buckets import bucket_of
 
 # --- fixed values ---------------------------------------------------------
 OVERSAMPLE = 4
@@ -61,14 +62,25 @@ def coarse_scan(queries: DataFrame, codes: DataFrame, limit: int,
     return near.withColumn("_r", F.row_number().over(once)).where("_r = 1").drop("_r")
 
 
-def fetch_originals(cands: DataFrame, vectors: DataFrame, model_id: str,
-                    proven: bool = False) -> DataFrame:
-    """Stored vectors of the candidates; ids without one vanish.
+def by_id(table: DataFrame, ids: DataFrame, proven: bool, span: int | None) -> DataFrame:
+    """Join a stored table with few rows (image_id, ...).
 
-    With a proven small candidate side the wide vector table is not shuffled.
+    With a proven small side the table is not shuffled. Where it lies in buckets of `span` ids (`sources.buckets`), the
+    bucket is a join key, too: it is a partition column, so only the buckets of these ids are read.
     """
-    of_model = vectors.where(F.col("model_id") == model_id).select("image_id", "vector")
-    return of_model.join(_ship(cands, proven), "image_id")
+    if span is None:
+        return table.join(_ship(ids, proven), "image_id")
+    # the bounds are no news for the rows, but tell the planner that this side picks some of them
+    few = ids.where(F.col("image_id") > F.lit(-1 << 63)).withColumn("id_bucket", bucket_of("image_id", span))
+    return table.join(_ship(few, proven), ["id_bucket", "image_id"]).drop("id_bucket")
+
+
+def fetch_originals(cands: DataFrame, vectors: DataFrame, model_id: str,
+                    proven: bool = False, span: int | None = None) -> DataFrame:
+    """Stored vectors of the candidates; ids without one vanish. `span` as in `by_id`."""
+    columns = ["image_id", "vector"] + (["id_bucket"] if span else [])
+    of_model = vectors.where(F.col("model_id") == model_id).select(*columns)
+    return by_id(of_model, cands, proven, span)
 
 
 def rescore(cands: DataFrame, queries: DataFrame, limit: int, proven: bool = False) -> DataFrame:
@@ -82,14 +94,14 @@ def rescore(cands: DataFrame, queries: DataFrame, limit: int, proven: bool = Fal
     return knn.topk_per_query(scored, limit, F.desc("score"), "image_id", rank="vector_rank")
 
 
-def hydrate(hits: DataFrame, images: DataFrame, proven: bool = False) -> DataFrame:
-    """Attach catalog columns; hits without a catalog row vanish.
+def hydrate(hits: DataFrame, images: DataFrame, proven: bool = False, span: int | None = None) -> DataFrame:
+    """Attach catalog columns; hits without a catalog row vanish. `span` as in `by_id`.
 
     The catalog's own post score is kept as `post_score`.
     """
     if "score" in images.columns:
         images = images.withColumnRenamed("score", "post_score")
-    return images.join(_ship(hits, proven), "image_id")
+    return by_id(images, hits, proven, span)
 
 
 def rerank(hits: DataFrame, query_hashes: DataFrame, limit: int, proven: bool = False) -> DataFrame:
@@ -122,12 +134,13 @@ def exact_match(hits: DataFrame) -> DataFrame:
 
 def search(queries: DataFrame, codes: DataFrame, vectors: DataFrame, images: DataFrame,
            model_id: str, limit: int = DEFAULT_LIMIT, candidates: int = DEFAULT_CANDIDATES,
-           max_shipped: int = knn.MAX_SHIPPED_QUERIES, vector_size: int | None = None) -> DataFrame:
+           max_shipped: int = knn.MAX_SHIPPED_QUERIES, vector_size: int | None = None,
+           span: int | None = None) -> DataFrame:
     """queries(query_id, vector, phash[, code]) -> at most `limit` ranked hits per query.
 
     A query of another size than the model's codes has no hits. Codes of other models are left out
     where the table says whose they are. `vector_size` is the model's, as its table has it; without it a pass over
-    the codes finds their width.
+    the codes finds their width. `span` says that the tables lie in buckets of so many ids (`by_id`).
     """
     if "model_id" in codes.columns:
         codes = codes.where(F.col("model_id") == model_id)
@@ -139,9 +152,9 @@ def search(queries: DataFrame, codes: DataFrame, vectors: DataFrame, images: Dat
     proven = small_enough(shipped, coarse_want(candidates))
     cands = coarse_scan(queries, codes, candidates, max_shipped, shipped, width).select(
         "query_id", "image_id")
-    originals = fetch_originals(cands, vectors, model_id, proven)
+    originals = fetch_originals(cands, vectors, model_id, proven, span)
     scored = rescore(originals, queries, candidates, proven)
-    hits = hydrate(scored, images, proven)
+    hits = hydrate(scored, images, proven, span)
     return rerank(hits, queries, limit, proven)
 
 

@@ -73,23 +73,28 @@ def check_batch(items: DataFrame, vectors: DataFrame, models: DataFrame) -> Data
     return v.where(F.col("fault").isNotNull() | (F.col("unregistered") > 0))
 
 
-def ingest_batch(items: DataFrame, item_vectors: DataFrame, images: DataFrame, vectors: DataFrame,
-                 codes: DataFrame, models: DataFrame, now, max_indexed: int = 0) -> dict[str, DataFrame]:
-    """All-or-nothing ingest: quota, validation, images, vectors, codes, mark.
-
-    items: catalog columns plus `arrival`, keyed by (site, post);
-    item_vectors: (site, post, model_id, vector, arrival).
-    """
+def admit(items: DataFrame, item_vectors: DataFrame, models: DataFrame, count_stored: Callable[[], int], max_indexed: int) -> None:
+    """Raise if the batch would overflow the catalog or holds an item that doesn't fit the active models."""
     if max_indexed > 0:
         # Exact only up to the first row that would not fit; nothing is collected.
         incoming = items.select(*M.IMAGE_KEY).limit(max_indexed + 1).count()
-        if not quota_allows(images.count, incoming, max_indexed):
+        if not quota_allows(count_stored, incoming, max_indexed):
             raise IndexFull(f"{incoming} more pictures exceed {max_indexed}")
     item_id = F.concat_ws("#", *M.IMAGE_KEY)
     keyed = item_vectors.withColumn("item_id", item_id)
     bad = check_batch(items.select(item_id.alias("item_id")).distinct(), keyed, models).take(1)
     if bad:
         raise BatchRefused(str(bad[0].asDict()))
+
+
+def ingest_batch(items: DataFrame, item_vectors: DataFrame, images: DataFrame, vectors: DataFrame,
+                 codes: DataFrame, models: DataFrame, now, max_indexed: int = 0) -> dict[str, DataFrame]:
+    """All-or-nothing ingest: quota, validation, images, vectors, codes, mark.
+
+    items: catalog columns plus `arrival`, keyed by (site, post);
+    item_vectors: (site, post, model_id, vector, arrival).
+    """
+    admit(items, item_vectors, models, images.count, max_indexed)
     new_images = materialize(M.upsert_images(images, items, now), "images")
     ids = new_images.select("image_id", *M.IMAGE_KEY)
     fresh = materialize(

@@ -13,14 +13,17 @@ from pyspark.sql import functions as F
 from imgtrace.functions import vectors as V
 from imgtrace.operators import evaluate as E
 from imgtrace.operators import pixels as X
+from imgtrace.operators import search as S
 from imgtrace.operators import setdiff
-from imgtrace.plans import evaluation, jobs
+from imgtrace.plans import bucket_jobs, evaluation, jobs
 from imgtrace.registry import pixel_sql as Q
-from imgtrace.registry.base import query, r6
+from imgtrace.registry.base import i64, query, r6, ts_text
 from imgtrace.registry.derived_sql import dot, hamming_hex, with_
+from imgtrace.registry.joins import KNN, coarse
 from imgtrace.registry.reports import REPORT_SQL, _SCORED, round5, scores
-from imgtrace.registry.search import all_vectors
+from imgtrace.registry.search import SEARCH_SQL, all_vectors
 from imgtrace.session import materialize, scratch_path
+from imgtrace.sources import buckets as B
 from imgtrace.sources import derived as D
 from imgtrace.sources import pictures as A
 
@@ -201,6 +204,20 @@ def reembed_dry_run(spark, sf):
     return setdiff.missing_by_model(D.gallery(spark, sf), D.image_vectors(spark, sf), D.models(spark))
 
 
+ITEM_COLUMNS = ["source_site", "source_post_id", "source_url", "canonical_url", "rating", "score", "phash",
+                "thumb_path", "tags", "artist_tags"]
+
+
+def _arrivals(g):
+    """A batch of these pictures: items, and the vectors of both active models."""
+    rows = F.array(
+        F.struct(F.lit("copy64").alias("model_id"), F.col("embedding").alias("vector")),
+        F.struct(F.lit("sem32").alias("model_id"), F.slice("embedding", 1, 32).alias("vector")))
+    made = g.select("source_site", "source_post_id", F.explode(rows).alias("r")).select(
+        "source_site", "source_post_id", "r.model_id", "r.vector", F.lit(0).alias("arrival"))
+    return g.select(*ITEM_COLUMNS, "label", F.lit(0).alias("arrival")), made
+
+
 @query("j4_ingest_batch", with_("gallery") + """
 SELECT model_id, (SELECT count(*) FROM gallery) AS images, count(*) AS vectors, count(*) AS codes, count(*) AS indexed,
   sum(source_post_id)::BIGINT AS post_sum
@@ -208,14 +225,9 @@ FROM gallery, (VALUES ('copy64'), ('sem32')) m(model_id) GROUP BY model_id""")
 def ingest_batch(spark, sf):
     """The whole gallery arrives at a catalog that knows the pictures of labels 0 to 4."""
     g = D.gallery(spark, sf)
-    cols = ["source_site", "source_post_id", "source_url", "canonical_url", "rating", "score", "phash",
-            "thumb_path", "tags", "artist_tags"]
-    items = g.select(*cols, F.lit(0).alias("arrival"))
-    rows = F.array(
-        F.struct(F.lit("copy64").alias("model_id"), F.col("embedding").alias("vector")),
-        F.struct(F.lit("sem32").alias("model_id"), F.slice("embedding", 1, 32).alias("vector")))
-    made = g.select("source_site", "source_post_id", F.explode(rows).alias("r")).select(
-        "source_site", "source_post_id", "r.model_id", "r.vector", F.lit(0).alias("arrival"))
+    cols = ITEM_COLUMNS
+    items, made = _arrivals(g)
+    items = items.drop("label")
     at = D.ts("2024-01-01 00:00:00")
     known = g.where(F.col("label") < 5)
     old = known.select("image_id", *cols, at.alias("created_at"), at.alias("updated_at"))
@@ -231,6 +243,99 @@ def ingest_batch(spark, sf):
     return v.join(c, "model_id").withColumn("images", n)
 
 
+# --- the same jobs on a bucketed catalog ------------------------------------
+
+#: Ids of a bucket here, so that the smallest tables have several.
+SPAN = 128
+
+
+def _stored(spark, sf):
+    images, vectors, codes = _catalog(spark, sf)
+    at = D.ts("2024-01-01 00:00:00")
+    images = images.withColumns({"created_at": at, "updated_at": at}).drop("embedding")
+    return B.create(images, vectors, scratch_path(spark, "buckets"), codes, SPAN, 16)
+
+
+@query("f8_search_buckets", SEARCH_SQL)
+def search_buckets(spark, sf):
+    """Search over a stored catalog: originals and catalog rows come from the buckets of the candidates only."""
+    b = _stored(spark, sf)
+    codes = jobs.to_codes(b.table("image_vectors"))
+    hits = S.search(D.queries(spark, sf), codes, b.table("image_vectors"), b.table("images"), "copy64",
+                    vector_size=D.vector_size("copy64"), span=b.span)
+    return hits.select("query_id", i64("hit_rank").alias("hit_rank"), "image_id", "source_site", "source_post_id",
+                       r6("score").alias("score"), "hash_distance", "exact")
+
+
+@query("c1_hydrate_buckets", with_("gallery", "queries", **KNN) + """
+SELECT query_id, image_id, distance, source_site, source_post_id
+FROM coarse JOIN gallery USING (image_id)""")
+def hydrate_buckets(spark, sf):
+    b = _stored(spark, sf)
+    return S.hydrate(coarse(spark, sf), b.table("images"), span=b.span).select(
+        "query_id", "image_id", "distance", "source_site", "source_post_id")
+
+
+@query("c2_fetch_buckets", with_("gallery", "queries", "image_vectors", **KNN) + """
+SELECT query_id, image_id, CAST(len(vector) AS INTEGER) AS n FROM coarse JOIN image_vectors USING (image_id)
+WHERE model_id = 'sem32'""")
+def fetch_buckets(spark, sf):
+    b = _stored(spark, sf)
+    return S.fetch_originals(coarse(spark, sf), b.table("image_vectors"), "sem32", span=b.span).select(
+        "query_id", "image_id", F.size("vector").alias("n"))
+
+
+@query("c16_mark_buckets", with_("gallery", "image_vectors") + """
+SELECT image_id, model_id, CASE WHEN model_id = 'sem32' AND g.label IN (3, 4) THEN '2024-02-01 00:00:00'
+  WHEN indexed_at IS NULL THEN '' ELSE '2024-01-01 00:00:00' END AS indexed_at
+FROM image_vectors JOIN gallery g USING (image_id)""")
+def mark_buckets(spark, sf):
+    b = _stored(spark, sf)
+    ids = D.gallery(spark, sf).where(F.col("label").isin(3, 4)).select("image_id")
+    bucket_jobs.mark_indexed(b, ids, ["sem32"], "2024-02-01 00:00:00")
+    return b.table("image_vectors").select("image_id", "model_id", F.coalesce(ts_text("indexed_at"), F.lit("")).alias("indexed_at"))
+
+
+@query("j1_rebuild_buckets", with_("image_vectors") + """
+SELECT model_id, count(*) AS codes, 0::BIGINT AS pending FROM image_vectors GROUP BY model_id""")
+def rebuild_buckets(spark, sf):
+    b = _stored(spark, sf)
+    bucket_jobs.rebuild_index(b, D.models(spark), "2024-02-01 00:00:00")
+    pending = b.table("image_vectors").groupBy("model_id").agg(F.count_if(F.col("indexed_at").isNull()).alias("pending"))
+    return b.table("codes").groupBy("model_id").agg(F.count("*").alias("codes")).join(pending, "model_id")
+
+
+@query("j2_reembed_buckets", with_("gallery", "image_vectors") + """
+SELECT image_id, CASE WHEN label = 5 THEN 'missing' WHEN label = 2 THEN 'failed' ELSE 'ok' END AS outcome
+FROM gallery g WHERE coalesce(thumb_path, '') <> '' AND NOT EXISTS (
+  SELECT 1 FROM image_vectors v WHERE v.image_id = g.image_id AND model_id = 'sem32')""")
+def reembed_buckets(spark, sf):
+    """As j2_reembed, two buckets a round."""
+    half = lambda files: files.select("image_id", F.transform(
+        F.slice("embedding", 1, 32),
+        lambda x: F.when(F.col("label") == 2, float("nan")).otherwise(x).cast("float")).alias("vector"))
+    files = D.gallery(spark, sf).where(F.col("label") != 5).select("image_id", "label", "embedding")
+    return bucket_jobs.reembed(_stored(spark, sf), {"model_id": "sem32", "vector_size": 32}, half, files,
+                               "2024-02-01 00:00:00", buckets_per_round=2)
+
+
+@query("j4_ingest_buckets", with_("gallery", "image_vectors") + """
+SELECT model_id, image_id, source_post_id, label = 6 AS arrived, CASE WHEN label = 6 THEN '2024-02-01 00:00:00'
+    ELSE '2024-01-01 00:00:00' END AS updated_at,
+  CASE WHEN label = 6 THEN '2024-02-01 00:00:00' WHEN indexed_at IS NULL THEN '' ELSE '2024-01-01 00:00:00' END AS indexed_at,
+  '2024-01-01 00:00:00' AS created_at
+FROM image_vectors JOIN gallery USING (image_id)""")
+def ingest_buckets(spark, sf):
+    """The pictures of label 6 arrive again; the others are neither read nor written but for their buckets."""
+    b = _stored(spark, sf)
+    again = D.gallery(spark, sf).where(F.col("label") == 6)
+    bucket_jobs.ingest_batch(b, *_arrivals(again), D.models(spark), "2024-02-01 00:00:00")
+    images = b.table("images").select("image_id", "source_post_id", F.col("label").eqNullSafe(F.lit(6)).alias("arrived"), ts_text("updated_at").alias("updated_at"))
+    return b.table("image_vectors").join(images, "image_id").select(
+        "model_id", "image_id", "source_post_id", "arrived", "updated_at",
+        F.coalesce(ts_text("indexed_at"), F.lit("")).alias("indexed_at"), ts_text("created_at").alias("created_at"))
+
+
 def _eval_sql(method: str, pairs: str) -> str:
     return f"""
 SELECT '{method}' AS method, coalesce(degradation, '전체') AS degradation, count(*) AS queries,

@@ -70,9 +70,12 @@ def _search(spark, sf):
                     D.gallery(spark, sf), "copy64", vector_size=D.vector_size("copy64"))
 
 
-@query("f8_search", _ALL + """
+SEARCH_SQL = _ALL + """
 SELECT query_id, hit_rank, image_id, source_site, source_post_id, round(CAST(score AS DOUBLE), 6) AS score,
-  hash_distance, exact FROM hits""")
+  hash_distance, exact FROM hits"""
+
+
+@query("f8_search", SEARCH_SQL)
 def search(spark, sf):
     return _search(spark, sf).select(
         "query_id", i64("hit_rank").alias("hit_rank"), "image_id", "source_site", "source_post_id",
