@@ -14,8 +14,9 @@ corpus. It is never made: suffixes are dealt into buckets that can be sorted one
   suffixes have a shift below `COVER` at which both stand on sample places, whose
   ranks, made once per block, stand for the next 2 * `COVER` bytes.
 * Buckets of very frequent anchors never meet in one task: their stretches are compared
-  whole by digest, and of each distinct stretch only the first sends its suffixes on, one
-  by one, to buckets of their own.
+  whole by digest. Tasks add up, for each digest, its earliest place; a stretch that is a copy is
+  cut in its document's own task, so that nothing is written per copy and no text of it travels. Of each distinct
+  stretch only the first sends its suffixes on, one by one, to buckets of their own.
 
 Exact copies of whole documents are settled by digest before all this.
 """
@@ -176,37 +177,145 @@ def repeated_anchors(rows: DataFrame) -> DataFrame:
 
 # --- buckets ---------------------------------------------------------------------------------
 
-STRETCH = "k long, key long, d long, start long, suffixes int, frequent boolean, stretch binary"
+STRETCH = "k long, key long, d long, start long, suffixes int, stretch binary"
+#: Digests that a task adds up before it passes them on, and most of them that are sent to all tasks.
+HELD, SENT = 200_000, 1_000_000
+
+
+def chosen_stretches(texts: pa.Array, wanted: list):
+    """(row, anchor, start, suffixes, stretch) of the anchors in each row's list of wanted ones."""
+    for lo, hi, data, offsets in blocks(texts):
+        text, h, _, first, past = anchors(data, offsets)
+        h = signed(h)
+        bounds = np.searchsorted(text, np.arange(hi - lo + 1))
+        for i in range(hi - lo):
+            if wanted[lo + i]:
+                some = np.flatnonzero(np.isin(h[bounds[i]:bounds[i + 1]], wanted[lo + i])) + bounds[i]
+                for j, k, start, end in zip(some.tolist(), h[some].tolist(), first[some].tolist(), past[some].tolist(), strict=True):
+                    yield lo + i, k, start - int(offsets[i]), end - start, data[start:end + LENGTH - 1].tobytes()
 
 
 def stretches(held: DataFrame) -> DataFrame:
-    """The text around each occurrence of a repeated anchor of (key, d, text, frequent, rare); k: its bucket."""
+    """The text around each occurrence of a rare repeated anchor of (key, d, text, rare); k: its bucket."""
 
     def run(batches):
         for batch in batches:
-            frequent, rare = batch.column(3).to_pylist(), batch.column(4).to_pylist()
             keys, ds = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for lo, hi, data, offsets in blocks(batch.column(2)):
-                text, h, _, first, past = anchors(data, offsets)
-                h = signed(h)
-                bounds = np.searchsorted(text, np.arange(hi - lo + 1))
-                cols: tuple[list, ...] = ([], [], [], [], [], [], [])
-                for i in range(hi - lo):
-                    mine = slice(bounds[i], bounds[i + 1])
-                    often = np.isin(h[mine], frequent[lo + i] or [])
-                    some = np.flatnonzero(often | np.isin(h[mine], rare[lo + i] or []))
-                    for j, f in zip((some + bounds[i]).tolist(), often[some].tolist(), strict=True):
-                        piece = data[first[j]:past[j] + LENGTH - 1].tobytes()
-                        k = int(h[j])
-                        if f:
-                            k = int.from_bytes(hashlib.blake2b(piece + k.to_bytes(8, "little", signed=True), digest_size=8).digest(), "little", signed=True)
-                        for c, v in zip(cols, (k, keys[lo + i], ds[lo + i], int(first[j] - offsets[i]), int(past[j] - first[j]), f, piece), strict=True):
-                            c.append(v)
+            cols: tuple[list, ...] = ([], [], [], [], [], [])
+
+            def full():
+                return pa.RecordBatch.from_arrays(
+                    [pa.array(c, t) for c, t in zip(cols, (*[pa.int64()] * 4, pa.int32(), pa.binary()), strict=True)],
+                    ["k", "key", "d", "start", "suffixes", "stretch"])
+
+            for row, k, start, n, piece in chosen_stretches(batch.column(2), batch.column(3).to_pylist()):
+                for c, v in zip(cols, (k, keys[row], ds[row], start, n, piece), strict=True):
+                    c.append(v)
+                if len(cols[0]) >= 20_000:
+                    yield full()
+                    cols = ([], [], [], [], [], [])
+            yield full()
+
+    return held.select("key", "d", "text", "rare").mapInArrow(run, STRETCH)
+
+
+def stretch_digest(anchor: int, piece: bytes) -> tuple[int, int]:
+    raw = hashlib.blake2b(piece + anchor.to_bytes(8, "little", signed=True), digest_size=16).digest()
+    return int.from_bytes(raw[:8], "little", signed=True), int.from_bytes(raw[8:], "little", signed=True)
+
+
+def frequent_digests(held: DataFrame) -> DataFrame:
+    """(g, g2, key, start): the earliest place of each distinct stretch of frequent anchors that occurs in several places."""
+
+    def run(batches):
+        seen: dict[tuple[int, int], list] = {}
+
+        def out():
+            rows = [(*g, *v) for g, v in seen.items()]
+            seen.clear()
+            return pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], pa.int64()) for c in range(5)], ["g", "g2", "key", "start", "times"])
+
+        for batch in batches:
+            keys = batch.column(0).to_pylist()
+            for row, k, start, _, piece in chosen_stretches(batch.column(1), batch.column(2).to_pylist()):
+                v = seen.setdefault(stretch_digest(k, piece), [keys[row], start, 0])
+                if (keys[row], start) < (v[0], v[1]):
+                    v[:2] = keys[row], start
+                v[2] += 1
+            if len(seen) > HELD:
+                yield out()
+        yield out()
+
+    part = held.where("size(frequent) > 0").select("key", "text", "frequent").mapInArrow(run, "g long, g2 long, key long, start long, times long")
+    first = part.groupBy("g", "g2").agg(F.min(F.struct("key", "start")).alias("f"), F.sum("times").alias("times"))
+    return first.where("times > 1").select("g", "g2", "f.key", "f.start")
+
+
+class Copies:
+    """Which stretches are copies of an earlier one: by digests sent to the tasks, or, if they are too many, by lists per document."""
+
+    def __init__(self, held: DataFrame, firsts: DataFrame):
+        self.sent = None
+        few = firsts.limit(SENT + 1).count() <= SENT
+        if few:
+            t = firsts.toArrow()
+            order = np.lexsort((t["g2"].to_numpy(), t["g"].to_numpy()))
+            self.sent = held.sparkSession.sparkContext.broadcast([t[c].to_numpy()[order] for c in ("g", "g2", "key", "start")])
+            self.held = held.withColumn("copies", F.lit(None).cast("array<long>"))
+        else:
+            self.held = held.join(self.lists(held, firsts), ["key", "d"], "left")
+
+    @staticmethod
+    def lists(held: DataFrame, firsts: DataFrame) -> DataFrame:
+        """(key, d, copies: starts of the stretches that are copies)."""
+
+        def run(batches):
+            for batch in batches:
+                keys, ds = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+                rows = [(*stretch_digest(k, piece), keys[row], ds[row], start)
+                        for row, k, start, _, piece in chosen_stretches(batch.column(2), batch.column(3).to_pylist())]
+                yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], pa.int64()) for c in range(5)], ["g", "g2", "key", "d", "start"])
+
+        places = held.where("size(frequent) > 0").select("key", "d", "text", "frequent").mapInArrow(
+            run, "g long, g2 long, key long, d long, start long")
+        known = firsts.select("g", "g2", F.struct("key", "start").alias("first"))
+        return places.join(known, ["g", "g2"]).where(F.col("first") < F.struct("key", "start")).groupBy("key", "d").agg(
+            F.collect_set("start").alias("copies"))
+
+    @staticmethod
+    def is_copy(sent, copies: set | None, key: int, k: int, start: int, piece: bytes) -> bool:
+        if sent is None:
+            return copies is not None and start in copies
+        g, g2 = stretch_digest(k, piece)
+        at, end = np.searchsorted(sent[0], [g, g + 1] if g < (1 << 63) - 1 else [g, g]).tolist()
+        for i in range(at, max(end, min(at + 1, len(sent[0])))):
+            if sent[0][i] == g and sent[1][i] == g2:
+                return (int(sent[2][i]), int(sent[3][i])) < (key, start)
+        return False
+
+    def suffixes(self) -> DataFrame:
+        """(key, d, lo, k, k2) of the suffixes of stretches that are no copies."""
+        sent = self.sent
+
+        def run(batches):
+            for batch in batches:
+                keys, ds, copies = (batch.column(c).to_pylist() for c in (0, 1, 4))
+                cols: tuple[list, ...] = ([], [], [], [], [])
+                sets: dict[int, set | None] = {}
+                for row, k, start, n, piece in chosen_stretches(batch.column(2), batch.column(3).to_pylist()):
+                    own = sets.setdefault(row, None if copies[row] is None else set(copies[row]))
+                    if Copies.is_copy(sent.value if sent else None, own, keys[row], k, start, piece):
+                        continue
+                    data = np.frombuffer(piece, np.uint8)
+                    made = (np.full(n, keys[row]), np.full(n, ds[row]), np.arange(start, start + n), signed(rolling(data, LENGTH)),
+                            signed(mix(rolling(data[::-1], LENGTH)[::-1])))
+                    for c, v in zip(cols, made, strict=True):
+                        c.append(v)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(cols, (*[pa.int64()] * 4, pa.int32(), pa.bool_(), pa.binary()), strict=True)],
-                    ["k", "key", "d", "start", "suffixes", "frequent", "stretch"])
+                    [pa.array(np.concatenate(c) if c else np.zeros(0, np.int64), pa.int64()) for c in cols], ["key", "d", "lo", "k", "k2"])
 
-    return held.select("key", "d", "text", "frequent", "rare").mapInArrow(run, STRETCH)
+        return self.held.where("size(frequent) > 0").select("key", "d", "text", "frequent", "copies").mapInArrow(
+            run, "key long, d long, lo long, k long, k2 long")
 
 
 def cover_shifts() -> np.ndarray:
@@ -286,16 +395,14 @@ def repeats(data: np.ndarray, starts: np.ndarray, bucket: np.ndarray) -> np.ndar
 
 
 def sorted_buckets(rows: DataFrame) -> DataFrame:
-    """(key, d, lo, hi): repeated bytes lo..hi-1 of a document; or (.., lo, k, k2): a suffix to send on.
+    """(key, d, lo, hi): repeated bytes lo..hi-1 of a document.
 
     Rows come in order of (bucket, document, start), so the first of equal strings is the earliest. A
-    rare anchor's bucket has less than FREQUENT rows; several make a block. Of a frequent
-    one's stretch only the previous row is remembered.
+    bucket has less than FREQUENT rows; several make a block.
     """
-    schema = "key long, d long, lo long, hi long, k long, k2 long"
 
     def run(batches):
-        made: tuple[list, ...] = ([], [], [], [], [], [])
+        made: tuple[list, ...] = ([], [], [], [])
         groups: list[list[tuple]] = []  # distinct stretches of each waiting bucket
         size = 0
 
@@ -308,42 +415,36 @@ def sorted_buckets(rows: DataFrame) -> DataFrame:
             kept = [r for g in groups if len(g) > 1 for r in g]
             number = [i for i, g in enumerate(groups) if len(g) > 1 for _ in g]
             if kept:
-                at = each_text(np.array([len(r[6]) for r in kept]))
+                at = each_text(np.array([len(r[5]) for r in kept]))
                 per = np.array([r[4] for r in kept])
                 begin = each_text(per)
                 starts = np.arange(begin[-1]) - np.repeat(begin[:-1], per) + np.repeat(at[:-1], per)
-                hit = repeats(np.frombuffer(b"".join(r[6] for r in kept), np.uint8), starts, np.repeat(np.array(number), per))
+                hit = repeats(np.frombuffer(b"".join(r[5] for r in kept), np.uint8), starts, np.repeat(np.array(number), per))
                 for i, r in enumerate(kept):
                     own = np.flatnonzero(hit[begin[i]:begin[i + 1]])
                     if len(own):
-                        say(r[1], r[2], r[3] + int(own[0]), r[3] + int(own[-1]) + LENGTH, None, None)
+                        say(r[1], r[2], r[3] + int(own[0]), r[3] + int(own[-1]) + LENGTH)
             groups, size = [], 0
-            done, made = made, ([], [], [], [], [], [])
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in done], ["key", "d", "lo", "hi", "k", "k2"])
+            done, made = made, ([], [], [], [])
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in done], ["key", "d", "lo", "hi"])
 
         bucket, seen, group, before = None, {}, [], None
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                k, key, d, start, n, frequent, piece = row
+                k, key, d, start, n, piece = row
                 if k != bucket:
                     if len(group) > 1:
                         groups.append(group)
-                        size += sum(len(r[6]) for r in group)
+                        size += sum(len(r[5]) for r in group)
                     bucket, seen, group, before = k, {}, [], None
                 if (key, start) == before and (piece in seen):
                     continue  # the same row of the table again
                 before = (key, start)
                 if piece in seen:
-                    say(key, d, start, start + n - 1 + LENGTH, None, None)
+                    say(key, d, start, start + n - 1 + LENGTH)
                 else:
                     seen[piece] = True
-                    if frequent:
-                        data = np.frombuffer(piece, np.uint8)
-                        a, b = signed(rolling(data, LENGTH)), signed(mix(rolling(data[::-1], LENGTH)[::-1]))
-                        for i in range(n):
-                            say(key, d, start + i, None, int(a[i]), int(b[i]))
-                    else:
-                        group.append(row)
+                    group.append(row)
                 if size >= BLOCK or len(made[0]) > 50_000:
                     yield flush()
         if len(group) > 1:
@@ -351,7 +452,7 @@ def sorted_buckets(rows: DataFrame) -> DataFrame:
         yield flush()
 
     rows = rows.repartition("k").sortWithinPartitions("k", "key", "start")
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(run, "key long, d long, lo long, hi long")
 
 
 def sorted_suffixes(rows: DataFrame) -> DataFrame:
@@ -391,28 +492,37 @@ def keyed(docs: DataFrame) -> DataFrame:
     return texts.withColumn("d", F.conv(low, 16, -10).cast("long"))
 
 
-def without(texts: DataFrame) -> DataFrame:
-    """(key, d, n_removed, n_spans, kept, kept_sha256) of rows (key, d, text, spans: sorted (lo, hi) that may overlap)."""
+def without(texts: DataFrame, sent) -> DataFrame:
+    """(key, d, n_removed, n_spans, kept, kept_sha256) of the rows (key, d, text, frequent, copies, spans: (lo, hi) that may overlap) that lose bytes."""
 
     def run(batches):
         for batch in batches:
             rows: tuple[list, ...] = ([], [], [], [], [], [])
-            for key, d, text, spans in zip(*(batch.column(c).to_pylist() for c in (0, 1)), batch.column(2), batch.column(3).to_pylist(), strict=True):
+            keys, ds, wanted, copies, spans = (batch.column(c).to_pylist() for c in (0, 1, 3, 4, 5))
+            gone = [[(s["lo"], s["hi"]) for s in x or ()] for x in spans]
+            sets: dict[int, set | None] = {}
+            for row, k, start, n, piece in chosen_stretches(batch.column(2), wanted):
+                own = sets.setdefault(row, None if copies[row] is None else set(copies[row]))
+                if Copies.is_copy(sent.value if sent else None, own, keys[row], k, start, piece):
+                    gone[row].append((start, start + n - 1 + LENGTH))
+            for row, text in enumerate(batch.column(2)):
+                if not gone[row]:
+                    continue
                 data, out, end, runs, removed = text.as_buffer().to_pybytes(), [], 0, 0, 0
-                for i, (lo, hi) in enumerate((s["lo"], s["hi"]) for s in spans):
+                for i, (lo, hi) in enumerate(sorted(gone[row])):
                     if lo > end or i == 0:
                         out.append(data[end:lo])
                         runs, removed, end = runs + 1, removed + hi - lo, hi
                     elif hi > end:
                         removed, end = removed + hi - end, hi
                 kept = b"".join([*out, data[end:]])
-                for c, v in zip(rows, (key, d, removed, runs, kept, hashlib.sha256(kept).hexdigest()), strict=True):
+                for c, v in zip(rows, (keys[row], ds[row], removed, runs, kept, hashlib.sha256(kept).hexdigest()), strict=True):
                     c.append(v)
             types = (*[pa.int64()] * 4, pa.binary(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, types, strict=True)],
                                              ["key", "d", "n_removed", "n_spans", "kept", "kept_sha256"])
 
-    return texts.select("key", "d", "text", "spans").mapInArrow(
+    return texts.select("key", "d", "text", "frequent", "copies", "spans").mapInArrow(
         run, "key long, d long, n_removed long, n_spans long, kept binary, kept_sha256 string")
 
 
@@ -421,7 +531,8 @@ def cut(docs: DataFrame) -> DataFrame:
 
     `kept` is the remaining bytes where some but not all were removed, else null. A null or empty text has
     no bytes. A null doc_id comes before all others. Rows that share a doc_id are the same document: equal
-    places in them are not earlier than each other, so repeated rows get equal results.
+    places in them are not earlier than each other, so repeated rows get equal results. Texts of any length are taken
+    whole; one of under LENGTH bytes loses nothing. An empty table gives no rows.
     """
     scan = materialize(scanned(docs), "suffix-scan")
     first = scan.groupBy("sha").agg(F.min("key").alias("__first"), F.count("*").alias("__n"))
@@ -435,10 +546,10 @@ def cut(docs: DataFrame) -> DataFrame:
         F.collect_set(F.when(F.col("frequent"), F.col("h"))).alias("frequent"),
         F.collect_set(F.when(~F.col("frequent"), F.col("h"))).alias("rare"))
     held = materialize(keyed(docs).join(hits, ["key", "d"]), "suffix-texts")
-    found = materialize(sorted_buckets(stretches(held)), "suffix-spans")
-    spans = found.where("k IS NULL").select("key", "d", "lo", "hi").unionByName(sorted_suffixes(found.where("k IS NOT NULL")))
-    lists = spans.groupBy("key", "d").agg(F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("spans"))
-    changed = without(held.select("key", "d", "text").dropDuplicates(["key", "d"]).join(lists, ["key", "d"]))
+    copies = Copies(held, materialize(frequent_digests(held), "suffix-digests"))
+    spans = sorted_buckets(stretches(held)).unionByName(sorted_suffixes(copies.suffixes()))
+    lists = spans.groupBy("key", "d").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    changed = without(copies.held.join(lists, ["key", "d"], "left"), copies.sent).dropDuplicates(["key", "d"])
 
     gone = F.col("copy") & (F.col("n_bytes") >= LENGTH)
     either = lambda whole, part, other: F.when(gone, F.lit(whole)).otherwise(F.coalesce(F.col(part), other))

@@ -182,14 +182,37 @@ def check_cut(docs):
     assert got == sorted(repr((d, *x)) for (d, _), x in zip(rows, cut_repeats(rows)))
 
 
-@pytest.mark.parametrize("frequent, block", [(2048, 1 << 20), (3, 2000)])
-def test_cut_on_edge_rows_and_documents(spark, sf, frequent, block, monkeypatch):
+@pytest.mark.parametrize("frequent, block, sent", [(2048, 1 << 20, 1 << 20), (3, 2000, 1 << 20), (3, 2000, -1)])
+def test_cut_on_edge_rows_and_documents(spark, sf, frequent, block, sent, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "FREQUENT", frequent)
     monkeypatch.setattr(suffix_dedup, "BLOCK", block)
+    monkeypatch.setattr(suffix_dedup, "SENT", sent)
     check_cut(edge_docs(spark))
     check_cut(sample(spark, sf, 100))
 
 
+@pytest.mark.parametrize("frequent, sent", [(2048, 1 << 20), (8, 1 << 20), (8, -1)])
+def test_cut_of_one_passage_in_half_of_all_documents(spark, frequent, sent, monkeypatch):
+    """Whole copies of the passage, copies with one letter changed, and two of them in one document."""
+    monkeypatch.setattr(suffix_dedup, "FREQUENT", frequent)
+    monkeypatch.setattr(suffix_dedup, "SENT", sent)
+    rng = np.random.default_rng(8)
+    prose = lambda n: " ".join("".join(rng.choice(list("abcdefghij"), rng.integers(2, 9))) for _ in range(n))
+    passage, rows = prose(90), []
+    for i in range(80):
+        middle = passage
+        if i % 8 == 3:
+            at = int(rng.integers(len(passage)))
+            middle = passage[:at] + "X" + passage[at + 1:]
+        rows.append((i * 37 % 80, prose(25) + " " + (middle if i % 2 else prose(10)) + prose(3) + (passage if i % 20 == 5 else "")))
+    docs = spark.createDataFrame(rows + [(None, passage), (3, "short")], "doc_id long, text string")
+    check_cut(docs.where("doc_id <> 3 or length(text) > 5").repartition(3))
+
+
+def test_cut_of_all_given_documents(spark, sf):
+    check_cut(spark.read.parquet(f"{sf}/documents.parquet"))
+
+
 def test_cut_of_nothing(spark):
     assert suffix_dedup.cut(no_docs(spark)).count() == 0
 
