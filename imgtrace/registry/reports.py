@@ -304,6 +304,17 @@ def size_profile(spark, sf):
     return p.withColumn("mean", F.round("mean", 4)).withColumn("bytes_at_10m", F.round("bytes_at_10m", 0))
 
 
+@query("d15_size_profile_outlier", """
+WITH sizes AS (SELECT n_chars FROM documents UNION ALL SELECT 1000000000000)
+SELECT count(*) AS n, (SELECT CAST(n_chars AS DOUBLE) FROM sizes ORDER BY n_chars LIMIT 1
+   OFFSET (SELECT count(*) // 2 FROM sizes)) AS median, min(n_chars) AS min, max(n_chars) AS max FROM sizes""")
+def size_profile_outlier(spark, sf):
+    """One size far beyond all others moves no other value to another segment."""
+    d = D.table(spark, sf, "documents").select("n_chars")
+    far = d.select(F.max("n_chars")).select(F.lit(10**12).alias("n_chars"))
+    return C.size_profile(d.unionByName(far), "n_chars").select("n", "median", "min", "max")
+
+
 @query("d16_index_size", with_("models") + """
 SELECT (SELECT count(*) FROM embeddings) AS images, 0::BIGINT AS flat_ram,
   sum((vector_size + 7) // 8 + 8)::BIGINT AS flat_disk, sum(vector_size // 8 + 238)::BIGINT AS graph_ram,

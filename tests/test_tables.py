@@ -277,6 +277,22 @@ def test_quantiles_match_numpy(spark, segments):
         assert list(r)[1:] == pytest.approx(list(np.quantile(data[r.g], (0, 0.01, 0.5, 0.99, 0.999, 1.0))))
 
 
+@pytest.mark.parametrize("far", [None, 1e12, -1e300])
+def test_segments_are_even_whatever_the_values(spark, far):
+    """Uniform, lognormal and clustered values, with one value far beyond them."""
+    rng = np.random.default_rng(9)
+    data = {"u": rng.random(4000), "l": rng.lognormal(0, 5, 4000), "c": np.concatenate([rng.random(3900) * 1e-9, rng.random(100)]), None: rng.random(50)}
+    rows = [(g, float(x)) for g, xs in data.items() for x in np.unique(xs)] + ([(g, far) for g in data] if far else [])
+    df = spark.createDataFrame(rows, "g string, _v double").withColumn("_c", F.lit(1))
+    seg = K.segmented(df, ["g"], 64).groupBy("g", "_seg").agg(F.count("*").alias("k"), F.min("_v").alias("lo"), F.max("_v").alias("hi")).toPandas()
+    for g, part in seg.groupby("g", dropna=False):
+        part = part.sort_values("_seg")
+        assert (part["lo"].to_numpy()[1:] > part["hi"].to_numpy()[:-1]).all()
+        if len(part) > 50:
+            assert part["k"].max() <= 2 * part["k"].mean()
+    assert seg["k"].sum() == len(rows) and len(seg[seg["g"] == "u"]) >= 60
+
+
 @pytest.mark.parametrize("width", [1, 10, 1 << 20])
 def test_row_numbers(spark, width):
     rng = np.random.default_rng(3)
