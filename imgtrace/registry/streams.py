@@ -138,12 +138,42 @@ def new_checkpoint(spark, sf):
     path, posts = scratch_path(spark, "catalog"), D.feed(spark, sf)
     for part in (0, 1):
         feed_path = scratch_path(spark, "feed")
-        posts.where(F.pmod("id", F.lit(2)) == part).coalesce(1).write.json(feed_path)
+        posts.where(F.pmod("id", F.lit(2)) == part).repartition(2, "id").write.json(feed_path)
         sink = _run(spark, feed_path, path)
     return sink.table("images").agg(F.count("*").alias("images")).withColumn(
         "posts", sink.table("statuses").select(F.count_distinct("post_id")).scalar())
 
 
+@query("h5_after_compaction", with_("checked_posts") + f"""
+SELECT st AS status, count(*) AS posts, (SELECT count(*) FROM checked_posts WHERE skip_reason = '' AND score <> 13) AS images,
+  (SELECT count(*) FROM checked_posts) AS first_run
+FROM (SELECT {_STATUS.format("'existing'")} AS st FROM checked_posts) GROUP BY 1""")
+def after_compaction(spark, sf):
+    """The feed, a compaction, the feed again: all that is good is found in buckets and tail, and nothing is added."""
+    feed_path, path = _feed_files(spark, sf, 2), scratch_path(spark, "catalog")
+    first = _run(spark, feed_path, path)
+    first.compact()
+    sink = _run(spark, feed_path, path)
+    images = sink.table("images").select(F.count("*")).scalar()
+    seen = sink.table("statuses").where(F.col("run") == first.run_id).select(F.count("*")).scalar()
+    return sink.table("statuses").where(F.col("run") == sink.run_id).groupBy("status").agg(
+        F.count("*").alias("posts")).withColumns({"images": images, "first_run": seen})
+
+
+@query("h5_in_flight_repeats", with_("checked_posts") + f"""
+SELECT id AS post_id, {_STATUS.format("'saved'")} AS status, 1::BIGINT AS times FROM checked_posts""")
+def in_flight(spark, sf):
+    """Every post comes in three files; the stream lets the first one through."""
+    feed_path, path = scratch_path(spark, "feed"), scratch_path(spark, "catalog")
+    for _ in range(3):
+        D.feed(spark, sf).repartition(1, "id").write.mode("append").json(feed_path)
+    sink = _sink(spark, path)
+    with _state_sized(spark):
+        sink.run(SF.without_repeats(SF.read_feed_stream(spark, feed_path)), scratch_path(spark, "checkpoint"))
+    return sink.table("statuses").groupBy("post_id").agg(
+        F.min("status").alias("status"), F.count("*").alias("times")).select("post_id", "status", "times")
+
+
 @query("h2_failures_are_queued", with_("checked_posts") + """
 SELECT 'site0' AS source_site, 'default' AS scope_key, id AS source_post_id, 'pending' AS status, 0 AS attempts
 FROM checked_posts WHERE skip_reason = '' AND score = 13""")

@@ -5,6 +5,10 @@ checkpoint, so a new checkpoint on an old catalog overwrites nothing. A replayed
 overwrites its own partition only, and looks at other runs and its own earlier batches
 only, so replays after a lost executor or driver change nothing. `seq` counts batches over
 all runs: of several rows of a key the one with the largest `seq` is current.
+
+`compact` begins a new version of the log: what no replay can touch any more goes, a row per key, to id buckets
+(`base-v`), the rest (the last batch of each run) to the new log (`log-v`). Readers take buckets and tail;
+folders of older versions are never listed again and can be removed at leisure.
 """
 
 from __future__ import annotations
@@ -25,6 +29,7 @@ from imgtrace.operators import setdiff as D
 from imgtrace.plans import jobs as J
 from imgtrace.session import broadcast_if_small
 from imgtrace.sources import feed as feed_source
+from imgtrace.sources.buckets import SPAN, bucket_of
 
 _LOG_SCHEMAS = {
     "images": S.IMAGES,
@@ -39,6 +44,9 @@ _LOG_SCHEMAS = {
         T.StructField("last_image_id", T.LongType())]),
 }
 
+# What a row of a compacted table is known by; tables without a key keep all rows.
+_KEYS = {"images": M.IMAGE_KEY, "image_vectors": ["image_id", "model_id"], "codes": ["image_id", "model_id"]}
+
 # An encoder step: normalised posts to do -> (post_id, phash, dhash, thumb_path) and
 # (post_id, model_id, vector).
 Encode = Callable[[DataFrame], tuple[DataFrame, DataFrame]]
@@ -66,20 +74,69 @@ class FeedSink:
 
     def __post_init__(self):
         self.active = D.active_models(self.models)
+        self.version = 0
+        self.refresh()
 
-    def table(self, name: str, before: int | None = None) -> DataFrame:
-        """All appended rows, or those of other runs and earlier batches of this one; empty before the first batch."""
-        schema = T.StructType([
-            *_LOG_SCHEMAS[name].fields, T.StructField("seq", T.LongType()),
-            T.StructField("run", T.StringType()), T.StructField("batch", T.LongType())])
+    def refresh(self) -> None:
+        """Look for a newer version of the log."""
+        made = self._read("versions", T.StructType([T.StructField("version", T.LongType())]))
+        self.version = made.agg(F.max("version")).first()[0] or 0
+
+    def _read(self, folder: str, schema: T.StructType) -> DataFrame:
         try:
-            df = self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
+            return self.spark.read.schema(schema).parquet(f"{self.path}/{folder}")
         except AnalysisException as e:
             if e.getCondition() != "PATH_NOT_FOUND":
                 raise
-            df = self.spark.createDataFrame([], schema)
+            return self.spark.createDataFrame([], schema)
+
+    def _log(self) -> str:
+        return f"log-{self.version}"
+
+    def table(self, name: str, before: int | None = None, ids: tuple | None = None) -> DataFrame:
+        """All rows, or those of other runs and earlier batches of this one; empty before the first batch.
+
+        With `ids` (lowest and highest image id) only the buckets of these are read of what is compacted.
+        """
+        logged = T.StructType([
+            *_LOG_SCHEMAS[name].fields, T.StructField("seq", T.LongType()),
+            T.StructField("run", T.StringType()), T.StructField("batch", T.LongType())])
+        df = self._read(f"{self._log()}/{name}", logged)
+        if self.version:
+            bucketed = T.StructType([*logged.fields, *([T.StructField("id_bucket", T.LongType())] if name in _KEYS else [])])
+            base = self._read(f"base-{self.version}/{name}", bucketed)
+            if ids is not None and name in _KEYS:
+                low, high = (bucket_of(F.lit(i).cast("bigint"), SPAN) for i in ids)
+                base = base.where(F.col("id_bucket").between(low, high))
+            df = df.unionByName(base.select(*logged.names))
         return df if before is None else df.where((F.col("run") != self.run_id) | (F.col("batch") < before))
 
+    def compact(self) -> int:
+        """Begin a new version of the log; returns its number. Not while a run is under way.
+
+        A run's last batch may come again and has to find what was there before it, so it stays in the log. A
+        compaction that died leaves the old version in force and is written over by the next.
+        """
+        self.refresh()
+        ends = self.table("states").groupBy("run").agg(F.max("batch").alias("_end"))
+        ends = broadcast_if_small(ends)
+        new = self.version + 1
+        for name in _LOG_SCHEMAS:
+            rows = self.table(name).join(ends, "run", "left")
+            may_come_again = F.col("batch") >= F.coalesce("_end", F.lit(-1))
+            tail, old = rows.where(may_come_again).drop("_end"), rows.where(~may_come_again).drop("_end")
+            tail.repartition("run", "batch").write.mode("overwrite").partitionBy("run", "batch").parquet(f"{self.path}/log-{new}/{name}")
+            folder = f"{self.path}/base-{new}/{name}"
+            if name in _KEYS:
+                old = M.latest_per_key(old.withColumn("_at", F.col("seq")), _KEYS[name], "_at")
+                old = old.withColumn("id_bucket", bucket_of("image_id", SPAN)).repartition("id_bucket")
+                old.sortWithinPartitions("id_bucket", "image_id").write.mode("overwrite").partitionBy("id_bucket").parquet(folder)
+            else:
+                old.write.mode("overwrite").parquet(folder)
+        self.spark.range(1).select(F.lit(new).cast("bigint").alias("version")).write.mode("append").parquet(f"{self.path}/versions")
+        self.refresh()
+        return self.version
+
     def _last(self, before: int) -> tuple[int, int]:
         """(largest image id given out so far, largest seq). Ids have no gaps, so the first is also the count."""
         last = self.table("states", before).agg(F.max("last_image_id"), F.max("seq")).first()
@@ -90,7 +147,7 @@ class FeedSink:
         return M.latest_per_key(self.table(name).drop("run", "batch"), keys, "seq")
 
     def _part(self, name: str, batch: int) -> str:
-        return f"{self.path}/{name}/run={self.run_id}/batch={batch}"
+        return f"{self.path}/{self._log()}/{name}/run={self.run_id}/batch={batch}"
 
     def _append(self, name: str, batch: int, seq: int, df: DataFrame) -> None:
         cols = [f.name for f in _LOG_SCHEMAS[name].fields]
@@ -116,7 +173,8 @@ class FeedSink:
         old = M.latest_per_key(
             seen.join(broadcast_if_small(keys), M.IMAGE_KEY, "left_semi"), M.IMAGE_KEY, "seq").persist()
         low, high = old.agg(F.min("image_id"), F.max("image_id")).first()
-        have = self.table("image_vectors", batch).where(F.col("image_id").between(low, high)).select(
+        near = None if low is None else (low, high)
+        have = self.table("image_vectors", batch, near).where(F.col("image_id").between(low, high)).select(
             "image_id", "model_id").join(old.select("image_id"), "image_id", "left_semi")
         done = D.fully_indexed(old, have, ids)
         todo = D.work_delta(posts, done).persist()
@@ -186,6 +244,7 @@ class FeedSink:
         A refused batch ends the run before it is committed; the next run with this checkpoint reads it again.
         """
         self.run_id = hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
+        self.refresh()
         q = (stream.writeStream.foreachBatch(self).option("checkpointLocation", checkpoint)
              .trigger(availableNow=True).start())
         try:
@@ -200,3 +259,13 @@ def read_feed_stream(spark: SparkSession, path: str, files_per_trigger: int = 1)
         spark.readStream.schema(S.FEED_POST).option("maxFilesPerTrigger", files_per_trigger)
         .json(path).where(F.coalesce("id", F.lit(0)) != 0)
     )
+
+
+def without_repeats(stream: DataFrame, within: str = "1 hour") -> DataFrame:
+    """The stream with the first row of each post id only, of those whose files were written within that time.
+
+    State holds one id per post for that long and no more. A post that comes again later passes, and the sink finds it
+    done. Only for a stream read from files, whose times are its clock.
+    """
+    timed = stream.withColumn("_arrived", F.col("_metadata.file_modification_time")).withWatermark("_arrived", within)
+    return timed.dropDuplicatesWithinWatermark(["id"]).drop("_arrived")

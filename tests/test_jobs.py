@@ -147,6 +147,53 @@ def test_feed_stream_over_several_batches(spark, sf):
     assert sorted(r.image_id for r in sink.table("images").collect()) == list(range(1, 16))
 
 
+def _state(sink):
+    keys = {"images": ["source_site", "source_post_id"], "image_vectors": ["image_id", "model_id"], "codes": ["image_id", "model_id"]}
+    return {t: sorted(map(repr, map(tuple, sink.current(t, k).collect()))) for t, k in keys.items()}
+
+
+def test_compaction_keeps_answers_and_replays(spark, monkeypatch):
+    feed, path, check = (scratch_path(spark, x) for x in ("feed", "catalog", "checkpoint"))
+    sink = R._sink(spark, path)
+    for low in (1, 6, 11):
+        _feed(spark, range(low, low + 10), feed)
+        sink.run(SF.read_feed_stream(spark, feed), check)
+        time.sleep(0.01)
+    before = _state(sink)
+    with monkeypatch.context() as m:  # a compaction that dies changes nothing
+        m.setattr(SF.M, "latest_per_key", lambda *_: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            sink.compact()
+    assert sink.version == 0 and _state(R._sink(spark, path)) == before
+    assert sink.compact() == 1 and R._sink(spark, path).version == 1
+    assert _state(sink) == before and sink.high_watermark().first().high_watermark_id == 20
+    logged = {r["batch"] for r in spark.read.parquet(f"{path}/log-1/images").select("batch").distinct().collect()}
+    assert logged == {2} and sink.report().first().total == 30
+    plan = sink.table("image_vectors", ids=(3, 9))._jdf.queryExecution().executedPlan().toString()
+    assert any("PartitionFilters: [" in x and "id_bucket" in x for x in plan.split("\n"))
+    # the last batch once more, as after a lost driver, and then new posts and a second compaction
+    again = spark.read.schema(S.FEED_POST).json(feed).where("id > 10").dropDuplicates(["id"])
+    sink(again, 2)
+    assert _state(sink) == before and sink.report().first().total == 30
+    _feed(spark, range(18, 31), feed)
+    sink.run(SF.read_feed_stream(spark, feed), check)
+    rep = sink.report().first()
+    assert (rep.total, rep.saved, rep.existing) == (43, 30, 13)
+    assert sorted(r.image_id for r in sink.table("images").collect()) == list(range(1, 31))
+    after = _state(sink)
+    assert sink.compact() == 2 and _state(sink) == after and sink._last(99)[0] == 30
+
+
+def test_repeats_in_flight_are_dropped(spark):
+    feed, path = scratch_path(spark, "feed"), scratch_path(spark, "catalog")
+    for ids in (range(1, 6), range(1, 6), range(4, 8)):
+        _feed(spark, ids, feed)
+    sink = R._sink(spark, path)
+    sink.run(SF.without_repeats(SF.read_feed_stream(spark, feed)), scratch_path(spark, "checkpoint"))
+    rep = sink.report().first()
+    assert (rep.total, rep.saved, rep.existing) == (7, 7, 0)
+
+
 def test_refused_batch_moves_no_watermark(spark):
     feed, path = scratch_path(spark, "feed"), scratch_path(spark, "catalog")
     _feed(spark, range(1, 11), feed)
