@@ -28,8 +28,10 @@ from .tables import materialize, table, take_columns
 
 #: Sample the centroids are fitted on, rounds of fitting, and centroids per half.
 FIT_ROWS, ROUNDS, CENTROIDS = 20_000, 12, 32
-#: Share of the vectors a query visits, and the least number of them.
-SHARE, LEAST = 0.6, 2000
+#: Share of the vectors a query visits.
+SHARE = 0.6
+#: Rounding margin of a block's products against the exact scores.
+CLOSE = 1e-12
 VECTORS, QUERIES = 4096, 1024
 TOP = 5
 
@@ -149,19 +151,30 @@ def visits(queries: DataFrame, centroids, sizes: np.ndarray, reach: int) -> Data
 
 # --- search ----------------------------------------------------------------------------------
 
-def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Per row the places of the k largest scores, ties to smaller ids."""
-    if scores.shape[1] > 4 * k:
-        edge = np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k]
-    else:
-        edge = np.full(len(scores), -np.inf)
-    out = np.full((len(scores), k), -1)
+def best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, place) of all scores that may be among the row's first `k` ids: none below the k-th id's best by more than CLOSE.
+
+    An id may have many places, equal scores may be many; however many, all of them are looked at.
+    """
+    rows, places = [], []
     for r in range(len(scores)):
-        some = np.flatnonzero(scores[r] >= edge[r])
-        some = some[np.isfinite(scores[r][some])]
-        some = some[np.lexsort((ids[some], -scores[r][some]))][:k]
-        out[r, :len(some)] = some
-    return out
+        line, take = scores[r], 4 * k
+        while True:
+            edge = np.partition(line, len(line) - take)[len(line) - take] if take < len(line) else -np.inf
+            some = np.flatnonzero((line >= edge) & np.isfinite(line))
+            some = some[np.argsort(-line[some], kind="stable")]
+            first = np.sort(np.unique(ids[some], return_index=True)[1])
+            if len(first) >= k:
+                least = line[some[first[k - 1]]] - CLOSE
+                if least > edge or take >= len(line):
+                    some = some[line[some] >= least]
+                    break
+            elif take >= len(line):
+                break
+            take *= 4
+        rows.append(np.full(len(some), r))
+        places.append(some)
+    return (np.concatenate(rows), np.concatenate(places)) if rows else (np.zeros(0, int), np.zeros(0, int))
 
 
 def blocks_of(rows: DataFrame, size: int, name: str) -> DataFrame:
@@ -175,7 +188,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = TOP, share: float =
 
     `vectors` and `queries` have vec_id and embedding. Null, zero and non-finite vectors, null ids and
     vectors of another length than most take no part. A query's own id is no candidate. Equal scores go
-    by id; of rows with the same id the best counts. Without candidates a query has no rows.
+    by id; of rows with the same id the best counts, and equal rows count once. Without candidates a query has no rows;
+    an empty table gives none.
     """
     spark = vectors.sparkSession
     good, asked = usable(vectors), usable(queries)
@@ -185,11 +199,11 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = TOP, share: float =
     if not w:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     fitted = fit(good, centroids=centroids)
-    held = materialize(cells_of(good, fitted), "index-cells")
+    held = materialize(cells_of(good.select("id", "v").dropDuplicates(), fitted), "index-cells")
     counts = held.groupBy("cell").agg(F.count("*").alias("n")).toPandas()
     sizes = np.zeros(len(fitted[0]) * len(fitted[1]), np.int64)
     sizes[counts["cell"].to_numpy()] = counts["n"].to_numpy()
-    reach = max(LEAST, int(np.ceil(share * sizes.sum())))
+    reach = int(np.ceil(share * sizes.sum()))
     going = materialize(visits(asked, fitted, sizes, reach), "index-visits")
 
     # every block of a cell's vectors meets every block of its queries
@@ -207,9 +221,14 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = TOP, share: float =
             scores = a[lo:lo + 128] @ v.T
             own = asks[lo:lo + 128]
             scores[own[:, None] == ids[None, :]] = -np.inf
-            top = best(scores, ids, 2 * k)  # some to spare for ids that come twice and last bits of the product
-            r, c = np.nonzero(top >= 0)
-            for out, x in zip(rows, (own[r], ids[top[r, c]], (a[lo:lo + 128][r] * v[top[r, c]]).sum(1)), strict=True):
+            r, c = best(scores, ids, k)
+            exact = (a[lo:lo + 128][r] * v[c]).sum(1)
+            # of an id's places the best one; what ties beyond the k-th id stays for the ranks to settle
+            order = np.lexsort((-exact, ids[c], r))
+            r, c, exact = r[order], c[order], exact[order]
+            new = np.ones(len(r), bool)
+            new[1:] = (r[1:] != r[:-1]) | (ids[c[1:]] != ids[c[:-1]])
+            for out, x in zip(rows, (own[r[new]], ids[c[new]], exact[new]), strict=True):
                 out.append(x)
         return pa.table({n: np.concatenate(x) for n, x in zip(("query_id", "vec_id", "score"), rows, strict=True)})
 

@@ -243,6 +243,27 @@ def test_search_on_awkward_vectors(spark, monkeypatch):
     assert multi_index.nearest(df.where("vec_id = 50"), df.where("vec_id = 50")).count() == 0
 
 
+@pytest.mark.parametrize("centroids", [1, 3])
+def test_search_where_ids_repeat(spark, centroids):
+    """Ids with a dozen rows, equal and different ones, near a query: its other neighbours stay."""
+    rng = np.random.default_rng(6)
+    base = rng.normal(size=6)
+    near = lambda d: [float(x) for x in base + rng.normal(size=6) * d]
+    rows = [(50, [float(x) for x in base])] + [(1, near(0.01)) for _ in range(12)] + [(2, near(0.001))] * 40
+    rows += [(10 + i, near(0.3)) for i in range(7)] + [(60 + i, [2.0 * float(x) for x in base]) for i in range(60)]
+    rows = rows if centroids == 1 else rows[:60]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    x = np.array([v for _, v in rows])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    score = {}
+    for (d, _), s in zip(rows, (x * x[0]).sum(1)):
+        if d != 50:
+            score[d] = max(s, score.get(d, -2))
+    want = [d for d, _ in sorted(score.items(), key=lambda z: (-round(z[1], 12), z[0]))][:5]
+    got = multi_index.nearest(df, df.where("vec_id = 50"), share=1.0, centroids=centroids).orderBy("rank").collect()
+    assert [r["vec_id"] for r in got] == want and [r["rank"] for r in got] == [1, 2, 3, 4, 5]
+
+
 def test_cells_come_by_distance():
     rng = np.random.default_rng(4)
     a, b, sizes = rng.random(6), rng.random(5), np.ones(30, int)
