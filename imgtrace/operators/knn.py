@@ -4,7 +4,7 @@ The gallery streams through Arrow batches; each task keeps only the best k per
 query, so nothing but k rows per query and task is ever shuffled. Two ways to
 bring queries and gallery together:
 
-* up to `MAX_SHIPPED_QUERIES` queries (checked by a bounded fetch): the packed
+* up to `MAX_SHIPPED_QUERIES` queries or `MAX_SHIPPED_BYTES` (checked by a bounded fetch): the packed
   queries travel to every task and the gallery is scanned where it lies, with
   no shuffle of it at all;
 * beyond that: queries are cut into blocks and the gallery into cells, and each
@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 from imgtrace.session import shuffle_partitions
 
 MAX_SHIPPED_QUERIES = 8192
+# Bytes of their values, at eight a component: wide vectors travel in smaller numbers.
+MAX_SHIPPED_BYTES = 256 << 20
 # Queries per block on the shuffled way; their vectors and best lists fit one task.
 QUERY_BLOCK = 4096
 # Cells of the score matrix worked on at once.
@@ -326,9 +328,11 @@ def ship(queries: DataFrame, values: str, max_rows: int = MAX_SHIPPED_QUERIES,
          answer: str | None = None, own: str | None = None, width: int | None = None) -> Shipped | None:
     """Fetch the queries if there are at most `max_rows`, else None.
 
-    One bounded job; it fetches a row more than allowed, never the whole set. Queries that don't
+    One bounded job; it fetches a row more than allowed, never the whole set. Of wide lists fewer are allowed. Queries that don't
     have `width` values get no answer (`wrong_sized` lists them) and keep no other from one.
     """
+    if width:
+        max_rows = min(max_rows, MAX_SHIPPED_BYTES // (8 * width))
     t = _as_queries(queries, values, answer, own).limit(max_rows + 1).toArrow()
     if t.num_rows > max_rows:
         return None

@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import os
-from urllib.parse import urlparse
-
 import numpy as np
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -47,16 +45,16 @@ def _bitmap(pixels: bytes, width: int, height: int) -> bytes:
 
 
 def _write_files(df: DataFrame, folder: str) -> None:
-    """One file per picture; pictures of label 6 are cut short."""
-    folder = urlparse(folder).path
-    os.makedirs(folder, exist_ok=True)
+    """One file per picture, in whatever store the folder's address names; pictures of label 6 are cut short."""
 
     def run(batches):
+        store, root = fs.FileSystem.from_uri(folder)
+        store.create_dir(root, recursive=True)
         for pdf in batches:
             for i, p, w, h, label in zip(pdf["image_id"], pdf["pixels"], pdf["width"], pdf["height"],
                                          pdf["label"]):
                 data = _bitmap(p, w, h)
-                with open(f"{folder}/{i}.bmp", "wb") as f:
+                with store.open_output_stream(f"{root}/{i}.bmp") as f:
                     f.write(data[:20] if label == 6 else data)
             yield pd.DataFrame({"n": [len(pdf)]})
 

@@ -14,22 +14,16 @@ MAX_PIXELS = 64_000_000
 def read_images(spark: SparkSession, path: str) -> DataFrame:
     """One row per file: (path, length, width, height, channels, pixels, reject).
 
-    Size limits come from the file listing alone. `reject` is 'too large',
-    'undecodable' or 'too many pixels', else NULL; pixels are row-major
+    Files over the size limit are known from the listing alone and never opened; all others are decoded where
+    they are read. `reject` is 'too large', 'undecodable' or 'too many pixels', else NULL; pixels are row-major
     B, G, R[, A] bytes as the decoder gives them.
     """
-    listing = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-        .select("path", "length")
-    )
-    decoded = (
-        spark.read.format("image").option("recursiveFileLookup", "true").load(path)
-        .select(
-            F.regexp_replace("image.origin", "^file:/+", "file:/").alias("path"),
-            F.col("image.width").alias("width"), F.col("image.height").alias("height"),
-            F.col("image.nChannels").alias("channels"), F.col("image.data").alias("pixels"))
-    )
-    listing = listing.withColumn("path", F.regexp_replace("path", "^file:/+", "file:/"))
+    files = lambda kind: spark.read.format(kind).option("recursiveFileLookup", "true").load(path)
+    large = files("binaryFile").where(F.col("length") > MAX_FILE_BYTES).select("path", "length")
+    decoded = files("image").where(F.col("_metadata.file_size") <= MAX_FILE_BYTES).select(
+        F.col("image.origin").alias("path"), F.col("_metadata.file_size").alias("length"),
+        F.col("image.width").alias("width"), F.col("image.height").alias("height"),
+        F.col("image.nChannels").alias("channels"), F.col("image.data").alias("pixels"))
     n_pixels = F.col("width").cast("bigint") * F.col("height")
     reject = (
         F.when(F.col("length") > MAX_FILE_BYTES, "too large")
@@ -37,6 +31,7 @@ def read_images(spark: SparkSession, path: str) -> DataFrame:
         .when(n_pixels > MAX_PIXELS, "too many pixels")
     )
     return (
-        listing.join(decoded, "path", "left").withColumn("reject", reject)
+        decoded.unionByName(large, allowMissingColumns=True)
+        .withColumn("path", F.regexp_replace("path", "^file:/+", "file:/")).withColumn("reject", reject)
         .withColumn("pixels", F.when(F.col("reject").isNull(), F.col("pixels")))
     )
