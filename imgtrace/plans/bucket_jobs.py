@@ -17,7 +17,7 @@ from imgtrace.operators import setdiff as D
 from imgtrace.operators.ranking import row_numbers
 from imgtrace.plans import jobs
 from imgtrace.session import broadcast_if_small, materialize
-from imgtrace.sources.buckets import IMAGE_KEY, Buckets
+from imgtrace.sources.buckets import IMAGE_KEY, Buckets, masks_of
 
 VECTOR_KEY = ["image_id", "model_id"]
 
@@ -57,7 +57,23 @@ def write_vectors(catalog: Buckets, fresh: DataFrame, active: list[str], now) ->
     indexed = F.when(F.col("model_id").isin(*active), at) if active else F.lit(None).cast("timestamp")
     changed = keys.join(old, ["id_bucket", *VECTOR_KEY], "left").select(
         *VECTOR_KEY, "vector", F.coalesce("_created", at).alias("created_at"), indexed.alias("indexed_at"))
-    return catalog.replace("image_vectors", materialize(changed, "changed-vectors"), VECTOR_KEY)
+    return _replace_vectors(catalog, materialize(changed, "changed-vectors"))
+
+
+def _replace_vectors(catalog: Buckets, changed: DataFrame) -> list[tuple]:
+    """Put stored vector rows in place and keep their images' masks; a mask that a job that died left behind is mended when it runs again."""
+    touched = catalog.replace("image_vectors", changed, VECTOR_KEY)
+    new = catalog.with_id_bucket(masks_of(changed, catalog.slots([m for m, _ in touched]))).withColumnsRenamed(
+        {"have": "_have", "indexed": "_indexed"})
+    new = materialize(new, "new-masks")
+    old = catalog.in_buckets("image_masks", catalog.touched("image_masks", new))
+    j = new.join(old, ["id_bucket", "image_id"], "left")
+    was = lambda c: F.coalesce(F.col(c), F.lit(0).cast("bigint"))
+    masks = j.select(
+        "image_id", was("have").bitwiseOR(F.col("_have")).alias("have"),
+        was("indexed").bitwiseAND(F.bitwise_not("_have")).bitwiseOR(F.col("_indexed")).alias("indexed"))
+    catalog.replace("image_masks", materialize(masks, "changed-masks"), ["image_id"])
+    return touched
 
 
 def ingest_batch(catalog: Buckets, items: DataFrame, item_vectors: DataFrame, models: DataFrame, now,
@@ -79,7 +95,7 @@ def mark_indexed(catalog: Buckets, ids: DataFrame, model_ids: list[str], now) ->
     wanted = ids.select("id_bucket").distinct().withColumn("model_id", of_models)
     stored = catalog.in_buckets("image_vectors", catalog.touched("image_vectors", wanted))
     hit = stored.join(broadcast_if_small(ids), ["id_bucket", "image_id"], "left_semi").drop("id_bucket")
-    return catalog.replace("image_vectors", materialize(hit.withColumn("indexed_at", D.as_ts(now)), "marked"), VECTOR_KEY)
+    return _replace_vectors(catalog, materialize(hit.withColumn("indexed_at", D.as_ts(now)), "marked"))
 
 
 def rebuild_index(catalog: Buckets, models: DataFrame, now) -> dict:
@@ -90,7 +106,7 @@ def rebuild_index(catalog: Buckets, models: DataFrame, now) -> dict:
     todo = catalog.in_buckets("image_vectors", touched).where(F.col("indexed_at").isNull()).drop("id_bucket")
     todo = materialize(todo, "pending")
     catalog.replace("codes", materialize(jobs.to_codes(todo), "changed-codes"), VECTOR_KEY)
-    catalog.replace("image_vectors", materialize(todo.withColumn("indexed_at", D.as_ts(now)), "marked"), VECTOR_KEY)
+    _replace_vectors(catalog, materialize(todo.withColumn("indexed_at", D.as_ts(now)), "marked"))
     return {"rebuilt": todo.count(), "buckets": touched}
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from imgtrace.functions import vectors as V
 from imgtrace.operators import evaluate as E
+from imgtrace.operators import masks as K
 from imgtrace.operators import pixels as X
 from imgtrace.operators import search as S
 from imgtrace.operators import setdiff
@@ -317,6 +318,47 @@ def reembed_buckets(spark, sf):
                                "2024-02-01 00:00:00", buckets_per_round=2)
 
 
+def _late_arrivals(spark, sf):
+    """The stored catalog after pictures of labels 2 and 7, which lacked a vector, have come again."""
+    b = _stored(spark, sf)
+    again = D.gallery(spark, sf).where(F.col("label").isin(2, 7))
+    bucket_jobs.ingest_batch(b, *_arrivals(again), D.models(spark), "2024-02-01 00:00:00")
+    return b
+
+
+@query("c3_fully_indexed_masks", with_("gallery") + """
+SELECT image_id, label NOT IN (5, 8) AS both_models, label NOT IN (5, 8) AS sem_only, TRUE AS copy_indexed FROM gallery""")
+def fully_indexed_masks(spark, sf):
+    """By masks, after an upsert; then with one model at rest; and which copy vectors the index has."""
+    b = _late_arrivals(spark, sf)
+    bucket_jobs.rebuild_index(b, D.models(spark), "2024-03-01 00:00:00")
+    images, masks, slots = b.table("images"), b.table("image_masks"), b.slots()
+    flag = lambda ids, name: ids.select("image_id").withColumn(name, F.lit(True))
+    out = images.select("image_id", "label")
+    for name, found in (
+            ("both_models", K.fully_indexed(images, masks, slots, ["copy64", "sem32"])),
+            ("sem_only", K.fully_indexed(images, masks, slots, ["sem32"])),
+            ("copy_indexed", masks.where(K.has_all("indexed", K.bits(slots, ["copy64"]))))):
+        out = out.join(flag(found, name), "image_id", "left").fillna(False, [name])
+    return out.drop("label")
+
+
+@query("d19_audit_masks", with_("gallery") + """
+SELECT 'copy64' AS model_id, count(*) AS vectors, count(*) FILTER (label = 3) AS pending FROM gallery
+UNION ALL SELECT 'sem32', count(*) FILTER (label NOT IN (5, 8)), count(*) FILTER (label = 3) FROM gallery""")
+def audit_masks(spark, sf):
+    b = _late_arrivals(spark, sf)
+    return K.audit(b.table("image_masks"), b.slots(), D.models(spark))
+
+
+@query("j3_dry_run_masks", with_("gallery") + """
+SELECT 'copy64' AS model_id, 0::BIGINT AS missing
+UNION ALL SELECT 'sem32', count(*) FILTER (coalesce(thumb_path, '') <> '' AND label IN (5, 8)) FROM gallery""")
+def dry_run_masks(spark, sf):
+    b = _late_arrivals(spark, sf)
+    return K.missing_by_model(b.table("images"), b.table("image_masks"), b.slots(), D.models(spark))
+
+
 @query("j4_ingest_buckets", with_("gallery", "image_vectors") + """
 SELECT model_id, image_id, source_post_id, label = 6 AS arrived, CASE WHEN label = 6 THEN '2024-02-01 00:00:00'
     ELSE '2024-01-01 00:00:00' END AS updated_at,

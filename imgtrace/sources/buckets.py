@@ -3,7 +3,9 @@
     images         id_bucket=             rows in order of image_id
     image_vectors  model_id=/id_bucket=   "
     codes          model_id=/id_bucket=   "
+    image_masks    id_bucket=             (image_id, have, indexed): a bit per model, see `operators.masks`
     image_keys     key_bucket=            (source_site, source_post_id, image_id), append only
+    model_slots    (model_id, slot): whose bit is which, append only
     layout         one row: span, key_buckets
 
 A bucket is `span` consecutive ids, so new pictures fill the last one, and the rows of a picture lie in buckets of one
@@ -28,7 +30,12 @@ SPAN = 1 << 16
 KEY_BUCKETS = 256
 IMAGE_KEY = ["source_site", "source_post_id"]
 PARTITIONS = {"images": ["id_bucket"], "image_vectors": ["model_id", "id_bucket"], "codes": ["model_id", "id_bucket"],
-              "image_keys": ["key_bucket"]}
+              "image_masks": ["id_bucket"], "image_keys": ["key_bucket"]}
+#: Bits of a mask that can stand for models.
+MAX_SLOTS = 62
+
+
+SLOTS = "model_id string, slot int"
 
 
 def bucket_of(image_id: Column | str, span: int) -> Column:
@@ -96,6 +103,18 @@ class Buckets:
         known = self.in_buckets("image_keys", self.touched("image_keys", keys))
         return known.join(broadcast_if_small(keys), ["key_bucket", *IMAGE_KEY], "left_semi").select(*IMAGE_KEY, "image_id")
 
+    def slots(self, model_ids: list[str] = ()) -> dict[str, int]:
+        """The bit of each model; models without one get the next."""
+        known = {r["model_id"]: r["slot"] for r in self.table("model_slots").take(MAX_SLOTS + 1)}
+        new = [m for m in dict.fromkeys(model_ids) if m not in known]
+        if len(known) + len(new) > MAX_SLOTS:
+            raise ValueError(f"more than {MAX_SLOTS} models")
+        if new:
+            added = [(m, len(known) + i) for i, m in enumerate(new)]
+            self.spark.createDataFrame(added, SLOTS).coalesce(1).write.mode("append").parquet(f"{self.path}/model_slots")
+            known |= dict(added)
+        return known
+
     # --- writing ---
 
     def add_ids(self, rows: DataFrame) -> None:
@@ -117,6 +136,16 @@ class Buckets:
         return touched
 
 
+def masks_of(vectors: DataFrame, slots: dict[str, int]) -> DataFrame:
+    """(image_id, have, indexed) of vector rows (image_id, model_id, indexed_at): the bits of the models they have, and have indexed."""
+    bit = F.lit(0).cast("bigint")
+    for model, slot in slots.items():
+        bit = F.when(F.col("model_id") == model, F.lit(1 << slot).cast("bigint")).otherwise(bit)
+    return vectors.groupBy("image_id").agg(
+        F.bit_or(bit).alias("have"),
+        F.bit_or(F.when(F.col("indexed_at").isNotNull(), bit).otherwise(F.lit(0).cast("bigint"))).alias("indexed"))
+
+
 def create(images: DataFrame, vectors: DataFrame, path: str, codes: DataFrame | None = None,
            span: int = SPAN, key_buckets: int = KEY_BUCKETS) -> Buckets:
     """Write a catalog; codes are made from the indexed vectors unless given. An existing path is refused."""
@@ -129,6 +158,10 @@ def create(images: DataFrame, vectors: DataFrame, path: str, codes: DataFrame |
             "image_id", "model_id", V.encode_sign_bulk(F.col("vector")).alias("code"))
     b.put("codes", b.with_id_bucket(codes.select("image_id", "model_id", "code")), "errorifexists")
     b.put("image_keys", b.with_key_bucket(b.table("images").select(*IMAGE_KEY, "image_id")), "errorifexists")
+    spark.createDataFrame([], SLOTS).write.parquet(f"{path}/model_slots")
+    stored = b.table("image_vectors")
+    slots = b.slots([r["model_id"] for r in stored.select("model_id").distinct().orderBy("model_id").take(MAX_SLOTS + 1)])
+    b.put("image_masks", b.with_id_bucket(masks_of(stored, slots)), "errorifexists")
     spark.range(1).select(F.lit(span).alias("span"), F.lit(key_buckets).alias("key_buckets")).coalesce(1).write.parquet(f"{path}/layout")
     return b
 

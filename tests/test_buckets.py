@@ -5,8 +5,10 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from imgtrace.operators import masks as K
 from imgtrace.operators import merge as M
 from imgtrace.operators import search as S
+from imgtrace.operators import setdiff as X
 from imgtrace.plans import bucket_jobs as BJ
 from imgtrace.plans import jobs
 from imgtrace.session import scratch_path
@@ -201,3 +203,44 @@ def test_open_again_and_ids_below_zero(spark):
     got = spark.createDataFrame([(-25,), (-3,), (0,), (9,), (10,)], "image_id long").select(B.bucket_of("image_id", 10)).collect()
     assert [r[0] for r in got] == [-2, 0, 0, 0, 1]
     assert M.IMAGE_KEY == B.IMAGE_KEY
+
+
+def check_masks(b, models):
+    """Masks equal the grouping of all vectors, and their answers those of the whole-table operators."""
+    v = b.table("image_vectors").drop("id_bucket")
+    slots = b.slots()
+    assert rows(b.table("image_masks"), "image_id", "have", "indexed") == rows(B.masks_of(v, slots), "image_id", "have", "indexed")
+    images = b.table("images")
+    for ids in ([], ["copy64"], ["sem32"], ["copy64", "sem32"], ["copy64", "none"]):
+        want = X.fully_indexed(images, v, ids) if "none" not in ids else images.limit(0)
+        assert rows(K.fully_indexed(images, b.table("image_masks"), slots, ids), "image_id") == rows(want, "image_id")
+    assert rows(K.missing_by_model(images, b.table("image_masks"), slots, models), "model_id", "missing") == rows(
+        X.missing_by_model(images, v, models), "model_id", "missing")
+    want = v.join(models.where("active"), "model_id").groupBy("model_id").agg(
+        F.count("*").alias("vectors"), F.count_if(F.col("indexed_at").isNull()).alias("pending"))
+    assert rows(K.audit(b.table("image_masks"), slots, models), "model_id", "vectors", "pending") == rows(want, "model_id", "vectors", "pending")
+
+
+def test_masks_follow_every_write(spark):
+    b, models = catalog(spark), D.models(spark)
+    assert b.slots() == {"copy64": 0, "sem32": 1}
+    check_masks(b, models)
+    BJ.ingest_batch(b, *batch(spark, [104, 110, 900]), models, LATER)
+    check_masks(b, models)
+    BJ.mark_indexed(b, spark.createDataFrame([(5,), (15,)], "image_id long"), ["sem32"], LATER)
+    check_masks(b, models)
+    resting = M.upsert_model(models, {"model_id": "old64", "kind": "copy", "vector_size": 64, "distance": "cosine", "input_size": 224, "active": True})
+    fresh = spark.createDataFrame([(2, "old64", [1.0] * 64, 0), (61, "old64", [2.0] * 64, 0)], "image_id long, model_id string, vector array<float>, arrival int")
+    BJ.write_vectors(b, fresh, [], LATER)
+    assert b.slots() == {"copy64": 0, "sem32": 1, "old64": 2}
+    check_masks(b, resting)
+    BJ.rebuild_index(b, resting, LATER)
+    check_masks(b, resting)
+    check_masks(b, models.withColumn("active", F.lit(False)))
+
+
+def test_too_many_models_are_refused(spark):
+    b = catalog(spark, 3)
+    with pytest.raises(ValueError):
+        b.slots([f"m{i}" for i in range(B.MAX_SLOTS)])
+    assert K.bits(b.slots(), ["sem32", "sem32"]) == 2 and K.bits(b.slots(), ["x"]) is None
