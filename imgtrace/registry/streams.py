@@ -14,6 +14,7 @@ from imgtrace.registry.derived_sql import with_
 from imgtrace.registry.sources import BASE_URL
 from imgtrace.session import scratch_path
 from imgtrace.sources import derived as D
+from imgtrace.streaming import coverage as SC
 from imgtrace.streaming import feed as SF
 from imgtrace.streaming import fleet as SL
 
@@ -183,6 +184,21 @@ def failures_are_queued(spark, sf):
     return sink.queue_failures(none).select("source_site", "scope_key", "source_post_id", "status", "attempts")
 
 
+# --- coverage -------------------------------------------------------------
+
+@query("e1_coverage_stream", with_("crawl_ranges", two=D.TWO_SCOPES_SQL) + """
+SELECT scope_key, reached + 1 AS gap_from, lower_id - 1 AS gap_to, lower_id - reached - 1 AS gap_size FROM (
+  SELECT *, max(upper_id) OVER (PARTITION BY source_site, scope_key ORDER BY lower_id, upper_id
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reached FROM two) WHERE lower_id > reached + 1""")
+def coverage(spark, sf):
+    """Ranges come in three files; gaps are read from the merged intervals that the stream keeps."""
+    path = scratch_path(spark, "ranges")
+    D.two_scopes(spark, sf).repartition(3, "id").write.parquet(path)
+    stream = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 1).parquet(path)
+    changes = _drain(SC.coverage_stream(stream, 1 << 14), "coverage", "update")
+    return SC.open_gaps(changes).select("scope_key", "gap_from", "gap_to", "gap_size")
+
+
 # --- fleet ----------------------------------------------------------------
 
 def _events(spark, sf) -> DataFrame:
@@ -202,12 +218,16 @@ def _finish(writer) -> None:
     query.awaitTermination()
 
 
-def _drain(df: DataFrame, name: str) -> DataFrame:
-    """Append-mode stream -> table, once everything available is processed."""
+def _drain(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
+    """Stream -> table, once everything available is processed. A batch that comes again writes over its own part."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    _finish(df.writeStream.format("parquet").outputMode("append").option("path", path)
-            .option("checkpointLocation", scratch_path(spark, "checkpoint")))
+    if mode == "append":
+        writer = df.writeStream.format("parquet").outputMode("append").option("path", path)
+    else:
+        writer = df.writeStream.outputMode(mode).foreachBatch(
+            lambda rows, batch: rows.write.mode("overwrite").parquet(f"{path}/batch={batch}"))
+    _finish(writer.option("checkpointLocation", scratch_path(spark, "checkpoint")))
     return spark.read.schema(df.schema).parquet(path)
 
 
