@@ -155,7 +155,8 @@ def predict(docs: DataFrame, model) -> DataFrame:
     """`docs` with lang_pred and score (0 to 1; 0.5 is the regression's zero).
 
     A null text, an empty one and one without letters is `und` with score 0. Nothing but `text`
-    is looked at; repeated rows get the same answer. Other columns are carried.
+    is looked at, whole at any length; repeated rows get the same answer, and of equal scores the first language by name
+    wins. Other columns are carried. An empty table gives no rows; without labelled rows all is `und`.
     """
     made = docs.withColumn("__guess", guesser(docs.sparkSession, model)(F.col("text").cast("string")))
     return made.select(*[F.col(f"`{c}`") for c in docs.columns if c not in ("lang_pred", "score")], "__guess.*")
@@ -166,7 +167,11 @@ def train(docs: DataFrame, parts: int = 3, which: int = 1):
 
 
 def recognised(docs: DataFrame) -> DataFrame:
-    """The rows of `docs` in a learned language; texts without letters or like none of them go."""
+    """The rows of `docs` in a learned language; texts without letters or like none of them go.
+
+    Null and empty texts go, repeated rows share their fate, texts of any length are looked at whole. Where no row has
+    a language to learn, or in an empty table, nothing stays.
+    """
     made = docs.withColumn("__guess", guesser(docs.sparkSession, train(docs))(F.col("text").cast("string")))
     sure = (F.col("__guess.lang_pred") != NO_LANGUAGE) & (F.col("__guess.score") >= LEAST_SCORE)
     return made.where(sure).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -78,10 +78,6 @@ def placed(sized: DataFrame, targets: DataFrame, segment_rows: int = SEGMENT_ROW
     return number_within(joined, ["source"], [F.col("size"), F.col("doc_id"), *ties], key, "__before", F.col("expected")).drop("__source")
 
 
-def hex_number(text: Column, digits: int) -> Column:
-    return F.conv(F.substring(F.md5(text), 1, digits), 16, 10).cast("long")
-
-
 def crossed(offset: Column) -> Column:
     at = lambda c: F.shiftright(c + offset, UNIT_BITS)
     return at(F.col("__before") + F.col("expected")) - at(F.col("__before"))
@@ -111,7 +107,8 @@ def mix(docs: DataFrame) -> DataFrame:
 
     A null or empty text has size 0 and is taken as often as others of its source; it adds no
     words. A null source is a source of its own; a source without words has target 0 and is not
-    taken. Repeated rows and equal sizes each have their own stretch.
+    taken. Repeated rows and equal sizes each have their own stretch. Texts of any length count whole. An empty
+    table gives no rows.
     """
     rows = docs.select(F.col("doc_id"), F.col("source"), word_count().alias("size"))
     sized = materialize(rows, "mix-sizes")
@@ -119,7 +116,10 @@ def mix(docs: DataFrame) -> DataFrame:
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
-    """The mix itself: the rows of `docs`, each as often as it is taken, in its own columns."""
+    """The mix itself: the rows of `docs`, each as often as it is taken, in its own columns.
+
+    Nulls, ties, empty texts and repeated rows as in `mix`; texts of any length count whole. Of an empty table nothing is taken.
+    """
     rows = docs.select(F.col("doc_id"), F.col("source"), word_count().alias("size"), F.struct("*").alias("__row"),
                        F.xxhash64("text").alias("__tie"))
     targets = materialize(source_targets(rows), "mix-targets")

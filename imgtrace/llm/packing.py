@@ -234,6 +234,12 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 
 def pack_documents(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """The token pieces of every row of `docs` with their places, in as few sequences as found.
+
+    A null or empty text is its end token alone. Texts of any length are tokenized whole; only those of more than
+    `capacity` tokens are cut. Repeated rows, and rows that share a doc_id or have none, are documents of their own.
+    An empty table gives no rows.
+    """
     return pack(materialize(token_pieces(docs, capacity), "pack-pieces"), capacity)
 
 

@@ -71,7 +71,6 @@ def find_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     heads = offsets[:-1][offsets[:-1] < len(data)]
     first[heads] |= inside[heads]
     starts = np.flatnonzero(first)
-    last = inside
     last = inside.copy()
     last[:-1] &= ~inside[1:]
     tails = offsets[1:][offsets[1:] > 0] - 1

@@ -234,6 +234,60 @@ def test_difference_cover():
 
 # --- language ---
 
+def plain_cells(text):
+    """The numbered n-grams that a text contains, one by one."""
+    def symbol(c):
+        if ord(c) > 0xFFFF:
+            return 2 + ord(c) % 254 if c.isalpha() else 0
+        low = ord(c.lower()[0])
+        return 2 + (low if low < 128 else low * 40503 >> 4) % 254 if c.isalpha() else int(c.isdigit())
+
+    s = [symbol(c) for c in text]
+    out = set()
+    for k in (1, 2, 3):
+        for i in range(len(s) - k + 1):
+            code = 0
+            for x in s[i:i + k]:
+                code = code << 8 | x
+            out.add((code + (k << 26)) * 2654435761 % 2**32 >> 18)
+    return out
+
+
+def test_language_equals_a_plain_kernel_ridge(spark, sf):
+    """Kernels as set intersections, landmarks' span by an eigenbasis, each regression by least squares of its own."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = docs.select("doc_id", "text", "lang").collect()
+    sets = {r["doc_id"]: plain_cells(r["text"] or "") for r in rows}
+    letters = {r["doc_id"]: any(c.isalpha() for c in r["text"] or "") for r in rows}
+    learn = [r for r in rows if r["lang"] is not None and letters[r["doc_id"]] and not held_out(r["doc_id"], 3, 1)]
+    bits = lambda d: np.packbits(np.isin(np.arange(language.CELLS), list(sets[d]))).tobytes()
+    learn.sort(key=lambda r: (r["lang"], bits(r["doc_id"])))
+    langs = sorted({r["lang"] for r in learn})
+    assert max(Counter(r["lang"] for r in learn).values()) <= language.FIT_ROWS
+    each, marks = min(language.LANDMARKS, language.MAX_LANDMARKS // len(langs)), []
+    for x in langs:
+        own = [r["doc_id"] for r in learn if r["lang"] == x]
+        marks += own[::max(1, len(own) // each)][:each]
+    kernel = lambda a, b: len(sets[a] & sets[b]) / (len(sets[a]) * len(sets[b])) ** 0.5
+    value, vector = np.linalg.eigh(np.array([[kernel(a, b) for b in marks] for a in marks]))
+    basis = vector[:, value > 1e-6 * value[-1]] / np.sqrt(value[value > 1e-6 * value[-1]])
+    span = lambda d: np.append(np.array([kernel(d, m) for m in marks]) @ basis, 1.0)
+    z = np.array([span(r["doc_id"]) for r in learn])
+    count = Counter(r["lang"] for r in learn)
+    weight = np.array([(len(learn) / (len(langs) * count[r["lang"]])) ** 0.5 for r in learn])
+    calm = np.sqrt(language.RIDGE * len(learn)) * np.eye(z.shape[1])
+    models = [np.linalg.lstsq(np.vstack((z * weight[:, None], calm)), np.concatenate((
+        np.array([1.0 if r["lang"] == x else -1.0 for r in learn]) * weight, np.zeros(len(calm)))), rcond=None)[0] for x in langs]
+    for r in language.op7_language_id(spark, sf).collect():
+        d = r["doc_id"]
+        if not letters[d]:
+            assert (r["lang_pred"], r["score"]) == ("und", 0.0)
+            continue
+        f = [span(d) @ m for m in models]
+        assert abs(r["score"] - min(1, max(0, (max(f) + 1) / 2))) < 2e-3
+        assert r["lang_pred"] == langs[int(np.argmax(f))] or sorted(f)[-1] - sorted(f)[-2] < 1e-2
+
+
 def test_language_held_out(spark, sf):
     out = language.op7_language_id(spark, sf).join(
         spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang"), "doc_id").collect()
