@@ -28,7 +28,7 @@ def _language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def _lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All rows, with fewer lines. A null or empty text is one empty line, too short to go; rows of one doc_id are one document, a null one comes first."""
+    """All rows, with fewer lines. A null text stays null, an empty one is one empty line; rows that share a doc_id each count, a null doc_id is below all others."""
     return line_dedup.drop_lines(docs).select(*docs.columns)
 
 
