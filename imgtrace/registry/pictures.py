@@ -401,7 +401,8 @@ def _pairs_sql(score: str) -> str:
 def evaluate_models(spark, sf):
     q, g = D.degraded(spark, sf), all_vectors(spark, sf)
     half = lambda df: df.withColumn("vector", F.slice("vector", 1, 32))
-    out = evaluation.evaluate_models({"copy64": (q, g), "sem32": (half(q), half(g))}, (q, g))
+    out = evaluation.evaluate_models({"copy64": (q, g), "sem32": (half(q), half(g))}, (q, g),
+                                     {m: D.vector_size(m) for m in ("copy64", "sem32")})
     return out.withColumn("top1_pct", r6("top1_pct")).withColumn("top5_pct", r6("top5_pct"))
 
 
@@ -426,7 +427,7 @@ def evaluate_pictures(spark, sf):
     of = lambda df, m: df.where(F.col("model_id") == m)
     methods = {e.model_id: (as_query(of(qv, e.model_id)), of(gv, e.model_id)) for e in ENCODERS}
     qh, gh = materialize(X.phash(q), "query-hashes"), materialize(X.phash(g), "gallery-hashes")
-    return evaluation.evaluate_models(methods, (as_query(qh), gh))
+    return evaluation.evaluate_models(methods, (as_query(qh), gh), {e.model_id: e.size for e in ENCODERS})
 
 
 @query("j6_evaluate_threshold", _SCORED + f"""
