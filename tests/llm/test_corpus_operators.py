@@ -35,7 +35,6 @@ def same_rows(got, sql_rows, columns):
 @pytest.mark.parametrize("core", [1 << 18, 300])
 def test_base_scores(spark, sf, core, monkeypatch):
     monkeypatch.setattr(brown, "CORE", core)
-    monkeypatch.setattr(brown, "CLUSTERED", 100)
     out = brown.op1_brown_scores(spark, sf).collect()
     texts = dict(pairs(spark.read.parquet(f"{sf}/documents.parquet")))
     c, ends = Counter(), 0
@@ -56,15 +55,84 @@ def test_base_scores(spark, sf, core, monkeypatch):
 
 
 def test_scores_are_probabilities(spark):
-    """Over all words after a given word, and one unknown, they sum to 1."""
+    """Over all words after a given word, and one unknown a class, they sum to 1."""
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(["a b a b c", "b a c c dddddd", "a", ""])], "doc_id long, text string")
     model = brown.learn(docs)
-    assert math.isclose(sum(10 ** model.log_next[brown.END_CLASS, c] for c in range(brown.ALL)), 1.0, rel_tol=1e-9)
-    for c in range(brown.ALL):
-        sizes = [n for n, k in zip(model.n, model.classes) if k == c] + ([model.ends] if c == brown.END_CLASS else [])
+    for before in range(model.end + 1):
+        assert math.isclose(sum(10 ** model.log_next[before]), 1.0, rel_tol=1e-9)
+    for c in range(model.end + 1):
+        sizes = [n for n, k in zip(model.n, model.classes) if k == c] + ([model.ends] if c == model.end else [])
         assert math.isclose(sum(10 ** model.emission_log(n, c) for n in [*sizes, 0]), 1.0, rel_tol=1e-9)
 
 
+@pytest.mark.parametrize("core", [1 << 18, 40, 0])
+def test_scores_by_a_plain_model(spark, sf, core, monkeypatch):
+    """Whatever share of the words travels to the tasks: every word has the class its contexts gain most in, transitions are those
+    of all tokens, and a text's score is the plain sum of logarithms."""
+    monkeypatch.setattr(brown, "CORE", core)
+    monkeypatch.setattr(brown, "PER_CLASS", 3)
+    monkeypatch.setattr(brown, "PENDING", 500)
+    monkeypatch.setattr(brown, "STEP", 300)
+    docs = spark.read.parquet(f"{sf}/documents.parquet").orderBy("doc_id").limit(60).withColumn("held_out", F.col("doc_id") % 3 == 0).repartition(5)
+    docs = docs.select("doc_id", "text", "held_out")
+    docs = docs.unionByName(spark.createDataFrame([(-1, "a a a", True), (-2, None, False), (-3, "zq zqq zq", False), (-4, " zqx zqx", True)], docs.schema))
+    model = brown.learn(docs.where("NOT held_out"))
+    rows = docs.collect()
+    train = [words(r["text"]) for r in rows if not r["held_out"]]
+    count = Counter(w for t in train for w in t)
+    table = model.words.toPandas().set_index("h")
+    h = {w: int(brown.signed(brown.hash_words(np.frombuffer(w.encode(), np.uint8), np.array([0]), np.array([len(w.encode())])))[0])
+         for r in rows for w in words(r["text"])}
+    assert len(table) == len(count) == len({h[w] for w in count}) and all(table["n"][h[w]] == n for w, n in count.items())
+    classes = brown.class_count(len(count))
+    assert model.end == classes and table["class"].between(0, classes - 1).all()
+    own = {w: int(table["class"][h[w]]) for w in count}
+    moves, end = np.zeros((classes + 1, classes + 1)), classes
+    for t in train:
+        c = [end, *[own[w] for w in t], end]
+        np.add.at(moves, (c[:-1], c[1:]), 1)
+    share = (moves.sum(0) + brown.HALF) / (moves.sum() + brown.HALF * (classes + 1))
+    log_next = np.log10((moves + brown.PULL * share) / (moves.sum(1, keepdims=True) + brown.PULL))
+    assert np.allclose(log_next, model.log_next)
+
+    first = sorted(count, key=lambda w: (-count[w], h[w]))[:3 * classes]
+    of = {w: own[w] for w in first}
+    k = classes + 2
+    n, seen = np.zeros((k, k)), {w: np.zeros((2, k)) for w in count}
+    for t in train:
+        c = [k - 1, *[of.get(w, k - 2) for w in t], k - 1]
+        np.add.at(n, (c[:-1], c[1:]), 1)
+        for i, w in enumerate(t):
+            seen[w][0, c[i]] += 1
+            seen[w][1, c[i + 2]] += 1
+    for w in set(count) - set(first):
+        got = brown.gains(n, *seen[w], 0.0)[:classes]
+        assert math.isclose(got[own[w]], got.max(), rel_tol=1e-9, abs_tol=1e-7)
+
+    once = Counter((min((len(w.encode()) - 1) // 4, 3), own[w]) for w, x in count.items() if x == 1)
+    unseen = [max(range(classes), key=lambda c: once[s, c]) for s in range(4)]
+    size = Counter(own.values())
+    total = moves.sum(0)
+    texts = {r["doc_id"]: r["text"] for r in rows}
+    for r in brown.score(docs, model).collect():
+        t, before, want = words(texts[r["doc_id"]]), end, 0.0
+        for w in t:
+            c = own.get(w, unseen[min((len(w.encode()) - 1) // 4, 3)])
+            want += log_next[before, c] + math.log10((count[w] + 0.5) / (total[c] + 0.5 * (size[c] + 1)))
+            before = c
+        want += log_next[before, end] + math.log10((len(train) + 0.5) / (total[end] + 0.5 * 2))
+        assert math.isclose(r["score"], want, rel_tol=1e-9)
+
+
+def test_many_gains_are_gains():
+    rng = np.random.default_rng(3)
+    n = rng.integers(0, 20, (9, 9)).astype(float)
+    left, right = (rng.integers(0, 4, (50, 9)) * (rng.random((50, 9)) < 0.4) + np.eye(9)[rng.integers(0, 9, 50)] for _ in range(2))
+    got = brown.many_gains(n, left, right, 7)
+    want = np.array([brown.gains(n, a, b, 0.0)[:7] for a, b in zip(left, right)])
+    assert np.allclose(got, want)
+
+
 def test_gains_are_differences_of_likelihood():
     rng = np.random.default_rng(1)
     b = rng.integers(0, 9, (30, 30)).astype(float)
