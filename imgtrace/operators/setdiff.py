@@ -215,6 +215,10 @@ def post_status(posts: DataFrame, done: DataFrame, failed: DataFrame) -> DataFra
 
 def batch_report(statuses: DataFrame) -> DataFrame:
     """Total / skipped / existing / saved / failed of a batch, in one row."""
+    return statuses.agg(*status_counts())
+
+
+def status_counts() -> list[Column]:
+    """The aggregates of `batch_report`; a writing job can observe them as well."""
     of = lambda s: F.count_if(F.col("status") == s).alias(s)
-    return statuses.agg(F.count("*").alias("total"), of("skipped"), of("existing"), of("saved"),
-                        of("failed"))
+    return [F.count("*").alias("total"), of("skipped"), of("existing"), of("saved"), of("failed")]

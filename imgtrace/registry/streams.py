@@ -107,6 +107,20 @@ def idempotent(spark, sf):
         F.count("*").alias("posts")).withColumn("images", images)
 
 
+_SAVED = "count(*) FILTER (skip_reason = '' AND score <> 13)"
+
+
+@query("d14_reports_of_batches", with_("checked_posts") + f"""
+SELECT 2::BIGINT AS batches, 2 * count(*) AS total, 2 * count(*) FILTER (skip_reason <> '') AS skipped, {_SAVED} AS existing,
+  {_SAVED} AS saved, 2 * count(*) FILTER (skip_reason = '' AND score = 13) AS failed FROM checked_posts""")
+def reports_of_batches(spark, sf):
+    """What the jobs that wrote them observed of the batches, of the feed and of the whole feed again."""
+    feed_path, path = _feed_files(spark, sf, 1), scratch_path(spark, "catalog")
+    rows = [r for _ in range(2) for r in _run(spark, feed_path, path).reports]
+    made = spark.createDataFrame(rows, "run string, batch long, total long, skipped long, existing long, saved long, failed long")
+    return made.agg(F.count("*").alias("batches"), *[F.sum(c).alias(c) for c in ("total", "skipped", "existing", "saved", "failed")])
+
+
 @query("h6_quota_guard", with_("checked_posts") + """
 SELECT CASE WHEN count(*) > 100 THEN 0 ELSE count(*) END AS images, CASE WHEN count(*) > 100 THEN 0 ELSE 1 END AS marks
 FROM checked_posts WHERE skip_reason = ''""")
@@ -117,9 +131,6 @@ def quota(spark, sf):
     return sink.table("images").agg(F.count("*").alias("images")).withColumn("marks", marks)
 
 
-_SAVED = "count(*) FILTER (skip_reason = '' AND score <> 13)"
-
-
 @query("h6_refused_then_accepted", with_("checked_posts") + f"""
 SELECT {_SAVED} AS images, count(*) AS statuses, max(id) AS high_watermark_id FROM checked_posts""")
 def refused_then_accepted(spark, sf):

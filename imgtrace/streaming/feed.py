@@ -9,6 +9,8 @@ all runs: of several rows of a key the one with the largest `seq` is current.
 `compact` begins a new version of the log: what no replay can touch any more goes, a row per key, to id buckets
 (`base-v`), the rest (the last batch of each run) to the new log (`log-v`). Readers take buckets and tail;
 folders of older versions are never listed again and can be removed at leisure.
+
+What a batch did is observed by the jobs that write it (`reports`, the largest id given out), not counted by jobs of its own.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.errors import AnalysisException, StreamingQueryException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -58,7 +60,10 @@ class IndexFull(RuntimeError):
 
 @dataclass
 class FeedSink:
-    """foreachBatch target. Call `run` on a stream of feed posts."""
+    """foreachBatch target. Call `run` on a stream of feed posts.
+
+    `reports` has a row per batch of this object: its number and how many posts had each status. One writer at a time.
+    """
 
     spark: SparkSession
     path: str
@@ -71,6 +76,10 @@ class FeedSink:
     max_indexed: int = 0
     run_id: str = "direct"
     refused: list[int] = field(default_factory=list)
+    reports: list[dict] = field(default_factory=list)
+    running: bool = False
+    # (batch, largest id, seq) after the last batch stored in the run under way.
+    stored: tuple | None = None
 
     def __post_init__(self):
         self.active = D.active_models(self.models)
@@ -138,7 +147,12 @@ class FeedSink:
         return self.version
 
     def _last(self, before: int) -> tuple[int, int]:
-        """(largest image id given out so far, largest seq). Ids have no gaps, so the first is also the count."""
+        """(largest image id given out so far, largest seq). Ids have no gaps, so the first is also the count.
+
+        Read from the log, unless the batch before was stored in the run under way.
+        """
+        if self.stored and self.stored[0] == before - 1:
+            return self.stored[1:]
         last = self.table("states", before).agg(F.max("last_image_id"), F.max("seq")).first()
         return last[0] or 0, last[1] or 0
 
@@ -149,9 +163,22 @@ class FeedSink:
     def _part(self, name: str, batch: int) -> str:
         return f"{self.path}/{self._log()}/{name}/run={self.run_id}/batch={batch}"
 
-    def _append(self, name: str, batch: int, seq: int, df: DataFrame) -> None:
+    def _append(self, name: str, batch: int, seq: int, df: DataFrame, *metrics) -> dict:
+        """Write a table's part; returns `metrics` of its rows.
+
+        They are taken in the writing stage itself, where a task that is run again counts once.
+        """
         cols = [f.name for f in _LOG_SCHEMAS[name].fields]
-        df.select(*cols, F.lit(seq).cast("bigint").alias("seq")).write.mode("overwrite").parquet(self._part(name, batch))
+        rows = df.select(*cols, F.lit(seq).cast("bigint").alias("seq"))
+        seen = Observation() if metrics else None
+        if seen:
+            rows = rows.observe(seen, *metrics)
+        rows.write.mode("overwrite").parquet(self._part(name, batch))
+        return seen.get if seen else {}
+
+    def _append_none(self, name: str, batch: int, seq: int) -> None:
+        """An empty part: it replaces what an earlier try of the batch may have left."""
+        self._append(name, batch, seq, self.spark.createDataFrame([], _LOG_SCHEMAS[name]))
 
     def __call__(self, feed: DataFrame, batch: int) -> None:
         found = feed_source.with_download(feed_source.normalize_posts(feed, self.base_url, self.site))
@@ -197,7 +224,23 @@ class FeedSink:
             made.withColumnRenamed("post_id", "item_id"), self.active)
         bad = faults.where(F.col("fault").isNotNull() | (F.col("unregistered") > 0)).select(
             F.col("item_id").alias("post_id"))
-        self._append("statuses", batch, seq, D.post_status(posts, done, bad))
+        report = self._append("statuses", batch, seq, D.post_status(posts, done, bad), *D.status_counts())
+        top = last_image
+        if report["saved"]:
+            top = max(top, self._store_saved(todo, marks, made, old, batch, seq, last_image))
+        else:
+            for name in ("images", "codes", "image_vectors"):
+                self._append_none(name, batch, seq)
+        self._append("states", batch, seq, posts.groupBy("source_site").agg(
+            F.max("post_id").alias("high_watermark_id")).select(
+            "source_site", F.lit(self.scope).alias("scope_key"), "high_watermark_id",
+            F.lit(top).cast("bigint").alias("last_image_id")))
+        self.stored = (batch, top, seq) if self.running else None
+        self.reports = [r for r in self.reports if (r["run"], r["batch"]) != (self.run_id, batch)]
+        self.reports.append({"run": self.run_id, "batch": batch, **report})
+
+    def _store_saved(self, todo, marks, made, old, batch: int, seq: int, last_image: int) -> int:
+        """Write the pictures of a batch that passed; returns the largest id among them."""
         # Later steps need only to know which posts passed, so they read that back.
         passed = self.table("statuses").where(
             (F.col("run") == self.run_id) & (F.col("batch") == batch) & (F.col("status") == "saved")).select("post_id")
@@ -208,7 +251,8 @@ class FeedSink:
             F.lit("stream").alias("indexed_by"), F.lit(0).alias("arrival"))
         changed = old.join(items.select(*M.IMAGE_KEY), M.IMAGE_KEY, "left_semi")
         last_id = F.lit(last_image).cast("bigint")
-        self._append("images", batch, seq, M.upsert_images(changed, items, self.now, last_id=last_id))
+        top = self._append("images", batch, seq, M.upsert_images(changed, items, self.now, last_id=last_id),
+                           F.max("image_id").alias("top"))["top"]
         written = self.spark.read.schema(S.IMAGES).parquet(self._part("images", batch))
         fresh = made.join(written.select("image_id", F.col("source_post_id").alias("post_id")),
                           "post_id")
@@ -218,11 +262,7 @@ class FeedSink:
             "image_id", "model_id", V.encode_sign_bulk(F.col("vector")).alias("code")))
         self._append("image_vectors", batch, seq, fresh.select(
             "image_id", "model_id", "vector", at.alias("created_at"), at.alias("indexed_at")))
-        top = F.greatest(written.select(F.max("image_id")).scalar(), last_id)
-        self._append("states", batch, seq, posts.groupBy("source_site").agg(
-            F.max("post_id").alias("high_watermark_id")).select(
-            "source_site", F.lit(self.scope).alias("scope_key"), "high_watermark_id",
-            top.alias("last_image_id")))
+        return top or 0
 
     def high_watermark(self) -> DataFrame:
         """Largest post id of any committed batch; refused batches do not count."""
@@ -245,6 +285,7 @@ class FeedSink:
         """
         self.run_id = hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
         self.refresh()
+        self.running, self.stored = True, None
         q = (stream.writeStream.foreachBatch(self).option("checkpointLocation", checkpoint)
              .trigger(availableNow=True).start())
         try:
@@ -252,6 +293,8 @@ class FeedSink:
         except StreamingQueryException:
             if not self.refused:
                 raise
+        finally:
+            self.running, self.stored = False, None
 
 
 def read_feed_stream(spark: SparkSession, path: str, files_per_trigger: int = 1) -> DataFrame:

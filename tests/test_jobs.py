@@ -224,3 +224,34 @@ def test_liveness_across_batches(spark):
     got = sorted((r.node_id, (r.at_us - base) // 1_000_000, r.status) for r in out.collect())
     assert got == [("a", 0, "online"), ("a", 240, "offline"), ("b", 0, "online"), ("b", 90, "offline"),
                    ("b", 300, "online")]
+
+
+def test_batches_are_reported_by_the_jobs_that_write_them(spark, sf):
+    """Rows as the stored statuses give them, a run's ids go on without a look at the log, and a batch of known posts takes fewer jobs."""
+    feed, path = scratch_path(spark, "feed"), scratch_path(spark, "catalog")
+    sink = R._sink(spark, path)
+    for ids in (range(1, 11), range(6, 16), range(1, 16)):
+        _feed(spark, ids, feed)
+        time.sleep(0.01)
+    with R._state_sized(spark):
+        sink.run(SF.read_feed_stream(spark, feed), scratch_path(spark, "checkpoint"))
+    want = {r.batch: r.asDict() for r in sink.table("statuses").groupBy("batch").agg(*X.status_counts()).collect()}
+    assert {r["batch"]: {k: v for k, v in r.items() if k != "run"} for r in sink.reports} == want and len(want) == 3
+    assert sorted(r.image_id for r in sink.table("images").collect()) == list(range(1, 16)) and sink.stored is None
+    assert sink.table("states").agg(F.max("seq"), F.max("last_image_id")).first()[:] == (3, 15)
+    known = spark.read.schema(S.FEED_POST).json(feed)
+
+    def jobs(feed, batch):
+        spark.sparkContext.setJobGroup(f"batch {batch}", "counted")
+        sink(feed, batch)
+        spark.sparkContext.setJobGroup("others", "")
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"batch {batch}"))
+
+    fresh = scratch_path(spark, "feed")
+    _feed(spark, range(16, 31), fresh)
+    some, none = jobs(spark.read.schema(S.FEED_POST).json(fresh), 3), jobs(known, 4)
+    print("jobs", some, none)
+    assert none + 4 <= some and sink.reports[-1]["existing"] == 15 and sink.reports[-2]["saved"] == 15
+    # A batch without any post writes empty parts.
+    sink(known.where("id < 0"), 5)
+    assert sink.reports[-1]["total"] == 0 and sink.table("images").count() == 15 + 15
