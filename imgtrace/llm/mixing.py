@@ -4,9 +4,8 @@ Every document expects `target / source_size` copies. Within a source the expect
 copies are summed up in order; with one random offset added, a document is emitted
 once for each whole number its stretch of the sum crosses. Expected copies are whole
 multiples of 2^-20, so sums are exact and the same on every run. The order goes by
-size first (in classes, then by size in a class), which spreads long and short
-documents evenly over the offsets: the words taken stay within about the width of a
-size class of the target.
+size, so each run of documents of like size comes as often as it should, within one:
+whatever the offset, the words taken miss the target by less than the longest document.
 """
 
 from __future__ import annotations
@@ -15,12 +14,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .queries import query
-from .tables import materialize, number_within, table
+from .tables import checked_broadcast, materialize, places, table
 
 WEIGHTS, SHARE, MOST, SEED = (5, 2, 1), (3, 2), 2, "mix"
-UNIT_BITS, OFFSETS = 20, 64
-#: Rows of one size class of one source that a window holds, about.
-SEGMENT_ROWS = 2048
+UNIT_BITS = 20
 
 
 def word_count(text: str = "text") -> Column:
@@ -29,7 +26,7 @@ def word_count(text: str = "text") -> Column:
 
 def source_targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: tuple[int, int] = SHARE,
                    most: int = MOST) -> DataFrame:
-    """(source, source_size, n_docs, target, expected): one row per source.
+    """(source, rank, source_size, target, expected): one row per source; `rank` is its place by code point.
 
     `weights` repeat over the sources by code point, null last. The targets sum to
     share[0] / share[1] of all words, and none is above `most` times its source: a source whose
@@ -38,7 +35,7 @@ def source_targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
     size / weight, the first few stop, and what is left is shared by the others.
     `expected` is the number of copies per document, in units of 2^-UNIT_BITS.
     """
-    per = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs"))
+    per = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     everything = Window.partitionBy()
     ranked = per.withColumn("__rank", F.row_number().over(everything.orderBy(F.col("source").asc_nulls_last())) - 1)
     weight = F.element_at(F.array(*[F.lit(w) for w in weights]), (F.col("__rank") % len(weights) + 1).cast("int"))
@@ -59,47 +56,28 @@ def source_targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
     target = F.coalesce(F.least(top, F.col("__final") * F.col("__weight")), top)
     expected = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size") * (1 << UNIT_BITS)))
     return filled.withColumn("target", target).select(
-        "source", "source_size", "n_docs", "target", F.coalesce(expected, F.lit(0)).cast("long").alias("expected"))
+        "source", F.col("__rank").alias("rank"), "source_size", "target", F.coalesce(expected, F.lit(0)).cast("long").alias("expected"))
 
 
-def hex_number(text: Column, digits: int) -> Column:
-    return F.conv(F.substring(F.md5(text), 1, digits), 16, 10).cast("long")
+def offset(source: str, seed: str = SEED) -> Column:
+    """The source's random offset: 20 bits of a digest of the seed and its name."""
+    text = F.concat(F.lit(seed + ":"), F.coalesce(F.col(source), F.lit("\0")))
+    return F.conv(F.substring(F.md5(text), 1, UNIT_BITS // 4), 16, 10).cast("long")
 
 
-def placed(sized: DataFrame, targets: DataFrame, segment_rows: int = SEGMENT_ROWS) -> DataFrame:
-    """`sized` (doc_id, source, size, ...; it is read twice) with its source's columns and `__before`, the sum before it."""
-    per = targets.withColumnRenamed("source", "__source")
-    joined = sized.join(per, F.col("source").eqNullSafe(F.col("__source")))
-    segments = F.ceil(F.col("n_docs") / segment_rows)
-    size_class = F.floor(F.log2(F.col("size") + 1) * 8)
-    part = hex_number(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), 8) % segments
-    key = size_class * (1 << 40) + part
-    ties = [F.col("__tie")] if "__tie" in sized.columns else []
-    return number_within(joined, ["source"], [F.col("size"), F.col("doc_id"), *ties], key, "__before", F.col("expected")).drop("__source")
+def copies(sized: DataFrame, targets: DataFrame, seed: str = SEED) -> DataFrame:
+    """`sized` (doc_id, source, size, tie, row) with its source's source_size and target, and the `copies` to emit.
 
-
-def crossed(offset: Column) -> Column:
-    at = lambda c: F.shiftright(c + offset, UNIT_BITS)
-    return at(F.col("__before") + F.col("expected")) - at(F.col("__before"))
-
-
-def offsets(rows: DataFrame, seed: str = SEED) -> DataFrame:
-    """(source, offset): of OFFSETS offsets from a random one on, evenly apart, the one whose words are nearest the target."""
-    start = hex_number(F.concat(F.lit(seed + ":"), F.coalesce(F.col("source"), F.lit("\0"))), UNIT_BITS // 4)
-    tried = rows.select("source", "size", "target", "expected", "__before", start.alias("start"),
-                        F.explode(F.sequence(F.lit(0), F.lit(OFFSETS - 1))).alias("i"))
-    tried = tried.withColumn("offset", (F.col("start") + F.col("i") * ((1 << UNIT_BITS) // OFFSETS)) % (1 << UNIT_BITS))
-    words = tried.groupBy("source", "target", "i", "offset").agg(F.sum(crossed(F.col("offset")) * F.col("size")).alias("words"))
-    return words.groupBy("source").agg(F.min_by("offset", F.struct(F.abs(F.col("words") - F.col("target")), "i")).alias("offset"))
-
-
-def copies(sized: DataFrame, targets: DataFrame, seed: str = SEED, segment_rows: int = SEGMENT_ROWS) -> DataFrame:
-    """`sized` with its source's target and the `copies` to emit; its column `__row`, if there is one, is carried."""
-    rows = placed(sized, targets, segment_rows)
-    chosen = materialize(offsets(placed(sized.drop("__row"), targets, segment_rows), seed), "mix-offsets")
-    chosen = chosen.select(F.col("source").alias("__source"), "offset")
-    joined = rows.join(chosen, F.col("source").eqNullSafe(F.col("__source")))
-    return joined.withColumn("copies", crossed(F.col("offset"))).drop("__before", "__source", "n_docs", "expected", "offset", "__tie")
+    All documents of a source expect the same, so the sum before one is its place times that. Places
+    come from one sort in ranges over all sources; a hot source spreads over as many tasks as it fills.
+    Both tables are stored, `row` is different in each row and settles what equal rows get.
+    """
+    per = targets.withColumnRenamed("source", "__source").withColumn("__offset", offset("__source", seed))
+    joined = sized.join(checked_broadcast(per, 128), F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
+    placed = places(joined, ["rank"], ["size", "doc_id", "tie", "row"])
+    before = F.col("idx") * F.col("expected") + F.col("__offset")
+    crossed = F.shiftright(before + F.col("expected"), UNIT_BITS) - F.shiftright(before, UNIT_BITS)
+    return placed.select("doc_id", "source", "size", "row", "source_size", "target", crossed.alias("copies"))
 
 
 def mix(docs: DataFrame) -> DataFrame:
@@ -110,9 +88,9 @@ def mix(docs: DataFrame) -> DataFrame:
     taken. Repeated rows and equal sizes each have their own stretch. Texts of any length count whole. An empty
     table gives no rows.
     """
-    rows = docs.select(F.col("doc_id"), F.col("source"), word_count().alias("size"))
+    rows = docs.select("doc_id", "source", word_count().alias("size"), F.lit(0).alias("tie"), F.monotonically_increasing_id().alias("row"))
     sized = materialize(rows, "mix-sizes")
-    return copies(sized, materialize(source_targets(sized), "mix-targets"))
+    return copies(sized, materialize(source_targets(sized), "mix-targets")).drop("row")
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
@@ -120,16 +98,16 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
 
     Nulls, ties, empty texts and repeated rows as in `mix`; texts of any length count whole. Of an empty table nothing is taken.
     """
-    rows = docs.select(F.col("doc_id"), F.col("source"), word_count().alias("size"), F.struct("*").alias("__row"),
-                       F.xxhash64("text").alias("__tie"))
-    targets = materialize(source_targets(rows), "mix-targets")
-    taken = copies(rows, targets).where("copies > 0")
-    return taken.select("__row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("__row.*")
+    stored = materialize(docs.select(F.struct("*").alias("doc"), word_count().alias("size"), F.xxhash64("text").alias("tie"),
+                                     F.monotonically_increasing_id().alias("row")), "mix-documents")
+    sized = stored.select("doc.doc_id", "doc.source", "size", "tie", "row")
+    taken = copies(sized, materialize(source_targets(sized), "mix-targets")).where("copies > 0").select("row", "copies")
+    return stored.join(taken, "row").select("doc", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("doc.*")
 
 
 SQL = r"""
 WITH sized AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
-per AS (SELECT source, sum(size)::BIGINT AS source_size, count(*) AS n_docs,
+per AS (SELECT source, sum(size)::BIGINT AS source_size,
                row_number() OVER (ORDER BY source NULLS LAST) - 1 AS r FROM sized GROUP BY source),
 weighed AS (SELECT *, CASE r % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS w FROM per),
 filled AS (SELECT *, coalesce(sum(source_size) OVER o, 0)::DOUBLE AS stopped,
@@ -137,21 +115,16 @@ filled AS (SELECT *, coalesce(sum(source_size) OVER o, 0)::DOUBLE AS stopped,
            FROM weighed WINDOW o AS (ORDER BY source_size::DOUBLE / w, r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 levelled AS (SELECT *, (everything * 3 / 2 - stopped * 2) / open_w AS level FROM filled),
 final AS (SELECT min_by(level, source_size::DOUBLE / w + 1e-12 * r) AS level FROM levelled WHERE level * w <= source_size * 2),
-targets AS (SELECT source, source_size, n_docs,
+targets AS (SELECT source, source_size,
                    coalesce(least(source_size * 2.0::DOUBLE, (SELECT level FROM final) * w), source_size * 2.0::DOUBLE) AS target
             FROM levelled),
 expected AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size * 1048576)::BIGINT ELSE 0 END AS step,
                     ('0x' || substr(md5('mix:' || coalesce(source, chr(0))), 1, 5))::BIGINT AS start FROM targets),
-placed AS (SELECT s.doc_id, s.source, s.size, e.source_size, e.target, e.step, e.start,
-                  (row_number() OVER (PARTITION BY s.source ORDER BY floor(log2(s.size + 1) * 8),
-                     ('0x' || substr(md5(s.doc_id::VARCHAR), 1, 8))::BIGINT % ((n_docs + 2047) // 2048), s.size, s.doc_id) - 1) * e.step AS sums
-           FROM sized s JOIN expected e ON s.source IS NOT DISTINCT FROM e.source),
-tried AS (SELECT source, i, (start + i * 16384) % 1048576 AS pos,
-                 abs(sum((((sums + step + (start + i * 16384) % 1048576) >> 20) - ((sums + (start + i * 16384) % 1048576) >> 20)) * size) - target) AS off
-          FROM placed, range(64) t(i) GROUP BY source, i, start, target),
-chosen AS (SELECT source, pos FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY off, i) AS r FROM tried) WHERE r = 1)
-SELECT doc_id, size, source_size, target, (((sums + step + pos) >> 20) - ((sums + pos) >> 20)) * size AS taken
-FROM placed p JOIN chosen c ON p.source IS NOT DISTINCT FROM c.source
+placed AS (SELECT s.doc_id, s.source, s.size, e.source_size, e.target, e.step,
+                  (row_number() OVER (PARTITION BY s.source ORDER BY s.size, s.doc_id NULLS FIRST) - 1) * e.step + e.start AS sums
+           FROM sized s JOIN expected e ON s.source IS NOT DISTINCT FROM e.source)
+SELECT doc_id, size, source_size, target, (((sums + step) >> 20) - (sums >> 20)) * size AS taken
+FROM placed
 """
 
 
