@@ -502,11 +502,35 @@ def test_order_changes_no_verdict(spark, sf):
     found = quality.estimate(docs.select("text"), quality.rules())
     assert {x[0] for x in found} == {r.name for r in quality.rules()} and all(0 <= x[2] <= 1 and x[1] > 0 for x in found)
     ordered = quality.in_order(quality.rules(), found)
-    ids = lambda rules: {r[0] for r in docs.where(quality.cascade(rules).isNull()).select("doc_id").collect()}
+    made = docs.withColumns(quality.features())
+    ids = lambda rules: {r[0] for r in made.where(quality.cascade(rules).isNull()).select("doc_id").collect()}
     assert ids(ordered) == ids(ordered[::-1]) == {r[0] for r in quality.passing(docs).select("doc_id").collect()}
     assert quality.passing(no_docs(spark)).count() == 0
 
 
+def test_each_quality_rule_rejects_its_kind(spark, tmp_path):
+    clean = [" ".join(f"word{chr(97 + (i * j) % 26)}{chr(97 + (i + j) % 26)}" for j in range(8)) for i in range(12)]
+    texts = {
+        "clean": clean, "few_words": ["a few words"], "repeated_words": ["the same three words again"] * 20,
+        "symbols": [x.replace(" ", " #*$ ") for x in clean], "word_length": [" ".join("abcdefgh"[i % 8] + "xyz"[i % 3: i % 3 + i % 2] for i in range(j, j + 20)) for j in range(0, 400, 20)],
+        "bullets": ["\u2022 " + x for x in clean], "ellipses": [x + " \u2026" if i % 2 else x + "..." for i, x in enumerate(clean)],
+        "letters": [" ".join(f"{i * 8 + j}.5" for j in range(8)) for i in range(12)],
+        "one_word": [" ".join("so" if j % 4 else f"then{i}{j}" for j in range(8)) for i in range(12)],
+        "few bullets": ["- " + x if i % 2 else x for i, x in enumerate(clean)], "other letters": [x.replace("word", "слово") for x in clean],
+    }
+    rows = spark.createDataFrame([(i, "\n".join(x)) for i, x in enumerate(texts.values())], "doc_id long, text string")
+    rows.write.parquet(f"{tmp_path}/documents.parquet")
+    which = {r.name: r for r in quality.rules()}
+    made = rows.withColumns(quality.features())
+    for i, name in enumerate(texts):
+        hit = [n for n, r in which.items() if made.where(f"doc_id = {i}").where(r.rejects).count()]
+        assert (name in hit) if name in which else not hit, (name, hit)
+    got = quality.op9_quality_cascade(spark, str(tmp_path)).collect()
+    want, columns = by_sql(rows.withColumns({"lang": F.lit("en"), "source": F.lit("s")}), quality.SQL)
+    assert same_rows(got, want, columns)
+    assert {list(texts)[r["doc_id"]] for r in got if r["kept"]} == {"clean", "few bullets", "other letters"}
+
+
 # --- pipeline ---
 
 def test_pipeline_stage_by_stage(spark, sf):
