@@ -151,3 +151,16 @@ def test_wrong_sized_first_gallery_row(spark, first, max_shipped):
     assert knn.stored_width(gallery, "vector") == 2
     assert result(knn.nearest_vectors(queries, gallery, 3, max_shipped=max_shipped)) == [[1, 4, 2]] * 3
     assert {r.image_id for r in knn.wrong_sized(gallery, "vector", 2, "image_id").collect()} == {0, 3}
+
+
+def test_shuffled_scan_hands_on_k_rows_a_query(spark):
+    rng = np.random.default_rng(4)
+    dq, dg = frames(spark, rng.integers(0, 99, size=(40, 1)), rng.integers(0, 99, size=(300, 1)), "long")
+    got = knn._scan(knn._TopK, "hamming", 7, knn._as_queries(dq, "code"), knn._as_gallery(dg, "code"), None, 1)
+    assert got.count() == 40 * 7
+
+
+def test_blocks_stay_as_many_until_they_are_full():
+    assert [knn.block_count(n, 64, 200) for n in (10_000, 100_000, 600_000)] == [32] * 3
+    assert knn.block_count(3_000_000, 64, 200) == 92
+    assert knn.block_count(3_000_000, 1, 200) == 46
