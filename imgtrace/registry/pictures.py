@@ -29,10 +29,10 @@ from imgtrace.sources import pictures as A
 WIDTH, HEIGHT = 120, 96
 
 
-def pictures(spark, sf) -> DataFrame:
+def pictures(spark, sf, keep: tuple[str, ...] = ()) -> DataFrame:
     """Spread the (small) vectors over the cores before they grow into pixels."""
     v = all_vectors(spark, sf).repartition(spark.sparkContext.defaultParallelism, "image_id")
-    return X.pictures_from_vectors(v, WIDTH, HEIGHT)
+    return X.pictures_from_vectors(v, WIDTH, HEIGHT, keep=keep)
 
 
 def _bitmap(pixels: bytes, width: int, height: int) -> bytes:
@@ -69,18 +69,19 @@ SELECT vec_id + 1 AS image_id, CASE WHEN label = 6 THEN 20 ELSE 54 + {WIDTH * HE
 FROM embeddings""")
 def read_images(spark, sf):
     folder = scratch_path(spark, "pictures")
-    made = pictures(spark, sf)
-    _write_files(made.join(all_vectors(spark, sf).select("image_id", "label"), "image_id"), folder)
-    back = A.read_images(spark, folder).withColumn(
-        "image_id", F.regexp_extract("path", r"(\d+)\.bmp$", 1).cast("bigint"))
-    j = back.join(made.select("image_id", F.md5("pixels").alias("want")), "image_id")
+    _write_files(pictures(spark, sf, ("label",)), folder)
+    # pictures become digests where they are read or made, none is shuffled
+    back = A.read_images(spark, folder).select(
+        F.regexp_extract("path", r"(\d+)\.bmp$", 1).cast("bigint").alias("image_id"),
+        "length", "width", "height", "reject", F.md5("pixels").alias("found"))
+    j = back.join(pictures(spark, sf).select("image_id", F.md5("pixels").alias("want")), "image_id")
     good = F.col("reject").isNull()
     return j.select(
         "image_id", F.col("length").cast("int").alias("length"),
         F.when(good, F.col("width")).otherwise(0).alias("width"),
         F.when(good, F.col("height")).otherwise(0).alias("height"),
         F.coalesce("reject", F.lit("")).alias("reject"),
-        F.coalesce(F.md5("pixels") == F.col("want"), F.lit(False)).alias("same"))
+        F.coalesce(F.col("found") == F.col("want"), F.lit(False)).alias("same"))
 
 
 def grey_pictures(spark, sf) -> DataFrame:
