@@ -1,11 +1,12 @@
 """Mixing sources to target weights by systematic sampling, in DataFrame operations only.
 
 Every document expects `target / source_size` copies. Within a source the expected
-copies are summed up in order; with one random offset added, a document is emitted
+copies are summed up in order; with an offset added, a document is emitted
 once for each whole number its stretch of the sum crosses. Expected copies are whole
 multiples of 2^-20, so sums are exact and the same on every run. The order goes by
 size, so each run of documents of like size comes as often as it should, within one:
 whatever the offset, the words taken miss the target by less than the longest document.
+Of 64 offsets evenly apart from a random one on, a source takes the one nearest its target.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from .queries import query
 from .tables import checked_broadcast, materialize, places, table
 
 WEIGHTS, SHARE, MOST, SEED = (5, 2, 1), (3, 2), 2, "mix"
-UNIT_BITS = 20
+UNIT_BITS, OFFSETS = 20, 64
 
 
 def word_count(text: str = "text") -> Column:
@@ -60,7 +61,7 @@ def source_targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
 
 
 def offset(source: str, seed: str = SEED) -> Column:
-    """The source's random offset: 20 bits of a digest of the seed and its name."""
+    """The source's first offset: 20 bits of a digest of the seed and its name."""
     text = F.concat(F.lit(seed + ":"), F.coalesce(F.col(source), F.lit("\0")))
     return F.conv(F.substring(F.md5(text), 1, UNIT_BITS // 4), 16, 10).cast("long")
 
@@ -75,9 +76,26 @@ def copies(sized: DataFrame, targets: DataFrame, seed: str = SEED) -> DataFrame:
     per = targets.withColumnRenamed("source", "__source").withColumn("__offset", offset("__source", seed))
     joined = sized.join(checked_broadcast(per, 128), F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
     placed = places(joined, ["rank"], ["size", "doc_id", "tie", "row"])
-    before = F.col("idx") * F.col("expected") + F.col("__offset")
-    crossed = F.shiftright(before + F.col("expected"), UNIT_BITS) - F.shiftright(before, UNIT_BITS)
-    return placed.select("doc_id", "source", "size", "row", "source_size", "target", crossed.alias("copies"))
+    chosen = materialize(nearest_offsets(placed), "mix-offsets")
+    placed = placed.drop("__offset").join(checked_broadcast(chosen, 16), "rank")
+    return placed.select("doc_id", "source", "size", "row", "source_size", "target", crossed(F.col("__offset")).alias("copies"))
+
+
+def crossed(offset: Column) -> Column:
+    before = F.col("idx") * F.col("expected") + offset
+    return F.shiftright(before + F.col("expected"), UNIT_BITS) - F.shiftright(before, UNIT_BITS)
+
+
+def nearest_offsets(placed: DataFrame) -> DataFrame:
+    """(rank, __offset): of OFFSETS offsets evenly apart from the source's first one on, the one whose words are nearest its target.
+
+    One pass over (rank, idx, expected, size, target, __offset) that adds up the words of every offset; of equals the first is taken.
+    """
+    tried = [(F.col("__offset") + i * ((1 << UNIT_BITS) // OFFSETS)) % (1 << UNIT_BITS) for i in range(OFFSETS)]
+    words = placed.groupBy("rank", "target", "__offset").agg(*[F.sum(crossed(o) * F.col("size")).alias(f"w{i}") for i, o in enumerate(tried)])
+    misses = F.array(*[F.struct(F.abs(F.col(f"w{i}") - F.col("target")).alias("miss"), F.lit(i).alias("i"), o.alias("offset"))
+                       for i, o in enumerate(tried)])
+    return words.select("rank", F.array_min(misses)["offset"].alias("__offset"))
 
 
 def mix(docs: DataFrame) -> DataFrame:
@@ -121,10 +139,14 @@ targets AS (SELECT source, source_size,
 expected AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size * 1048576)::BIGINT ELSE 0 END AS step,
                     ('0x' || substr(md5('mix:' || coalesce(source, chr(0))), 1, 5))::BIGINT AS start FROM targets),
 placed AS (SELECT s.doc_id, s.source, s.size, e.source_size, e.target, e.step,
-                  (row_number() OVER (PARTITION BY s.source ORDER BY s.size, s.doc_id NULLS FIRST) - 1) * e.step + e.start AS sums
-           FROM sized s JOIN expected e ON s.source IS NOT DISTINCT FROM e.source)
-SELECT doc_id, size, source_size, target, (((sums + step) >> 20) - (sums >> 20)) * size AS taken
-FROM placed
+                  (row_number() OVER (PARTITION BY s.source ORDER BY s.size, s.doc_id NULLS FIRST) - 1) * e.step AS sums, e.start
+           FROM sized s JOIN expected e ON s.source IS NOT DISTINCT FROM e.source),
+tried AS (SELECT source, i, (start + i * 16384) % 1048576 AS pos,
+                 abs(sum((((sums + step + (start + i * 16384) % 1048576) >> 20) - ((sums + (start + i * 16384) % 1048576) >> 20)) * size) - target) AS off
+          FROM placed, range(64) t(i) GROUP BY source, i, start, target),
+chosen AS (SELECT source, pos FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY off, i) AS r FROM tried) WHERE r = 1)
+SELECT doc_id, size, source_size, target, (((sums + step + pos) >> 20) - ((sums + pos) >> 20)) * size AS taken
+FROM placed p JOIN chosen c ON p.source IS NOT DISTINCT FROM c.source
 """
 
 

@@ -1,5 +1,6 @@
 """Scores, packing, search, mixing, pages, quality and the pipeline against plain versions."""
 
+import hashlib
 import math
 import random
 from collections import Counter
@@ -381,6 +382,24 @@ def test_numbers_of_ranges_change_no_copies(spark, sf):
     assert found[0] == found[1] == found[2] and len(found[0]) == docs.count()
 
 
+def test_a_source_takes_the_nearest_of_64_offsets(spark):
+    sizes = {s: [(i * 37 + len(s or "")) % 90 + (700 if i == 5 else 0) for i in range(n)] for s, n in (("a", 23), ("b", 40), (None, 31))}
+    rows = [(i, " ".join(["w"] * z), s) for s, of in sizes.items() for i, z in enumerate(of)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    unit = 1 << mixing.UNIT_BITS
+    for s, of in sizes.items():
+        mine = [r for r in got if r["source"] == s]
+        target, taken = mine[0]["target"], sum(r["copies"] * r["size"] for r in mine)
+        step = int(target / mine[0]["source_size"] * unit)
+        start = int(hashlib.md5(f"mix:{chr(0) if s is None else s}".encode()).hexdigest()[:5], 16)
+        misses = []
+        for i in range(64):
+            at = (start + i * (unit // 64)) % unit
+            misses.append(abs(sum((((n + 1) * step + at >> mixing.UNIT_BITS) - (n * step + at >> mixing.UNIT_BITS)) * z
+                                  for n, z in enumerate(sorted(of))) - target))
+        assert math.isclose(abs(taken - target), min(misses), abs_tol=1e-6)
+
+
 def test_hot_source_of_equal_rows_is_parted_and_taken_to_its_target(spark):
     rows = [(None, "a b c", "hot")] * 6000 + [(i, "a b " * (i % 7), "cold") for i in range(3000)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
