@@ -110,14 +110,20 @@ def rebuild_index(catalog: Buckets, models: DataFrame, now) -> dict:
     return {"rebuilt": todo.count(), "buckets": touched}
 
 
+#: Most rounds of a job: every round lists and reads the catalog anew, so small buckets share one.
+MAX_ROUNDS = 8
+
+
 def _rounds(buckets: list, size: int) -> Iterator[list]:
+    """Runs of `size` buckets, or of more where these would be more than MAX_ROUNDS."""
+    size = max(size, -(-len(buckets) // MAX_ROUNDS))
     for lo in range(0, len(buckets), size):
         yield buckets[lo:lo + size]
 
 
 def reembed(catalog: Buckets, model: dict, encode: Callable[[DataFrame], DataFrame], files: DataFrame, now,
             buckets_per_round: int = 64) -> DataFrame:
-    """Give every thumbnail the model's vector, some buckets at a time; (image_id, outcome) as `jobs.reembed` has it.
+    """Give every thumbnail the model's vector, at least `buckets_per_round` buckets at a time; (image_id, outcome) as `jobs.reembed` has it.
 
     `encode` makes (image_id, vector) of the rows of `files` (image_id, ...) it is given. Each round is written
     before the next begins, so a job that died goes on with what is still missing.

@@ -244,3 +244,9 @@ def test_too_many_models_are_refused(spark):
     with pytest.raises(ValueError):
         b.slots([f"m{i}" for i in range(B.MAX_SLOTS)])
     assert K.bits(b.slots(), ["sem32", "sem32"]) == 2 and K.bits(b.slots(), ["x"]) is None
+
+
+def test_many_small_buckets_share_a_round():
+    assert list(BJ._rounds([1, 2, 3], 2)) == [[1, 2], [3]]
+    many = list(BJ._rounds(list(range(782)), 2))
+    assert len(many) <= BJ.MAX_ROUNDS and [b for some in many for b in some] == list(range(782))
