@@ -16,7 +16,9 @@ corpus. It is never made: suffixes are dealt into buckets that can be sorted one
 * Buckets of very frequent anchors never meet in one task: their stretches are compared
   whole by digest. Tasks add up, for each digest, its earliest place; a stretch that is a copy is
   cut in its document's own task, so that nothing is written per copy and no text of it travels. Of each distinct
-  stretch only the first sends its suffixes on, one by one, to buckets of their own.
+  stretch only the first is compared further, in pieces of up to `PIECE` neighbouring suffixes. All that
+  stand at the same places before the anchor share 101 - `PIECE` bytes, whose hash is the bucket of the piece. Where such
+  a bucket is very frequent again, its suffixes go on one by one to buckets of their own.
 
 Exact copies of whole documents are settled by digest before all this.
 """
@@ -38,6 +40,8 @@ LENGTH, GRAM = 100, 40
 COVER, PLACES = 31, (0, 1, 3, 8, 12, 18)
 #: Occurrences from which an anchor's bucket is taken apart, and bytes a block of buckets has, about.
 FREQUENT, BLOCK = 2048, 1 << 20
+#: Suffixes of a piece of a stretch of a frequent anchor, at most.
+PIECE = 16
 FIRST = -(1 << 63)
 
 _rng = np.random.Generator(np.random.PCG64(4242))
@@ -183,16 +187,16 @@ HELD, SENT = 200_000, 1_000_000
 
 
 def chosen_stretches(texts: pa.Array, wanted: list):
-    """(row, anchor, start, suffixes, stretch) of the anchors in each row's list of wanted ones."""
+    """(row, anchor, start, suffixes, stretch, place of the anchor in it) of the anchors in each row's list of wanted ones."""
     for lo, hi, data, offsets in blocks(texts):
-        text, h, _, first, past = anchors(data, offsets)
+        text, h, at, first, past = anchors(data, offsets)
         h = signed(h)
         bounds = np.searchsorted(text, np.arange(hi - lo + 1))
         for i in range(hi - lo):
             if wanted[lo + i]:
                 some = np.flatnonzero(np.isin(h[bounds[i]:bounds[i + 1]], wanted[lo + i])) + bounds[i]
-                for j, k, start, end in zip(some.tolist(), h[some].tolist(), first[some].tolist(), past[some].tolist(), strict=True):
-                    yield lo + i, k, start - int(offsets[i]), end - start, data[start:end + LENGTH - 1].tobytes()
+                for k, place, start, end in zip(*(c[some].tolist() for c in (h, at, first, past)), strict=True):
+                    yield lo + i, k, start - int(offsets[i]), end - start, data[start:end + LENGTH - 1].tobytes(), place - start
 
 
 def stretches(held: DataFrame) -> DataFrame:
@@ -208,7 +212,7 @@ def stretches(held: DataFrame) -> DataFrame:
                     [pa.array(c, t) for c, t in zip(cols, (*[pa.int64()] * 4, pa.int32(), pa.binary()), strict=True)],
                     ["k", "key", "d", "start", "suffixes", "stretch"])
 
-            for row, k, start, n, piece in chosen_stretches(batch.column(2), batch.column(3).to_pylist()):
+            for row, k, start, n, piece, _ in chosen_stretches(batch.column(2), batch.column(3).to_pylist()):
                 for c, v in zip(cols, (k, keys[row], ds[row], start, n, piece), strict=True):
                     c.append(v)
                 if len(cols[0]) >= 20_000:
@@ -237,7 +241,7 @@ def frequent_digests(held: DataFrame) -> DataFrame:
 
         for batch in batches:
             keys = batch.column(0).to_pylist()
-            for row, k, start, _, piece in chosen_stretches(batch.column(1), batch.column(2).to_pylist()):
+            for row, k, start, _, piece, _ in chosen_stretches(batch.column(1), batch.column(2).to_pylist()):
                 v = seen.setdefault(stretch_digest(k, piece), [keys[row], start, 0])
                 if (keys[row], start) < (v[0], v[1]):
                     v[:2] = keys[row], start
@@ -273,7 +277,7 @@ class Copies:
             for batch in batches:
                 keys, ds = batch.column(0).to_pylist(), batch.column(1).to_pylist()
                 rows = [(*stretch_digest(k, piece), keys[row], ds[row], start)
-                        for row, k, start, _, piece in chosen_stretches(batch.column(2), batch.column(3).to_pylist())]
+                        for row, k, start, _, piece, _ in chosen_stretches(batch.column(2), batch.column(3).to_pylist())]
                 yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], pa.int64()) for c in range(5)], ["g", "g2", "key", "d", "start"])
 
         places = held.where("size(frequent) > 0").select("key", "d", "text", "frequent").mapInArrow(
@@ -293,29 +297,59 @@ class Copies:
                 return (int(sent[2][i]), int(sent[3][i])) < (key, start)
         return False
 
-    def suffixes(self) -> DataFrame:
-        """(key, d, lo, k, k2) of the suffixes of stretches that are no copies."""
+    def pieces(self) -> DataFrame:
+        """The stretches that are no copies, in pieces; k: hash of the bytes that every suffix at the places of a piece has."""
         sent = self.sent
 
         def run(batches):
             for batch in batches:
                 keys, ds, copies = (batch.column(c).to_pylist() for c in (0, 1, 4))
-                cols: tuple[list, ...] = ([], [], [], [], [])
+                cols: tuple[list, ...] = ([], [], [], [], [], [])
                 sets: dict[int, set | None] = {}
-                for row, k, start, n, piece in chosen_stretches(batch.column(2), batch.column(3).to_pylist()):
+                for row, k, start, n, stretch, place in chosen_stretches(batch.column(2), batch.column(3).to_pylist()):
                     own = sets.setdefault(row, None if copies[row] is None else set(copies[row]))
-                    if Copies.is_copy(sent.value if sent else None, own, keys[row], k, start, piece):
+                    if Copies.is_copy(sent.value if sent else None, own, keys[row], k, start, stretch):
                         continue
-                    data = np.frombuffer(piece, np.uint8)
-                    made = (np.full(n, keys[row]), np.full(n, ds[row]), np.arange(start, start + n), signed(rolling(data, LENGTH)),
-                            signed(mix(rolling(data[::-1], LENGTH)[::-1])))
-                    for c, v in zip(cols, made, strict=True):
-                        c.append(v)
+                    for lo, hi, bucket in cut_stretch(stretch, n, place):
+                        for c, v in zip(cols, (bucket, keys[row], ds[row], start + lo, hi - lo, stretch[lo:hi + LENGTH - 1]), strict=True):
+                            c.append(v)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(c) if c else np.zeros(0, np.int64), pa.int64()) for c in cols], ["key", "d", "lo", "k", "k2"])
+                    [pa.array(c, t) for c, t in zip(cols, (*[pa.int64()] * 4, pa.int32(), pa.binary()), strict=True)],
+                    ["k", "key", "d", "start", "suffixes", "stretch"])
+
+        return self.held.where("size(frequent) > 0").select("key", "d", "text", "frequent", "copies").mapInArrow(run, STRETCH)
+
+
+def cut_stretch(stretch: bytes, suffixes: int, place: int) -> list[tuple[int, int, int]]:
+    """(first suffix, past last suffix, bucket) of each piece of a stretch whose anchor stands at `place`.
+
+    Pieces are counted from the anchor on back, so equal suffixes are in pieces of the same number, and have its bytes.
+    """
+    out = []
+    h = rolling(np.frombuffer(stretch, np.uint8), LENGTH + 1 - PIECE)
+    for number in range((place - suffixes + 1) // PIECE, place // PIECE + 1):
+        last = place - number * PIECE
+        bucket = mix(h[last:last + 1] + np.uint64(number + 1))
+        out.append((max(0, last - PIECE + 1), min(suffixes, last + 1), int(signed(bucket)[0])))
+    return out
+
+
+def suffixes(pieces: DataFrame) -> DataFrame:
+    """(key, d, lo, k, k2) of each suffix of some pieces."""
+
+    def run(batches):
+        for batch in batches:
+            cols: tuple[list, ...] = ([], [], [], [], [])
+            for key, d, start, n, piece in zip(*(batch.column(c).to_pylist() for c in ("key", "d", "start", "suffixes", "stretch")), strict=True):
+                data = np.frombuffer(piece, np.uint8)
+                made = (np.full(n, key), np.full(n, d), np.arange(start, start + n), signed(rolling(data, LENGTH)),
+                        signed(mix(rolling(data[::-1], LENGTH)[::-1])))
+                for c, v in zip(cols, made, strict=True):
+                    c.append(v)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate(c) if c else np.zeros(0, np.int64), pa.int64()) for c in cols], ["key", "d", "lo", "k", "k2"])
 
-        return self.held.where("size(frequent) > 0").select("key", "d", "text", "frequent", "copies").mapInArrow(
-            run, "key long, d long, lo long, k long, k2 long")
+    return pieces.mapInArrow(run, "key long, d long, lo long, k long, k2 long")
 
 
 def cover_shifts() -> np.ndarray:
@@ -501,7 +535,7 @@ def without(texts: DataFrame, sent) -> DataFrame:
             keys, ds, wanted, copies, spans = (batch.column(c).to_pylist() for c in (0, 1, 3, 4, 5))
             gone = [[(s["lo"], s["hi"]) for s in x or ()] for x in spans]
             sets: dict[int, set | None] = {}
-            for row, k, start, n, piece in chosen_stretches(batch.column(2), wanted):
+            for row, k, start, n, piece, _ in chosen_stretches(batch.column(2), wanted):
                 own = sets.setdefault(row, None if copies[row] is None else set(copies[row]))
                 if Copies.is_copy(sent.value if sent else None, own, keys[row], k, start, piece):
                     gone[row].append((start, start + n - 1 + LENGTH))
@@ -547,7 +581,11 @@ def cut(docs: DataFrame) -> DataFrame:
         F.collect_set(F.when(~F.col("frequent"), F.col("h"))).alias("rare"))
     held = materialize(keyed(docs).join(hits, ["key", "d"]), "suffix-texts")
     copies = Copies(held, materialize(frequent_digests(held), "suffix-digests"))
-    spans = sorted_buckets(stretches(held)).unionByName(sorted_suffixes(copies.suffixes()))
+    pieces = materialize(copies.pieces(), "suffix-pieces")
+    crowded = materialize(pieces.groupBy("k").count().where(F.col("count") >= FREQUENT).select("k"), "suffix-crowded")
+    crowded = checked_broadcast(crowded, 40)
+    few = stretches(held).unionByName(pieces.join(crowded, "k", "left_anti"))
+    spans = sorted_buckets(few).unionByName(sorted_suffixes(suffixes(pieces.join(crowded, "k", "left_semi"))))
     lists = spans.groupBy("key", "d").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
     changed = without(copies.held.join(lists, ["key", "d"], "left"), copies.sent).dropDuplicates(["key", "d"])
 

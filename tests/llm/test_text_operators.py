@@ -209,6 +209,41 @@ def test_cut_of_one_passage_in_half_of_all_documents(spark, frequent, sent, monk
     check_cut(docs.where("doc_id <> 3 or length(text) > 5").repartition(3))
 
 
+def test_near_copies_of_a_passage_travel_in_pieces(spark, monkeypatch):
+    """One letter of each copy is changed: hundreds of different stretches around frequent anchors, none of them suffix by suffix."""
+    monkeypatch.setattr(suffix_dedup, "FREQUENT", 64)
+    one_by_one, whole = [], suffix_dedup.sorted_suffixes
+
+    def counted(rows):
+        one_by_one.append(rows.count())
+        return whole(rows)
+
+    monkeypatch.setattr(suffix_dedup, "sorted_suffixes", counted)
+    rng = np.random.default_rng(4)
+    passage = "".join(rng.choice(list("abcdefghij "), 700))
+    rows = []
+    for i in range(100):
+        at = int(rng.integers(len(passage)))
+        rows.append((i * 37 % 100, passage[:at] + "X" + passage[at + 1:]))
+    check_cut(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert one_by_one == [0]
+
+
+def test_pieces_of_a_stretch():
+    """Every suffix is in one piece, and equal ones at the same place before the anchor are in one bucket, whatever their stretch."""
+    rng = np.random.default_rng(6)
+    text = rng.integers(97, 123, 160, np.uint8).tobytes()
+    buckets: dict[tuple, set] = {}
+    for first, past, place in ((0, 61, 60), (0, 1, 60), (7, 40, 60), (44, 46, 60), (60, 61, 60), (13, 31, 30)):
+        pieces = suffix_dedup.cut_stretch(text[first:past + 99], past - first, place - first)
+        assert [first + s for lo, hi, _ in sorted(pieces) for s in range(lo, hi)] == list(range(first, past))
+        assert all(0 < hi - lo <= suffix_dedup.PIECE for lo, hi, _ in pieces)
+        for lo, hi, k in pieces:
+            for s in range(lo, hi):
+                buckets.setdefault((place, first + s), set()).add(k)
+    assert all(len(b) == 1 for b in buckets.values())
+
+
 def test_cut_of_all_given_documents(spark, sf):
     check_cut(spark.read.parquet(f"{sf}/documents.parquet"))
 
