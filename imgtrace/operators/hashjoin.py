@@ -9,6 +9,8 @@ to look each band of a query up in the same band of the gallery, with every chan
 * A few wide bands mean short buckets and many changed keys, many narrow ones the opposite. The
   plan is chosen by the expected number of rows for the number of distinct words.
 * A pair that several bands find is kept in the first of them only, by looking at the words: no distinct.
+* At many bits (20 of 64) bands exclude little: a word's rows in the join grow with the table, as its pairs do. Where comparing it
+  with every word is less work, counts and nearest pictures come from a scan of the distinct words (`knn.words_within`).
 """
 
 from __future__ import annotations
@@ -21,10 +23,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from imgtrace.functions import hashes as H
+from imgtrace.session import materialize
 
 WORD = 64
 #: Most changed keys of one band; wider radii are never planned.
 MAX_KEYS = 4096
+#: Words that a scan compares in the time that the join takes for a row.
+COMPARED = 100
 
 
 @dataclass(frozen=True)
@@ -64,14 +69,17 @@ def bands(bits: int, m: int) -> list[Band]:
     return out
 
 
+def rows_per_word(plan_: list[Band], words: int) -> float:
+    """A query key costs a row and meets the words of one bucket; a gallery word costs a row per band."""
+    return sum(x.keys * (1 + words / 2.0 ** x.width) + 1 for x in plan_)
+
+
 def plan(bits: int, words: int) -> list[Band]:
     """The bands with the least expected work for `words` distinct words on either side."""
     if not 0 <= bits < WORD:
         raise ValueError(f"bits must be within 0..{WORD - 1}")
     options = [b for b in (bands(bits, m) for m in range(1, bits + 2)) if all(x.keys <= MAX_KEYS for x in b)]
-    # a query key costs a row and meets the words of one bucket; a gallery word costs a row per band
-    cost = lambda b: sum(x.keys * (1 + words / 2.0 ** x.width) + 1 for x in b)
-    return min(options, key=cost)
+    return min(options, key=lambda b: rows_per_word(b, words))
 
 
 def distinct_words(pictures: DataFrame, id_column: str) -> DataFrame:
@@ -118,20 +126,30 @@ def near_words(left: DataFrame, right: DataFrame, bits: int, words: int | None =
     )
 
 
+def matches_per_word(left: DataFrame, right: DataFrame, bits: int, others: bool = False) -> DataFrame:
+    """(word, matches, b: (distance, least)) of left(word) x right(word, n, least), as `knn.words_within` has it; by bands where that is less work."""
+    from imgtrace.operators import knn
+
+    words = right.count()
+    if COMPARED * rows_per_word(plan(bits, words), words) > words:
+        return knn.words_within(left, right, bits, others)
+    near = near_words(left, right, bits, words)
+    if others:
+        near = near.where("left_word <> right_word")
+    stored = right.select(F.col("word").alias("right_word"), "n", "least")
+    return near.join(stored, "right_word").groupBy(F.col("left_word").alias("word")).agg(
+        F.sum("n").alias("matches"), F.min(F.struct("distance", "least")).alias("b"))
+
+
 def hash_matches(queries: DataFrame, gallery: DataFrame, bits: int = H.SAME_IMAGE_BITS_PER_64) -> DataFrame:
     """queries(query_id, phash) x gallery(image_id, phash) -> query_id, matches, image_id, distance.
 
     `matches`: gallery pictures within `bits`; the nearest of them and its distance, ties by id. Queries without a match
     or a 16-digit hash aren't listed. Equal hashes on either side are looked up once.
     """
-    asked, stored = distinct_words(queries, "query_id"), distinct_words(gallery, "image_id")
-    near = near_words(asked, stored, bits)
-    best = (
-        near.join(stored, near["right_word"] == stored["word"])
-        .groupBy("left_word").agg(F.sum("n").alias("matches"), F.min(F.struct("distance", "least")).alias("b"))
-    )
+    best = matches_per_word(distinct_words(queries, "query_id"), distinct_words(gallery, "image_id"), bits)
     word = H.hash_to_long(F.col("phash"))
-    return queries.select("query_id", word.alias("left_word")).join(best, "left_word").select(
+    return queries.select("query_id", word.alias("word")).join(best, "word").select(
         "query_id", "matches", F.col("b.least").alias("image_id"), F.col("b.distance").alias("distance"))
 
 
@@ -152,20 +170,17 @@ def same_pictures(gallery: DataFrame, bits: int = H.SAME_IMAGE_BITS_PER_64) -> D
     The self-join that finds reposts. Pictures with one hash link through it; `nearest` is the smallest other id at the
     least distance, null without links.
     """
-    stored = distinct_words(gallery, "image_id")
+    stored = materialize(distinct_words(gallery, "image_id"), "hash-words")
     own = gallery.select("image_id", H.hash_to_long(F.col("phash")).alias("word")).where("word IS NOT NULL")
     # of an equal hash the smallest id is nearest for all but itself, for which it is the second smallest
     second = own.join(stored.select("word", "least"), "word").where("image_id <> least").groupBy("word").agg(
         F.min("image_id").alias("second"))
-    near = near_words(stored, stored, bits).where("left_word <> right_word")
-    other = stored.select(F.col("word").alias("right_word"), F.col("n").alias("others"), F.col("least").alias("other"))
-    best = near.join(other, "right_word").groupBy("left_word").agg(
-        F.sum("others").alias("others"), F.min(F.struct("distance", "other")).alias("b"))
-    known = stored.join(second, "word", "left").join(best.withColumnRenamed("left_word", "word"), "word", "left")
+    best = matches_per_word(stored, stored, bits, others=True).withColumnRenamed("matches", "others")
+    known = stored.join(second, "word", "left").join(best, "word", "left")
     same = F.when(F.col("image_id") == F.col("least"), F.col("second")).otherwise(F.col("least"))
     return own.join(known, "word").select(
         "image_id", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("links"),
-        F.coalesce(same, F.col("b.other")).alias("nearest"),
+        F.coalesce(same, F.col("b.least")).alias("nearest"),
         F.when(same.isNotNull(), F.lit(0)).otherwise(F.col("b.distance")).alias("distance"))
 
 

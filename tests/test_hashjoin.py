@@ -5,6 +5,7 @@ import random
 import pytest
 
 from imgtrace.operators import hashjoin as J
+from imgtrace.operators import knn
 from imgtrace.operators import search as S
 
 
@@ -105,3 +106,55 @@ def test_a_common_hash_is_one_row(spark):
     assert out.count() == 2000 and {(r["matches"], r["image_id"], r["distance"]) for r in out.collect()} == {(2000, 0, 0)}
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "Cartesian" not in out._jdf.queryExecution().executedPlan().toString() and "Cross" not in plan
+
+
+def within(asked, stored, bits, others):
+    """(word, matches, nearest distance, its least id) by every pair; stored: word -> ids."""
+    out = set()
+    for w in asked:
+        near = [((w ^ v).bit_count(), min(ids), len(ids)) for v, ids in stored.items() if not (others and v == w)]
+        near = [x for x in near if x[0] <= bits]
+        if near:
+            out.add((w, sum(x[2] for x in near), *min(near)[:2]))
+    return out
+
+
+@pytest.mark.parametrize("max_shipped", [8192, 0])
+@pytest.mark.parametrize("others", [True, False])
+@pytest.mark.parametrize("bits", [0, 5, 20, 63])
+def test_words_within_equal_all_pairs(spark, bits, others, max_shipped, monkeypatch):
+    monkeypatch.setattr(knn, "_TILE", 500)
+    g, stored = frame(spark, words() + words()[:40] + words(8), "image_id", -30)
+    q, asked = frame(spark, words()[5:150] + words(9)[:20], "query_id")
+    by_word = {}
+    for i, h in stored.items():
+        by_word.setdefault(int(h, 16), []).append(i)
+    left, right = J.distinct_words(q, "query_id"), J.distinct_words(g, "image_id")
+    got = {(r["word"] & (2**64 - 1), r["matches"], r["b"]["distance"], r["b"]["least"])
+           for r in knn.words_within(left, right, bits, others, max_shipped).collect()}
+    assert got == within({int(h, 16) for h in asked.values()}, by_word, bits, others)
+
+
+def test_pictures_at_many_bits_are_compared_not_joined(spark, monkeypatch):
+    """Bands at twenty bits make rows with the square of the table; at five bits they are kept."""
+    bands = J.near_words
+    monkeypatch.setattr(J, "near_words", lambda *_: pytest.fail("bands at twenty bits"))
+    g, stored = frame(spark, words() + words()[:40], "image_id", 10)
+    for r in J.same_pictures(g, 20).collect():
+        close = sorted((distance(stored[r["image_id"]], h), i) for i, h in stored.items() if i != r["image_id"])
+        close = [x for x in close if x[0] <= 20]
+        assert (r["links"], r["distance"], r["nearest"]) == (len(close), *(close[0] if close else (None, None)))
+    for size in (10**4, 10**6, 10**8):
+        assert J.COMPARED * J.rows_per_word(J.plan(20, size), size) > size
+    assert all(J.COMPARED * J.rows_per_word(J.plan(5, size), size) < size for size in (10**5, 10**7))
+    monkeypatch.setattr(J, "near_words", bands)
+    monkeypatch.setattr(J, "COMPARED", 0)
+    by_bands = sorted(map(repr, J.same_pictures(g, 20).collect()))
+    monkeypatch.setattr(J, "COMPARED", 100)
+    assert by_bands == sorted(map(repr, J.same_pictures(g, 20).collect()))
+
+
+def test_a_null_id_stays_the_nearest(spark):
+    right = spark.createDataFrame([(7, 1, None), (6, 1, 9), (5, 1, 2)], "word long, n long, least long")
+    got = {r["word"]: (r["matches"], r["b"]["distance"], r["b"]["least"]) for r in knn.words_within(right, right, 1, True).collect()}
+    assert got == {7: (2, 1, 2), 6: (1, 1, None), 5: (1, 1, None)}
