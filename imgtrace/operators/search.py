@@ -185,12 +185,30 @@ def two_step_scores(queries: DataFrame, gallery: DataFrame, topk: int,
     width = width or knn.stored_width(gallery, "vector")
     shipped = knn.ship(queries, "vector", max_shipped, width=width)
     near = knn.nearest_vectors(queries, gallery, topk, max_shipped=max_shipped, shipped=shipped, width=width)
-    proven = small_enough(shipped, topk)
+    pairs = _hash_pairs(near.select("query_id", "image_id"), queries, gallery, small_enough(shipped, topk))
+    return pairs.groupBy("query_id").agg((-F.min("distance")).cast("double").alias("score"))
+
+
+def _hash_pairs(near: DataFrame, queries: DataFrame, gallery: DataFrame, proven: bool) -> DataFrame:
+    """near(query_id, image_id, ...) with the hash distance of each pair."""
     g = gallery.select("image_id", F.col("phash").alias("image_phash"))
-    pairs = g.join(_ship(near.select("query_id", "image_id"), proven), "image_id").join(
+    pairs = g.join(_ship(near, proven), "image_id").join(
         _ship(queries.select("query_id", F.col("phash").alias("query_phash")), proven), "query_id")
-    d = H.hamming_hex(F.col("query_phash"), F.col("image_phash"))
-    return pairs.groupBy("query_id").agg((-F.min(d)).cast("double").alias("score"))
+    return pairs.withColumn("distance", H.hamming_hex(F.col("query_phash"), F.col("image_phash")))
+
+
+def vector_and_two_step_scores(queries: DataFrame, gallery: DataFrame, topk: int,
+                               max_shipped: int = knn.MAX_SHIPPED_QUERIES, width: int | None = None) -> DataFrame:
+    """(query_id, vector, two_step): the best inner product and `two_step_scores`, from one scan of the gallery."""
+    width = width or knn.stored_width(gallery, "vector")
+    shipped = knn.ship(queries, "vector", max_shipped, width=width)
+    near = knn.nearest_and_best_dot(queries, gallery, topk, max_shipped=max_shipped, shipped=shipped, width=width)
+    pairs = _hash_pairs(near.select("query_id", "image_id", "measure", "score"), queries, gallery,
+                        small_enough(shipped, topk + 1))
+    of = lambda measure, c: F.when(F.col("measure") == measure, F.col(c))
+    return pairs.groupBy("query_id").agg(
+        F.max(of("dot", "score")).cast("double").alias("vector"),
+        (-F.min(of("cosine", "distance"))).cast("double").alias("two_step"))
 
 
 def cached_queries(requests: DataFrame, cache: DataFrame) -> DataFrame:

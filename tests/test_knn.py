@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from imgtrace.operators import knn
 from imgtrace.operators import search as S
+from imgtrace.plans import evaluation
 
 
 def frames(spark, q, g, kind):
@@ -61,6 +62,70 @@ def test_kernel_prunes_exactly():
             assert (ids[np.lexsort((ids, key[r]))[:9]] == got[r]).all()
 
 
+def odd_vectors(rng, n):
+    """Clusters, copies, zeros, lengths from 1e-30 to 1e30, single huge and tiny components, NaN and infinities."""
+    m = rng.standard_normal((6, 8))[rng.integers(0, 6, n)] + 0.05 * rng.standard_normal((n, 8))
+    m[: n // 3] = m[rng.integers(0, 5, n // 3)]
+    m[n // 3 : n // 2] *= 10.0 ** rng.integers(-30, 30, (n // 2 - n // 3, 1))
+    at = rng.permutation(n)
+    m[at[: n // 20]] = 0
+    for place, x in zip(at[-7:], (np.nan, np.inf, -np.inf, 1e200, 1e-200, -1e30, 1e38)):
+        m[place, 3] = x
+    return m
+
+
+@pytest.mark.parametrize("kind", [np.float64, np.float32])
+@pytest.mark.parametrize("make", [knn._TopK, knn._TopKAndDot])
+@pytest.mark.parametrize("metric", ["cosine", "dot"])
+@pytest.mark.filterwarnings("ignore::RuntimeWarning")
+def test_float32_bound_loses_nothing(make, metric, kind):
+    rng = np.random.default_rng(8)
+    q, g = odd_vectors(rng, 90).astype(kind), odd_vectors(rng, 5000).astype(kind)
+    ids = rng.permutation(5000)
+    state = make(metric, 4, np.arange(90), q)
+    for s in (0, 30, 1500, 2600):
+        e = {0: 30, 30: 1500, 1500: 2600, 2600: 5000}[s]
+        state.feed(ids[s:e], g[s:e])
+    for x, batch in zip(state.lists, state.rows()):
+        key = knn._keys(x.metric, knn._prepare(x.metric, q), knn._prepare(x.metric, g))
+        got = batch.column(1).to_numpy().reshape(90, x.k)
+        # products of copies may differ in the last bit of a double, so keys are compared, and ids where keys are exact
+        want = np.lexsort((np.broadcast_to(ids, key.shape), key), axis=1)[:, : x.k]
+        place = np.argsort(ids)[got]
+        np.testing.assert_allclose(np.take_along_axis(key, place, 1), np.take_along_axis(key, want, 1), rtol=1e-6)
+        assert (got == ids[want]).mean() > 0.99 and all(len(set(r)) == x.k for r in got.tolist())
+
+
+def test_few_pairs_are_computed_in_double(monkeypatch):
+    rng = np.random.default_rng(9)
+    cells, keys = [], knn._keys
+    monkeypatch.setattr(knn, "_keys", lambda m, q, g: cells.append(len(q[0]) * len(g[0])) or keys(m, q, g))
+    state = knn._TopK("cosine", 5, np.arange(100), rng.standard_normal((100, 32)))
+    for s in range(0, 20_000, 5000):
+        state.feed(np.arange(s, s + 5000), rng.standard_normal((5000, 32)))
+    assert sum(cells) < 100 * 20_000 / 10
+
+
+@pytest.mark.parametrize("max_shipped", [1000, 2])
+def test_threshold_scores_scan_the_vectors_once(spark, max_shipped, monkeypatch):
+    rng = np.random.default_rng(3)
+    mk = lambda n, name: spark.createDataFrame(
+        [(i, [x.item() for x in r], f"{h:016x}", "real" if i % 3 else "fake") for i, (r, h) in enumerate(
+            zip(rng.standard_normal((n, 8)) * rng.uniform(0.2, 3, (n, 1)), rng.integers(0, 2**62, n)), 1)],
+        f"{name} long, vector array<float>, phash string, kind string").cache()
+    q, g = mk(30, "query_id"), mk(400, "image_id").drop("kind")
+    apart = {r.query_id: [r.score] for r in knn.nearest_vectors(q, g, 1, metric="dot").collect()}
+    for r in S.two_step_scores(q, g, 20).collect():
+        apart[r.query_id].append(r.score)
+    monkeypatch.setattr(knn, "ship", lambda *a, ship=knn.ship, **k: ship(*a[:2], max_shipped, **{
+        x: y for x, y in k.items() if x != "max_shipped"}))
+    found = evaluation.threshold_scores(q, g, 20)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 2
+    rows = found.where("method != 'phash'").orderBy("query_id", "method").collect()
+    assert [(r.query_id, r.score) for r in rows] == [(i, x) for i in sorted(apart) for x in apart[i]]
+    assert found.where("method = 'phash'").count() == 30
+
+
 @pytest.mark.parametrize("metric", ["cosine", "dot", "euclid"])
 @pytest.mark.parametrize("max_shipped", [1000, 2])
 def test_vectors(spark, metric, max_shipped):
