@@ -151,6 +151,90 @@ def test_answer_rank_counts_ties_against_the_answer(spark, max_shipped):
     assert {r.query_id: r["rank"] for r in got.collect()} == {1: 1, 2: 2, 3: 0}
 
 
+def ranks_of(metric, q, answer, own, gid, g, cuts):
+    """Ranks by the reducer, and by every pair's key."""
+    state = knn._Ahead(metric, 0, np.arange(len(q)), q, (answer, own))
+    for s, e in zip(cuts, cuts[1:]):
+        state.feed(gid[s:e], g[s:e])
+    got, = state.rows()
+    key = knn._keys(metric, knn._prepare(metric, q), knn._prepare(metric, g))
+    mine = own.astype(np.uint16) if metric == "hamming" else (own if metric == "euclid" else -own).astype(np.float32)
+    return got.column(1).to_numpy() + got.column(2).to_numpy(), (
+        (key <= mine[:, None]) & (gid[None, :] != answer[:, None])).sum(axis=1)
+
+
+@pytest.mark.parametrize("kind", [np.float64, np.float32])
+@pytest.mark.parametrize("per", [1, 5, 20])
+@pytest.mark.parametrize("metric", ["cosine", "dot", "euclid"])
+@pytest.mark.filterwarnings("ignore::RuntimeWarning")
+def test_rank_counts_every_row_of_odd_vectors(metric, per, kind):
+    rng = np.random.default_rng(per)
+    g, gid = odd_vectors(rng, 3000).astype(kind), rng.permutation(3000)
+    gid[::50] = gid[1::50]  # some ids have two rows
+    at = rng.integers(0, 3000, 40).repeat(per)
+    q = (g[at] + rng.normal(0, 0.1, (len(at), 8)) * (np.arange(len(at)) % per * 0.5)[:, None]).astype(kind)
+    key = knn._keys(metric, knn._prepare(metric, q), knn._prepare(metric, g))[np.arange(len(at)), at]
+    own = (key if metric == "euclid" else -key).astype(float)
+    own[::17] = rng.normal(size=len(own[::17]))
+    own[3], own[5] = np.nan, np.inf
+    got, want = ranks_of(metric, q, gid[at], own, gid, g, [0, 30, 1500, 3000])
+    assert (got == want).all() and want.any()
+
+
+@pytest.mark.parametrize("words", [1, 3])
+@pytest.mark.parametrize("per", [1, 5, 20])
+def test_rank_counts_every_code(words, per):
+    rng = np.random.default_rng(per)
+    g, gid = rng.integers(-2**63, 2**63 - 1, (3000, words)), rng.permutation(3000)
+    g[1000:2000] = g[:1000] ^ (1 << rng.integers(0, 60, (1000, words)))
+    gid[::50] = gid[1::50]
+    at = rng.integers(0, 3000, 60).repeat(per)
+    q = g[at].copy()
+    for i in range(len(at)):
+        q[i, 0] ^= int(np.bitwise_or.reduce(1 << rng.integers(0, 62, i % per * 8, dtype=np.int64), initial=0))
+    own = np.bitwise_count((q ^ g[at]).view(np.uint64)).sum(axis=1).astype(float)
+    own[::11] = rng.integers(0, 66, len(own[::11]))
+    got, want = ranks_of("hamming", q, gid[at], own, gid, g, [0, 30, 1500, 3000])
+    assert (got == want).all() and want.any()
+
+
+@pytest.mark.parametrize("metric", ["dot", "hamming"])
+def test_queries_of_one_answer_share_their_comparisons(metric, monkeypatch):
+    rng = np.random.default_rng(2)
+    g = rng.standard_normal((4000, 64))
+    at = np.arange(300).repeat(5)
+    q = g[at] + 0.1 * (np.arange(len(at)) % 5)[:, None] * rng.standard_normal((len(at), 64))
+    own = np.einsum("ij,ij->i", q, g[at])
+    if metric == "hamming":
+        q, g = (np.packbits(m > 0, axis=1, bitorder="little").view("<i8") for m in (q, g))
+        own = np.bitwise_count((q ^ g[at]).view(np.uint64))[:, 0].astype(float)
+    cells, keys, product = [], knn._keys, knn._Tile._product
+    monkeypatch.setattr(knn, "_keys", lambda m, a, b: cells.append(knn._rows(m, a, slice(None))[0].shape[-1 if m == "hamming" else 0]
+                                                                   * b[0].shape[-1 if m == "hamming" else 0]) or keys(m, a, b))
+    monkeypatch.setattr(knn._Tile, "_product", lambda t, n, u: cells.append(len(u) * len(t.gid)) or product(t, n, u))
+    state = knn._Ahead(metric, 0, np.arange(len(q)), q, (at, own))
+    state.feed(np.arange(4000), g)
+    assert sum(cells) < len(q) * len(g) / 3
+
+
+def test_rank_blocks_of_many_queries_stay_as_many():
+    assert knn.block_count(3_076_920, 64, 200, knn._Ahead.numbers) == 32
+    assert knn.block_count(12_000_000, 64, 200, knn._Ahead.numbers) == 92
+
+
+def test_queries_of_one_answer_meet_in_one_block(spark):
+    rng = np.random.default_rng(6)
+    g = rng.standard_normal((200, 8)).astype(np.float32)
+    _, gallery = frames(spark, g, g, "float")
+    near = lambda i, n: (i * 8 + n, i + 1, [x.item() for x in g[i] * (1 + n)], float(g[i] @ g[i] * (1 + n)))
+    q = spark.createDataFrame([near(i, n) for i in range(200) for n in range(5)],
+                              "query_id long, answer_id long, code array<float>, own double")
+    got = knn.answer_rank(q, gallery, "dot", "code", "own", max_shipped=2, width=8)
+    want = ((g.astype(float) @ g.T.astype(float)).astype(np.float32) >= np.einsum(
+        "ij,ij->i", g.astype(float), g.astype(float)).astype(np.float32)[:, None]).sum(axis=1) - 1
+    assert {r.query_id: r["rank"] for r in got.collect()} == {i * 8 + n: want[i] for i in range(200) for n in range(5)}
+
+
 def test_rows_of_another_size_are_dropped(spark):
     q = spark.createDataFrame([(1, [1.0, 0.0])], "query_id long, vector array<float>")
     g = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0]), (3, [1.0, 0.0, 0.0]), (4, None)],
