@@ -159,7 +159,7 @@ def ranks_of(metric, q, answer, own, gid, g, cuts):
     got, = state.rows()
     key = knn._keys(metric, knn._prepare(metric, q), knn._prepare(metric, g))
     mine = own.astype(np.uint16) if metric == "hamming" else (own if metric == "euclid" else -own).astype(np.float32)
-    return got.column(1).to_numpy() + got.column(2).to_numpy(), (
+    return got.column(1).to_numpy(), (
         (key <= mine[:, None]) & (gid[None, :] != answer[:, None])).sum(axis=1)
 
 
@@ -198,6 +198,20 @@ def test_rank_counts_every_code(words, per):
     assert (got == want).all() and want.any()
 
 
+@pytest.mark.parametrize("metric", ["dot", "cosine"])
+def test_copies_that_tie_with_far_queries_are_compared_together(metric, monkeypatch):
+    rng = np.random.default_rng(7)
+    g, gid = rng.standard_normal((3000, 16)), rng.permutation(3000)
+    g[::2] = g[0]
+    at = np.arange(60).repeat(4)
+    q = rng.standard_normal((len(at), 16))  # nothing like their answers: no centre rules rows out
+    own = -knn._keys(metric, knn._prepare(metric, q), knn._prepare(metric, g))[np.arange(len(at)), at].astype(float)
+    pairs, keys = [], knn._pair_keys
+    monkeypatch.setattr(knn, "_pair_keys", lambda m, a, b, r, c: pairs.append(len(r)) or keys(m, a, b, r, c))
+    got, want = ranks_of(metric, q, gid[at], own, gid, g, [0, 1500, 3000])
+    assert (got == want).all() and sum(pairs) < len(q) * 10
+
+
 @pytest.mark.parametrize("metric", ["dot", "hamming"])
 def test_queries_of_one_answer_share_their_comparisons(metric, monkeypatch):
     rng = np.random.default_rng(2)
